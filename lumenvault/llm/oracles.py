@@ -25,9 +25,9 @@ WITH placed AS (
     regexp_extract_all(translate(coalesce(url, ''), '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS terms
   FROM pages),
 counted AS (
-  SELECT *, len(list_filter(terms, x -> x IN {_listed(vocabulary.strict)})) AS n_strict,
-    len(list_filter(terms, x -> x IN {_listed(vocabulary.soft)})) AS n_soft,
-    len(list_distinct(list_filter(terms, x -> x IN {_listed(vocabulary.soft)}))) AS n_soft_terms
+  SELECT *, len(list_filter(terms, lambda x: x IN {_listed(vocabulary.strict)})) AS n_strict,
+    len(list_filter(terms, lambda x: x IN {_listed(vocabulary.soft)})) AS n_soft,
+    len(list_distinct(list_filter(terms, lambda x: x IN {_listed(vocabulary.soft)}))) AS n_soft_terms
   FROM placed)
 SELECT page_id, host, path, {rule} AS rule,
   coalesce({verdict}, CASE WHEN n_strict > 0 OR n_soft_terms >= {vocabulary.soft_needed} THEN 'block' ELSE 'allow' END) AS verdict,
