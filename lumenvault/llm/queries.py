@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvault.llm import language_id, oracles, token_counts, url_filter
+from lumenvault.llm import language_id, oracles, simhash, token_counts, url_filter
 from lumenvault.llm.common import table
 
 
@@ -16,9 +16,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_simhash, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": oracles.url_filter_sql()}
