@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenvault.llm import url_filter
+from lumenvault.llm import divergence, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,3 +33,53 @@ SELECT page_id, host, path, {rule} AS rule,
   coalesce({verdict}, CASE WHEN n_strict > 0 OR n_soft_terms >= {vocabulary.soft_needed} THEN 'block' ELSE 'allow' END) AS verdict,
   CAST(n_strict AS BIGINT) AS n_strict, CAST(n_soft AS BIGINT) AS n_soft, CAST(n_soft_terms AS BIGINT) AS n_soft_terms
 FROM counted"""
+
+
+def _distance_sql(counts: list[str], reference: list[str]) -> str:
+    total, of_reference = " + ".join(counts), " + ".join(reference)
+    terms = []
+    for c, r in zip(counts, reference):
+        p, q = f"(({c}) / CAST({total} AS DOUBLE))", f"(({r}) / CAST({of_reference} AS DOUBLE))"
+        terms += [f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END" for x in (p, q)]
+    return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0))"
+
+
+def divergence_sql() -> str:
+    limits, names = divergence.DivergenceLimits(), list(divergence.COMMON)
+    quoted = lambda chars: "'" + chars.replace("'", "''").translate({ord(c): f"' || chr({ord(c)}) || '" for c in "\t\n\x0b\x0c\r"}) + "'"
+    classes = [divergence.LOWER, *divergence.CLASSES]
+    taken = ",\n    ".join(f"length(text) - length(translate(text, {quoted(c)}, '')) AS k{i}" for i, c in enumerate(classes))
+    n_classes, n_common = len(classes) + 1, len(divergence.COMMON["en"])
+    nth = lambda i: "CASE lang " + " ".join(f"WHEN '{name}' THEN '{divergence.COMMON[name][i]}'" for name in names) + " ELSE '' END"
+    common = ",\n    ".join(f"len(list_filter(words, lambda x: x = {nth(i)})) AS w{i}" for i in range(n_common))
+    k, w = [f"k{i}" for i in range(n_classes)], [f"w{i}" for i in range(n_common)]
+    classes_distance = _distance_sql([f"f.{x}" for x in k], [f"r.{x}" for x in k])
+    words_distance = _distance_sql([*(f"f.{x}" for x in w), "f.n_words - " + " - ".join(f"f.{x}" for x in w)], [*(f"r.{x}" for x in w), "r.n_words - " + " - ".join(f"r.{x}" for x in w)])
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM d),
+texts AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM windows),
+again AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM texts),
+places AS (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM again WHERE n > 1),
+repeated AS (SELECT rid, count(DISTINCT place) AS n_repeat_words FROM places GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+counted AS (
+  SELECT rid, doc_id, lang, len(words) AS n_words, length(text) AS n_chars,
+    {taken},
+    {common}
+  FROM d),
+f AS (SELECT *, n_chars - {" - ".join(k[:-1])} AS {k[-1]}, coalesce(n_repeat_words, 0) AS nr, coalesce(n_dup_lines, 0) AS nd
+  FROM counted LEFT JOIN repeated USING (rid) LEFT JOIN dup USING (rid)),
+r AS (SELECT lang, sum(n_words) AS n_words, {", ".join(f"sum({x}) AS {x}" for x in [*k, *w])} FROM f WHERE lang IN {_listed(names)} GROUP BY lang),
+far AS (
+  SELECT f.rid, {classes_distance} > {limits.class_base} + {limits.class_slope} / sqrt(f.n_words)
+    OR {words_distance} > {limits.word_base} + {limits.word_slope} / sqrt(f.n_words) AS far
+  FROM f JOIN r USING (lang) WHERE f.n_words >= {limits.min_words})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - k1 AS BIGINT) AS word_chars, CAST(k4 AS BIGINT) AS n_symbols,
+  CAST(nd AS BIGINT) AS n_dup_lines, CAST(nr AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * nr > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * nr > 50 * n_words) AND NOT coalesce(far, false) AS kept
+FROM f LEFT JOIN far USING (rid)"""

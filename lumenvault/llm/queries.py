@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvault.llm import language_id, oracles, simhash, token_counts, url_filter
+from lumenvault.llm import divergence, language_id, oracles, simhash, token_counts, url_filter
 from lumenvault.llm.common import table
 
 
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_of_documents(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_simhash, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": oracles.url_filter_sql()}
+QUERIES = {f.__name__: f for f in (op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op10_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op2_divergence": oracles.divergence_sql(), "op10_url_filter": oracles.url_filter_sql()}
