@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvault.llm import divergence, language_id, oracles, simhash, token_counts, url_filter
+from lumenvault.llm import divergence, language_id, oracles, packing, simhash, token_counts, url_filter
 from lumenvault.llm.common import table
 
 
@@ -24,9 +24,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op7_packing, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op2_divergence": oracles.divergence_sql(), "op10_url_filter": oracles.url_filter_sql()}
