@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: ``bytes.split()`` without an argument splits UTF-8 at exactly these.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Text bytes that a Python worker works on at once; one longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -35,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Session settings for batches sent to Python, so that two workers of an executor hold few rows of long texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+
+
+def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow with small batches."""
+    for name, value in ARROW.items():
+        df.sparkSession.conf.set(name, value)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lumenvault.llm.common import chunks, crc_remainder, mix
+from lumenvault.llm.common import arrow_map, chunks, crc_remainder, mix
 
 UNDETERMINED = "und"
 #: Labelled documents to learn from, at most: those with the smallest hashes of their ids.
@@ -113,7 +113,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 codes, times = np.unique(gram_codes(texts.filter(pa.array(names == name)))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(times, pa.int64())], ["lang", "gram", "n"])
 
-    counted = known.where(F.col("_order") <= orders).select("lang", "text").mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = arrow_map(known.where(F.col("_order") <= orders).select("lang", "text"), count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counted.where("n >= 2").toPandas()  # bounded by train_docs
     totals = found.groupby("lang")["n"].sum().sort_values(ascending=False)
     names = sorted(totals.index[:LANGUAGES])
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: LanguageFilters, text: str = "text", key: s
             names, score = predict_batch(part.column("text"), model)
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema.fields])
 
-    found = source.mapInArrow(predict, schema)
+    found = arrow_map(source, predict, schema)
     return found.select(F.col("_key").alias(key), *(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
 
 

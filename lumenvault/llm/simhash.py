@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenvault.llm.common import chunks, cut, word_lists
+from lumenvault.llm.common import arrow_map, chunks, cut, word_lists
 
 #: Fixed values: (first bit, bits) of the blocks that deal out fingerprints.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -68,7 +68,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id",
             prints = [fingerprint(shingle_hashes(w, size)) for w in word_lists(part.column("text"), lower_ascii=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(prints, np.uint64).astype(np.int64))], ["_key", "fp"])
 
-    return source.mapInArrow(make, f"_key {kind}, fp long").select(F.col("_key").alias(key), "fp")
+    return arrow_map(source, make, f"_key {kind}, fp long").select(F.col("_key").alias(key), "fp")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -210,7 +210,7 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield found(fps[:last], buckets[:last])
         yield found(rest_fp, rest_bucket)
 
-    return dealt.mapInArrow(search, "src long, dst long").distinct()
+    return arrow_map(dealt, search, "src long, dst long").distinct()
 
 
 def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lumenvault.llm.common import chunks
+from lumenvault.llm.common import arrow_map, chunks
 
 #: The mark that the model writes for a space.
 SPACE = "▁"
@@ -102,5 +102,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", text:
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(counter.count_all(texts.to_pylist()), pa.int64())], ["_key", "n_bytes", "n_tokens"])
 
-    counted = source.mapInArrow(count, f"_key {kind}, n_bytes long, n_tokens long")
+    counted = arrow_map(source, count, f"_key {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

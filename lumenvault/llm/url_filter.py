@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumenvault.llm.common import arrow_map
+
 # Terms that reject a url alone.
 STRICT = ("porn", "xxx", "casino", "viagra", "adult", "escort", "spam", "gambling", "betting", "malware", "phishing", "warez")
 # Terms that reject a url when several distinct ones occur.
@@ -100,7 +102,7 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", vocabu
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts)], ["_key", "_url", "n_strict", "n_soft", "n_soft_terms"])
 
-    counted = source.mapInArrow(judge, f"_key {kind}, _url string, n_strict long, n_soft long, n_soft_terms long")
+    counted = arrow_map(source, judge, f"_key {kind}, _url string, n_strict long, n_soft long, n_soft_terms long")
     placed = counted.select("*", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_terms = F.when((F.col("n_strict") > 0) | (F.col("n_soft_terms") >= vocabulary.soft_needed), "block").otherwise("allow")
