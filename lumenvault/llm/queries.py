@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvault.llm import decontaminate, divergence, language_id, oracles, packing, recompression, simhash, token_counts, url_filter
+from lumenvault.llm import decontaminate, divergence, language_id, license_scan, oracles, packing, recompression, simhash, token_counts, url_filter
 from lumenvault.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("regions")
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -40,5 +44,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op7_packing, op9_recompression, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op7_packing, op8_license_scan, op9_recompression, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op2_divergence": oracles.divergence_sql(), "op10_url_filter": oracles.url_filter_sql()}
