@@ -161,6 +161,17 @@ def identify(docs: DataFrame, model: LanguageFilters, text: str = "text", key: s
     return found.select(F.col("_key").alias(key), *(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
 
 
+def keep_known(docs: DataFrame, model: LanguageFilters, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of docs with a language, and a score of at least ``least``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, text):
+            names, score = predict_batch(part.column(text), model)
+            yield part.filter(pa.array((np.array(names, object) != UNDETERMINED) & (score > 0) & (score >= least)))
+
+    return arrow_map(docs, keep, docs.schema)
+
+
 def language_of_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; rows held out are not learned from."""
     part = F.coalesce(crc_remainder(F.col("doc_id")), F.lit(0))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvault.llm import decontaminate, divergence, language_id, license_scan, oracles, packing, recompression, simhash, token_counts, url_filter
+from lumenvault.llm import decontaminate, divergence, html_blocks, language_id, license_scan, oracles, packing, recompression, simhash, token_counts, url_filter
 from lumenvault.llm.common import table
 
 
@@ -28,6 +29,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,12 +42,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recompression.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
+    return recompression.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op7_packing, op8_license_scan, op9_recompression, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op6_html_blocks, op7_packing, op8_license_scan, op9_recompression, op10_url_filter)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op2_divergence": oracles.divergence_sql(), "op10_url_filter": oracles.url_filter_sql()}

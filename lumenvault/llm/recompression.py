@@ -152,15 +152,15 @@ class Windows:
         return used[0].astype(np.int64), used[1], counts[at]
 
 
-def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(_key, _id, _tag, text): _id and _tag tell rows with different texts apart. Tags are 0 where ids alone do."""
+def _keyed(docs: DataFrame, text: str, key: str, keep: list[str]) -> DataFrame:
+    """(_key, _id, _tag, text) and the columns ``keep`` as _keep0, _keep1 ...: _id and _tag tell rows with different texts apart. Tags are 0 where ids alone do."""
     body = F.col(text).cast("string")
     ids = docs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col("k").isNull())).first()
     unique = (ids[0] or 0) <= 1 and not ids[1]
     numeric = isinstance(docs.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType))
     row = F.col(key).cast("long") if numeric and unique else F.xxhash64(F.col(key).cast("string"))
     tag = F.lit(0) if unique else F.xxhash64(body)
-    return docs.select(F.col(key).alias("_key"), row.alias("_id"), tag.cast("long").alias("_tag"), body.alias("text"))
+    return docs.select(F.col(key).alias("_key"), row.alias("_id"), tag.cast("long").alias("_tag"), body.alias("text"), *(F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)))
 
 
 def repeated_places(docs: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
@@ -199,7 +199,8 @@ def repeated_places(docs: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFr
                 ["_id", "_tag", "window", "place", "hot"],
             )
 
-    with_flags = docs.join(flags, ["_id", "_tag"]).select("_key", "_id", "_tag", "text", "symbols", "hots")
+    # All columns stay, so that the caller's join of the same documents reads the same shuffle.
+    with_flags = docs.join(flags, ["_id", "_tag"])
     windows = arrow_map(with_flags, send_windows, "_id long, _tag long, window long, place int, hot boolean")
     cold = windows.where("not hot") if any_hot else windows
     # No window is there more often than its symbol, so what is counted together here is bounded by ``hot``.
@@ -238,24 +239,50 @@ def _cut_out(body: bytes, covered: np.ndarray) -> bytes:
     return b" ".join(out)
 
 
+def _places(docs: DataFrame, text: str, key: str, size: int, keep: list[str]) -> DataFrame:
+    """_key, text, the columns ``keep`` as _keep0, _keep1 ..., and places (null: none) of every row."""
+    rows = _keyed(docs, text, key, keep)
+    kept = [f"_keep{k}" for k in range(len(keep))]
+    return rows.join(repeated_places(rows, size), ["_id", "_tag"], "left").select("_key", "text", "places", *kept)
+
+
+def _remove(part: pa.RecordBatch, size: int) -> Iterator[tuple[bytes | None, list[bytes], list[bytes], np.ndarray | None]]:
+    """(text, words, kept words, covered words or None) of each row."""
+    for body, places in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("places")):
+        words = (body or b"").split()
+        gone = _covered(len(words), places.values.to_numpy(), size) if places.is_valid else None
+        yield body, words, words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g], gone
+
+
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256 and kept_text (the text itself if no word is removed) of every row."""
-    rows = _keyed(docs, text, key)
-    both = rows.join(repeated_places(rows, size), ["_id", "_tag"], "left").select("_key", "_id", "_tag", "text", "places")
-    kind = rows.schema["_key"].dataType.simpleString()
+    """key, n_words, n_removed and kept_sha256 (of the kept words, a space between two) of every row."""
+    both = _places(docs, text, key, size, [])
+    kind = both.schema["_key"].dataType.simpleString()
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            rows = [(len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for _, words, kept, _ in _remove(part, size)]
+            n, gone, sha = zip(*rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["_key", "n_words", "n_removed", "kept_sha256"])
+
+    return arrow_map(both, remove, f"_key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("_key", key)
+
+
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str = "n_chars", size: int = SIZE) -> DataFrame:
+    """All rows of docs without the covered words; ``length``, if there is such a column, becomes the new text's."""
+    names = docs.columns
+    keep = [c for c in names if c not in (text, key)]
+    both = _places(docs, text, key, size, keep)
+    schema = T.StructType([f for f in both.schema.fields if f.name != "places"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            columns: list[list] = [[], [], [], []]
-            for body, places in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("places")):
-                words = (body or b"").split()
-                gone = _covered(len(words), places.values.to_numpy() if places.is_valid else None, size) if places.is_valid else None
-                kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-                changed = len(kept) < len(words)
-                for column, value in zip(columns, (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), _cut_out(body, gone) if changed else body)):
-                    column.append(value)
-            n, gone, sha, left = columns
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.binary()).cast(pa.string())], ["_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    found = arrow_map(both, remove, f"_key {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return found.withColumnRenamed("_key", key)
+            texts = [_cut_out(body, gone) if len(kept) < len(words) else body for body, words, kept, gone in _remove(part, size)]
+            columns = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else part.column(f.name) for f in schema.fields], schema.names)
+
+    found = arrow_map(both, remove, schema)
+    source = {key: F.col("_key"), text: F.col("text"), **{c: F.col(f"_keep{k}") for k, c in enumerate(keep)}}
+    if length in keep:
+        source[length] = F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema[length].dataType)
+    return found.select(*(source[c].alias(c) for c in names))
