@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from textwrap import dedent
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame by its name, and its SQL behind the given frames."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            body = dedent(sql).strip()
+            head = ",\n".join(ctes)
+            if body.upper().startswith("WITH ") and head:
+                body = body[5:]
+                ORACLE_SQL[function.__name__] = f"WITH {head},\n{body}"
+            else:
+                ORACLE_SQL[function.__name__] = f"WITH {head}\n{body}" if head else body
+        return function
+
+    return register
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language, with their characters."""
-    return (
-        spark.read.parquet(f"{sf_dir}/documents.parquet")
-        .groupBy("lang")
-        .agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
-    )
+    """Recall over all documents: full text and vectors fused, decayed and ranked."""
+    return QUERIES["r5_recall"](spark, sf_dir)
+
+
+from lumenvault.plans import graphs, knowledge, retrieval, reports, sequences, texts  # noqa: E402, F401  they register their queries
