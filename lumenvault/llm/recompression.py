@@ -17,8 +17,9 @@ name, heavy ones first, is the window's symbol: windows of equal words have equa
    and lose the words that they cover.
 
 The documents are dealt out once; the second time Spark reads the same shuffle.
-Symbols and hashes of very common passages are summed before they are shuffled,
-or joined where Spark may split a key.
+Candidates are dealt out by symbol, so that a run of windows travels as one row.
+Symbols of very common passages are summed before they are shuffled, and their
+windows are dealt out one by one, each in parts, whose sums are put together.
 
 A null text has no words. Rows that repeat an id, or have none, are told apart by
 their texts; a repeated row repeats all its windows. An empty table gives no rows.
@@ -29,19 +30,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lumenvault.llm.common import arrow_map, chunks, cut, mix, word_hashes, word_lists
+from lumenvault.llm.common import arrow_map, chunks, cut, drop_path, mix, shared_path, word_hashes, word_lists, written
 
 #: Words of a window, and rounds of recompression.
 SIZE, ROUNDS = 35, 3
 #: A symbol of fewer bytes is taken only if a window has no other: short ones are common by chance.
 HEAVY = 14
-#: Windows whose symbol occurs more often than this are counted before they are shuffled.
-HOT = 10_000
+#: Windows whose symbol occurs more often than this are dealt out by their own hashes, each in SALTS parts.
+HOT, SALTS = 10_000, 64
 _RUN, _LEFT, _RIGHT, _SIDE, _WINDOW = (np.uint64(x) for x in (0x8F14E45FCEEA167A, 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
@@ -105,7 +107,7 @@ class Windows:
             sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(_P, len(hashes)))])
             self.hash = mix((sums[self.starts + size] - sums[self.starts]) * _powers(_INVERSE, len(hashes))[self.starts])
         name, start, end, low, high = parse(hashes, doc, self.offsets)
-        sizes = np.concatenate([[0], np.cumsum([len(w) for d in words for w in d])])
+        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, chain.from_iterable(words)), np.int64, len(hashes)))])
         # Heavy symbols come first.
         light = (sizes[end] - sizes[start] < HEAVY).astype(np.uint64) << np.uint64(63)
         self.names, self.name_doc = (name >> np.uint64(1)) | light, doc[start] if len(start) else start
@@ -147,8 +149,7 @@ class Windows:
         order = np.lexsort(used[::-1])
         used = used[:, order]
         used = used[:, np.concatenate([[True], (used[:, 1:] != used[:, :-1]).any(axis=0)])]
-        pairs = lambda x: x.T.astype(">u8").copy().view("S16").ravel()
-        at = np.searchsorted(pairs(known), pairs(used))
+        at = np.searchsorted(_pairs(*known), _pairs(*used))
         return used[0].astype(np.int64), used[1], counts[at]
 
 
@@ -163,53 +164,129 @@ def _keyed(docs: DataFrame, text: str, key: str, keep: list[str]) -> DataFrame:
     return docs.select(F.col(key).alias("_key"), row.alias("_id"), tag.cast("long").alias("_tag"), body.alias("text"), *(F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)))
 
 
-def repeated_places(docs: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
-    """(_id, _tag, places): the starts of windows whose words start anywhere else, for documents (_key, _id, _tag, text)."""
+def _pairs(doc: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Each (document, symbol) as 16 bytes that sort alike."""
+    return np.stack([doc.astype(np.uint64), symbol], axis=1).astype(">u8").copy().view("S16").ravel()
 
-    def send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            doc, symbol, n = Windows(word_lists(part.column("text")), size).symbols()
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(symbol.astype(np.int64)), pa.array(n.astype(np.int64))], ["_id", "_tag", "symbol", "n"])
 
-    sent = arrow_map(docs.select("_id", "_tag", "text"), send_symbols, "_id long, _tag long, symbol long, n long")
-    shared = cut(sent.groupBy("symbol").agg(F.sum("n").alias("times")).where("times > 1"))
-    any_hot = bool(shared.where(F.col("times") > hot).head(1))
-    flags = sent.select("_id", "_tag", "symbol").join(shared.select("symbol", (F.col("times") > hot).alias("hot")), "symbol")
-    flags = flags.groupBy("_id", "_tag").agg(F.collect_list("symbol").alias("symbols"), F.collect_list("hot").alias("hots"))
+def _runs(w: Windows, hit: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) among the windows hit: those of one symbol that follow each other; hot ones and those without a symbol alone."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return at, at
+    joined = (np.diff(at) == 1) & (np.diff(w.starts[at]) == 1) & (w.doc[at[1:]] == w.doc[at[:-1]]) & (w.symbol[at[1:]] == w.symbol[at[:-1]]) & ~w.own[at[1:]] & ~hot[at[1:]]
+    first = np.flatnonzero(np.concatenate([[True], ~joined]))
+    return at[first], at[np.append(first[1:], len(at)) - 1] + 1
 
-    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _windows_sent(docs: DataFrame, flags: DataFrame, size: int) -> DataFrame:
+    """(deal, _id, _tag, first, hashes, hot): runs of candidate windows, dealt by symbol; hot windows by hash and a part of the id."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             w = Windows(word_lists(part.column("text")), size)
             lists = [part.column(c) for c in ("symbols", "hots")]
             symbols = lists[0].flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
             hots = lists[1].flatten().to_numpy(zero_copy_only=False).astype(bool)
             owner = np.repeat(np.arange(part.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-            pairs = lambda d, s: np.stack([d.astype(np.uint64), s], axis=1).astype(">u8").copy().view("S16").ravel()
-            known = pairs(owner, symbols)
+            known = _pairs(owner, symbols)
             order = np.argsort(known, kind="stable")
             known, hots = known[order], hots[order]
-            mine = pairs(w.doc, w.symbol)
-            at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
-            hit = known[at] == mine if len(known) else np.zeros(len(mine), bool)
-            doc = w.doc[hit]
+            mine = _pairs(w.doc, w.symbol)
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            hit = known[at] == mine
+            hot = hots[at] & hit
+            first, end = _runs(w, hit, hot)
+            if not len(first):
+                continue
+            doc, ids = w.doc[first], np.asarray(part.column("_id")).astype(np.uint64)
+            deal = np.where(hot[first], mix(w.hash[first] ^ mix(ids[doc] % np.uint64(SALTS))), w.symbol[first])
+            taken = np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange(int((end - first).sum()))
+            hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - first)]).astype(np.int32)), pa.array(w.hash[taken].astype(np.int64)))
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id").take(rows), part.column("_tag").take(rows), pa.array(w.hash[hit].astype(np.int64)), pa.array((w.starts[hit] - w.offsets[doc]).astype(np.int32)), pa.array(hots[at[hit]] if len(known) else np.empty(0, bool))],
-                ["_id", "_tag", "window", "place", "hot"],
+                [pa.array(deal.astype(np.int64)), part.column("_id").take(rows), part.column("_tag").take(rows), pa.array((w.starts[first] - w.offsets[doc]).astype(np.int32)), hashes, pa.array(hot[first])],
+                ["deal", "_id", "_tag", "first", "hashes", "hot"],
             )
 
     # All columns stay, so that the caller's join of the same documents reads the same shuffle.
-    with_flags = docs.join(flags, ["_id", "_tag"])
-    windows = arrow_map(with_flags, send_windows, "_id long, _tag long, window long, place int, hot boolean")
-    cold = windows.where("not hot") if any_hot else windows
-    # No window is there more often than its symbol, so what is counted together here is bounded by ``hot``.
-    repeats = cold.select("_id", "_tag", "window", "place").withColumn("times", F.count("*").over(Window.partitionBy("window"))).where("times > 1").select("_id", "_tag", "place")
+    return arrow_map(docs.join(flags, ["_id", "_tag"]), send, "deal long, _id long, _tag long, first int, hashes array<long>, hot boolean")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``deal`` to (_id, _tag, places, window, n): places of repeats; with a window, what is known of a hot one.
+
+    A cold group is bounded by how often its symbol occurs. Of a hot group, whose
+    windows are all equal, one row is kept while it goes on.
+    """
+    names = ["_id", "_tag", "places", "window", "n"]
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = rows.column("hashes").combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        hashes = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(lists)), lengths)
+        place = np.repeat(np.asarray(rows.column("first")), lengths) + np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = counts[at] > 1
+        per_row = np.bincount(owner[again], minlength=len(lists))
+        has = np.flatnonzero(per_row)
+        ids, tags = (rows.column(c).combine_chunks() for c in ("_id", "_tag"))
+        if len(has):
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row[has])]).astype(np.int32)), pa.array(place[again].astype(np.int32)))
+            nothing = pa.nulls(len(has), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(has)), tags.take(pa.array(has)), places, nothing, nothing], names)
+        hot = np.flatnonzero(np.asarray(rows.column("hot").combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)[owner])
+        if len(hot):
+            _, first = np.unique(hashes[hot], return_index=True)
+            hot = hot[first]
+            at_row = pa.array(owner[hot])
+            lone = pa.ListArray.from_arrays(pa.array(np.arange(len(hot) + 1).astype(np.int32)), pa.array(place[hot].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([ids.take(at_row), tags.take(at_row), lone, pa.array(hashes[hot]), pa.array(np.where(again[hot], 2, 1).astype(np.int64))], names)
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        deal = np.asarray(rows.column("deal"))
+        start = int(np.searchsorted(deal, deal[-1]))  # the last group may go on
+        if start:
+            yield from found(rows.slice(0, start))
+        rest = rows.slice(start)
+        if rest.num_rows > 2 and rest.column("hot")[0].as_py():
+            yield from found(rest)
+            rest = rest.slice(0, 1)
+    if rest is not None:
+        yield from found(rest)
+
+
+def repeated_places(docs: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
+    """(_id, _tag, places): the starts of windows whose words start anywhere else, for documents (_key, _id, _tag, text)."""
+    spark = docs.sparkSession
+
+    def send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            doc, symbol, n = Windows(word_lists(part.column("text")), size).symbols()
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(symbol.astype(np.int64)), pa.array(n.astype(np.int64))], ["_id", "_tag", "symbol", "n"])
+
+    path = shared_path(spark, "symbols")
+    sent = written(arrow_map(docs.select("_id", "_tag", "text"), send_symbols, "_id long, _tag long, symbol long, n long"), path)
+    shared = cut(sent.groupBy("symbol").agg(F.sum("n").alias("times")).where("times > 1").select("symbol", (F.col("times") > hot).alias("hot")))
+    any_hot = bool(shared.where("hot").head(1))
+    flags = sent.select("_id", "_tag", "symbol").join(shared, "symbol").groupBy("_id", "_tag").agg(F.collect_list("symbol").alias("symbols"), F.collect_list("hot").alias("hots"))
+    flags = cut(flags)
+    drop_path(spark, path)
+    dealt = _windows_sent(docs, flags, size).repartition("deal").sortWithinPartitions("deal")
+    compared = arrow_map(dealt, _compare, "_id long, _tag long, places array<int>, window long, n long")
+    repeats = compared.where("window is null").select("_id", "_tag", "places")
     if any_hot:
-        warm = windows.where("hot").select("_id", "_tag", "window", "place")
-        counted = cut(warm.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window"))
-        repeats = repeats.unionAll(warm.join(counted, "window").select("_id", "_tag", "place"))
-    return repeats.groupBy("_id", "_tag").agg(F.collect_list("place").alias("places"))
+        # A hot window's parts, at most SALTS rows, are put together: one that was alone in its part may not be alone.
+        parts = compared.where("window is not null").withColumn("times", F.sum("n").over(Window.partitionBy("window")))
+        repeats = repeats.unionAll(parts.where("n = 1 and times > 1").select("_id", "_tag", "places"))
+    return repeats.groupBy("_id", "_tag").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def _covered(n: int, places: list[int] | None, size: int) -> np.ndarray:
