@@ -1 +1,183 @@
-"""Queries."""
+"""Queries of retrieval, fusion and retrieval quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lumenvault.functions import scores, text
+from lumenvault.operators import retrieval as r
+from lumenvault.plans import frames
+from lumenvault.plans.frames import EDGES, ITEMS, NOW
+from lumenvault.plans.knowledge import _WEIGHT
+from lumenvault.plans.registry import query
+
+_BM25 = """listed AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS terms FROM documents),
+wanted AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark WHERE item_id < 12),
+sizes AS (SELECT count(*) AS n_docs, avg(len(terms)) AS mean FROM listed),
+exploded AS (SELECT id, len(terms) AS length, unnest(terms) AS term FROM listed),
+postings AS (SELECT id, length, term, count(*) AS tf FROM exploded GROUP BY ALL),
+spread AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+bm AS (
+  SELECT query, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+  FROM postings JOIN spread USING (term) JOIN wanted USING (term) CROSS JOIN sizes GROUP BY query, id),
+bm_ranked AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM bm)"""
+_COSINE = """cosines AS (
+  SELECT q.vec_id AS query, v.vec_id AS id,
+    list_sum(list_transform(range(1, 65), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))
+    / ((sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) + 1e-12)
+       * (sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) + 1e-12)) AS score
+  FROM embeddings v CROSS JOIN embeddings q WHERE q.vec_id < 12),
+cos_ranked AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM cosines)"""
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.table(spark, sf_dir, "benchmark").where("item_id < 12").select(F.col("item_id").alias("query"), "text")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).where("id < 12").select(F.col("id").alias("query"), "vector")
+
+
+@query("SELECT query, id, rank, round(score, 6) AS score FROM bm_ranked WHERE rank <= 5", _BM25)
+def r1_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.top(r.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)), 5).select("query", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("SELECT query, id, rank, round(score, 6) AS score FROM cos_ranked WHERE rank <= 10", _COSINE)
+def r2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.top(r.vector_scores(_vectors(spark, sf_dir), _asked(spark, sf_dir)), 10).select("query", "id", "rank", F.round("score", 6).alias("score"))
+
+
+_VOICES = "voices AS (SELECT query, id, rank FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT query, id, rank FROM cos_ranked WHERE rank <= 20)"
+
+
+@query("SELECT query, id AS key, round(sum(1.0 / (60 + rank)), 9) AS score FROM voices GROUP BY query, id", _BM25, _COSINE, _VOICES)
+def r3_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = r.top(r.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)), 20)
+    near = r.top(r.vector_scores(_vectors(spark, sf_dir), _asked(spark, sf_dir)), 20)
+    voices = full.select("query", F.lit("text").alias("voice"), F.col("id").alias("key"), "rank").unionByName(near.select("query", F.lit("vector").alias("voice"), F.col("id").alias("key"), "rank"))
+    return r.fuse(voices).select("query", "key", F.round("score", 9).alias("score"))
+
+
+@query(f"""
+    WITH fused AS (SELECT query, id, sum(1.0 / (60 + rank)) AS score FROM voices GROUP BY query, id),
+    w AS (SELECT item AS id, CASE WHEN valid_at IS NULL THEN 1 ELSE exp(-greatest(date_diff('microsecond', valid_at, TIMESTAMP '{NOW}') / 8.64e10, 0) / 180) END
+        * (0.7 + 0.3 * {_WEIGHT} * 0.5) * CASE WHEN corrected_by IS NULL THEN 1 ELSE 0.3 END AS weight FROM items WHERE invalid_at IS NULL),
+    s AS (SELECT query, id, score * weight AS score FROM fused JOIN w USING (id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM s)
+    SELECT query, id, rank, round(score, 9) AS score FROM ranked WHERE rank <= 5""",
+    ITEMS, _BM25.replace("FROM documents)", "FROM documents JOIN items ON item = doc_id WHERE invalid_at IS NULL)").replace("lower(text), '[\\p{L}\\p{N}]+') AS terms", "lower(documents.text), '[\\p{L}\\p{N}]+') AS terms"), _COSINE, _VOICES)
+def r5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = frames.items(spark, sf_dir).where("invalid_at is null").select(F.col("item").alias("id"), "text", "valid_at", scores.first_confidence(F.col("tier")).alias("confidence"), F.col("corrected_by").isNotNull().alias("corrected"))
+    found = r.recall(items, _queries(spark, sf_dir), _vectors(spark, sf_dir), _asked(spark, sf_dir), frames.ntz(NOW))
+    return found.select("query", "id", "rank", F.round("score", 9).alias("score"))
+
+
+@query("""
+    WITH sides AS (SELECT src AS symbol, dst AS id FROM calls UNION ALL SELECT dst, src FROM calls),
+    f AS (SELECT DISTINCT symbol % 10 AS query, id FROM sides WHERE symbol < 50),
+    n AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY id) AS rank FROM f)
+    SELECT query, id, 0.3::DOUBLE AS score FROM n WHERE rank <= 20""", EDGES)
+def r7_structural_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = frames.edges(spark, sf_dir).where("kind = 'CALLS'").select("src", "dst").distinct()
+    wanted = calls.select(F.col("src").alias("symbol")).union(calls.select("dst")).where("symbol < 50").distinct().select((F.col("symbol") % 10).alias("query"), "symbol")
+    return r.structural_voice(calls, wanted)
+
+
+_CANDIDATES = """candidates AS (
+  SELECT query, id, score, documents.text AS text, CASE WHEN id % 4 = 0 THEN 'module' WHEN id % 4 = 1 THEN 'function' ELSE 'class' END AS kind,
+    CASE WHEN id % 6 = 0 THEN 'a._b' WHEN id % 6 = 1 THEN 'a.b' ELSE 'b' END AS symbol
+  FROM bm_ranked JOIN documents ON doc_id = id WHERE rank <= 50)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = r.top(r.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)), 50).drop("rank", "score")
+    n = F.col("id")
+    return first.join(_docs(spark, sf_dir), "id").select("query", "id", "text", F.when(n % 4 == 0, "module").when(n % 4 == 1, "function").otherwise("class").alias("kind"), F.when(n % 6 == 0, "a._b").when(n % 6 == 1, "a.b").otherwise("b").alias("symbol"))
+
+
+@query("""
+    WITH q AS (SELECT item_id AS query, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS terms FROM benchmark),
+    s AS (SELECT c.query, id, len(list_intersect(q.terms, list_distinct(regexp_extract_all(lower(c.text), '[\\p{L}\\p{N}]+')))) / len(q.terms)
+        * CASE WHEN kind = 'module' THEN 0.65 WHEN symbol = 'a._b' OR kind = 'function' AND contains(symbol, '.') THEN 0.8 ELSE 1.0 END AS score
+      FROM candidates c JOIN q ON q.query = c.query),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM s)
+    SELECT query, id, rank, round(score, 9) AS score FROM ranked WHERE rank <= 5""", _BM25, _CANDIDATES)
+def r10_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _queries(spark, sf_dir).withColumnRenamed("text", "question")
+    pool = _candidates(spark, sf_dir).join(asked, "query")
+    return r.two_stage(pool, r.lexical_rerank(F.col("question"), F.col("text"))).select("query", "id", "rank", F.round("score", 9).alias("score"))
+
+
+@query("""
+    WITH best AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
+    SELECT source, list(doc_id ORDER BY rank) AS docs, max(n_chars) AS best FROM best WHERE rank <= 3 GROUP BY source""")
+def k12_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    best = r.top(d, 3, by=("source",))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id", "score")))
+    return best.groupBy("source").agg(F.transform(listed, lambda x: x["id"]).alias("docs"), F.max("score").alias("best"))
+
+
+_LISTS = """lists AS (
+  SELECT vec_id AS query, [vec_id % 7, vec_id % 11, vec_id % 13 + 20, vec_id % 5 + 40, vec_id % 3 + 60, vec_id % 2 + 70] AS retrieved,
+    CASE WHEN vec_id % 9 = 0 THEN [] ELSE list_distinct([vec_id % 11, vec_id % 17 + 40, vec_id % 13 + 20]) END AS gold,
+    CASE WHEN vec_id % 2 = 0 THEN 'L1' ELSE 'L2' END AS tier
+  FROM embeddings),
+metrics AS (
+  SELECT *, len(list_intersect(list_distinct(retrieved[:5]), gold)) AS hits, len(gold) AS g FROM lists),
+scored AS (
+  SELECT query, tier, g, CASE WHEN g = 0 THEN 0 ELSE hits / g END AS recall, hits / 5 AS precision,
+    CASE WHEN g = 0 THEN 0 ELSE hits / least(5, g) END AS r_precision, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS hit,
+    coalesce(1.0 / list_min(list_filter(range(1, 7), lambda i: list_contains(gold, retrieved[i]))), 0) AS mrr,
+    CASE WHEN g = 0 THEN 0 ELSE coalesce(list_sum(list_transform(list_filter(range(1, 6), lambda i: list_contains(gold, retrieved[i])), lambda i: 1.0 / log2(i + 1))), 0)
+      / list_sum(list_transform(range(1, least(5, g) + 1), lambda i: 1.0 / log2(i + 1))) END AS ndcg,
+    CASE WHEN g > 0 AND hits = g THEN 1.0 ELSE 0.0 END AS acc
+  FROM metrics)"""
+_NAMES = ("recall", "precision", "r_precision", "hit", "mrr", "ndcg", "acc")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("vec_id")
+    lists = frames.table(spark, sf_dir, "embeddings").select(
+        n.alias("query"), F.array(n % 7, n % 11, n % 13 + 20, n % 5 + 40, n % 3 + 60, n % 2 + 70).alias("retrieved"),
+        F.when(n % 9 == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.array(n % 11, n % 17 + 40, n % 13 + 20))).alias("gold"),
+        F.when(n % 2 == 0, "L1").otherwise("L2").alias("tier"),
+    )
+    a, g = F.col("retrieved"), F.col("gold")
+    found = (scores.recall_at(a, g, 5), scores.precision_at(a, g, 5), scores.precision_at_least(a, g, 5), scores.hit_rate_at(a, g, 5), scores.reciprocal_rank(a, g), scores.ndcg_at(a, g, 5), scores.all_found_at(a, g, 5))
+    return lists.select("query", "tier", F.size("gold").alias("g"), *(c.alias(name) for c, name in zip(found, _NAMES)))
+
+
+@query(f"SELECT query, {', '.join(f'round({n}, 9) AS {n}' for n in _NAMES)} FROM scored", _LISTS)
+def e1_e7_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir).select("query", *(F.round(n, 9).alias(n) for n in _NAMES))
+
+
+@query(f"SELECT coalesce(tier, 'all') AS tier, count(*) FILTER (WHERE g = 0) AS n_skipped, {', '.join(f'round(coalesce(avg({n}) FILTER (WHERE g > 0), 0), 9) AS {n}' for n in _NAMES)} FROM scored GROUP BY ROLLUP (tier)", _LISTS)
+def a9_a11_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = F.col("g") > 0
+    means = [F.round(F.coalesce(F.avg(F.when(used, F.col(n))), F.lit(0.0)), 9).alias(n) for n in _NAMES]
+    return _metrics(spark, sf_dir).rollup("tier").agg(F.count_if(~used).alias("n_skipped"), *means).withColumn("tier", F.coalesce("tier", F.lit("all")))
+
+
+@query("SELECT item_id, list_slice(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: length(w) >= 3), 1, 5) AS identifiers FROM benchmark")
+def f13_query_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.table(spark, sf_dir, "benchmark").select("item_id", text.query_identifiers("text").alias("identifiers"))
+
+
+@query("""
+    WITH v AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id < 400),
+    n AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm, embedding FROM v)
+    SELECT vec_id, round(norm, 6) AS norm, round(embedding[1] / norm, 6) AS first FROM n""")
+def f30_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = frames.table(spark, sf_dir, "embeddings").where("vec_id < 400")
+    return v.select("vec_id", F.round(scores.norm(F.col("embedding")), 6).alias("norm"), F.round(F.element_at(scores.unit(F.col("embedding")), 1), 6).alias("first"))
