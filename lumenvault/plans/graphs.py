@@ -1 +1,190 @@
-"""Queries."""
+"""Queries of graph operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lumenvault.operators import graph as g
+from lumenvault.plans import frames
+from lumenvault.plans.frames import EDGES
+from lumenvault.plans.registry import query
+
+ROUNDS = 6
+_NODES = "nodes AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls)"
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = [_NODES, "degree AS (SELECT src, count(*) AS degree FROM calls GROUP BY src)", "base AS MATERIALIZED (SELECT node, coalesce(degree, 0) AS degree, (SELECT count(*) FROM nodes) AS n FROM nodes LEFT JOIN degree ON src = node)", "pr0 AS MATERIALIZED (SELECT node, degree, n, 1.0::DOUBLE / n AS rank FROM base)"]
+    for k in range(rounds):
+        parts.append(f"""pr{k + 1} AS MATERIALIZED (
+  SELECT b.node, b.degree, b.n, 0.15 / b.n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM pr{k} WHERE degree = 0) / b.n) AS rank
+  FROM base b LEFT JOIN (SELECT dst, sum(rank / degree) AS got FROM pr{k} JOIN calls ON src = node GROUP BY dst) r ON r.dst = b.node)""")
+    return ",\n".join(parts)
+
+
+def _hops_sql(name: str, edges: str, depth: int, src: str = "src", dst: str = "dst") -> str:
+    parts = [f"{name}0 AS (SELECT node AS seed, node, 0 AS hop FROM seeds)"]
+    for k in range(1, depth + 1):
+        parts.append(f"{name}{k} AS (SELECT * FROM {name}{k - 1} UNION ALL (SELECT DISTINCT h.seed, e.{dst} AS node, {k} AS hop FROM {name}{k - 1} h JOIN {edges} e ON e.{src} = h.node WHERE h.hop = {k - 1} AND (h.seed, e.{dst}) NOT IN (SELECT (seed, node) FROM {name}{k - 1})))")
+    return ",\n".join(parts)
+
+
+_PR = _pagerank_sql(ROUNDS)
+_SEEDS = "seeds AS (SELECT node FROM (SELECT src AS node FROM calls UNION SELECT dst FROM calls) WHERE node IN (3, 8, 21))"
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.calls(frames.edges(spark, sf_dir))
+
+
+def _seeds(calls: DataFrame) -> DataFrame:
+    return g.vertices(calls).where(F.col("node").isin(3, 8, 21))
+
+
+@query("SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM calls) AS n_calls, (SELECT count(*) FROM edges) AS n_edges", EDGES, _NODES)
+def g15_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = frames.edges(spark, sf_dir)
+    calls = g.calls(edges)
+    return g.vertices(calls).agg(F.count("*").alias("n_nodes")).crossJoin(calls.agg(F.count("*").alias("n_calls"))).crossJoin(edges.agg(F.count("*").alias("n_edges")))
+
+
+@query(f"SELECT node, round(rank, 9) AS rank FROM pr{ROUNDS}", EDGES, _PR)
+def g2_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.pagerank(_calls(spark, sf_dir), ROUNDS).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query("SELECT seed, node, hop FROM h3", EDGES, _SEEDS, _hops_sql("h", "calls", 3))
+def g4_bounded_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    return g.hops(calls, _seeds(calls), 3)
+
+
+@query(f"""
+    WITH found AS (SELECT seed, 'callees' AS direction, node, hop FROM h2 WHERE hop > 0 UNION ALL SELECT seed, 'callers', node, hop FROM b2 WHERE hop > 0),
+    placed AS (SELECT f.*, round(rank, 9) AS rank, row_number() OVER (PARTITION BY seed, direction ORDER BY hop, round(rank, 9) DESC, f.node) AS place,
+      count(*) OVER (PARTITION BY seed, direction) > 15 AS truncated FROM found f JOIN pr{ROUNDS} p ON p.node = f.node)
+    SELECT seed, direction, node, hop, rank, place, truncated FROM placed WHERE place <= 15""",
+    EDGES, _SEEDS, _PR, _hops_sql("h", "calls", 2), _hops_sql("b", "calls", 2, "dst", "src"))
+def g5_call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = g.cut(_calls(spark, sf_dir))
+    found = g.chain(calls, _seeds(calls), g.pagerank(calls, ROUNDS))
+    return found.select("seed", "direction", "node", "hop", F.round("rank", 9).alias("rank"), "place", "truncated")
+
+
+def _labels_sql(rounds: int = 40) -> str:
+    parts = ["sides AS MATERIALIZED (SELECT src AS a, dst AS b FROM sparse WHERE src <> dst UNION SELECT dst, src FROM sparse WHERE src <> dst)", "l0 AS MATERIALIZED (SELECT node, node AS component FROM (SELECT src AS node FROM sparse UNION SELECT dst FROM sparse))"]
+    for k in range(rounds):
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT l.node, least(l.component, coalesce(min(m.component), l.component)) AS component FROM l{k} l LEFT JOIN sides ON a = l.node LEFT JOIN l{k} m ON m.node = b GROUP BY l.node, l.component)")
+    return ",\n".join(parts)
+
+
+_SPARSE = "sparse AS (SELECT DISTINCT src, dst + 100000 * (src % 7) AS dst FROM edges WHERE kind = 'IMPORTS' AND src % 3 = 0 AND dst % 5 = 0)"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.edges(spark, sf_dir).where("kind = 'IMPORTS' and src % 3 = 0 and dst % 5 = 0").select("src", (F.col("dst") + 100000 * (F.col("src") % 7)).alias("dst")).distinct()
+
+
+@query("SELECT node, component FROM l40", EDGES, _SPARSE, _labels_sql())
+def g13_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.components(_sparse(spark, sf_dir))
+
+
+@query("SELECT component, count(*) AS n FROM l40 GROUP BY component HAVING count(*) >= 2", EDGES, _SPARSE, _labels_sql())
+def a17_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.components(_sparse(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query("""
+    WITH d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node)
+    SELECT node, degree FROM d ORDER BY degree DESC, node LIMIT 20""", EDGES)
+def k10_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.degrees(frames.edges(spark, sf_dir)).orderBy(F.desc("degree"), "node").limit(20)
+
+
+_COMMUNITY = "communities AS (SELECT node, node % 17 AS community FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges))"
+
+
+@query("""
+    SELECT least(a.community, b.community) AS low, greatest(a.community, b.community) AS high, count(*) AS n, count(*) > 200 AS warning
+    FROM edges JOIN communities a ON a.node = src JOIN communities b ON b.node = dst WHERE a.community <> b.community GROUP BY 1, 2""", EDGES, _COMMUNITY)
+def g8_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = frames.edges(spark, sf_dir)
+    return g.overview(edges, g.vertices(edges).select("node", (F.col("node") % 17).alias("community")), warn_above=200)
+
+
+@query("""
+    WITH s AS (SELECT community, count(*) AS n, list(node ORDER BY node)[1:5] AS members FROM communities GROUP BY community)
+    SELECT community, n, members FROM s ORDER BY n DESC, community LIMIT 30""", EDGES, _COMMUNITY)
+def k9_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    nodes = g.vertices(frames.edges(spark, sf_dir)).select("node", (F.col("node") % 17).alias("community"))
+    firsts = nodes.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where("r <= 5").groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    sizes = nodes.groupBy("community").agg(F.count("*").alias("n"))
+    return sizes.join(firsts, "community").orderBy(F.desc("n"), "community").limit(30).select("community", "n", "members")
+
+
+@query(f"""
+    WITH s AS (SELECT node, node % 40 AS file, rank, node % 9 + 3 AS tokens FROM pr{ROUNDS}),
+    c AS (SELECT *, tokens + CASE WHEN row_number() OVER (PARTITION BY file ORDER BY round(rank, 9) DESC, node) = 1 THEN 4 ELSE 0 END AS cost FROM s),
+    u AS (SELECT *, sum(cost) OVER (ORDER BY round(rank, 9) DESC, node ROWS UNBOUNDED PRECEDING) AS used FROM c)
+    SELECT node, file, CAST(used AS BIGINT) AS used FROM u WHERE used <= 512""", EDGES, _PR)
+def g9_repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = g.pagerank(_calls(spark, sf_dir), ROUNDS)
+    symbols = ranks.select("node", (F.col("node") % 40).alias("file"), "rank", (F.col("node") % 9 + 3).alias("tokens"))
+    return g.repo_map(symbols, 512).select("node", "file", "used")
+
+
+def _impact_sql() -> str:
+    parts = ["ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", "i0 AS (SELECT DISTINCT src AS node, 0 AS hop FROM ways WHERE src % 40 = 7)"]
+    for k in (1, 2):
+        parts.append(f"i{k} AS (SELECT * FROM i{k - 1} UNION ALL (SELECT DISTINCT dst, {k} FROM i{k - 1} JOIN ways ON src = node WHERE hop = {k - 1} AND dst NOT IN (SELECT node FROM i{k - 1})))")
+    return ",\n".join(parts)
+
+
+@query("SELECT node, hop FROM i2", EDGES, _impact_sql())
+def g6_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = frames.edges(spark, sf_dir)
+    files = g.vertices(edges).select("node", (F.col("node") % 40).alias("file"))
+    return g.impact(edges, files, files.where("file = 7").select("file").distinct())
+
+
+_NAMES = "symbols AS (SELECT node, 'f' || node % 13 || '.c::fn' || node AS name FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)), asked AS (SELECT unnest(['f3.c::fn3', 'fn21', 'fn1', 'zzz', '.c::fn5']) AS wanted)"
+
+
+@query("""
+    WITH t AS (SELECT wanted, node, CASE WHEN name = wanted THEN 0 WHEN string_split(name, '::')[-1] = wanted THEN 1 ELSE 2 END AS tier FROM symbols JOIN asked ON contains(name, wanted)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY tier, node) AS n FROM t)
+    SELECT asked.wanted, r.node FROM asked LEFT JOIN r ON r.wanted = asked.wanted AND n = 1""", EDGES, _NAMES)
+def j14_seed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = g.vertices(frames.edges(spark, sf_dir)).select("node", F.concat(F.lit("f"), F.col("node") % 13, F.lit(".c::fn"), "node").alias("name"))
+    wanted = spark.createDataFrame([(w,) for w in ("f3.c::fn3", "fn21", "fn1", "zzz", ".c::fn5")], "wanted string")
+    return g.seed_of(nodes, wanted)
+
+
+def _between_sql(depth: int = 3) -> str:
+    parts = ["arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM calls WHERE src <> dst)", "p0 AS MATERIALIZED (SELECT node AS seed, node, 1.0::DOUBLE AS paths FROM seeds)"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT seed, node FROM p{j}" for j in range(k))
+        parts.append(f"p{k} AS MATERIALIZED (SELECT p.seed, e.dst AS node, sum(paths) AS paths FROM p{k - 1} p JOIN arcs e ON e.src = p.node WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.seed = p.seed AND s.node = e.dst) GROUP BY p.seed, e.dst)")
+    parts.append(f"s{depth} AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS share FROM p{depth})")
+    for k in range(depth - 1, 0, -1):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT p.seed, p.node, p.paths, coalesce(sum(p.paths / b.paths * (1 + b.share)), 0) AS share FROM p{k} p LEFT JOIN arcs e ON e.src = p.node LEFT JOIN s{k + 1} b ON b.seed = p.seed AND b.node = e.dst GROUP BY p.seed, p.node, p.paths)")
+    return ",\n".join(parts)
+
+
+@query("SELECT node, round(sum(share), 6) AS score FROM (SELECT node, share FROM s1 UNION ALL SELECT node, share FROM s2 UNION ALL SELECT node, share FROM s3) GROUP BY node", EDGES, _SEEDS, _between_sql())
+def k11_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    return g.betweenness(calls, _seeds(calls), 3).select("node", F.round("score", 6).alias("score"))
+
+
+@query("""
+    SELECT node, round(least(1.0, least(callers / 10.0, 1.0) * 0.25 + CASE WHEN crosses THEN 0.15 ELSE 0 END + CASE WHEN node % 4 = 0 THEN 0 ELSE 0.15 END
+      + CASE WHEN node % 6 = 0 THEN 0.2 ELSE 0 END + least(node % 300 / 200.0, 1.0) * 0.15 + least(node % 15 / 10.0, 1.0) * 0.1), 9) AS risk
+    FROM (SELECT dst AS node, count(*) AS callers, bool_or(src % 17 <> dst % 17) AS crosses FROM calls GROUP BY dst)""", EDGES)
+def g10_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("node")
+    per = _calls(spark, sf_dir).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("callers"), F.bool_or(F.col("src") % 17 != F.col("dst") % 17).alias("crosses"))
+    return per.select("node", F.round(g.risk(F.col("callers"), F.col("crosses"), n % 4 == 0, n % 6 == 0, n % 300, n % 15), 9).alias("risk"))
