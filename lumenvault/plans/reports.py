@@ -1 +1,175 @@
-"""Queries."""
+"""Queries of findings, citations, patches and registries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lumenvault.operators import reports as r
+from lumenvault.plans import frames
+from lumenvault.plans.frames import COMMITS, FINDINGS, SPANS
+from lumenvault.plans.registry import query
+
+_TIER = """CASE WHEN theme = 'security' AND (risk >= 0.5 OR keyword) THEN 'high' WHEN theme = 'security' THEN 'relevant'
+  WHEN keyword AND risk >= 0.5 THEN 'high' WHEN keyword OR risk >= 0.5 THEN 'relevant' ELSE 'none' END"""
+_TIERED = f"tiered AS (SELECT *, {_TIER} AS tier FROM findings)"
+
+
+def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames.findings(spark, sf_dir)
+    return f.withColumn("tier", r.security_tier(F.col("theme"), F.col("keyword"), F.col("risk")))
+
+
+@query("SELECT finding, tier FROM tiered", FINDINGS, _TIERED)
+def p11_security_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiered(spark, sf_dir).select("finding", "tier")
+
+
+@query("SELECT coalesce(theme, 'function') AS theme, tier, count(*) AS n FROM tiered GROUP BY 1, 2", FINDINGS, _TIERED)
+def a2_theme_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiered(spark, sf_dir).groupBy(F.coalesce("theme", F.lit("function")).alias("theme"), "tier").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE tier = 'high') AS n_high, count(*) FILTER (WHERE risk >= 0.5) AS n_risky FROM tiered", FINDINGS, _TIERED)
+def a3_conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiered(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("tier") == "high").alias("n_high"), F.count_if(F.col("risk") >= 0.5).alias("n_risky"))
+
+
+@query("SELECT module, count(*) AS n FROM (SELECT unnest(list_distinct(modules)) AS module FROM findings) GROUP BY module ORDER BY n DESC, module LIMIT 10", FINDINGS)
+def a4_top_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.module_counts(frames.findings(spark, sf_dir))
+
+
+_GROUPS = """pairs AS (
+  SELECT a.finding AS src, b.finding AS dst FROM findings a JOIN findings b ON a.finding < b.finding AND coalesce(a.theme, 'function') = coalesce(b.theme, 'function')
+  WHERE len(list_intersect(a.files, b.files)) / (6 - len(list_intersect(a.files, b.files)))::DOUBLE >= 0.5),
+ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM pairs UNION SELECT dst, src FROM pairs),
+g0 AS MATERIALIZED (SELECT finding, finding AS subject FROM findings),
+""" + ",\n".join(f"g{k + 1} AS MATERIALIZED (SELECT g.finding, least(g.subject, coalesce(min(m.subject), g.subject)) AS subject FROM g{k} g LEFT JOIN ways ON a = g.finding LEFT JOIN g{k} m ON m.finding = b GROUP BY g.finding, g.subject)" for k in range(15))
+
+
+@query("SELECT finding, subject FROM g15", FINDINGS, _GROUPS)
+def g14_subject_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.subject_groups(frames.findings(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT subject) AS n_unique FROM g15", FINDINGS, _GROUPS)
+def a5_unique_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.subject_groups(frames.findings(spark, sf_dir)).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("n_unique"))
+
+
+_CITED = """citations AS (SELECT l_orderkey * 10 + l_linenumber AS citation, 'src/f' || l_partkey % 60 || '.c' AS file, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE (l_orderkey * 13) % 600 - 20 END AS line FROM lineitem WHERE l_linenumber = 1),
+filed AS (SELECT file, max(last) + 40 AS n_lines FROM spans GROUP BY file),
+graded AS (
+  SELECT c.citation, CASE WHEN n_lines IS NULL THEN 'bad'
+    WHEN EXISTS (SELECT 1 FROM spans s WHERE s.file = c.file AND c.line BETWEEN s.first AND s.last) THEN 'strict'
+    WHEN EXISTS (SELECT 1 FROM spans s WHERE s.file = c.file AND c.line BETWEEN s.first - 5 AND s.last + 5) THEN 'near'
+    WHEN c.line IS NULL OR c.line BETWEEN 1 AND n_lines THEN 'file' ELSE 'bad' END AS grade
+  FROM citations c LEFT JOIN filed f ON f.file = c.file)"""
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, k = frames.table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), F.col("l_orderkey")
+    cites = li.select((k * 10 + F.col("l_linenumber")).alias("citation"), F.concat(F.lit("src/f"), F.col("l_partkey") % 60, F.lit(".c")).alias("file"), F.when(k % 17 != 0, (k * 13) % 600 - 20).alias("line"))
+    spans = frames.spans(spark, sf_dir)
+    return r.grade_citations(cites, spans.groupBy("file").agg((F.max("last") + 40).alias("n_lines")), spans)
+
+
+@query("SELECT citation, grade FROM graded", SPANS, _CITED)
+def p8_citation_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(spark, sf_dir)
+
+
+@query("SELECT round(count(*) FILTER (WHERE grade = 'strict') / count(*), 3) AS strict, round(count(*) FILTER (WHERE grade IN ('strict', 'near')) / count(*), 3) AS lenient, round(count(*) FILTER (WHERE grade <> 'bad') / count(*), 3) AS file_pass FROM graded", SPANS, _CITED)
+def a12_citation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = lambda *grades: F.round(F.count_if(F.col("grade").isin(*grades)) / F.count("*"), 3)
+    return _graded(spark, sf_dir).agg(share("strict").alias("strict"), share("strict", "near").alias("lenient"), share("strict", "near", "file").alias("file_pass"))
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey AS range, 'src/f' || o_orderkey % 50 || '.c' AS file, o_orderkey % 380 + 1 AS first, o_orderkey % 380 + 1 + o_orderkey % 30 AS last FROM orders WHERE o_orderkey % 4 = 0)
+    SELECT range, symbol FROM r JOIN spans s ON s.file = r.file AND s.first <= r.last AND s.last >= r.first""", SPANS)
+def j9_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    ranges = frames.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(k.alias("range"), F.concat(F.lit("src/f"), k % 50, F.lit(".c")).alias("file"), (k % 380 + 1).alias("first"), (k % 380 + 1 + k % 30).alias("last"))
+    return r.spans_of_ranges(ranges, frames.spans(spark, sf_dir))
+
+
+_STATES = """states AS (
+  SELECT commit, CASE WHEN patch IN (SELECT patch FROM commits WHERE branch = 'upstream' AND commit % 2 = 0) THEN 'already_fixed' WHEN applies IS NULL THEN 'uncertain' WHEN applies THEN 'recommend_merge' ELSE 'conflict' END AS state
+  FROM commits WHERE branch = 'fork')"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = frames.commits(spark, sf_dir)
+    return r.patch_states(c.where("branch = 'fork'"), c.where("branch = 'upstream' and commit % 2 = 0"))
+
+
+@query("SELECT commit, state FROM states", COMMITS, _STATES)
+def v2_patch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir)
+
+
+@query("SELECT s.state, count(states.commit) AS n FROM (SELECT unnest(['already_fixed', 'recommend_merge', 'conflict', 'uncertain']) AS state) s LEFT JOIN states USING (state) GROUP BY s.state", COMMITS, _STATES)
+def a8_state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.state_histogram(_states(spark, sf_dir))
+
+
+@query("SELECT list_filter(files, lambda f: starts_with(f, 'debian/')) = files AS packaging, count(*) AS n FROM commits GROUP BY 1", COMMITS)
+def v7_packaging_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.commits(spark, sf_dir).groupBy(r.packaging_only(F.col("files")).alias("packaging")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS commit FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 997 NOT IN (SELECT o_orderkey % 997 FROM orders WHERE o_orderkey % 6 = 0)")
+def u8_j16_retained_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = frames.commits(spark, sf_dir)
+    return c.where("branch = 'fork'").join(c.where("branch = 'upstream' and commit % 2 = 0").select("patch"), "patch", "left_anti").select("commit")
+
+
+@query("""
+    WITH c AS (SELECT doc_id AS citation, CASE WHEN doc_id % 2 = 0 THEN 'x/a/f' || doc_id % 90 || '.c' ELSE 'g' || doc_id % 45 || '.c' END AS file FROM documents),
+    f AS (SELECT DISTINCT unnest(files) AS file FROM findings)
+    SELECT citation, file FROM c WHERE EXISTS (SELECT 1 FROM f WHERE f.file = c.file OR string_split(f.file, '/')[-1] = string_split(c.file, '/')[-1] OR ends_with(f.file, c.file) OR ends_with(c.file, f.file))""", FINDINGS)
+def j18_cited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    cites = frames.table(spark, sf_dir, "documents").select(n.alias("citation"), F.when(n % 2 == 0, F.concat(F.lit("x/a/f"), n % 90, F.lit(".c"))).otherwise(F.concat(F.lit("g"), n % 45, F.lit(".c"))).alias("file"))
+    return r.cited_files(cites, frames.findings(spark, sf_dir).select(F.explode("files").alias("file")))
+
+
+_RECORDS = """records AS (
+  SELECT 'repo-' || s_suppkey % 40 || '_v' || s_suppkey % 9 AS name, 'https://git.example.org/team/proj.' || s_suppkey % 15 AS url,
+    CASE s_suppkey % 4 WHEN 0 THEN 'baseline' WHEN 1 THEN 'unmanaged' ELSE 'working' END AS role,
+    CASE WHEN s_suppkey % 8 = 0 THEN 'bad' ELSE '2024-0' || (s_suppkey % 9 + 1) || '-15' END AS created, s_suppkey % 7 <> 0 AS path_exists FROM supplier)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return frames.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("repo-"), k % 40, F.lit("_v"), k % 9).alias("name"), F.concat(F.lit("https://git.example.org/team/proj."), k % 15).alias("url"),
+        F.when(k % 4 == 0, "baseline").when(k % 4 == 1, "unmanaged").otherwise("working").alias("role"),
+        F.when(k % 8 == 0, "bad").otherwise(F.concat(F.lit("2024-0"), k % 9 + 1, F.lit("-15"))).alias("created"), (k % 7 != 0).alias("path_exists"),
+    )
+
+
+@query("""
+    WITH a AS (SELECT name, role, path_exists, CAST(coalesce(date_diff('day', try_cast(created AS DATE), DATE '2024-12-01'), 0) AS INTEGER) AS age FROM records)
+    SELECT name, age, CASE WHEN NOT path_exists THEN 'orphan' WHEN role = 'baseline' THEN 'keep' WHEN role = 'unmanaged' THEN 'legacy' WHEN age > 180 THEN 'delete' ELSE 'keep' END AS action FROM a""", _RECORDS)
+def m20_gc_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.gc_plan(_records(spark, sf_dir), F.lit("2024-12-01").cast("date"), 180)
+
+
+@query("""
+    WITH m AS (SELECT *, lower(name || ' ' || string_split(url, '/')[-1]) AS place FROM records),
+    h AS (SELECT * FROM m WHERE (contains(place, 'repo') OR contains(place, '12')) AND contains(place, 'v3'))
+    SELECT name, url, role FROM h UNION ALL SELECT name, url, role FROM m WHERE contains(place, 'repo-12') AND NOT EXISTS (SELECT 1 FROM h)""", _RECORDS)
+def p14_find_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.find_repos(_records(spark, sf_dir), "repo-12", "v3")
+
+
+@query("SELECT l_suppkey AS module, round(count(*) FILTER (WHERE l_tax > 0.04) / count(*), 2) AS coverage FROM lineitem GROUP BY 1")
+def a12_module_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("module")).agg(F.round(F.count_if(F.col("l_tax") > 0.04) / F.count("*"), 2).alias("coverage"))
+
+
+@query("SELECT finding, array_to_string(list_sort(list_distinct(modules)), ',') AS modules FROM findings", FINDINGS)
+def h17_modules_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.findings(spark, sf_dir).select("finding", F.array_join(F.transform(F.array_sort(F.array_distinct("modules")), lambda m: m.cast("string")), ",").alias("modules"))
