@@ -21,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lumenvault.llm.common import arrow_map, chunks, cut, word_lists
+from lumenvault.llm.common import arrow_map, chunks, cut, mix, word_lists
 
 #: Fixed values: (first bit, bits) of the blocks that deal out fingerprints.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DISTANCE = 3
 WORDS = 3
+#: For near-copies of five-word shingles: words of a fingerprint, bits that may differ, and choices of bits for buckets.
+WIDE, WIDE_DISTANCE, TABLES, KEY_BITS = 4, 50, 48, 16
 #: Children of a node.
 FAN = 8
 #: Query and node pairs that a search holds at once.
@@ -79,26 +81,26 @@ def gray_rank(fp: Column) -> Column:
 
 
 class GrayIndex:
-    """Tree over distinct fingerprints in Gray order; levels[0] are the fingerprints.
+    """Tree over distinct fingerprints (rows of 64-bit words) in Gray order.
 
     A level is (pattern, own): own are the bits that the node's fingerprints share
     and no node above shares, pattern their values. loose[level] counts the bits
-    in which fingerprints of a node may differ.
+    in which fingerprints of a node may differ. Level 0 are the fingerprints.
     """
 
     def __init__(self, prints: np.ndarray, fan: int = FAN):
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        shared, pattern = [np.full(len(prints), full)], [prints]
+        shared, pattern = [np.full(prints.shape, full)], [prints]
         while len(pattern[-1]) > fan:
             starts = np.arange(0, len(pattern[-1]), fan)
             first = pattern[-1][starts]
-            differ = np.bitwise_or.reduceat(pattern[-1] ^ np.repeat(first, np.diff(np.append(starts, len(pattern[-1])))), starts)
-            mask = np.bitwise_and.reduceat(shared[-1], starts) & ~differ
+            differ = np.bitwise_or.reduceat(pattern[-1] ^ np.repeat(first, np.diff(np.append(starts, len(pattern[-1]))), axis=0), starts, axis=0)
+            mask = np.bitwise_and.reduceat(shared[-1], starts, axis=0) & ~differ
             shared.append(mask)
             pattern.append(first & mask)
         self.fan, self.pattern = fan, pattern
-        self.loose = [np.bitwise_count(~m) for m in shared]
-        self.own = [m & ~np.repeat(up, fan)[: len(m)] for m, up in zip(shared, shared[1:])] + [shared[-1]]
+        self.loose = [_bits(~m) for m in shared]
+        self.own = [m & ~np.repeat(up, fan, axis=0)[: len(m)] for m, up in zip(shared, shared[1:])] + [shared[-1]]
 
     def links(self, queries: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, fingerprint) places within distance, enough of them to join every group that is linked.
@@ -110,10 +112,10 @@ class GrayIndex:
         step = max(1, FRONTIER // max(1, len(self.pattern[top])))
         for a in range(0, len(queries), step):
             part = np.arange(a, min(a + step, len(queries)))
-            todo = [(np.repeat(part, len(self.pattern[top])), np.tile(np.arange(len(self.pattern[top])), len(part)), np.zeros(len(part) * len(self.pattern[top]), np.uint8), top)]
+            todo = [(np.repeat(part, len(self.pattern[top])), np.tile(np.arange(len(self.pattern[top])), len(part)), np.zeros(len(part) * len(self.pattern[top]), np.int16), top)]
             while todo:
                 q, node, gone, level = todo.pop()
-                gone = gone + np.bitwise_count((queries[q] ^ self.pattern[level][node]) & self.own[level][node])
+                gone = gone + _bits((queries[q] ^ self.pattern[level][node]) & self.own[level][node])
                 live = gone <= distance
                 q, node, gone = q[live], node[live], gone[live]
                 if not level:
@@ -141,6 +143,10 @@ class GrayIndex:
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=-1, dtype=np.int16)
+
+
 def roots_of(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest place in each place's group."""
     root = np.arange(n)
@@ -157,17 +163,39 @@ def roots_of(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def bucket_forest(prints: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, smaller place's fingerprint) for distinct fingerprints in Gray order."""
-    index = GrayIndex(prints)
-
-    def links():
-        yield index.tight(distance)
-        yield from index.links(prints, distance)
+def _small_buckets(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked places of buckets of at most FAN fingerprints: trees that are a single node."""
+    left, right = [], []
+    for n in range(2, FAN + 1):
+        at = starts[sizes == n]
+        if len(at):
+            i, j = np.triu_indices(n, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            for k in range(0, len(a), FRONTIER):
+                near = _bits(prints[a[k : k + FRONTIER]] ^ prints[b[k : k + FRONTIER]]) <= distance
+                left.append(a[k : k + FRONTIER][near])
+                right.append(b[k : k + FRONTIER][near])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def bucket_forest(prints: np.ndarray, buckets: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(place, smaller place of its group) for distinct fingerprints in the order of buckets, each in Gray order."""
+    if not len(buckets):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+    sizes = np.diff(np.append(starts, len(buckets)))
+
+    def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield _small_buckets(prints, starts, sizes, distance)
+        for a, n in zip(starts[sizes > FAN], sizes[sizes > FAN]):
+            index = GrayIndex(prints[a : a + n])
+            for left, right in (index.tight(distance), *index.links(prints[a : a + n], distance)):
+                yield left + a, right + a
 
     root = roots_of(len(prints), links())
     other = np.flatnonzero(root != np.arange(len(prints)))
-    return prints[other], prints[root[other]]
+    return other, root[other]
 
 
 def bucket_keys(fp: Column) -> Column:
@@ -181,36 +209,41 @@ def bucket_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """src and dst: links that join the distinct values of the column fp as all links would."""
-    if distance > len(BLOCKS) - 2:
-        raise ValueError("two of the blocks must stay equal")
-    dealt = prints.select("fp", F.explode(bucket_keys(F.col("fp"))).alias("bucket"))
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fp")))
+def _forest(dealt: DataFrame, words: int, distance: int) -> DataFrame:
+    """src and dst from rows (node, bucket, w0, w1 ...) by bucket and Gray rank: links that join what all links would."""
+    names = [f"w{k}" for k in range(words)]
+    sorted_rows = dealt.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("w0")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_fp, rest_bucket = np.empty(0, np.uint64), np.empty(0, np.int64)
+        rest: pa.Table | None = None
 
-        def found(fps: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.empty(0, np.int64)
-            ends = np.append(starts[1:], len(buckets))
-            many = ends - starts > 1
-            forests = [bucket_forest(fps[a:b], distance) for a, b in zip(starts[many], ends[many])]
-            none = np.empty(0, np.uint64)
-            sides = [np.concatenate([none, *(f[k] for f in forests)]).astype(np.int64) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(s) for s in sides], ["src", "dst"])
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            prints = np.stack([rows.column(c).to_numpy().astype(np.uint64) for c in names], axis=1)
+            a, b = bucket_forest(prints, rows.column("bucket").to_numpy(), distance)
+            nodes = rows.column("node").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["src", "dst"])
 
         for batch in batches:
-            fps = np.concatenate([rest_fp, batch.column(0).to_numpy().astype(np.uint64)])
-            buckets = np.concatenate([rest_bucket, batch.column(1).to_numpy()])
-            if not len(buckets):
+            if not batch.num_rows:
                 continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            buckets = rows.column("bucket").to_numpy()
             last = int(np.searchsorted(buckets, buckets[-1]))  # the last bucket may go on
-            rest_fp, rest_bucket = fps[last:], buckets[last:]
-            yield found(fps[:last], buckets[:last])
-        yield found(rest_fp, rest_bucket)
+            if last:
+                yield found(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None:
+            yield found(rest)
+
+    return arrow_map(sorted_rows.select("node", "bucket", *names), search, "src long, dst long").distinct()
+
 
-    return arrow_map(dealt, search, "src long, dst long").distinct()
+def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """src and dst: links that join the distinct values of the column fp as all links would."""
+    if distance > len(BLOCKS) - 2:
+        raise ValueError("two of the blocks must stay equal")
+    return _forest(prints.select(F.col("fp").alias("node"), F.explode(bucket_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("w0")), 1, distance)
 
 
 def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -251,12 +284,58 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     return made.join(all_named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, limit: int = WIDE_DISTANCE) -> DataFrame:
+    """key and component_id of every row, for near-copies further apart than three bits of 64.
+
+    Four words of fingerprint over shingles of five words estimate their similarity:
+    two texts with a Jaccard index of 0.8 differ in 39 bits of 256 on the average,
+    unrelated ones in 128. ``limit`` is two standard deviations above that, so that
+    nearly all pairs of 0.8 or more link; pairs below about 0.6 don't. Buckets are
+    TABLES fixed choices of KEY_BITS bits; two texts of 0.8 share one of them in 97 of 100 cases.
+    """
+    source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
+    kind, names = dict(source.dtypes)["_key"], [f"w{k}" for k in range(WIDE)]
+    choices = np.random.default_rng(5).permuted(np.tile(np.arange(64 * WIDE), (TABLES, 1)), axis=1)[:, :KEY_BITS]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            wide = []
+            for words in word_lists(part.column("text"), lower_ascii=True):
+                hashes = shingle_hashes(words, size)
+                wide.append([fingerprint(hashes if not k else mix(hashes + np.uint64(k))) for k in range(WIDE)])
+            columns = np.array(wide, np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(columns[:, k]) for k in range(WIDE))], ["_key", *names])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                prints = np.stack([batch.column(c).to_numpy().astype(np.uint64) for c in names], axis=1)
+                bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
+                keys = bits[:, choices].astype(np.int64) @ (1 << np.arange(KEY_BITS)) + (np.arange(TABLES) << KEY_BITS)
+                again = pa.array(np.repeat(np.arange(batch.num_rows), TABLES))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(again), pa.array(keys.ravel()), *(batch.column(c).take(again) for c in names)], ["node", "bucket", *names])
+
+    made = cut(arrow_map(source, make, f"_key {kind}, " + ", ".join(f"{c} long" for c in names)))
+    numeric = isinstance(docs.schema[key].dataType, T.IntegralType)
+    prints = made.groupBy(*names).agg(F.min("_key").alias("low"))
+    # Classes are named after their fingerprints' smallest keys; a fingerprint without a key, or with keys that are no numbers, by its hash.
+    node = F.coalesce(F.col("low").cast("long"), F.xxhash64(*names)) if numeric else F.xxhash64(*names)
+    prints = cut(prints.select(node.alias("node"), *names, "low"))
+    links = _forest(arrow_map(prints.select("node", *names), deal, "node long, bucket long, " + ", ".join(f"{c} long" for c in names)), WIDE, limit)
+    pointed = smallest_reachable(links)
+    member = pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct())
+    placed = member.join(prints.select("node", "low"), "node")
+    named = placed.join(placed.groupBy("root").agg(F.min("low").alias("named")), "root").select("node", "named")
+    all_named = cut(prints.join(named, "node", "left").select(*names, F.coalesce("named", "low").alias("component_id")))
+    return made.join(all_named, names).select(F.col("_key").alias(key), "component_id")
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The columns of docs for one row of each class: that with the smallest key.
+    """The columns of docs for one row of each class of ``similar_groups``: that with the smallest key.
 
     Of rows that repeat the key and the text, one stays.
     """
-    classes = near_duplicates(docs, text, key)
+    classes = similar_groups(docs, text, key)
     keep = cut(classes.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_rows")))
     kept = docs.join(keep, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
     # Texts are dealt out again only if some key is repeated.
