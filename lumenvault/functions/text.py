@@ -79,7 +79,10 @@ def repo_of_url(x: Column | str) -> Column:
 def outer_json(x: Column | str) -> Column:
     """The text from the first { to the last }, fences removed; null unless it is JSON."""
     found = F.nullif(F.regexp_extract(F.regexp_replace(_text(x), r"```[a-z]*", ""), r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    # The parser takes what stands behind a closed value, so brackets are counted, those in strings aside.
+    bare = F.regexp_replace(found, r'"(\\.|[^"\\])*"', "")
+    even = lambda a, b: F.length(F.translate(bare, a, "")) == F.length(F.translate(bare, b, ""))
+    return F.when(F.try_parse_json(found).isNotNull() & even("{", "}") & even("[", "]"), found)
 
 
 def first_line_number(x: Column | str) -> Column:

@@ -1 +1,183 @@
-"""Queries."""
+"""Queries of text functions, diffs, chunks and searches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lumenvault.functions import scores, text
+from lumenvault.operators import chunks, diffs, retrieval
+from lumenvault.plans import frames
+from lumenvault.plans.frames import ITEMS, NOW
+from lumenvault.plans.registry import query
+from lumenvault.sources import files
+
+_DIFFS = r"""diffs AS (
+  SELECT o_orderkey AS commit,
+    'diff --git a/src/f' || o_orderkey % 50 || '.c b/src/f' || o_orderkey % 50 || '.c' || chr(10) || '--- a/src/f' || o_orderkey % 50 || '.c' || chr(10) || '+++ b/src/f' || o_orderkey % 50 || '.c' || chr(10)
+    || '@@ -' || o_orderkey % 90 + 1 || ',3 +' || o_orderkey % 90 + 1 || ',' || o_orderkey % 4 || ' @@ fn' || chr(10) || ' same' || chr(10) || '-old' || chr(10) || '+new ' || o_orderkey || chr(10) || '+more' || chr(10)
+    || '@@ -200 +210 @@' || chr(10) || '+last' || chr(10)
+    || '--- a/gone.c' || chr(10) || '+++ ' || CASE WHEN o_orderkey % 2 = 0 THEN '/dev/null' ELSE 'b/other.c' END || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || '-x' || chr(10) || ' y' AS diff
+  FROM orders)"""
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    f = F.concat(F.lit("src/f"), k % 50, F.lit(".c"))
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("diff --git a/"), f, F.lit(" b/"), f), F.concat(F.lit("--- a/"), f), F.concat(F.lit("+++ b/"), f),
+        F.concat(F.lit("@@ -"), k % 90 + 1, F.lit(",3 +"), k % 90 + 1, F.lit(","), k % 4, F.lit(" @@ fn")), F.lit(" same"), F.lit("-old"), F.concat(F.lit("+new "), k), F.lit("+more"),
+        F.lit("@@ -200 +210 @@"), F.lit("+last"), F.lit("--- a/gone.c"), F.concat(F.lit("+++ "), F.when(k % 2 == 0, "/dev/null").otherwise("b/other.c")), F.lit("@@ -1,2 +1,2 @@"), F.lit("-x"), F.lit(" y"),
+    )
+    return frames.table(spark, sf_dir, "orders").select(k.alias("commit"), lines.alias("diff"))
+
+
+_LINES = """lines AS (SELECT commit, unnest(string_split(diff, chr(10))) AS line, unnest(range(1, len(string_split(diff, chr(10))) + 1)) AS i FROM diffs),
+named AS (SELECT *, last_value(CASE WHEN starts_with(line, '+++ ') THEN regexp_replace(line[5:], '^b/', '') END IGNORE NULLS) OVER (PARTITION BY commit ORDER BY i) AS file FROM lines)"""
+
+
+@query("SELECT commit, array_to_string(list(regexp_replace(line[5:], '^b/', '') ORDER BY i), ',') AS files FROM lines WHERE starts_with(line, '+++ ') AND line <> '+++ /dev/null' GROUP BY commit", _DIFFS, _LINES)
+def d9_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark, sf_dir).select("commit", F.array_join(diffs.changed_files(F.col("diff")), ",").alias("files"))
+
+
+@query("""
+    WITH h AS (SELECT commit, file, CAST(regexp_extract(line, '\\+(\\d+)', 1) AS BIGINT) AS first, coalesce(TRY_CAST(nullif(regexp_extract(line, '\\+\\d+,(\\d+) @@', 1), '') AS BIGINT), 1) AS n FROM named WHERE starts_with(line, '@@ ') AND file <> '/dev/null')
+    SELECT commit, file, first, first + n - 1 AS last FROM h WHERE n > 0""", _DIFFS, _LINES)
+def d7_diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.ranges(_diffs(spark, sf_dir))
+
+
+@query("""
+    WITH h AS (SELECT *, sum(CASE WHEN starts_with(line, '@@ ') THEN 1 ELSE 0 END) OVER (PARTITION BY commit ORDER BY i) AS hunk, bool_or(starts_with(line, '+++ ')) OVER (PARTITION BY commit ORDER BY i) AS begun FROM named WHERE NOT starts_with(line, '---')),
+    g AS (SELECT commit, hunk, min(i) AS at, any_value(file) AS file, max(CASE WHEN starts_with(line, '@@ ') THEN CAST(regexp_extract(line, '\\+(\\d+)', 1) AS BIGINT) END) AS start,
+      count(*) FILTER (WHERE (starts_with(line, ' ') OR starts_with(line, '+')) AND NOT starts_with(line, '+++ ')) AS n FROM h WHERE hunk > 0 AND NOT starts_with(line, '+++ ') GROUP BY commit, hunk)
+    SELECT commit, file, start, start + greatest(n, 1) AS end_line FROM g WHERE file <> '/dev/null'""", _DIFFS, _LINES)
+def d6_d8_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.hunks(_diffs(spark, sf_dir)).select("commit", "file", "start", F.col("end").alias("end_line"))
+
+
+@query("""
+    SELECT commit, CAST(count(*) FILTER (WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')) AS INTEGER) AS added,
+      CAST(count(*) FILTER (WHERE starts_with(line, '-') AND NOT starts_with(line, '---')) AS INTEGER) AS removed FROM lines GROUP BY commit""", _DIFFS, _LINES)
+def a14_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark, sf_dir).select("commit", diffs.added_lines(F.col("diff")).alias("added"), diffs.removed_lines(F.col("diff")).alias("removed"))
+
+
+@query("SELECT o_orderkey AS commit, 'in.c' AS files FROM orders")
+def d10_nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = F.lit("+++ b/fix.patch\n@@ -0,0 +1,4 @@\n+--- a/in.c\n++++ b/in.c\n+@@ -1 +1 @@\n++x")
+    return frames.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.array_join(diffs.nested_files(diff), ",").alias("files"))
+
+
+@query("SELECT 'c' || o_orderkey AS sha, 'a' || o_custkey AS author, o_orderpriority AS subject FROM orders UNION ALL SELECT 'd' || o_orderkey, 'b', 'second' FROM orders")
+def d16_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.concat(F.lit("c"), "o_orderkey", F.lit("\x1f"), F.lit("a"), "o_custkey", F.lit("\x1f"), "o_orderpriority", F.lit("\x1e\n"))
+    two = F.concat(F.lit("d"), "o_orderkey", F.lit("\x1fb\x1fsecond\x1e\n"))
+    return diffs.log_rows(frames.table(spark, sf_dir, "orders").select(F.concat(one, two).alias("log")))
+
+
+@query("""
+    WITH l AS (SELECT 'd' || doc_id AS file, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE strlen(text) <= 1000000)
+    SELECT file, CAST(line AS INTEGER) AS line, text, false AS truncated FROM l WHERE length(text) <= 2000 AND regexp_matches(text, '(?i)licen[cs]e|\\bth\\w*ing\\b the')""")
+def s12_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file"), F.col("text").alias("source"))
+    return files.grep(d, r"licen[cs]e|\bth\w*ing\b the", most=None)
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS body FROM documents")
+def s9_line_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.table(spark, sf_dir, "documents").select("doc_id", files.line_range(F.col("text"), 2, 3).alias("body"))
+
+
+@query("""
+    WITH i AS (SELECT p_partkey, 'parseHTTPBody' || p_partkey || '_max-size fooBar' AS name FROM part)
+    SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[_\\-\\s]+'), lambda x: x <> ''), ',') AS parts FROM i""")
+def f7_identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("parseHTTPBody"), "p_partkey", F.lit("_max-size fooBar"))
+    return frames.table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.split_identifier(name), ",").alias("parts"))
+
+
+@query("""
+    SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS non_blank,
+      CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 60 THEN substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 60) || '...' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS clipped,
+      CASE WHEN length(text) <= 1000 THEN text ELSE substring(text, 1, 1000 - length('... [cut ' || length(text) || ' chars]')) || '... [cut ' || length(text) || ' chars]' END AS cut,
+      CAST(length(text) // 4 + 1 AS BIGINT) AS tokens,
+      CASE WHEN length(text) > 30000 THEN 'externalize' WHEN length(text) > 20000 THEN 'cut' ELSE 'keep' END AS budget FROM documents""")
+def f10_f16_text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.non_blank("text").alias("non_blank"), text.clip("text", 60).alias("clipped"), text.honest_truncate("text", 1000).alias("cut"), text.token_estimate("text").alias("tokens"), text.output_budget("text").alias("budget"))
+
+
+@query("""
+    SELECT page_id, 'r' || page_id % 9 AS repo, CASE WHEN page_id % 4 = 3 THEN NULL ELSE CAST(page_id % 70 AS INTEGER) END AS line,
+      CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'c' END AS language, page_id % 5 = 0 AS ignored, 'c-b-a' || page_id % 3 AS baseline, page_id % 6 IN (0, 1) AS transient FROM pages""")
+def f20_f27_small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    url = F.concat(F.lit("https://git.example.org/team/r"), n % 9, F.when(n % 2 == 0, ".git").otherwise("/"))
+    line = F.when(n % 4 == 0, F.concat(n % 70, F.lit(",9"))).when(n % 4 == 1, F.concat(F.lit(" "), n % 70, F.lit("-12"))).when(n % 4 == 2, (n % 70).cast("string")).otherwise("x")
+    path = F.concat(F.lit("a/b"), F.when(n % 4 == 0, ".PY").when(n % 4 == 1, ".h").otherwise(".txt"))
+    name = F.when(n % 10 == 0, "node_modules").when(n % 10 == 5, "x.png").otherwise("main.c")
+    error = F.when(n % 6 == 0, "Read: Connection reset by peer").when(n % 6 == 1, "HTTP 503").otherwise("exit 1")
+    return frames.table(spark, sf_dir, "pages").select(
+        "page_id", text.repo_of_url(url).alias("repo"), text.first_line_number(line).alias("line"), text.language_of_path(path).alias("language"),
+        text.ignored_name(name).alias("ignored"), text.baseline_name(F.concat(F.lit("a"), n % 3, F.lit("/b/c"))).alias("baseline"), text.transient_error(F.lit("error"), error).alias("transient"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+def f21_outer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = frames.table(spark, sf_dir, "events")
+    said = F.concat(F.lit("Here:\n```json\n"), "props", F.when(F.col("event_id") % 3 == 0, "}").otherwise(""), F.lit("\n``` done"))
+    return e.select("event_id", F.get_json_object(text.outer_json(said), "$.k").cast("long").alias("k"))
+
+
+@query(f"""
+    SELECT item, round(date_diff('microsecond', created_at, TIMESTAMP '{NOW}') / 8.64e10, 6) AS age,
+      round(CASE WHEN valid_at IS NULL THEN 1 ELSE exp(-greatest(date_diff('microsecond', valid_at, TIMESTAMP '{NOW}') / 8.64e10, 0) / 180) END * (0.7 + 0.3 * 0.5) * CASE WHEN corrected_by IS NULL THEN 1 ELSE 0.3 END, 9) AS weight FROM items""", ITEMS)
+def f31_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = frames.ntz(NOW)
+    return frames.items(spark, sf_dir).select("item", F.round(scores.age_days(now, F.col("created_at")), 6).alias("age"), F.round(scores.recall_weight(now, F.col("valid_at"), F.lit(0.5), F.col("corrected_by").isNotNull()), 9).alias("weight"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents)
+    SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, len(lines) AS n_lines, len(list_distinct(lines)) AS distinct_lines FROM l""")
+def h29_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.split("text", "\n")
+    return frames.table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).alias("words"), F.size(lines).alias("n_lines"), F.size(F.array_distinct(lines)).alias("distinct_lines"))
+
+
+@query("SELECT doc_id, length(text) < 400 AS short, text LIKE '%' || chr(0) || '%' AS is_binary FROM documents")
+def h27_binary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.table(spark, sf_dir, "documents").select("doc_id", (F.length("text") < 400).alias("short"), text.binary_text("text").alias("is_binary"))
+
+
+@query("SELECT vec_id AS src, 0::BIGINT AS dst FROM embeddings WHERE false UNION ALL SELECT a.vec_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.92")
+def j5_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = frames.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return retrieval.vector_duplicates(v)
+
+
+_SOURCE = "import os\n\n\nclass C{0}:\n    def run(self):\n        return {0}\n\n    def stop(self):\n        def inner():\n            return 1\n        return inner\n\n\ndef main():\n    return C{0}()\n"
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS file, unnest(['C' || p_partkey, 'C' || p_partkey || '.run', 'C' || p_partkey || '.stop', 'C' || p_partkey || '.stop.inner', 'main']) AS qualified_name, unnest(['class', 'method', 'method', 'function', 'function']) AS kind, unnest([4, 5, 8, 9, 14]) AS start_line, unnest([11, 6, 11, 10, 15]) AS end_line FROM part")
+def s6_python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    source = F.replace(F.lit(_SOURCE), F.lit("{0}"), k.cast("string"))
+    found = chunks.parse_symbols(frames.table(spark, sf_dir, "part").select(F.concat(F.lit("m"), k, F.lit(".py")).alias("file"), source.alias("source")))
+    return found.select("file", "qualified_name", "kind", "start_line", "end_line")
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS file, unnest(['C' || p_partkey, 'C' || p_partkey || '.run', 'C' || p_partkey || '.stop', 'C' || p_partkey || '.stop.inner', 'main', '<module>']) AS symbol, unnest([4, 5, 8, 9, 14, 1]) AS start_line FROM part")
+def d3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    source = F.replace(F.lit(_SOURCE), F.lit("{0}"), k.cast("string"))
+    found = chunks.chunk_files(frames.table(spark, sf_dir, "part").select(F.concat(F.lit("m"), k, F.lit(".py")).alias("file"), source.alias("source")))
+    return found.select("file", "symbol", "start_line")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS report, CAST(unnest([0, 1]) AS INTEGER) AS place, unnest(['# One' || chr(10) || 'x', '## Two' || chr(10) || 'y' || doc_id]) AS passage FROM documents")
+def d5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    return chunks.passages(frames.table(spark, sf_dir, "documents").select(n.alias("report"), F.concat(F.lit("# One\nx\n\n## Two\ny"), n).alias("text")))
