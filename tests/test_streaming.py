@@ -10,9 +10,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def streamed(spark, tmp_path, df, make, mode):
-    """The rows that an operator gives out over df as a stream of two files."""
-    for k, part in enumerate(df.orderBy("seq").coalesce(1).randomSplit([1.0], 1)):
-        part.write.mode("append").parquet(f"{tmp_path}/in")
+    """The rows that an operator gives out over df as a stream."""
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    # State that can time out asks for batches without data for ever, which availableNow would wait for.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     query = make(stream).writeStream.format("memory").queryName(f"q{abs(hash(str(tmp_path)))}").outputMode(mode).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination(120)
