@@ -43,7 +43,9 @@ SIZE, ROUNDS = 35, 3
 #: A symbol of fewer bytes is taken only if a window has no other: short ones are common by chance.
 HEAVY = 14
 #: Windows whose symbol occurs more often than this are dealt out by their own hashes, each in SALTS parts.
-HOT, SALTS = 10_000, 64
+HOT, SALTS = 2_000, 64
+#: Stands for the first place of a row that tells places instead of hashes.
+KNOWN = -1
 _RUN, _LEFT, _RIGHT, _SIDE, _WINDOW = (np.uint64(x) for x in (0x8F14E45FCEEA167A, 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
@@ -189,13 +191,29 @@ def _windows_sent(docs: DataFrame, flags: DataFrame, size: int) -> DataFrame:
             symbols = lists[0].flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
             hots = lists[1].flatten().to_numpy(zero_copy_only=False).astype(bool)
             owner = np.repeat(np.arange(part.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-            known = _pairs(owner, symbols)
-            order = np.argsort(known, kind="stable")
-            known, hots = known[order], hots[order]
+            flagged = _pairs(owner, symbols)
+            order = np.argsort(flagged, kind="stable")
+            flagged, hots = flagged[order], hots[order]
             mine = _pairs(w.doc, w.symbol)
-            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            hit = known[at] == mine
+            at = np.minimum(np.searchsorted(flagged, mine), len(flagged) - 1)
+            hit = flagged[at] == mine
             hot = hots[at] & hit
+            # Windows that a document has twice are repeats already: their places go as one row, and the first of each stands for them elsewhere.
+            at_hit = np.flatnonzero(hit)
+            _, once, back, counts = np.unique(mix(w.hash[at_hit] ^ mix(w.doc[at_hit].astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
+            known = at_hit[counts[back] > 1]
+            if len(known):
+                lone = np.ones(len(at_hit), bool)
+                lone[counts[back] > 1] = False
+                lone[once] = True
+                hit[at_hit[~lone]] = False
+                owners, begin = np.unique(w.doc[known], return_index=True)
+                rows = pa.array(owners)
+                places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(known)).astype(np.int32)), pa.array((w.starts[known] - w.offsets[w.doc[known]]).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(np.asarray(part.column("_id").take(rows)).astype(np.uint64)).astype(np.int64)), part.column("_id").take(rows), part.column("_tag").take(rows), pa.array(np.full(len(owners), KNOWN, np.int32)), places, pa.array(np.zeros(len(owners), bool))],
+                    ["deal", "_id", "_tag", "first", "hashes", "hot"],
+                )
             first, end = _runs(w, hit, hot)
             if not len(first):
                 continue
@@ -222,6 +240,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_id", "_tag", "places", "window", "n"]
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        told = np.asarray(rows.column("first")) == KNOWN
+        if told.any():
+            some = rows.filter(pa.array(told))
+            nothing = pa.nulls(some.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("_id").combine_chunks(), some.column("_tag").combine_chunks(), some.column("hashes").combine_chunks().cast(pa.list_(pa.int32())), nothing, nothing], names)
+            rows = rows.filter(pa.array(~told))
         lists = rows.column("hashes").combine_chunks()
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
         hashes = lists.flatten().to_numpy(zero_copy_only=False)
