@@ -17,7 +17,7 @@ without another. Repeated rows are one class. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,10 +240,10 @@ def _forest(dealt: DataFrame, words: int, distance: int) -> DataFrame:
 
 
 def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """src and dst: links that join the distinct values of the column fp as all links would."""
+    """src and dst: links that join the nodes of prints (node, fp), fp distinct, as all links would."""
     if distance > len(BLOCKS) - 2:
         raise ValueError("two of the blocks must stay equal")
-    return _forest(prints.select(F.col("fp").alias("node"), F.explode(bucket_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("w0")), 1, distance)
+    return _forest(prints.select("node", F.explode(bucket_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("w0")), 1, distance)
 
 
 def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -270,18 +270,37 @@ def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("links still change")
 
 
+#: Nodes from here on stand for fingerprints without a key, behind all keys.
+_KEYLESS = 1 << 62
+
+
+def _classes(prints: DataFrame, names: list[str], numeric: bool, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """names and component_id of distinct fingerprints (names, low: the smallest key), linked by their nodes.
+
+    If keys are integers below 2**62, a node is its smallest key, and a class's smallest
+    node is its name; other keys are looked up by the nodes' hashes.
+    """
+    behind = F.lit(_KEYLESS) + F.xxhash64(*names).bitwiseAND(F.lit((1 << 61) - 1))
+    node = F.coalesce(F.col("low").cast("long"), behind) if numeric else F.xxhash64(*names)
+    prints = cut(prints.select(node.alias("node"), *names, "low"))
+    pointed = smallest_reachable(links(prints))
+    if numeric:
+        root = F.when(F.col("root") < _KEYLESS, F.col("root")).cast(prints.schema["low"].dataType)
+        named = pointed.select("node", root.alias("named"))
+    else:
+        member = pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct())
+        placed = member.join(prints.select("node", "low"), "node")
+        named = placed.join(placed.groupBy("root").agg(F.min("low").alias("named")), "root").select("node", "named")
+    # Written once, so that both sides of the caller's join come from plain exchanges, which Spark splits where one fingerprint has very many rows.
+    return cut(prints.join(named, "node", "left").select(*names, F.coalesce("named", "low").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id (the smallest key that it reaches) of every row."""
     made = cut(with_fingerprints(docs, text, key, size))
     prints = made.groupBy("fp").agg(F.min(key).alias("low"))
-    pointed = smallest_reachable(fingerprint_links(prints.select("fp"), distance))
-    # Fingerprints of classes with others, and the smallest key of each class.
-    member = pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct())
-    placed = member.join(prints, member.node == prints.fp).select("node", "root", "low")
-    named = placed.join(placed.groupBy("root").agg(F.min("low").alias("named")), "root").select("node", "named")
-    # Written once, so that both sides of the last join come from plain exchanges, which Spark splits where one fingerprint has very many rows.
-    all_named = cut(prints.join(named, prints.fp == named.node, "left").select("fp", F.coalesce("named", "low").alias("component_id")))
-    return made.join(all_named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _classes(prints, ["fp"], isinstance(docs.schema[key].dataType, T.IntegralType), lambda p: fingerprint_links(p, distance))
+    return made.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, limit: int = WIDE_DISTANCE) -> DataFrame:
@@ -316,18 +335,10 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(again), pa.array(keys.ravel()), *(batch.column(c).take(again) for c in names)], ["node", "bucket", *names])
 
     made = cut(arrow_map(source, make, f"_key {kind}, " + ", ".join(f"{c} long" for c in names)))
-    numeric = isinstance(docs.schema[key].dataType, T.IntegralType)
+    dealt = "node long, bucket long, " + ", ".join(f"{c} long" for c in names)
     prints = made.groupBy(*names).agg(F.min("_key").alias("low"))
-    # Classes are named after their fingerprints' smallest keys; a fingerprint without a key, or with keys that are no numbers, by its hash.
-    node = F.coalesce(F.col("low").cast("long"), F.xxhash64(*names)) if numeric else F.xxhash64(*names)
-    prints = cut(prints.select(node.alias("node"), *names, "low"))
-    links = _forest(arrow_map(prints.select("node", *names), deal, "node long, bucket long, " + ", ".join(f"{c} long" for c in names)), WIDE, limit)
-    pointed = smallest_reachable(links)
-    member = pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct())
-    placed = member.join(prints.select("node", "low"), "node")
-    named = placed.join(placed.groupBy("root").agg(F.min("low").alias("named")), "root").select("node", "named")
-    all_named = cut(prints.join(named, "node", "left").select(*names, F.coalesce("named", "low").alias("component_id")))
-    return made.join(all_named, names).select(F.col("_key").alias(key), "component_id")
+    named = _classes(prints, names, isinstance(docs.schema[key].dataType, T.IntegralType), lambda p: _forest(arrow_map(p.select("node", *names), deal, dealt), WIDE, limit))
+    return made.join(named, names).select(F.col("_key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -337,6 +348,6 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     classes = similar_groups(docs, text, key)
     keep = cut(classes.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_rows")))
-    kept = docs.join(keep, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = docs.join(keep, docs[key].eqNullSafe(keep["_kept"]), "left_semi")
     # Texts are dealt out again only if some key is repeated.
     return kept.dropDuplicates([key]) if keep.where("_rows > 1").head(1) else kept
