@@ -8,19 +8,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder that the session names, else in a temporary one."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints: the cluster's own, else (in tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint(eager=True)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, without its lineage."""
+    checkpoint_dir(df.sparkSession)
+    done = df.checkpoint(eager=True)._jdf
+    # A checkpoint hands on its plan's estimated size, which joins multiply: after some rounds of a loop it is a number
+    # of millions of digits. The same rows as a new relation have none.
+    fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False)
+    return DataFrame(fresh, df.sparkSession)
 
 
 def calls(edges: DataFrame) -> DataFrame:
@@ -66,21 +75,34 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int, most: int = 5) -> DataF
     return seen
 
 
+def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and root, the smallest node that it reaches, for all nodes of links (src, dst).
+
+    Each round points every node's neighbours at the smallest of them, first those
+    above the node, then the rest (alternating large and small stars), until no
+    link changes. A node with very many links is summed before it is shuffled,
+    and Spark may split it in the join.
+    """
+    sides = cut(links.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    before = None
+    for _ in range(rounds):
+        both = sides.union(sides.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("l")).select(F.col("l.b").alias("a"), F.col("l.low").alias("b")).where("a != b").distinct()
+        sides = cut(small)
+        state = sides.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if state == before:
+            return sides.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = state
+    raise RuntimeError("links still change")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each reaches, edges taken both ways."""
-    sides = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
-    sides = cut(sides.union(sides.select("b", "a")).distinct())
-    labels = cut(vertices(edges).withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = sides.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low"))
-        moved = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("low", "component")).alias("new"), "component")
-        # Then follow the label's own label.
-        jump = moved.select(F.col("node").alias("at"), F.col("new").alias("to"))
-        new = cut(moved.join(jump, F.col("new") == F.col("at")).select("node", F.least("new", "to").alias("new"), "component"))
-        if not new.where("new <> component").head(1):
-            return labels
-        labels = new.select("node", F.col("new").alias("component"))
-    raise RuntimeError("labels still move")
+    pointed = smallest_reachable(edges, rounds)
+    return vertices(edges).join(pointed.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
