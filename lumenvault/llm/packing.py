@@ -8,7 +8,7 @@ against the histogram (non-negative least squares), rounds down, and gives exact
 lengths to the repeats, each time the longest that fit. What is left is packed
 greedily, best fit first. The plan says, for each length, which ranks of its pieces go to
 which run of sequences. Pieces get their rank within their length from counts by
-(length, part of the key's hash), so no task sees all pieces of one length.
+(length, part by a hash), so no task sees all pieces of a common length.
 
 A null text is an empty one: its only id is the end id. Repeated rows are packed
 one by one. An empty table gives no rows.
@@ -28,8 +28,8 @@ from lumenvault.llm.common import arrow_map, chunks, cut
 
 WINDOW = 2048
 END_ID = 1
-#: Parts of the key's hash by which pieces of one length are counted.
-PARTS = 128
+#: Pieces of one length are counted in parts by a hash, of this many pieces or more; all lengths together have about PARTS parts at most.
+PART_PIECES, PARTS = 256, 131_072
 #: Length classes of the enumeration, and pieces in a combination at most.
 CLASSES, DEPTH = 32, 4
 
@@ -223,9 +223,13 @@ def plan(histogram: dict[int, int], window: int = WINDOW, classes: int = CLASSES
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
     spark: SparkSession = docs.sparkSession
-    part = F.pmod(F.xxhash64("_key", "start", "ids_crc32"), F.lit(PARTS)).alias("part")
-    made = cut(pieces(docs, tokenizer, text, key, window).select("*", part))
-    sizes = made.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most window * PARTS rows
+    made = cut(pieces(docs, tokenizer, text, key, window))
+    counts = {int(n): int(c) for n, c in made.groupBy("length").count().collect()}  # at most ``window`` rows
+    total = max(sum(counts.values()), 1)
+    parts = [max(1, min(-(-c // PART_PIECES), -(-PARTS * c // total))) for c in (counts.get(n, 0) for n in range(1, window + 1))]
+    part = F.pmod(F.xxhash64("_key", "start", "ids_crc32"), F.element_at(F.lit(parts), F.col("length").cast("int")))
+    made = made.select("*", part.alias("part"))
+    sizes = made.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most PARTS + window rows
     by_part = sizes.toPandas().sort_values(["length", "part"])
     by_part["base"] = by_part.groupby("length")["n"].cumsum() - by_part["n"]
     histogram = by_part.groupby("length")["n"].sum().to_dict()
@@ -247,6 +251,6 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "tex
     spans = spark.createDataFrame(spans or [], "length long, part long, low long, high long, sequence long, offset long")
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("_key", "start", "ids_crc32")) - 1
     ranked = made.select("*", rank.alias("rank"))
-    # Bounded by window * PARTS rows and one for each run of the plan.
+    # Bounded by PARTS + window rows and one for each run of the plan.
     joined = ranked.join(F.broadcast(spans), ["length", "part"]).where("rank >= low and rank < high")
     return joined.select(F.col("_key").alias(key), "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
