@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lumenvault.operators.graph import checkpoint_dir, cut  # noqa: F401  cut is used through this module
+
 #: The words of the contracts: runs of anything but space and U+0009 to U+000D.
 #: ``bytes.split()`` without an argument splits UTF-8 at exactly these.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -19,23 +20,6 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, else (in tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as Parquet in a folder of the shared folder, to be dropped after its last use."""
     df.write.parquet(path)
@@ -91,7 +75,7 @@ def word_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     from pandas.util import hash_array
 
     offsets = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=offsets[1:])
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)), out=offsets[1:])
     flat = np.empty(int(offsets[-1]), object)
     for w, a, b in zip(words, offsets[:-1], offsets[1:]):
         flat[a:b] = w

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lumenvault.llm.common import arrow_map, chunks, cut, mix, word_lists
+from lumenvault.operators.graph import smallest_reachable
 
 #: Fixed values: (first bit, bits) of the blocks that deal out fingerprints.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -246,30 +247,6 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return _forest(prints.select("node", F.explode(bucket_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("w0")), 1, distance)
 
 
-def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root, the smallest node that it reaches, for all nodes of links (src, dst).
-
-    Each round points every node's neighbours at the smallest of them, first those
-    above the node, then the rest (alternating large and small stars), until no
-    link changes. A node with very many links is summed before it is shuffled,
-    and Spark may split it in the join.
-    """
-    sides = cut(links.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    before = None
-    for _ in range(rounds):
-        both = sides.union(sides.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("l")).select(F.col("l.b").alias("a"), F.col("l.low").alias("b")).where("a != b").distinct()
-        sides = cut(small)
-        state = sides.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before:
-            return sides.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
-    raise RuntimeError("links still change")
-
-
 #: Nodes from here on stand for fingerprints without a key, behind all keys.
 _KEYLESS = 1 << 62
 
