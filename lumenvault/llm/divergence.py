@@ -27,6 +27,8 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "a", "los", "se", "del", "las", "por", "un", "para", "con", "no", "su"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"),
 }
+#: Places of windows that are sorted together with their hashes' other bits; longer texts are sorted as pairs.
+_PLACE_BITS = 20
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -52,20 +54,31 @@ def _without(text: Column, chars: str) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words in windows of three that occur twice or more in the array, the first included.
 
-    Windows are hashed and sorted with their places; equal neighbours are repeats.
+    Windows are hashed, by their words' hashes, and sorted with their places; equal neighbours are repeats.
     """
     n = F.size(words)
-    hashed = F.transform(F.arrays_zip(F.slice(words, 1, n - 2), F.slice(words, 2, n - 2), F.slice(words, 3, n - 2)), lambda w: F.xxhash64(w))
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  binds a value to a lambda's variable, so it is computed once
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    hashed = let(each, lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda h, i: F.xxhash64(h, F.get(w, i + 1), F.get(w, i + 2))))
 
-    def covered(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  binds a value to a lambda's variable, so it is computed once
-        again = lambda z: F.filter(z, lambda e, k: ((k > 0) & (F.get(z, k - 1)["h"] == e["h"])) | F.coalesce(F.get(z, k + 1)["h"] == e["h"], F.lit(False)))
-        places = let(placed, lambda z: F.array_sort(F.transform(again(z), lambda e: e["i"])))
+    def spread(places: Column) -> Column:
         # A window adds the words up to the next repeated window, three at most.
-        return let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3))), F.lit(0), lambda a, b: a + b))
+        return let(F.sort_array(places), lambda p: F.aggregate(F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3))), F.lit(0), lambda a, b: a + b))
 
-    counted = F.element_at(F.transform(F.array(hashed), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))), 1)
+    def covered(hashes: Column) -> Column:
+        # Sorted as numbers, with the place in the low bits; neighbours whose high bits are equal are compared in full.
+        low = (1 << _PLACE_BITS) - 1
+        packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+        place = lambda e: e.bitwiseAND(F.lit(low)).cast("int")
+        same = lambda e, f: F.coalesce((e.bitwiseXOR(f).bitwiseAND(F.lit(~low)) == 0) & (F.get(hashes, place(e)) == F.get(hashes, place(f))), F.lit(False))
+        return let(packed, lambda z: spread(F.transform(F.filter(z, lambda e, k: same(e, F.get(z, k - 1)) | same(e, F.get(z, k + 1))), place)))
+
+    def covered_long(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        again = lambda z: F.filter(z, lambda e, k: F.coalesce(F.get(z, k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(z, k + 1)["h"] == e["h"], F.lit(False)))
+        return let(placed, lambda z: spread(F.transform(again(z), lambda e: e["i"])))
+
+    counted = let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) < 1 << _PLACE_BITS, covered(h)).otherwise(covered_long(h)))
     return F.when(n < 3, F.lit(0)).otherwise(counted)
 
 

@@ -338,3 +338,23 @@ def test_pipeline(spark, docs):
     assert not plain_leaks & set(got.doc_id)
     exact = docs[docs.duplicated("text")]
     assert not set(exact.doc_id) & set(got.doc_id)
+
+
+@pytest.mark.parametrize("bits", [20, 2])
+def test_repeated_words(spark, monkeypatch, bits):
+    from pyspark.sql import functions as F
+
+    from lumenvault.llm import divergence
+
+    monkeypatch.setattr(divergence, "_PLACE_BITS", bits)  # 2: nearly all texts are sorted as pairs
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(13))) for _ in range(300)] + ["x y z " * 300, "q"]
+
+    def plain(text):
+        w = text.split()
+        runs = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        times = collections.Counter(runs)
+        return len({k + d for k, r in enumerate(runs) if times[r] > 1 for d in range(3)})
+
+    words = spark.createDataFrame([(t,) for t in texts], "t string").select(F.array_remove(F.split("t", " "), "").alias("w"))
+    assert [r[0] for r in words.select(divergence.repeat_words(F.col("w"))).collect()] == [plain(t) for t in texts]
