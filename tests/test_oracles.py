@@ -24,7 +24,7 @@ def sql():
 def plain(value):
     if isinstance(value, (list, np.ndarray)):
         return str([plain(x) for x in value])
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))
