@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lumenvault.llm.common import arrow_map, chunks, cut, mix, word_lists
 from lumenvault.operators.graph import smallest_reachable
@@ -30,8 +30,8 @@ from lumenvault.operators.graph import smallest_reachable
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DISTANCE = 3
 WORDS = 3
-#: For near-copies of five-word shingles: words of a fingerprint, bits that may differ, and choices of bits for buckets.
-WIDE, WIDE_DISTANCE, TABLES, KEY_BITS = 4, 50, 48, 16
+#: For near-copies: words of a shingle, least Jaccard index, and bands of minima, in each of which all must be equal.
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 50, 8
 #: Children of a node.
 FAN = 8
 #: Query and node pairs that a search holds at once.
@@ -280,42 +280,116 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     return made.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, limit: int = WIDE_DISTANCE) -> DataFrame:
-    """key and component_id of every row, for near-copies further apart than three bits of 64.
+def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of the least values that ROWS orders of the shingles give."""
+    x = (mix(hashes) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), np.uint32(0xFFFFFFFF))
+    for a in range(0, len(x), 1024):
+        np.minimum(least, np.multiply(factors[:, None], x[None, a : a + 1024]).min(axis=1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mix(key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return key
 
-    Four words of fingerprint over shingles of five words estimate their similarity:
-    two texts with a Jaccard index of 0.8 differ in 39 bits of 256 on the average,
-    unrelated ones in 128. ``limit`` is two standard deviations above that, so that
-    nearly all pairs of 0.8 or more link; pairs below about 0.6 don't. Buckets are
-    TABLES fixed choices of KEY_BITS bits; two texts of 0.8 share one of them in 97 of 100 cases.
+
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct shingles; a text without words has one that no other text has."""
+    return np.unique(shingle_hashes(words, size)) if words else np.zeros(1, np.uint64)
+
+
+def exact_groups(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """The first place in each place's group; sets whose Jaccard index is ``least`` or more are linked.
+
+    From each set that a group has reached, all sets that no group has reached are
+    compared, but for those of sizes that rule it out.
     """
-    source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
-    kind, names = dict(source.dtypes)["_key"], [f"w{k}" for k in range(WIDE)]
-    choices = np.random.default_rng(5).permuted(np.tile(np.arange(64 * WIDE), (TABLES, 1)), axis=1)[:, :KEY_BITS]
+    sizes = np.array([len(x) for x in sets])
+    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(tokens, np.cumsum(sizes)[:-1])
+    root, mark = np.arange(len(sets)), np.zeros(int(tokens.max()) + 1, bool)
+    free = np.argsort(sizes, kind="stable")
+    while len(free):
+        todo, free, flat = [free[0]], free[1:], None
+        group = [free[:0], np.array(todo)]
+        while todo and len(free):
+            if flat is None:
+                flat, ends = np.concatenate([parts[k] for k in free]), np.concatenate([[0], np.cumsum(sizes[free])])
+            one = todo.pop()
+            low, high = np.searchsorted(sizes[free], [least * sizes[one] - 1e-9, sizes[one] / least + 1e-9])
+            if low == high:
+                continue
+            mark[parts[one]] = True
+            common = np.add.reduceat(mark[flat[ends[low] : ends[high]]].astype(np.int64), ends[low:high] - ends[low])
+            mark[parts[one]] = False
+            near = low + np.flatnonzero(common >= least * (sizes[one] + sizes[free[low:high]] - common) - 1e-9)
+            if len(near):
+                todo.extend(free[near])
+                group.append(free[near])
+                free, flat = np.delete(free, near), None
+        members = np.concatenate(group)
+        root[members] = members.min()
+    return root
+
+
+def _similar_nodes(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """node and root, the least node of its class, of all nodes in classes of several, from texts (node, text), equal for equal nodes."""
+    factors = np.random.default_rng(5).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            wide = []
-            for words in word_lists(part.column("text"), lower_ascii=True):
-                hashes = shingle_hashes(words, size)
-                wide.append([fingerprint(hashes if not k else mix(hashes + np.uint64(k))) for k in range(WIDE)])
-            columns = np.array(wide, np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(columns[:, k]) for k in range(WIDE))], ["_key", *names])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                prints = np.stack([batch.column(c).to_numpy().astype(np.uint64) for c in names], axis=1)
-                bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
-                keys = bits[:, choices].astype(np.int64) @ (1 << np.arange(KEY_BITS)) + (np.arange(TABLES) << KEY_BITS)
-                again = pa.array(np.repeat(np.arange(batch.num_rows), TABLES))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(again), pa.array(keys.ravel()), *(batch.column(c).take(again) for c in names)], ["node", "bucket", *names])
-
-    made = cut(arrow_map(source, make, f"_key {kind}, " + ", ".join(f"{c} long" for c in names)))
-    dealt = "node long, bucket long, " + ", ".join(f"{c} long" for c in names)
-    prints = made.groupBy(*names).agg(F.min("_key").alias("low"))
-    named = _classes(prints, names, isinstance(docs.schema[key].dataType, T.IntegralType), lambda p: _forest(arrow_map(p.select("node", *names), deal, dealt), WIDE, limit))
-    return made.join(named, names).select(F.col("_key").alias(key), "component_id")
+            keys = [band_keys(shingle_set(w, size), factors) for w in word_lists(part.column("text"), lower_ascii=True)]
+            flat = pa.array(np.concatenate(keys).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, flat)], ["node", "keys"])
+
+    # Rows of equal texts are one node before they are dealt out.
+    made = arrow_map(texts.select("node", "text"), make, "node long, keys array<long>").dropDuplicates(["node"])
+    dealt = made.select("node", F.explode("keys").alias("bucket"))
+    lowest = dealt.withColumn("low", F.min("node").over(Window.partitionBy("bucket").orderBy("node"))).where("node != low")
+    # A node points at the least of its buckets, and that at the others, so that a large group has few links besides one for each node.
+    seen = lowest.groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows"))
+    first = F.col("lows")[0]
+    links = seen.select(F.explode(F.concat(F.array(F.struct(F.col("node").alias("src"), first.alias("dst"))), F.transform(F.slice("lows", 2, BANDS), lambda x: F.struct(x.alias("src"), first.alias("dst"))))).alias("l")).select("l.src", "l.dst").distinct()
+    pointed = smallest_reachable(links)
+    may = cut(pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct()))
+    # Equal texts are combined before the shuffle, so that one with very many rows is no large task.
+    asked = texts.dropDuplicates(["node"]).join(may, "node").repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, nodes, sets = None, [], []
+
+        def found() -> pa.RecordBatch:
+            at, root = np.array(nodes, np.int64), exact_groups(sets, least)
+            several = np.bincount(root, minlength=len(root))[root] > 1
+            return pa.RecordBatch.from_arrays([pa.array(at[several]), pa.array(at[root[several]])], ["node", "root"])
+
+        for part in chunks(batches):
+            for group, node, words in zip(part.column("root").to_pylist(), part.column("node").to_pylist(), word_lists(part.column("text"), lower_ascii=True)):
+                if group != current and sets:
+                    yield found()
+                    nodes, sets = [], []
+                current = group
+                nodes.append(node)
+                sets.append(shingle_set(words, size))
+        if sets:
+            yield found()
+
+    return cut(arrow_map(asked, verify, "node long, root long"))
+
+
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """key and component_id (the smallest key of its class) of every row, for near-copies further apart than three bits of 64.
+
+    Texts link if the Jaccard index of their shingles is ``least`` or more. Candidates are
+    texts that agree in one of BANDS bands of ROWS minima: at 0.8 that misses
+    one pair in 10,000. They form wide classes, in each of which all links are
+    found again from the shingles themselves; the rest are dropped.
+    """
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
+    pointed = _similar_nodes(rows.select("node", "text"), size, least)
+    low = rows.groupBy("node").agg(F.min("_key").alias("low"))
+    placed = low.join(pointed, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
+    named = cut(placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id"))
+    return rows.select("_key", "node").join(named, "node").select(F.col("_key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

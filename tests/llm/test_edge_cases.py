@@ -148,3 +148,19 @@ def test_stages(spark, docs, none, tmp_path):
             rows = spark.read.parquet(f"{tmp_path}/{start is none}{k}")
             assert k == len(corpus_pipeline.STAGES) - 1 or rows.columns == docs.columns, name
     assert rows.count() == 0
+
+
+def test_near_copies_are_verified(spark):
+    words = [f"w{k}" for k in range(2_000)]
+    pairs = []
+    # Changed words far apart: each costs five of n - 4 shingles on either side. Similarity 0.80 at first, then below it.
+    for k, (n, changed) in enumerate([(49, 1), (94, 2), (139, 3), (184, 4), (94, 3), (10, 1), (49, 2)]):
+        for copy in range(20):
+            base = [f"{w}k{k}c{copy}" for w in words[:n]]
+            other = list(base)
+            for c in range(changed):
+                other[(c + 1) * n // (changed + 1)] += "x"
+            pairs += [(len(pairs), " ".join(base), k), (len(pairs) + 1, " ".join(other), k)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string, k int")
+    kept = {k: 0 for k in range(7)} | {r.k: r["count"] for r in simhash.keep_one(docs).groupBy("k").count().collect()}
+    assert kept == {0: 20, 1: 20, 2: 20, 3: 20, 4: 40, 5: 40, 6: 40}
