@@ -397,8 +397,13 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     Of rows that repeat the key and the text, one stays.
     """
-    classes = similar_groups(docs, text, key)
-    keep = cut(classes.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_rows")))
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["_kept"]), "left_semi")
-    # Texts are dealt out again only if some key is repeated.
-    return kept.dropDuplicates([key]) if keep.where("_rows > 1").head(1) else kept
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
+    pointed = _similar_nodes(rows.select("node", "text"), SHINGLE, SIMILAR)
+    # A row is its key and its text; of a class the least is kept, null keys last.
+    best = F.min(F.struct(F.col("_key").isNull().alias("keyless"), "_key", "node", "n")).alias("best")
+    each = rows.groupBy("_key", "node").agg(F.count("*").alias("n")).groupBy("node").agg(best).select("node", "best")
+    placed = each.join(pointed, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    keep = cut(placed.select(F.col("best._key").alias("_kept"), F.col("best.node").alias("_node"), F.col("best.n").alias("_rows")))
+    kept = docs.join(keep, (F.xxhash64(docs[text].cast("string")) == keep["_node"]) & docs[key].eqNullSafe(keep["_kept"]), "left_semi")
+    # Texts are dealt out again only if some row is repeated.
+    return kept.dropDuplicates([key, text]) if keep.where("_rows > 1").head(1) else kept

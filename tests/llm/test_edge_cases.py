@@ -164,3 +164,10 @@ def test_near_copies_are_verified(spark):
     docs = spark.createDataFrame(pairs, "doc_id long, text string, k int")
     kept = {k: 0 for k in range(7)} | {r.k: r["count"] for r in simhash.keep_one(docs).groupBy("k").count().collect()}
     assert kept == {0: 20, 1: 20, 2: 20, 3: 20, 4: 40, 5: 40, 6: 40}
+
+
+def test_keep_one_of_unlike_texts_with_the_same_key(spark):
+    texts = {k: " ".join(f"{k}{n}" for n in range(30)) for k in "abcd"}
+    docs = spark.createDataFrame([(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (1, texts["c"]), (None, texts["c"]), (2, texts["c"]), (2, texts["d"]), (2, texts["d"])], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, texts["a"]), (None, texts["b"]), (1, texts["c"]), (2, texts["d"])], key=str)
