@@ -7,9 +7,11 @@ and document lie against each other; the longest stretch in which at most a fift
 of the words differ is verified word by word, so substituted words neither hide
 a hit, where a mask ignores them, nor the overlap.
 
-Words are lower-case, without ASCII punctuation. Items with fewer words than the
-widest mask are sought as a whole run; those below ``min_item`` words are no
-evidence and are not sought. Test items are handled in blocks of bounded size
+Words are lower-case, without ASCII punctuation. Some mask fits every stretch of
+``PROVEN`` words or more of which a fifth differ (all ways to place them in up to
+25 words were tried; a longer stretch has a part of 13 to 25 with no larger share).
+Shorter items are sought as a whole run, by masks that leave out the
+words that may differ; those below ``min_item`` words are no evidence and are not sought. Test items are handled in blocks of bounded size
 that are sent to all tasks; documents are never shuffled.
 
 Nulls have no words. Repeated rows are judged one by one; of repeated item ids
@@ -21,6 +23,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lumenvault.llm.common import arrow_map, chunks, mix, word_hashes
 
-# Masks, 1 for a word that counts.
-MASKS = ("1101100111", "1110010111", "1011011011")
+# Masks, 1 for a word that counts, and the least words of an item for them.
+MASKS = ("1111011", "110100010011", "1110001011", "111111")
+PROVEN = 13
 #: Items in a block.
 BLOCK = 10_000
 _DROP = string.punctuation.encode()
@@ -54,6 +58,14 @@ def _factors() -> np.ndarray:
     return mix(np.arange(1, 4 * width + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def run_masks(words: int, similarity: float) -> tuple[str, ...]:
+    """Masks over a whole run, one of which ignores any words that may differ: blocks, all but as many as those words."""
+    changes = int(words * (1 - similarity) + 1e-9)
+    n = min(changes + 3, words) if changes else 1
+    block = np.arange(words) * n // words
+    return tuple("".join("1" if b in kept else "0" for b in block) for kept in combinations(range(n), n - changes))
+
+
 def seeds(hashes: np.ndarray, mask: str, factors: np.ndarray) -> np.ndarray:
     """A hash of the chosen words for each place where the mask fits."""
     n = len(hashes) - len(mask) + 1
@@ -75,12 +87,11 @@ class SeedIndex:
         self.ids = [i for i, w in items if len(w) >= overlap.min_item]
         self.hashes, offsets = word_hashes([w for _, w in items if len(w) >= overlap.min_item])
         self.starts = offsets
-        width = max(map(len, MASKS))
         #: For each mask in use: sorted seeds, their items and places.
         self.tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[str, list] = {}
         for item, (a, b) in enumerate(zip(offsets, offsets[1:])):
-            for mask in MASKS if b - a >= width else ("1" * int(b - a),):
+            for mask in MASKS if b - a >= PROVEN else run_masks(int(b - a), overlap.similarity):
                 s = seeds(self.hashes[a:b], mask, self.factors)
                 found.setdefault(mask, []).append((s, np.full(len(s), item), np.arange(len(s))))
         for mask, parts in found.items():

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, extra columns and empty tables for all operators and stages."""
 
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,26 @@ def test_keep_one_of_unlike_texts_with_the_same_key(spark):
     docs = spark.createDataFrame([(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (1, texts["c"]), (None, texts["c"]), (2, texts["c"]), (2, texts["d"]), (2, texts["d"])], "doc_id long, text string")
     kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
     assert kept == sorted([(None, texts["a"]), (None, texts["b"]), (1, texts["c"]), (2, texts["d"])], key=str)
+
+
+def test_masks_hit_all_stretches_that_are_alike_enough():
+    for n in range(5, 26):
+        masks = decontaminate.run_masks(n, 0.8) if n < 13 else decontaminate.MASKS
+        for changed in combinations(range(n) if n >= 13 else range(1, n - 1), n // 5):
+            same = "".join("0" if k in changed else "1" for k in range(n))
+            assert any(all(m <= s for m, s in zip(mask, same[at:])) for mask in masks for at in range(n - len(mask) + 1)), (n, changed)
+
+
+def test_leaks_with_substituted_words(spark):
+    docs, items = [], []
+    for n in (5, 8, 9, 10, 12, 13, 15, 20, 60, 200):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for at in range(1, 5):
+            # Every fifth word, but neither the first nor the last, and at most a fifth of them.
+            changed = set(range(at, n - 1, 5)[: n // 5])
+            docs.append((n * 10 + at, " ".join(["before"] * 7 + [f"{w}y" if k in changed else w for k, w in enumerate(words)] + ["behind"] * 7)))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(n * 10 + at, n) for n in (5, 8, 9, 10, 12, 13, 15, 20, 60, 200) for at in range(1, 5)}
+    assert decontaminate.clean(docs, items).count() == 0
