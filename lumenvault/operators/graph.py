@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, else (in tests) a temporary one."""
+    """The shared folder for checkpoints: the cluster's own, else, on a local master only, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -41,23 +43,27 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; what nodes without edges hold is spread evenly."""
+def pagerank(edges: DataFrame, most: int = 200, tolerance: float = 1e-6, damping: float = 0.85) -> DataFrame:
+    """(node, rank), in rounds until the ranks change by less than ``tolerance`` in sum, ``most`` rounds at most.
+
+    What nodes without edges hold is spread evenly. A graph without edges has no ranks.
+    """
     edges = cut(edges.select("src", "dst"))
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     nodes = cut(vertices(edges).join(degree, F.col("node") == F.col("src"), "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree")))
     n = nodes.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        lost = ranks.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    ranks = nodes.select("*", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(0.0).alias("change"))
+    lost, change, k = F.sum(F.when(F.col("degree") == 0, F.col("rank")).otherwise(0.0)), F.sum("change"), 0
+    # One row a round comes to the driver: what is lost, and how far the ranks moved.
+    while n and k < most:
+        here, moved = ranks.agg(lost, change).first()
+        if k and moved < tolerance:
+            break
         sent = ranks.where("degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("part")).join(edges, "src")
-        received = sent.groupBy("dst").agg(F.sum("part").alias("got"))
-        # lost is one row.
-        ranks = nodes.join(received, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost)).select("node", "degree", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % 4 == 3:
-            ranks = cut(ranks)
+        received = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
+        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + here / n)
+        ranks = cut(ranks.join(received, "node", "left").select("node", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        k += 1
     return ranks.select("node", "rank")
 
 
@@ -120,6 +126,64 @@ def chain(edges: DataFrame, seeds: DataFrame, ranks: DataFrame, depth: int = 2,
     return placed.where(F.col("place") <= most)
 
 
+def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(node, community) by label propagation: in each round a node takes the label most common among its neighbours, the smallest of several.
+
+    Edges count both ways, once for each pair, and a node's own label counts once, so that two
+    nodes don't change places for ever. Rounds end early when no label changes.
+    """
+    ways = edges.where("src <> dst").select("src", "dst")
+    ways = cut(ways.union(ways.select("dst", "src")).distinct())
+    labels = cut(vertices(edges).select("node", F.col("node").alias("community")))
+    for _ in range(rounds):
+        heard = ways.join(labels, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "community").union(labels.select("node", "community"))
+        votes = heard.groupBy("node", "community").agg(F.count("*").alias("n"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("new"))
+        both = cut(labels.join(best, "node"))
+        labels = both.select("node", F.col("new").alias("community"))
+        if not both.where("community <> new").head(1):
+            break
+    return labels
+
+
+def sampled_communities(communities: DataFrame, most: int = 30, members: int = 5) -> DataFrame:
+    """K9: (community, n, members): the largest communities with their first few nodes."""
+    first = communities.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where(F.col("r") <= members)
+    sizes = communities.groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(most)
+    return first.join(F.broadcast(sizes), "community").groupBy("community", "n").agg(F.array_sort(F.collect_list("node")).alias("members"))
+
+
+def cross_edges(edges: DataFrame, communities: DataFrame, most: int = 20) -> DataFrame:
+    """K9: (src, dst, ca, cb): the first edges between two communities, in the order of their ends."""
+    a, b = communities.select(F.col("node").alias("src"), F.col("community").alias("ca")), communities.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    return edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("ca <> cb").orderBy("src", "dst").limit(most)
+
+
+def community_of(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, community) of names (name), null for those that are no node (name, community)."""
+    return names.join(nodes.select("name", "community"), "name", "left").select("name", "community")
+
+
+def node_rows(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Found (name, ...) with kind, file and line of nodes (name, kind, file, line), null where a name is unknown."""
+    return found.join(nodes.select("name", "kind", "file", "line"), "name", "left")
+
+
+def resolve_paths(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, file): the file itself, else every file that ends in /path, else the path as it stands.
+
+    Tails share their last part, so paths and files meet on it.
+    """
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    known = files.select(F.col("file").alias("_f"), base(F.col("file")).alias("_b")).distinct()
+    paths = asked.select("path").distinct().withColumn("_b", base(F.col("path")))
+    fits = (F.col("path") == F.col("_f")) | F.col("_f").endswith(F.concat(F.lit("/"), "path"))
+    met = paths.join(known, "_b").where(fits).select("path", "_f", (F.col("path") == F.col("_f")).alias("_same"))
+    exact = met.groupBy("path").agg(F.bool_or("_same").alias("_exact"))
+    found = met.join(exact, "path").where("_same or not _exact").select("path", F.col("_f").alias("file"))
+    return found.union(paths.select("path", F.col("path").alias("file")).join(found.select("path"), "path", "left_anti"))
+
+
 def overview(edges: DataFrame, communities: DataFrame, warn_above: int = 10) -> DataFrame:
     """(low, high, n, warning): edges between two communities (node, community), both ways together."""
     a, b = communities.select(F.col("node").alias("src"), F.col("community").alias("ca")), communities.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
@@ -140,16 +204,16 @@ def repo_map(symbols: DataFrame, budget: int, surcharge: int = 4) -> DataFrame:
     return first.withColumn("cost", cost).withColumn("used", total).where(F.col("used") <= budget)
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 5) -> DataFrame:
-    """(node, score): shares of shortest paths from a stated set of sources, up to depth hops (Brandes' accumulation)."""
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, score): shares of the shortest paths from a stated set of sources to all nodes (Brandes' accumulation)."""
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     levels = [cut(sources.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("hop")))]
     seen = levels[0].select("seed", "node")
-    for hop in range(1, depth + 1):
+    while levels[-1].head(1):
         step = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("seed", F.col("dst").alias("to")).agg(F.sum("paths").alias("paths"))
-        level = cut(step.select("seed", F.col("to").alias("node"), "paths", F.lit(hop).alias("hop")).join(seen, ["seed", "node"], "left_anti"))
+        level = cut(step.select("seed", F.col("to").alias("node"), "paths", F.lit(len(levels)).alias("hop")).join(seen, ["seed", "node"], "left_anti"))
         levels.append(level)
-        seen = seen.union(level.select("seed", "node"))
+        seen = cut(seen.union(level.select("seed", "node")))
     shares, below = [], None
     for level in reversed(levels):
         if below is None:
@@ -167,17 +231,44 @@ def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 5) -> DataFra
     return total.groupBy("node").agg(F.sum("share").alias("score"))
 
 
+def bridges(scores: DataFrame, most: int = 15) -> DataFrame:
+    """The nodes (node, score) of the highest betweenness, ties by the smallest node."""
+    return scores.orderBy(F.desc(F.round("score", 6)), "node").limit(most)
+
+
+#: Characters that a name and a part of it meet on.
+GRAM = 3
+
+
 def seed_of(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(wanted, node): exact name, else bare name, else part of a name; the least node of the best tier.
+    """(wanted, node): exact name, else bare name, else part of a name; the least node of the best tier.
 
-    symbols: (node, name) with :: between file and bare name. wanted: a stated set.
+    symbols: (node, name) with :: between file and bare name. wanted: a stated set, no
+    name twice. The first two tiers are plain joins. What they leave meets names on its
+    rarest run of GRAM characters (all of it, if it is shorter), so no two sets are
+    compared name by name.
     """
     bare = F.element_at(F.split("name", "::"), -1)
-    asked = F.broadcast(wanted) if wanted.limit(10_001).count() <= 10_000 else wanted
-    tier = F.when(F.col("name") == F.col("wanted"), 0).when(bare == F.col("wanted"), 1).otherwise(2)
-    found = symbols.join(asked, F.col("name").contains(F.col("wanted"))).withColumn("tier", tier)
-    best = found.groupBy("wanted").agg(F.min(F.struct("tier", "node")).alias("b"))
-    return wanted.join(best, "wanted", "left").select("wanted", F.col("b.node").alias("node"))
+    asked = wanted.select("wanted").distinct()
+    exact = symbols.select(F.col("name").alias("wanted"), "node", F.lit(0).alias("tier"))
+    tail = symbols.select(bare.alias("wanted"), "node", F.lit(1).alias("tier"))
+    near = cut(asked.join(exact.union(tail), "wanted").groupBy("wanted").agg(F.min(F.struct("tier", "node")).alias("b")))
+    rest = asked.join(near, "wanted", "left_anti").where("wanted <> ''")
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.least(n, F.length(c)))))
+    size = F.least(F.length("wanted"), F.lit(GRAM))
+    parts = rest.select("wanted", F.explode(grams(F.col("wanted"), size)).alias("gram"))
+    names = symbols.select("node", "name", F.explode(F.concat(*(grams(F.col("name"), F.lit(n)) for n in range(1, GRAM + 1)))).alias("gram"))
+    spread = names.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(spread, "gram", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    within = names.join(rarest, "gram").where(F.col("name").contains(F.col("wanted"))).groupBy("wanted").agg(F.min(F.struct(F.lit(2).alias("tier"), "node")).alias("b"))
+    found = near.unionByName(within).select("wanted", F.col("b.node").alias("node"))
+    return wanted.join(found, "wanted", "left").select("wanted", "node")
+
+
+def concern_files(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files of the nodes that wanted names resolve to, each once; symbols is (node, name, file)."""
+    nodes = seed_of(symbols.select("node", "name"), wanted).where("node is not null")
+    return nodes.join(symbols.select("node", "file"), "node").select("file").distinct()
 
 
 def impact(edges: DataFrame, files: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:

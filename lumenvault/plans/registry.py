@@ -21,9 +21,9 @@ def query(sql: str | None = None, *ctes: str) -> Callable:
             head = ",\n".join(ctes)
             if body.upper().startswith("WITH ") and head:
                 body = body[5:]
-                ORACLE_SQL[function.__name__] = f"WITH {head},\n{body}"
+                ORACLE_SQL[function.__name__] = f"WITH RECURSIVE {head},\n{body}"
             else:
-                ORACLE_SQL[function.__name__] = f"WITH {head}\n{body}" if head else body
+                ORACLE_SQL[function.__name__] = f"WITH RECURSIVE {head}\n{body}" if head else body
         return function
 
     return register

@@ -57,7 +57,7 @@ def a5_unique_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.subject_groups(frames.findings(spark, sf_dir)).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("n_unique"))
 
 
-_CITED = """citations AS (SELECT l_orderkey * 10 + l_linenumber AS citation, 'src/f' || l_partkey % 60 || '.c' AS file, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE (l_orderkey * 13) % 600 - 20 END AS line FROM lineitem WHERE l_linenumber = 1),
+_CITED = """citations AS (SELECT l_orderkey * 10 + l_linenumber AS citation, 'src/f' || l_partkey % 60 || '.c' AS file, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE (l_orderkey * 13) % 600 - 20 END AS line FROM lineitem),
 filed AS (SELECT file, max(last) + 40 AS n_lines FROM spans GROUP BY file),
 graded AS (
   SELECT c.citation, CASE WHEN n_lines IS NULL THEN 'bad'
@@ -68,7 +68,7 @@ graded AS (
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, k = frames.table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), F.col("l_orderkey")
+    li, k = frames.table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
     cites = li.select((k * 10 + F.col("l_linenumber")).alias("citation"), F.concat(F.lit("src/f"), F.col("l_partkey") % 60, F.lit(".c")).alias("file"), F.when(k % 17 != 0, (k * 13) % 600 - 20).alias("line"))
     spans = frames.spans(spark, sf_dir)
     return r.grade_citations(cites, spans.groupBy("file").agg((F.max("last") + 40).alias("n_lines")), spans)
@@ -86,11 +86,11 @@ def a12_citation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT o_orderkey AS range, 'src/f' || o_orderkey % 50 || '.c' AS file, o_orderkey % 380 + 1 AS first, o_orderkey % 380 + 1 + o_orderkey % 30 AS last FROM orders WHERE o_orderkey % 4 = 0)
+    WITH r AS (SELECT o_orderkey AS range, 'src/f' || o_orderkey % 50 || '.c' AS file, o_orderkey % 380 + 1 AS first, o_orderkey % 380 + 1 + o_orderkey % 30 AS last FROM orders)
     SELECT range, symbol FROM r JOIN spans s ON s.file = r.file AND s.first <= r.last AND s.last >= r.first""", SPANS)
 def j9_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    ranges = frames.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(k.alias("range"), F.concat(F.lit("src/f"), k % 50, F.lit(".c")).alias("file"), (k % 380 + 1).alias("first"), (k % 380 + 1 + k % 30).alias("last"))
+    ranges = frames.table(spark, sf_dir, "orders").select(k.alias("range"), F.concat(F.lit("src/f"), k % 50, F.lit(".c")).alias("file"), (k % 380 + 1).alias("first"), (k % 380 + 1 + k % 30).alias("last"))
     return r.spans_of_ranges(ranges, frames.spans(spark, sf_dir))
 
 

@@ -127,3 +127,57 @@ def test_text_functions(spark):
         text.content_key("s"), text.repo_of_url("u"), text.outer_json("j"), text.outer_json("bad"), text.binary_text(F.lit("a\0b")), text.baseline_name(F.lit("x/y"))
     ).first()
     assert tuple(row) == ("a b c", "y", '{"k": [1]}', None, True, "y-x")
+
+
+def test_betweenness_equals_brute_force(spark):
+    import itertools
+    import random
+
+    draw = random.Random(5)
+    arcs = sorted({(draw.randrange(14), draw.randrange(14)) for _ in range(40)} - {(k, k) for k in range(14)})
+    out = {}
+    for a, b in arcs:
+        out.setdefault(a, []).append(b)
+    wanted = {}
+    for s, t in itertools.permutations(range(14), 2):
+        paths = [[s]]
+        while paths and not any(p[-1] == t for p in paths):
+            reached = {p[-1] for p in paths}
+            paths = [[*p, n] for p in paths for n in out.get(p[-1], ()) if n not in p]
+            if not paths or len(paths[0]) > 14 or not reached:
+                break
+        paths = [p for p in paths if p[-1] == t]
+        for p in paths:
+            for n in p[1:-1]:
+                wanted[n] = wanted.get(n, 0) + 1 / len(paths)
+    edges = spark.createDataFrame(arcs, "src int, dst int")
+    found = {r.node: r.score for r in graph.betweenness(edges, graph.vertices(edges)).collect()}
+    assert {n: round(v, 9) for n, v in found.items() if v} == {n: round(v, 9) for n, v in wanted.items()}
+    assert graph.bridges(graph.betweenness(edges, graph.vertices(edges)), 1).first().node == max(wanted, key=lambda n: (round(wanted[n], 6), -n))
+
+
+def test_classes_labels_and_names(spark):
+    two = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (9, 9)], "src long, dst long")
+    assert {r.node: r.component for r in graph.components(two).collect()} == {**dict.fromkeys(range(1, 7), 1), 9: 9}
+    found = {r.node: r.community for r in graph.communities(two).collect()}
+    assert found[1] == found[2] == found[3] and found[4] == found[5] == found[6] and found[9] == 9
+    names = spark.createDataFrame([(1, "a.c::run"), (2, "b.c::run"), (3, "b.c::runner"), (4, "x")], "node long, name string")
+    asked = spark.createDataFrame([(w,) for w in ("b.c::run", "run", "unn", "x", "none", "", "c::", "b.")], "wanted string")
+    assert {r.wanted: r.node for r in graph.seed_of(names, asked).collect()} == {"b.c::run": 2, "run": 1, "unn": 3, "x": 4, "none": None, "": None, "c::": 1, "b.": 2}
+    paths = spark.createDataFrame([(p,) for p in ("a/b.c", "b.c", "z.c")], "path string")
+    files = spark.createDataFrame([(f,) for f in ("a/b.c", "x/a/b.c", "ab.c")], "file string")
+    assert sorted(tuple(r) for r in graph.resolve_paths(paths, files).collect()) == [("a/b.c", "a/b.c"), ("b.c", "a/b.c"), ("b.c", "x/a/b.c"), ("z.c", "z.c")]
+
+
+def test_retrieval_without_hits(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    none = spark.createDataFrame([(7, None)], "query long, text string")
+    assert retrieval.bm25(docs, none).count() == 0
+    asked = spark.createDataFrame([(7,), (8,)], "query long")
+    candidates = spark.createDataFrame([(7, 1, 0.5, "module", "m"), (7, 2, 0.4, "class", "c")], "query long, id long, score double, kind string, symbol string")
+    modes = {(r.query, r.id, r.out_mode) for r in retrieval.retrieve(candidates, asked, F.lit(1.0), k=1).collect()}
+    assert modes == {(7, 2, "hybrid+rerank"), (8, None, "empty")}
+    assert {r.out_mode for r in retrieval.retrieve(candidates, asked, F.lit(1.0), failed=True).collect()} == {"rerank-failed:hybrid", "empty"}
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "id long, vector array<double>")
+    near = retrieval.vector_scores(vectors, vectors.where("id < 3").withColumnRenamed("id", "query"), block=16)
+    assert {(r.query, r.id): round(r.score, 6) for r in near.collect()} == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): 0.0, (2, 2): 1.0}
