@@ -13,8 +13,11 @@ that sample in many other layouts. The sample, the made-up pages and the start
 weights are fixed by parameters and seeds.
 
 A null page is an empty one, with empty text. Repeated rows are read one by one;
-extra columns are left out. Without any page the network learns from the made-up
-pages alone. An empty table gives no rows.
+extra columns are left out. A page of any length is one sequence. Script, style and other raw
+elements end at their own end tag, whatever they hold; one without an end tag, like an
+open comment, hides the rest of its page. The sample depends on keys and pages alone, so
+null and repeated keys change nothing from run to run. Without any page the network learns from
+the made-up pages alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lumenvault.llm.common import arrow_map, chunks, word_hashes
 
-#: Pages of the table to learn from, at most: those with the smallest hashes of their keys.
-TRAIN_PAGES = 200
+#: Pages of the table to learn from, at most: those with the smallest hashes of their keys; and blocks of each, from its start.
+TRAIN_PAGES, TRAIN_BLOCKS = 200, 200
 #: Made-up pages.
 MADE_PAGES = 500
 PATH_DIM, WORD_DIM, PLAIN_DIM, HIDDEN = 160, 32, 6, 16
@@ -44,7 +47,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 # Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is no text of the page.
-HIDDEN_TAGS = frozenset("head title script style template noscript iframe svg math object canvas audio video select textarea button option datalist".split())
+HIDDEN_TAGS = frozenset("head title script style template noscript iframe svg canvas audio video select textarea button option datalist".split())
 # Elements whose content is read as it is up to their end tag.
 RAW = frozenset("script style textarea title iframe noscript".split())
 # Elements that a new one of the second group closes.
@@ -52,10 +55,11 @@ CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "
 # Names of page furniture.
 FURNITURE = frozenset("nav aside footer header form menu navbar navigation breadcrumb breadcrumbs topbar sidebar side related widget trending cookie cookies notice consent alert popup modal newsletter subscribe signup ad ads advert adverts advertisement banner sponsored sponsor promo share social comments comment reply respond disqus copyright legal masthead pager pagination login search tags".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 @dataclass(slots=True)
@@ -71,8 +75,8 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     path: tuple[str, ...] = ()
-    hidden = links = linked = 0
-    raw_end = None
+    hidden = links = linked = at = 0
+    page = page or ""
 
     def flush() -> None:
         nonlocal linked
@@ -92,8 +96,8 @@ def blocks_of(page: str | None) -> list[Block]:
             hidden -= name in HIDDEN_TAGS
             links -= name == "a"
 
-    for token in _TOKEN.finditer(page or ""):
-        t = token[0]
+    while token := _TOKEN.match(page, at):
+        t, at = token[0], token.end()
         if t[0] != "<" or t == "<":
             if not hidden:
                 if not parts:
@@ -107,13 +111,10 @@ def blocks_of(page: str | None) -> list[Block]:
         if named is None:
             continue
         name = named[1].lower()
-        if raw_end and not (t[1] == "/" and name == raw_end):
-            continue
         if t[1] == "/":
-            raw_end = None
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is not None:
-                close(at)
+            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if opened is not None:
+                close(opened)
             elif name in BLOCKS:
                 flush()
             continue
@@ -134,7 +135,9 @@ def blocks_of(page: str | None) -> list[Block]:
         hidden += name in HIDDEN_TAGS
         links += name == "a"
         if name in RAW:
-            raw_end = name
+            # What looks like a tag or a comment in a raw element is none.
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
     close(0)
     flush()
     return found
@@ -375,15 +378,16 @@ def made_pages(n: int, words: list[str], seed: int = 3) -> list[tuple[list[Block
 def train(pages: DataFrame, column: str = "html", key: str = "page_id", most: int = TRAIN_PAGES, made: int = MADE_PAGES) -> BlockLabeller:
     """A labeller from at most ``most`` pages of the table and ``made`` made-up ones."""
     order = F.xxhash64(F.col(key))
-    # Only keys are sorted; then the few pages are read.
+    # Only keys are sorted; then the few pages are read. Pages that share a key are told apart by what they hold.
     last = pages.select(order.alias("o")).orderBy("o").limit(most).agg(F.max("o")).first()[0]
-    rows = pages.where(order <= last).select(column).limit(2 * most).collect() if last is not None else []
-    seen = sorted((blocks_of(r[0]) for r in rows), key=lambda p: [b.text for b in p])
+    page = F.col(column).cast("string")
+    rows = pages.where(order <= last).select(order.alias("o"), F.xxhash64(page).alias("h"), page.alias("p")).orderBy("o", "h").limit(most).collect() if last is not None else []
+    seen = sorted((blocks_of(r[2])[:TRAIN_BLOCKS] for r in rows), key=lambda p: [b.text for b in p])
     real = [(p, y) for p in seen if (y := weak_labels(p)) is not None]
-    words = sorted({w for p, _ in real for b in p[:40] for w in b.text.split()[:40]})
+    words = sorted({w for p, _ in real for b in p for w in b.text.split()})
     sample = real + made_pages(made, words)
     model = BlockLabeller()
-    model.fit([p[:200] for p, _ in sample], [y[:200] for _, y in sample])
+    model.fit([p for p, _ in sample], [y for _, y in sample])
     return model
 
 
