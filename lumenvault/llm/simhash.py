@@ -12,7 +12,7 @@ its group, never all pairs. Links become classes by rounds of joins.
 
 Nulls and texts without a word have fingerprint zero, which links like any other.
 A null doc_id takes part in links, and is the smallest id only of a class
-without another. Repeated rows are one class. An empty table gives no rows.
+without another. Ids may be of any type and size. Repeated rows are one class. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -249,34 +249,40 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 #: Nodes from here on stand for fingerprints without a key, behind all keys.
 _KEYLESS = 1 << 62
+#: A table of the smallest key of each class is sent to all tasks up to this many rows.
+_NAMES = 1_000_000
 
 
-def _classes(prints: DataFrame, names: list[str], numeric: bool, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """names and component_id of distinct fingerprints (names, low: the smallest key), linked by their nodes.
+def _classes(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fp and component_id of distinct fingerprints (fp, low: the smallest key), linked by their nodes.
 
-    If keys are integers below 2**62, a node is its smallest key, and a class's smallest
-    node is its name; other keys are looked up by the nodes' hashes.
+    If all keys are integers below 2**62, a node is its smallest key, and a class's smallest
+    node is its name. Otherwise a node is its fingerprint, and the smallest keys of classes of several are looked up.
     """
-    behind = F.lit(_KEYLESS) + F.xxhash64(*names).bitwiseAND(F.lit((1 << 61) - 1))
-    node = F.coalesce(F.col("low").cast("long"), behind) if numeric else F.xxhash64(*names)
-    prints = cut(prints.select(node.alias("node"), *names, "low"))
-    pointed = smallest_reachable(links(prints))
-    if numeric:
-        root = F.when(F.col("root") < _KEYLESS, F.col("root")).cast(prints.schema["low"].dataType)
-        named = pointed.select("node", root.alias("named"))
+    prints = cut(prints)
+    low = prints.schema["low"].dataType
+    plain = isinstance(low, T.IntegralType) and prints.agg(F.coalesce(F.max("low"), F.lit(0)).cast("long")).first()[0] < _KEYLESS
+    if plain:
+        node = F.coalesce(F.col("low").cast("long"), F.lit(_KEYLESS) + F.xxhash64("fp").bitwiseAND(F.lit((1 << 61) - 1)))
+        pointed = smallest_reachable(links(prints.select(node.alias("node"), "fp")))
+        named = pointed.select("node", F.when(F.col("root") < _KEYLESS, F.col("root")).cast(low).alias("named"))
     else:
-        member = pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct())
-        placed = member.join(prints.select("node", "low"), "node")
-        named = placed.join(placed.groupBy("root").agg(F.min("low").alias("named")), "root").select("node", "named")
+        node = F.col("fp")
+        pointed = smallest_reachable(links(prints.select(node.alias("node"), "fp")))
+        member = cut(pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct()))
+        placed = member.join(prints.select(node.alias("node"), "low"), "node")
+        least = cut(placed.groupBy("root").agg(F.min("low").alias("named")))
+        # A large class is one key of this join, so the few rows of the other side are sent round, or Spark splits it.
+        named = member.join(F.broadcast(least) if least.count() <= _NAMES else least, "root").select("node", "named")
     # Written once, so that both sides of the caller's join come from plain exchanges, which Spark splits where one fingerprint has very many rows.
-    return cut(prints.join(named, "node", "left").select(*names, F.coalesce("named", "low").alias("component_id")))
+    return cut(prints.withColumn("node", node).join(named, "node", "left").select("fp", F.coalesce("named", "low").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id (the smallest key that it reaches) of every row."""
     made = cut(with_fingerprints(docs, text, key, size))
     prints = made.groupBy("fp").agg(F.min(key).alias("low"))
-    named = _classes(prints, ["fp"], isinstance(docs.schema[key].dataType, T.IntegralType), lambda p: fingerprint_links(p, distance))
+    named = _classes(prints, lambda p: fingerprint_links(p, distance))
     return made.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -196,3 +196,16 @@ def test_leaks_with_substituted_words(spark):
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
     assert found == {(n * 10 + at, n) for n in (5, 8, 9, 10, 12, 13, 15, 20, 60, 200) for at in range(1, 5)}
     assert decontaminate.clean(docs, items).count() == 0
+
+
+@pytest.mark.parametrize("ids_of", [(5, 9, 12), (2**62 + 5, 2**62 + 9, 3), (-(2**63), 2**63 - 1, 0), ("b", "a", "c")])
+def test_simhash_ids_of_any_size(spark, ids_of):
+    words = [f"w{k}" for k in range(400)]
+    print_of = lambda w: simhash.fingerprint(simhash.shingle_hashes([x.encode() for x in w]))
+    others = ([*words[:k], "other", *words[k + 1 :]] for k in range(400))
+    other = next(w for w in others if 1 <= (print_of(w) ^ print_of(words)).bit_count() <= 3)
+    rows = [(ids_of[0], " ".join(words)), (ids_of[1], " ".join(other)), (None, " ".join(words)), (ids_of[2], "quite another text of some words")]
+    df = spark.createDataFrame(rows, f"doc_id {'string' if isinstance(ids_of[0], str) else 'long'}, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    low = min(ids_of[:2])
+    assert found == {ids_of[0]: low, ids_of[1]: low, None: low, ids_of[2]: ids_of[2]}
