@@ -45,7 +45,39 @@ def calls_hash(keys: Column) -> Column:
 
 def split_identifier(x: Column | str) -> Column:
     """Parts of an identifier at _, - and space and at camel boundaries, case kept."""
-    return F.filter(F.split(_text(x), r"[_\-\s]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"), lambda p: p != "")
+    # A space goes before a capital behind a small letter or digit, then before the last of several capitals.
+    spaced = F.regexp_replace(F.regexp_replace(_text(x), r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.filter(F.split(spaced, r"[_\-\s]+"), lambda p: p != "")
+
+
+# Words that say nothing about a symbol.
+STOP_WORDS = (
+    "def", "class", "return", "if", "elif", "else", "for", "while", "try", "except", "finally", "with", "as", "import", "from", "pass", "break", "continue", "in", "is", "not", "and", "or",
+    "lambda", "yield", "global", "nonlocal", "raise", "assert", "del", "async", "await", "self", "cls", "none", "true", "false", "the", "a", "an", "to", "of", "on", "by", "it", "its", "this", "that",
+)
+
+
+def _told(words: Column) -> Column:
+    return F.filter(F.transform(words, F.lower), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+
+
+def module_words(x: Column | str) -> Column:
+    """the parts of all identifiers of a text, in lower case, stop words left out."""
+    return _told(F.flatten(F.transform(F.regexp_extract_all(_text(x), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1), split_identifier)))
+
+
+def symbol_words(name: Column, qualified: Column, body: Column, docstring: Column) -> Column:
+    """F8: the words by which a symbol is found: its names' parts twice, those of its body, and its docstring's words twice."""
+    names = F.transform(F.concat(split_identifier(name), F.flatten(F.transform(F.split(qualified, r"\."), split_identifier))), F.lower)
+    said = _told(F.split(F.coalesce(docstring, F.lit("")), "[^A-Za-z0-9]+"))
+    return F.concat(names, names, module_words(body), said, said)
+
+
+def embed_text(file: Column, symbol: Column, kind: Column, language: Column, body: Column) -> Column:
+    """a chunk's text behind a comment that says where it is from."""
+    mark = F.when(language.isin("c", "cpp"), "//").otherwise("#")
+    said = (mark, F.lit(" file: "), file, F.lit(" · symbol: "), symbol, F.lit(" · kind: "), kind, F.lit(" · lang: "), F.coalesce(language, F.lit("None")), F.lit("\n"), body)
+    return F.concat(*said)
 
 
 def non_blank(x: Column | str) -> Column:
@@ -59,9 +91,9 @@ def query_identifiers(x: Column | str, least: int = 3, most: int = 5) -> Column:
 
 
 def honest_truncate(x: Column | str, limit: int) -> Column:
-    """At most limit characters, with a note of how many were cut."""
+    """At most limit characters, with a note of by how many the text was longer."""
     x = _text(x)
-    note = F.concat(F.lit("... [cut "), F.length(x).cast("string"), F.lit(" chars]"))
+    note = F.concat(F.lit("... [cut "), (F.length(x) - limit).cast("string"), F.lit(" chars]"))
     return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.substring(x, F.lit(1), F.greatest(F.lit(0), F.lit(limit) - F.length(note))), note))
 
 

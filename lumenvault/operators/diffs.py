@@ -23,13 +23,14 @@ def changed_files(diff: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(_sections(diff), _path), lambda p: (p != "/dev/null") & (p != "")))
 
 
-def added_lines(diff: Column) -> Column:
-    """Lines that begin with + and are no header."""
-    return F.size(F.filter(F.split(diff, "\n"), lambda x: x.startswith("+") & ~x.startswith("+++")))
+def added_lines(diff: Column, symbol: Column | None = None, sign: str = "+") -> Column:
+    """Lines that begin with + and are no header, of those that name the symbol if one is given."""
+    own = lambda x: x.startswith(sign) & ~x.startswith(sign * 3)
+    return F.size(F.filter(F.split(diff, "\n"), lambda x: own(x) & x.contains(symbol) if symbol is not None else own(x)))
 
 
-def removed_lines(diff: Column) -> Column:
-    return F.size(F.filter(F.split(diff, "\n"), lambda x: x.startswith("-") & ~x.startswith("---")))
+def removed_lines(diff: Column, symbol: Column | None = None) -> Column:
+    return added_lines(diff, symbol, "-")
 
 
 def ranges(diffs: DataFrame, key: str = "commit", diff: str = "diff") -> DataFrame:

@@ -25,13 +25,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage."""
+    """df computed once and kept in the shared folder, without its lineage, until ``release``."""
     checkpoint_dir(df.sparkSession)
     done = df.checkpoint(eager=True)._jdf
     # A checkpoint hands on its plan's estimated size, which joins multiply: after some rounds of a loop it is a number
-    # of millions of digits. The same rows as a new relation have none.
+    # of millions of digits. The same rows as a new relation have none. (This goes through the session's JVM objects, which
+    # a remote session does not have.)
     fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False)
-    return DataFrame(fresh, df.sparkSession)
+    out = DataFrame(fresh, df.sparkSession)
+    out._checkpoint = done.logicalPlan().rdd().getCheckpointFile().get()
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for frames that nothing reads any more; other frames stay as they are."""
+    for df in frames:
+        path = df.__dict__.pop("_checkpoint", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def calls(edges: DataFrame) -> DataFrame:
@@ -62,7 +74,8 @@ def pagerank(edges: DataFrame, most: int = 200, tolerance: float = 1e-6, damping
         sent = ranks.where("degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("part")).join(edges, "src")
         received = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
         new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + here / n)
-        ranks = cut(ranks.join(received, "node", "left").select("node", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        last, ranks = ranks, cut(ranks.join(received, "node", "left").select("node", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        release(last)
         k += 1
     return ranks.select("node", "rank")
 
@@ -92,15 +105,19 @@ def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
     sides = cut(links.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     before = None
     for _ in range(rounds):
+        last = sides
         both = sides.union(sides.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("l")).select(F.col("l.b").alias("a"), F.col("l.low").alias("b")).where("a != b").distinct()
         sides = cut(small)
+        release(last)
         state = sides.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
-            return sides.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found = sides.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found._checkpoint = sides._checkpoint  # for ``release``
+            return found
         before = state
     raise RuntimeError("links still change")
 

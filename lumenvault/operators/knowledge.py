@@ -31,13 +31,13 @@ def recallable() -> Column:
 
 
 def list_items(items: DataFrame, owner: str, codebase: str, kind: str | None = None, include_invalid: bool = False) -> DataFrame:
-    """Items of a scope, newest first."""
+    """Items of a scope, the last updated first."""
     found = items.where(in_scope(owner, codebase))
     if kind is not None:
         found = found.where(F.col("kind") == kind)
     if not include_invalid:
         found = found.where(active())
-    return found.orderBy(F.desc("created_at"), "item")
+    return found.orderBy(F.desc("updated_at"), "item")
 
 
 def resolve_prefix(ids: DataFrame, wanted: DataFrame, least: int = 4) -> DataFrame:
@@ -53,34 +53,113 @@ def resolve_prefix(ids: DataFrame, wanted: DataFrame, least: int = 4) -> DataFra
 
 
 def contradictions(items: DataFrame, least: float = 0.5) -> DataFrame:
-    """The items (item) that have another on the same subject with another conclusion.
+    """The facts and lessons (item) that have another on the same subject with another conclusion.
 
-    Lessons with a symptom share a subject by symptom, and an empty root cause equals
-    none. All others share it by kind and file within five lines, and conclude in
-    their summaries.
+    Two lessons that both have a symptom share a subject if the symptoms are equal; if
+    either has none, if their first evidence is near: the same file, within five lines, no line being 0. An empty root
+    cause equals none. Facts share a subject if they are of equal detail and near, and conclude in their
+    summaries. Items without evidence are near none. Pairs are never formed: of each line only the extremes of what
+    is said there matter to its neighbours.
     """
     sure = items.where(F.col("confidence") >= least)
-    symptom, cause = content_key("symptom"), content_key("root_cause")
-    lessons = sure.where((F.col("kind") == "bug_lesson") & (symptom != "")).select("item", "owner", "codebase", symptom.alias("subject"), cause.alias("said"))
-    flags = lessons.groupBy("owner", "codebase", "subject").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "").alias("unsaid"), F.min("said").alias("low"), F.max("said").alias("high"))
-    flagged = lessons.join(flags.where((F.col("n") > 1) & ((F.col("unsaid") > 0) | (F.col("low") != F.col("high")))), ["owner", "codebase", "subject"]).select("item")
-    rest = sure.where(((F.col("kind") != "bug_lesson") | (symptom == "")) & F.col("file").isNotNull()).select("item", "owner", "codebase", "kind", "file", F.coalesce("line", F.lit(0)).alias("line"), F.when(F.col("kind") == "bug_lesson", F.when(cause == "", F.concat(F.lit("\0"), F.col("item").cast("string"))).otherwise(cause)).otherwise(content_key("summary")).alias("said"))
-    # Of each line only its extremes and its count matter to its neighbours.
-    keys = ["owner", "codebase", "kind", "file", "line"]
-    lines = rest.groupBy(*keys).agg(F.min("said").alias("low"), F.max("said").alias("high"))
+    first = F.get("evidence", F.lit(0))
+    scope = ["owner", "codebase"]
+    symptom, cause = content_key(F.coalesce("symptom", F.lit(""))), content_key(F.coalesce("root_cause", F.lit("")))
+    lessons = sure.where("kind = 'bug_lesson'").select("item", *scope, symptom.alias("subject"), F.nullif(cause, F.lit("")).alias("said"), first["file"].alias("file"), F.coalesce(first["line"], F.lit(0)).alias("line"))
+    told = lessons.where("subject <> ''").groupBy(*scope, "subject").agg(F.count("*").alias("n"), F.count("said").alias("n_said"), F.min("said").alias("low"), F.max("said").alias("high"))
+    split = told.where("n > 1 and (n_said < n or low <> high)").select(*scope, "subject")
+    by_symptom = lessons.join(split, [*scope, "subject"], "left_semi").select("item")
+
+    bare = F.col("subject") == ""
+    place = [*scope, "file", "line"]
+    lines = lessons.where("file is not null").groupBy(*place).agg(
+        F.count("*").alias("n"), F.count("said").alias("n_said"), F.min("said").alias("low"), F.max("said").alias("high"),
+        F.count_if(bare).alias("m"), F.count(F.when(bare, F.col("said"))).alias("m_said"), F.min(F.when(bare, F.col("said"))).alias("bare_low"), F.max(F.when(bare, F.col("said"))).alias("bare_high"),
+    )
+    near = Window.partitionBy(*scope, "file").orderBy("line").rangeBetween(-NEARBY_LINES, NEARBY_LINES)
+    of = {"n": F.sum, "n_said": F.sum, "low": F.min, "high": F.max, "m": F.sum, "m_said": F.sum, "bare_low": F.min, "bare_high": F.max}
+    around = lessons.join(lines.select(*place, *(f(c).over(near).alias(c) for c, f in of.items())), place)
+    # One without a symptom meets all lessons near it, one with a symptom only those without.
+    unlike = lambda n, said, low, high: (n > said) | F.coalesce((low != F.col("said")) | (high != F.col("said")), F.lit(False))
+    meets_all = F.when(F.col("said").isNull(), F.col("n") > 1).otherwise(unlike(F.col("n"), F.col("n_said"), F.col("low"), F.col("high")))
+    meets_bare = F.when(F.col("said").isNull(), F.col("m") > 0).otherwise(unlike(F.col("m"), F.col("m_said"), F.col("bare_low"), F.col("bare_high")))
+    by_place = around.where(F.when(bare, meets_all).otherwise(meets_bare)).select("item")
+
+    facts = sure.where("kind = 'fact'").select("item", *scope, F.coalesce("kind_detail", F.lit("")).alias("detail"), first["file"].alias("file"), F.coalesce(first["line"], F.lit(0)).alias("line"), content_key(F.coalesce("summary", F.lit(""))).alias("said")).where("file is not null")
+    keys = [*scope, "detail", "file", "line"]
+    extremes = facts.groupBy(*keys).agg(F.min("said").alias("low"), F.max("said").alias("high"))
     near = Window.partitionBy(*keys[:-1]).orderBy("line").rangeBetween(-NEARBY_LINES, NEARBY_LINES)
-    split = lines.select(*keys, F.min("low").over(near).alias("l"), F.max("high").over(near).alias("h")).where("l <> h").select(*keys)
-    return flagged.union(rest.join(split, keys, "left_semi").select("item"))
+    unlike_lines = extremes.select(*keys, F.min("low").over(near).alias("l"), F.max("high").over(near).alias("h")).where("l <> h").select(*keys)
+    # A fact is flagged only if one near it says something else than it does itself.
+    heard = extremes.select(*keys, F.min("low").over(near).alias("l"), F.max("high").over(near).alias("h")).join(unlike_lines, keys, "left_semi")
+    by_summary = facts.join(heard, keys).where("l <> said or h <> said").select("item")
+    return by_symptom.union(by_place).union(by_summary).distinct()
 
 
 def related(items: DataFrame, cap: int = 20) -> DataFrame:
-    """(item, related): items of the same scope and kind that share a file, at most ``cap``, smallest ids first."""
-    files = items.select("item", "owner", "codebase", "kind", "file").where(F.col("file").isNotNull())
+    """(item, related): items of the same scope and kind among whose evidence files or blast radius is one of
+    the item's evidence files, at most ``cap``, smallest ids first. Items without evidence have none.
+    """
+    keys = ["owner", "codebase", "kind", "file"]
+    scope = items.select("item", *keys[:-1], F.transform(F.coalesce("evidence", F.array()), lambda e: e["file"]).alias("own"), F.coalesce("blast_radius", F.array()).alias("radius"))
+    mine = scope.select("item", *keys[:-1], F.explode(F.array_distinct("own")).alias("file")).where("file is not null")
+    theirs = scope.select("item", *keys[:-1], F.explode(F.array_union("own", "radius")).alias("file")).where("file is not null")
     # A group's first cap + 1 ids are all that any of its members can list.
+    firsts = theirs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("item"))).where(F.col("rank") <= cap + 1)
+    listed = firsts.groupBy(*keys).agg(F.collect_list("item").alias("members"))
+    found = mine.join(listed, keys).select("item", F.explode("members").alias("other")).where("item <> other").distinct()
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("other"))).where(F.col("rank") <= cap)
+    lists = best.groupBy("item").agg(F.array_sort(F.collect_list("other")).alias("related"))
+    return items.select("item").join(lists, "item", "left").select("item", F.coalesce("related", F.array()).alias("related"))
+
+
+def duplicate_clusters(vectors: DataFrame, least: float = 0.92) -> DataFrame:
+    """(kind, cluster, n): clusters of two or more items (id, kind, vector) with a cosine of at least ``least``, domain knowledge left out."""
+    from lumenvault.operators.graph import components
+    from lumenvault.operators.retrieval import vector_duplicates
+
+    meant = vectors.where("kind <> 'domain_knowledge'")
+    grouped = components(vector_duplicates(meant, least))
+    return meant.join(grouped, meant.id == grouped.node).groupBy("kind", F.col("component").alias("cluster")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def with_vectors(stored: DataFrame, new: DataFrame, size: int) -> DataFrame:
+    """M3: the vectors (id, vector) after new ones were written: by id, zero vectors and those of another size left out."""
+    good = new.where((F.size("vector") == size) & F.exists("vector", lambda x: x != 0))
+    return stored.join(good.select("id"), "id", "left_anti").unionByName(good.select("id", "vector"))
+
+
+def with_postings(postings: DataFrame, changed: DataFrame) -> DataFrame:
+    """M2: postings (id, term, tf) after the texts of changed items (id, text) were written: their old ones go, their new ones come."""
+    from lumenvault.operators.retrieval import terms
+
+    fresh = changed.select("id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return postings.join(changed.select("id"), "id", "left_anti").unionByName(fresh)
+
+
+def set_fields(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """M9: stored with the kind, confidence and tags of changes (item, kind, confidence, tags), null where a field stays."""
+    new = changes.select("item", *(F.col(c).alias(f"_{c}") for c in ("kind", "confidence", "tags")))
+    both = stored.join(new, "item", "left")
+    return both.select(*(F.coalesce(f"_{c}", c).alias(c) if c in ("kind", "confidence", "tags") else F.col(c) for c in stored.columns))
+
+
+def memorize(stored: DataFrame, batch: DataFrame, step: float = 0.3) -> DataFrame:
+    """M5: the snapshot after a batch (item, kind, tier, tags, evidence, at, owner, codebase, blast_radius, corrects): linked, merged, corrected.
+
+    New items see the store as it was before the batch, and not each other; corrections (corrects: an item, or null) count at once,
+    for items of the batch too. Columns: those of ``mention`` and related.
+    """
     keys = ["owner", "codebase", "kind", "file"]
-    firsts = files.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("item"))).where(F.col("rank") <= cap + 1)
-    listed = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("members"))
-    return files.join(listed, keys).select("item", F.slice(F.array_remove("members", F.col("item")), 1, cap).alias("related"))
+    own = batch.select("item", *keys[:-1], F.explode(F.array_distinct(F.transform("evidence", lambda e: e["file"]))).alias("file"))
+    there = stored.where(active()).select(F.col("item").alias("other"), *keys[:-1], F.explode(F.array_union(F.transform("evidence", lambda e: e["file"]), "blast_radius")).alias("file"))
+    firsts = there.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("other"))).where("r <= 21")
+    met = own.join(firsts, keys).where("item <> other").select("item", "other").distinct()
+    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("other"))).where("r <= 20")
+    links = ranked.groupBy("item").agg(F.array_sort(F.collect_list("other")).alias("related"))
+    after = mention(stored.select("item", "kind", "tier", "confidence", "created_at", "tags", "evidence", "corrected_by", "invalid_at", "superseded_by", "access_count"), batch.select("item", "kind", "tier", "tags", "evidence", "at"), step)
+    told = batch.where("corrects is not null and corrects <> item").select(F.col("corrects").alias("item"), F.col("item").cast("string").alias("by"))
+    return mark_corrected(after, told).join(links, "item", "left").withColumn("related", F.coalesce("related", F.array()))
 
 
 def mention(stored: DataFrame, new: DataFrame, step: float = 0.3, safe: bool = True) -> DataFrame:
@@ -149,7 +228,7 @@ def consolidate(items: DataFrame, merged: DataFrame, now: Column, promote_at: in
     both = items.join(conflict, "item", "left").join(upstream, "item", "left")
     lesson = F.col("_merged").isNotNull() & active() & (F.col("kind") == "bug_lesson")
     first = lesson & ~F.array_contains("tags", "merged_upstream")
-    tags = add_tag(add_tag(add_tag(F.col("tags"), "contradiction", F.col("_conflict").isNotNull()), "merged_upstream", lesson), "stale", stale)
+    tags = add_tag(add_tag(add_tag(F.col("tags"), "needs_review", F.col("_conflict").isNotNull()), "merged_upstream", lesson), "stale", stale)
     return both.select(
         *(c for c in items.columns if c not in ("kind", "confidence", "tags")),
         F.when(promote, "mental_model").otherwise(F.col("kind")).alias("kind"),

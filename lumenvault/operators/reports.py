@@ -98,14 +98,180 @@ def packaging_only(files: Column, prefix: str = "debian/") -> Column:
     return (F.size(files) > 0) & F.forall(files, lambda f: f.startswith(prefix))
 
 
-def cited_files(citations: DataFrame, files: DataFrame) -> DataFrame:
-    """Citations (citation, file) whose path fits a path of files (file): equal, the same last part, or a tail.
+def fitting_paths(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, file): each path with all files that it fits: equal, of the same last part, or one the end of the other.
 
-    A tail shares its last part, so both meet on the last part.
+    Paths with a slash that end alike share their last part; one without may be the end of a
+    last part, so it meets the ends of last parts. No path is compared with all files.
     """
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    f = files.select(F.col("file").alias("_f"), base(F.col("file")).alias("base")).distinct()
-    return citations.withColumn("base", base(F.col("file"))).join(f, "base", "left_semi").select("citation", "file")
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, F.length(c)))
+    p = asked.select("path").distinct().where("path is not null")
+    f = files.select("file").distinct().where("file is not null")
+    same = p.withColumn("_b", base(F.col("path"))).join(f.withColumn("_b", base(F.col("file"))), "_b").select("path", "file")
+    bare_path = p.where(~F.col("path").contains("/")).join(f.select("file", F.explode(F.array_distinct(ends(base(F.col("file"))))).alias("path")), "path").select("path", "file")
+    bare_file = f.where(~F.col("file").contains("/")).join(p.select("path", F.explode(F.array_distinct(ends(base(F.col("path"))))).alias("file")), "file").select("path", "file")
+    return same.union(bare_path).union(bare_file).distinct()
+
+
+def cited_files(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """Citations (citation, file) whose path fits a path of files (file)."""
+    fits = fitting_paths(citations.select(F.col("file").alias("path")), files).select(F.col("path").alias("file")).distinct()
+    return citations.join(fits, "file", "left_semi").select("citation", "file")
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, block: int = 64) -> DataFrame:
+    """P10: points (file, line) that lie in a range (file, first, last), each once; both are dealt in blocks of lines."""
+    cut = lambda x: F.floor(x / block)
+    r = ranges.select("file", "first", "last", F.explode(F.sequence(cut(F.col("first")), cut(F.col("last")))).alias("_block"))
+    at = points.select("file", "line").distinct().withColumn("_block", cut(F.col("line")))
+    return at.join(r, ["file", "_block"]).where("line between first and last").select("file", "line").distinct()
+
+
+def verify_citations(citations: DataFrame, files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(citation, verdict) of citations (citation, file, line) against changed files (file) and changed ranges (file, first, last).
+
+    unnamed: no file. bad: the file fits no changed file. file: it fits, but there is no line, or no ranges of such a file.
+    anchored, unanchored: the line lies in a range of the file, or not. Of several files with ranges
+    that a path fits, the equal one counts, else the first by name.
+    """
+    asked = citations.select(F.col("file").alias("path")).distinct()
+    known = fitting_paths(asked, files).select(F.col("path").alias("file")).distinct().withColumn("_known", F.lit(True))
+    chosen = fitting_paths(asked, ranges.select("file")).groupBy("path").agg(F.min(F.struct(F.col("path") != F.col("file"), F.col("file"))).alias("b")).select(F.col("path").alias("file"), F.col("b.file").alias("_with"))
+    placed = citations.join(known, "file", "left").join(chosen, "file", "left")
+    inside = in_ranges(placed.where("_with is not null and line is not null").select(F.col("_with").alias("file"), "line"), ranges).select(F.col("file").alias("_with"), "line", F.lit(True).alias("_in"))
+    verdict = F.when(F.col("file").isNull() | (F.col("file") == ""), "unnamed").when(F.col("_known").isNull(), "bad").when(F.col("line").isNull() | F.col("_with").isNull(), "file").when(F.col("_in").isNotNull(), "anchored").otherwise("unanchored")
+    return placed.join(inside, ["_with", "line"], "left").select("citation", verdict.alias("verdict"))
+
+
+def citation_summary(verdicts: DataFrame) -> DataFrame:
+    """One row: total, n_bad, file_rate (of all; 1 if there are none) and anchor_rate (of those with a line and ranges; null if there are none)."""
+    of = lambda *names: F.count_if(F.col("verdict").isin(*names))
+    total, lined = F.count("*"), of("anchored", "unanchored")
+    return verdicts.agg(total.alias("total"), of("bad").alias("n_bad"), F.when(total > 0, (total - of("bad")) / total).otherwise(1.0).alias("file_rate"), F.when(lined > 0, of("anchored") / lined).alias("anchor_rate"))
+
+
+def aggregate_findings(findings: DataFrame, risky: float = 0.5, most: int = 10, least: float = 0.5) -> DataFrame:
+    """One row over findings (finding, theme, tier, risk, modules, files): total, n_high, n_risky, by_theme and by_tier (maps),
+    hot_modules (module and count, the largest first), n_unique (subjects) and duplicate_groups (lists of findings of one subject).
+    """
+    theme, tier = F.coalesce("theme", F.lit("function")), F.coalesce("tier", F.lit("none"))
+    counts = lambda key, name: findings.groupBy(key.alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+    totals = findings.agg(F.count("*").alias("total"), F.count_if(tier == "high").alias("n_high"), F.count_if(F.col("risk") >= risky).alias("n_risky"))
+    hot = module_counts(findings, most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), "module", "n"))).alias("h")).select(F.transform("h", lambda x: F.struct(x["module"].alias("module"), x["n"].alias("n"))).alias("hot_modules"))
+    grouped = subject_groups(findings, least).groupBy("subject").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("finding")).alias("members"))
+    subjects = grouped.agg(F.count("*").alias("n_unique"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("members")))).alias("duplicate_groups"))
+    # Each side is one row.
+    out = totals
+    for side in (counts(theme, "by_theme"), counts(tier, "by_tier"), hot, subjects):
+        out = out.crossJoin(F.broadcast(side))
+    return out
+
+
+def analyse_patches(patches: DataFrame, spans: DataFrame, modules: DataFrame, risk: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
+    """(commit, theme, applies, risk, tier, modules, files, error): what is known of each patch without a model.
+
+    patches (commit, diff, theme, applies, error); spans (file, symbol, first, last); modules (symbol,
+    module); risk (symbol, risk). A patch with an error stays as a row with that error and nothing else. Risk is the
+    largest of the changed symbols', 0 without one; a keyword in a changed symbol's name raises the tier.
+    """
+    from lumenvault.operators import diffs
+
+    good = patches.where("error is null")
+    changed = diffs.hunks(good.select("commit", "diff"))
+    keyed = changed.select(F.struct("commit", "file", "start", "end").alias("range"), "file", F.col("start").alias("first"), F.col("end").alias("last"))
+    met = spans_of_ranges(keyed, spans).select("range.commit", "symbol").distinct()
+    hit = F.lit(False)
+    for word in keywords:
+        hit = hit | F.lower(F.col("symbol").cast("string")).contains(word)
+    per = met.join(modules, "symbol", "left").join(risk, "symbol", "left").groupBy("commit").agg(F.array_sort(F.collect_set("module")).alias("modules"), F.max("risk").alias("risk"), F.bool_or(hit).alias("hit"))
+    both = patches.join(per, "commit", "left")
+    fine = F.col("error").isNull()
+    worth = F.coalesce("risk", F.lit(0.0))
+    return both.select(
+        "commit", F.when(fine, F.col("theme")).alias("theme"), F.when(fine, F.col("applies")).alias("applies"), F.when(fine, worth).alias("risk"),
+        F.when(fine, security_tier(F.col("theme"), F.coalesce("hit", F.lit(False)), worth)).alias("tier"),
+        F.when(fine, F.coalesce("modules", F.array().cast("array<bigint>"))).alias("modules"), F.when(fine, diffs.changed_files(F.col("diff"))).alias("files"), "error",
+    )
+
+
+def lesson_rows(patches: DataFrame, owner: str, codebase: str, summary: Column | None = None) -> DataFrame:
+    """One lesson for each patch (commit, diff): id by the diff, its files, and the start of each hunk as evidence.
+
+    Without a summary the lesson says how many hunks there are in which files.
+    """
+    from lumenvault.functions.text import short_id
+    from lumenvault.operators import diffs
+
+    files = diffs.changed_files(F.col("diff"))
+    each = diffs.hunks(patches.select("commit", "diff")).groupBy("commit").agg(F.array_sort(F.collect_list(F.struct("file", F.col("start").alias("line")))).alias("evidence"))
+    both = patches.join(each, "commit", "left").withColumn("evidence", F.coalesce("evidence", F.array()))
+    own = F.concat(F.size("evidence").cast("string"), F.lit(" hunks in "), F.array_join(files, ", "))
+    said = F.coalesce(F.nullif(F.trim(summary), F.lit("")), own) if summary is not None else own
+    return both.select("commit", short_id(F.lit(owner), F.lit(codebase), F.lit("bug_lesson"), F.col("diff")).alias("id"), F.substring(said, 1, 200).alias("summary"), files.alias("blast_radius"), "evidence", F.array(F.lit("patch_insight")).alias("tags"))
+
+
+def localisation_lessons(cases: DataFrame) -> DataFrame:
+    """(case, summary, root_cause, symptom, evidence, blast_radius) of cases (case, found, trigger), found being JSON.
+
+    Evidence without a file is left out, its line the first number given; without a blast radius the files of the
+    evidence stand for it, and without a problem summary the head of the trigger for the symptom.
+    """
+    from lumenvault.functions.text import first_line_number
+
+    form = "root_cause string, problem_summary string, blast_radius_files array<string>, evidence array<struct<file: string, line: string>>"
+    read = cases.withColumn("j", F.from_json("found", form))
+    kept = F.filter(F.coalesce("j.evidence", F.array()), lambda e: e["file"].isNotNull() & (e["file"] != ""))
+    evidence = F.transform(kept, lambda e: F.struct(e["file"].alias("file"), first_line_number(e["line"]).alias("line")))
+    cause, given = F.coalesce("j.root_cause", F.lit("")), F.coalesce("j.blast_radius_files", F.array())
+    radius = F.when(F.size(given) > 0, given).otherwise(F.array_distinct(F.transform(kept, lambda e: e["file"])))
+    symptom = F.coalesce(F.nullif("j.problem_summary", F.lit("")), F.substring(F.coalesce("trigger", F.lit("")), 1, 200))
+    return read.select("case", F.substring(cause, 1, 200).alias("summary"), cause.alias("root_cause"), symptom.alias("symptom"), evidence.alias("evidence"), radius.alias("blast_radius"))
+
+
+def finding_of_answer(answer: Column) -> Column:
+    """Struct (summary, citations) of an answer: what its outer JSON says, else its first 500 characters and no citations."""
+    from lumenvault.functions.text import outer_json
+
+    found = outer_json(answer)
+    cited = F.from_json(F.get_json_object(found, "$.citations"), "array<struct<file: string, line: int>>")
+    return F.when(found.isNotNull(), F.struct(F.coalesce(F.get_json_object(found, "$.summary"), F.lit("")).alias("summary"), F.coalesce(cited, F.array()).alias("citations"))).otherwise(F.struct(F.substring(answer, 1, 500).alias("summary"), F.array().cast("array<struct<file: string, line: int>>").alias("citations")))
+
+
+def named_plans(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, name, focus, named): each candidate (id, raw_name) with the last answer (id, name, focus, place) to its id as text, if that has both; else its own name."""
+    last = answers.groupBy(F.col("id").cast("string").alias("_id")).agg(F.max_by(F.struct("name", "focus"), "place").alias("a"))
+    both = candidates.join(last, F.col("id").cast("string") == F.col("_id"), "left")
+    named = F.coalesce((F.trim("a.name") != "") & (F.trim("a.focus") != ""), F.lit(False))
+    return both.select("id", F.when(named, F.substring(F.trim("a.name"), 1, 80)).otherwise(F.col("raw_name")).alias("name"), F.when(named, F.trim("a.focus")).otherwise(F.col("raw_name")).alias("focus"), named.alias("named"))
+
+
+def with_key_symbols(communities: DataFrame, hubs: DataFrame, most: int = 15) -> DataFrame:
+    """Communities (community, ...) with key_symbols: the first few of their hubs (community, symbol, place)."""
+    first = hubs.where("community is not null").withColumn("_r", F.row_number().over(Window.partitionBy("community").orderBy("place", "symbol"))).where(F.col("_r") <= most)
+    lists = first.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "symbol"))), lambda x: x["symbol"]).alias("key_symbols"))
+    return communities.join(lists, "community", "left").withColumn("key_symbols", F.coalesce("key_symbols", F.array()))
+
+
+def hunk_context(patches: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
+    """(commit, file, context): for each changed file of a patch (commit, diff) the best ``k`` chunks (id, text), sought by the
+    file's name and the lines that its first hunk adds, one after the other; null if none has a word of them.
+    """
+    from lumenvault.operators import diffs
+    from lumenvault.operators.retrieval import bm25, top
+
+    first = diffs.hunks(patches.select("commit", "diff")).where("file <> ''").groupBy("commit", "file").agg(F.min_by("body", "place").alias("body"))
+    added = F.transform(F.filter(F.split("body", "\n"), lambda x: x.startswith("+") & ~x.startswith("+++")), lambda x: F.substring(x, F.lit(2), F.length(x)))
+    asked = first.select(F.struct("commit", "file").alias("query"), F.concat_ws("\n", "file", F.array_join(added, "\n")).alias("text"))
+    best = top(bm25(chunks, asked), k).join(chunks.select("id", "text"), "id")
+    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l")).select("query", F.array_join(F.transform("l", lambda x: x["text"]), "\n\n").alias("context"))
+    return asked.select("query").join(lists, "query", "left").select("query.commit", "query.file", "context")
+
+
+def cherry_counts(commits: DataFrame, known: DataFrame) -> DataFrame:
+    """(branch, n_new, n_there): commits (branch, patch) whose patch is not among known ones (patch), and the others."""
+    there = known.select("patch").distinct().withColumn("_there", F.lit(True))
+    return commits.join(there, "patch", "left").groupBy("branch").agg(F.count_if(F.col("_there").isNull()).alias("n_new"), F.count("_there").alias("n_there"))
 
 
 def gc_plan(records: DataFrame, now: Column, most_days: int) -> DataFrame:

@@ -105,3 +105,18 @@ def merge_evidence(old: Column, new: Column) -> Column:
     both = F.concat(old, new)
     keys = F.transform(both, lambda e: F.struct(e["file"], e["line"]))
     return F.filter(both, lambda e, i: F.array_position(keys, F.struct(e["file"], e["line"])) == i + 1)
+
+
+def event_texts(lines: DataFrame) -> DataFrame:
+    """(run, message, text, place, tokens): the text parts of each message joined in order, messages by their first part, and the run's last told tokens.
+
+    lines (run, seq, value): JSON objects with type and part; lines that are none are left out. Tokens are the output tokens of the last step_finish, null without one.
+    """
+    form = "type string, part struct<messageID: string, text: string, tokens: struct<input: bigint, output: bigint>>"
+    read = lines.select("run", "seq", F.from_json("value", form, {"mode": "PERMISSIVE"}).alias("e")).where("e.type is not null")
+    told = read.where("e.type = 'text' and e.part.messageID is not null").groupBy("run", F.col("e.part.messageID").alias("message")).agg(
+        F.min("seq").alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("e.part.text").alias("text")))), lambda x: x["text"]), "").alias("text")
+    )
+    tokens = read.where("e.type = 'step_finish'").groupBy("run").agg(F.max_by("e.part.tokens.output", "seq").alias("tokens"))
+    placed = told.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy("_first", "message"))).drop("_first")
+    return placed.join(tokens, "run", "left").select("run", "message", "text", "place", "tokens")

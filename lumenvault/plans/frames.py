@@ -43,13 +43,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         n.alias("item"), F.col("source").alias("owner"), F.col("lang").alias("codebase"), F.col("lang").alias("repo"),
         nth(KINDS, n).alias("kind"), nth(TIERS, n).alias("tier"),
-        F.substring("text", 1, 80).alias("summary"),
+        F.when(n % 3 == 0, F.concat(F.lit("detail"), n % 2)).otherwise("").alias("kind_detail"),
+        F.when(n % 6 == 1, F.concat(F.lit("Said  "), n % 4)).otherwise(F.col("text")).alias("summary"),
         F.when(n % 5 != 0, F.concat(F.lit("sym"), n % 37)).otherwise("").alias("symptom"),
         F.when(n % 11 != 0, F.concat(F.lit("rc"), n % 3)).otherwise("").alias("root_cause"),
         F.concat(F.lit("src/f"), n % 50, F.lit(".c")).alias("file"),
         F.when(n % 13 != 0, n % 40).alias("line"),
+        F.when(n % 31 == 0, F.array().cast("array<struct<file:string,line:bigint>>")).otherwise(F.array(
+            F.struct(F.concat(F.lit("src/f"), n % 50, F.lit(".c")).alias("file"), F.when(n % 13 != 0, n % 40).alias("line")),
+            F.struct(F.concat(F.lit("lib/g"), n % 35, F.lit(".c")).alias("file"), (n % 90).alias("line")),
+        )).alias("evidence"),
+        F.when(n % 2 == 0, F.array(F.concat(F.lit("src/f"), n % 20, F.lit(".c")))).otherwise(F.array().cast("array<string>")).alias("blast_radius"),
         (n % 7).alias("access_count"),
-        F.when(n % 17 != 0, created).alias("valid_at"), created.alias("created_at"),
+        F.when(n % 17 != 0, created).alias("valid_at"), created.alias("created_at"), hours_after(n % 700, "2024-10-01 00:00:00").alias("updated_at"),
         F.when(n % 3 == 0, created + F.expr("interval 10 days")).alias("last_recalled"),
         F.when(n % 19 == 0, created + F.expr("interval 1 day")).alias("invalid_at"),
         F.when(n % 23 == 0, "next").alias("superseded_by"),
@@ -61,13 +67,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ITEMS = f"""items AS (
   SELECT doc_id AS item, source AS owner, lang AS codebase, lang AS repo,
-    {nth_sql(KINDS, "doc_id")} AS kind, {nth_sql(TIERS, "doc_id")} AS tier, substring(text, 1, 80) AS summary,
+    {nth_sql(KINDS, "doc_id")} AS kind, {nth_sql(TIERS, "doc_id")} AS tier,
+    CASE WHEN doc_id % 3 = 0 THEN 'detail' || doc_id % 2 ELSE '' END AS kind_detail,
+    CASE WHEN doc_id % 6 = 1 THEN 'Said  ' || doc_id % 4 ELSE text END AS summary,
     CASE WHEN doc_id % 5 <> 0 THEN 'sym' || doc_id % 37 ELSE '' END AS symptom,
     CASE WHEN doc_id % 11 <> 0 THEN 'rc' || doc_id % 3 ELSE '' END AS root_cause,
     'src/f' || doc_id % 50 || '.c' AS file, CASE WHEN doc_id % 13 <> 0 THEN doc_id % 40 END AS line,
+    CASE WHEN doc_id % 31 = 0 THEN [] ELSE [
+      {{'file': 'src/f' || doc_id % 50 || '.c', 'line': CASE WHEN doc_id % 13 <> 0 THEN doc_id % 40 END}},
+      {{'file': 'lib/g' || doc_id % 35 || '.c', 'line': doc_id % 90}}] END AS evidence,
+    CASE WHEN doc_id % 2 = 0 THEN ['src/f' || doc_id % 20 || '.c'] ELSE [] END AS blast_radius,
     doc_id % 7 AS access_count,
     CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours(doc_id % 5000) END AS valid_at,
-    TIMESTAMP '2024-01-01' + to_hours(doc_id % 5000) AS created_at,
+    TIMESTAMP '2024-01-01' + to_hours(doc_id % 5000) AS created_at, TIMESTAMP '2024-10-01' + to_hours(doc_id % 700) AS updated_at,
     CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(doc_id % 5000) + INTERVAL 10 DAY END AS last_recalled,
     CASE WHEN doc_id % 19 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(doc_id % 5000) + INTERVAL 1 DAY END AS invalid_at,
     CASE WHEN doc_id % 23 = 0 THEN 'next' END AS superseded_by, CASE WHEN doc_id % 29 = 0 THEN 'fix' END AS corrected_by,
@@ -124,14 +136,14 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits: one for each order, with a patch id that some share."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     return o.select(
-        k.alias("commit"), F.when(k % 3 == 0, "upstream").otherwise("fork").alias("branch"), (k % 997).alias("patch"),
+        k.alias("commit"), F.when(k % 3 == 0, "upstream").otherwise("fork").alias("branch"), (k % 9973).alias("patch"),
         F.array(F.when(k % 10 == 0, "debian/rules").otherwise(F.concat(F.lit("src/f"), k % 50, F.lit(".c"))), F.when(k % 20 == 0, "debian/changelog").otherwise("README")).alias("files"),
         F.when(k % 7 == 0, F.lit(None)).otherwise(k % 2 == 0).alias("applies"), F.col("o_orderdate").alias("at"),
     )
 
 
 COMMITS = """commits AS (
-  SELECT o_orderkey AS commit, CASE WHEN o_orderkey % 3 = 0 THEN 'upstream' ELSE 'fork' END AS branch, o_orderkey % 997 AS patch,
+  SELECT o_orderkey AS commit, CASE WHEN o_orderkey % 3 = 0 THEN 'upstream' ELSE 'fork' END AS branch, o_orderkey % 9973 AS patch,
     [CASE WHEN o_orderkey % 10 = 0 THEN 'debian/rules' ELSE 'src/f' || o_orderkey % 50 || '.c' END,
      CASE WHEN o_orderkey % 20 = 0 THEN 'debian/changelog' ELSE 'README' END] AS files,
     CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS applies, o_orderdate AS at FROM orders)"""

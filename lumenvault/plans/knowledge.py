@@ -15,9 +15,9 @@ _WEIGHT = "CASE tier " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in scores.TIER
 _KEY = "lower(regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '^ | $', '', 'g'))"
 
 
-@query("SELECT item, kind, summary FROM items WHERE owner = 'src3' AND codebase = 'en' AND " + _ACTIVE, ITEMS)
+@query("SELECT item, kind, summary, updated_at FROM items WHERE owner = 'src3' AND codebase = 'en' AND " + _ACTIVE, ITEMS)
 def s1_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return k.list_items(frames.items(spark, sf_dir), "src3", "en").select("item", "kind", "summary")
+    return k.list_items(frames.items(spark, sf_dir), "src3", "en").select("item", "kind", "summary", "updated_at")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
@@ -54,28 +54,41 @@ def a7_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.items(spark, sf_dir).where(k.active()).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-_SURE = f"sure AS (SELECT *, {_WEIGHT} * 0.5 AS confidence FROM items WHERE {_ACTIVE})"
-_CONFLICTS = f"""conflicts AS (
-  WITH l AS (SELECT *, {_KEY.format("symptom")} AS subject, {_KEY.format("root_cause")} AS cause FROM sure WHERE confidence >= 0.4)
-  SELECT DISTINCT a.item FROM l a JOIN l b ON a.item <> b.item AND a.owner = b.owner AND a.codebase = b.codebase AND a.kind = b.kind
+# One scope, so that there are pairs in it at every size of the tables.
+_ONE_SCOPE = "* REPLACE ('all' AS owner, 'all' AS codebase)"
+_SURE = f"sure AS (SELECT {_ONE_SCOPE}, {_WEIGHT} * 0.5 AS confidence FROM items WHERE {_ACTIVE})"
+
+
+def _conflicts_sql(least: float) -> str:
+    near = "len(a.evidence) > 0 AND len(b.evidence) > 0 AND a.evidence[1].file = b.evidence[1].file AND abs(coalesce(a.evidence[1].line, 0) - coalesce(b.evidence[1].line, 0)) <= 5"
+    return f"""keyed AS MATERIALIZED (
+  SELECT item, owner, codebase, kind, kind_detail, evidence, {_KEY.format("symptom")} AS subject, {_KEY.format("root_cause")} AS cause, {_KEY.format("summary")} AS said
+  FROM sure WHERE confidence >= {least} AND kind IN ('fact', 'bug_lesson')),
+conflicts AS (
+  SELECT DISTINCT a.item FROM keyed a JOIN keyed b ON a.item <> b.item AND a.owner = b.owner AND a.codebase = b.codebase AND a.kind = b.kind
     AND CASE WHEN a.kind = 'bug_lesson' AND a.subject <> '' AND b.subject <> '' THEN a.subject = b.subject
-      WHEN a.kind = 'bug_lesson' AND (a.subject <> '' OR b.subject <> '') THEN false
-      ELSE a.file = b.file AND abs(coalesce(a.line, 0) - coalesce(b.line, 0)) <= 5 END
-    AND CASE WHEN a.kind = 'bug_lesson' THEN a.cause = '' OR b.cause = '' OR a.cause <> b.cause ELSE {_KEY.format("a.summary")} <> {_KEY.format("b.summary")} END)"""
+      WHEN a.kind = 'bug_lesson' THEN {near} ELSE a.kind_detail = b.kind_detail AND {near} END
+    AND NOT CASE WHEN a.kind = 'bug_lesson' THEN a.cause <> '' AND a.cause = b.cause ELSE a.said = b.said END)"""
+
+
+def _one_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.items(spark, sf_dir).withColumns({"owner": F.lit("all"), "codebase": F.lit("all"), "confidence": scores.first_confidence(F.col("tier"))})
 
 
 def _sure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.items(spark, sf_dir).where(k.active()).withColumn("confidence", scores.first_confidence(F.col("tier")))
+    return _one_scope(spark, sf_dir).where(k.active())
 
 
-@query("SELECT item FROM conflicts", ITEMS, _SURE, _CONFLICTS)
+@query("SELECT item FROM conflicts", ITEMS, _SURE, _conflicts_sql(0.3))
 def j4_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return k.contradictions(_sure(spark, sf_dir), least=0.4)
+    return k.contradictions(_sure(spark, sf_dir), least=0.3)
 
 
 @query("""
-    SELECT a.item, coalesce(list_slice(list_sort(list(b.item) FILTER (WHERE b.item IS NOT NULL)), 1, 20), []) AS related
-    FROM sure a LEFT JOIN sure b ON a.owner = b.owner AND a.codebase = b.codebase AND a.kind = b.kind AND a.file = b.file AND a.item <> b.item GROUP BY a.item""", ITEMS, _SURE)
+    WITH pairs AS (
+      SELECT DISTINCT a.item, b.item AS other FROM sure a JOIN sure b ON a.owner = b.owner AND a.codebase = b.codebase AND a.kind = b.kind AND a.item <> b.item
+      WHERE len(list_intersect(list_transform(a.evidence, lambda e: e.file), list_concat(list_transform(b.evidence, lambda e: e.file), b.blast_radius))) > 0)
+    SELECT sure.item, coalesce(list_slice(list_sort(list(other) FILTER (WHERE other IS NOT NULL)), 1, 20), []) AS related FROM sure LEFT JOIN pairs USING (item) GROUP BY sure.item""", ITEMS, _SURE)
 def j3_related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.related(_sure(spark, sf_dir))
 
@@ -137,9 +150,9 @@ def m11_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
       (SELECT count(*) FROM conflicts) AS contradictions,
       count(*) FILTER (WHERE {_ACTIVE} AND item % 12 = 0 AND kind = 'bug_lesson') AS merged_upstream,
       count(*) FILTER (WHERE {_ACTIVE} AND date_diff('microsecond', coalesce(last_recalled, created_at), TIMESTAMP '{NOW}') > 200 * 86400000000) AS stale
-    FROM items""", ITEMS, _SURE, _CONFLICTS.replace("confidence >= 0.4", "confidence >= 0.5"))
+    FROM items""", ITEMS, _SURE, _conflicts_sql(0.5))
 def a18_consolidation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = frames.items(spark, sf_dir).withColumn("confidence", scores.first_confidence(F.col("tier")))
+    items = _one_scope(spark, sf_dir)
     after = k.consolidate(items, items.where("item % 12 = 0").select("item"), frames.ntz(NOW), stale_days=200.0)
     return after.agg(*(F.count_if(F.col(a)).alias(b) for a, b in (("promoted", "promoted"), ("contradicts", "contradictions"), ("merged_upstream", "merged_upstream"), ("stale", "stale"))))
 
@@ -185,3 +198,80 @@ def m17_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m18_index_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes = F.lit(True)
     return frames.commits(spark, sf_dir).groupBy("branch").agg(k.index_mode(F.min("commit") % 2 == 0, yes, yes, yes, F.count_if(F.col("patch") == 1)).alias("mode"))
+
+
+_VECTORS = f"""vectors AS (
+  SELECT vec_id AS id, {frames.nth_sql(frames.KINDS, "vec_id")} AS kind, CASE WHEN vec_id % 25 < 3 THEN list_transform(range(1, 5), lambda i: 1.0 + CASE WHEN i = vec_id % 5 + 1 THEN 0.3 ELSE 0 END + (vec_id // 25) % 7 * CASE WHEN i = 2 THEN 1 ELSE 0 END)
+    ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS vector FROM embeddings),
+unit AS MATERIALIZED (SELECT id, kind, list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) AS u FROM vectors WHERE kind <> 'domain_knowledge'),
+same AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM unit a JOIN unit b ON a.kind = b.kind AND a.id < b.id AND len(a.u) = len(b.u) WHERE list_sum(list_transform(range(1, len(a.u) + 1), lambda i: a.u[i] * b.u[i])) >= 0.92),
+ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM same UNION SELECT dst, src FROM same),
+grouped AS (
+  SELECT 0 AS round, a AS node, a AS cluster, 1 AS changed FROM ways GROUP BY a
+  UNION ALL
+  SELECT round + 1, node, new, max(CASE WHEN new <> cluster THEN 1 ELSE 0 END) OVER () FROM (
+    SELECT l.round, l.node, l.cluster, least(l.cluster, min(m.cluster)) AS new FROM grouped l JOIN ways ON a = l.node JOIN grouped m ON m.node = b WHERE l.changed = 1 GROUP BY l.round, l.node, l.cluster))"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of items: some of four numbers, near each other in groups, the rest the embeddings."""
+    n = F.col("vec_id")
+    made = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.lit(1.0) + F.when(i == n % 5 + 1, 0.3).otherwise(0.0) + F.floor(n / 25) % 7 * F.when(i == 2, 1.0).otherwise(0.0))
+    vector = F.when(n % 25 < 3, made).otherwise(F.transform("embedding", lambda x: x.cast("double")))
+    return frames.table(spark, sf_dir, "embeddings").select(n.alias("id"), frames.nth(frames.KINDS, n).alias("kind"), vector.alias("vector"))
+
+
+@query("""
+    SELECT kind, cluster, count(*) AS n FROM (SELECT node, cluster FROM grouped WHERE round = (SELECT max(round) FROM grouped)) JOIN unit ON id = node GROUP BY kind, cluster""", _VECTORS)
+def j5_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k.duplicate_clusters(_vectors(spark, sf_dir))
+
+
+@query("""
+    SELECT id, len(vector) AS n FROM vectors WHERE id % 3 <> 0
+    UNION ALL SELECT id, len(vector) FROM vectors WHERE id % 3 = 0 AND len(vector) = 64""", _VECTORS)
+def m3_vectors_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir).select("id", "vector")
+    zero = v.where("id % 3 = 1").select("id", F.transform("vector", lambda x: x * 0).alias("vector"))
+    return k.with_vectors(v.where("id % 3 <> 0"), v.where("id % 3 = 0").unionByName(zero), 64).select("id", F.size("vector").alias("n"))
+
+
+@query("""
+    WITH t AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN lang || ' ' || source ELSE text END AS body FROM documents)
+    SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')) AS term FROM t) GROUP BY id, term""")
+def m2_postings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frames.table(spark, sf_dir, "documents")
+    none = spark.createDataFrame([], "id long, term string, tf long")
+    all_ = k.with_postings(none, d.select(F.col("doc_id").alias("id"), "text"))
+    return k.with_postings(all_, d.where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("text")))
+
+
+@query(f"""
+    SELECT item, CASE WHEN item % 3 = 0 THEN 'fact' ELSE kind END AS kind, CASE WHEN item % 6 = 0 THEN 0.9 ELSE {_WEIGHT} * 0.5 END AS confidence,
+      CASE WHEN item % 9 = 0 THEN ['set'] ELSE tags END AS tags FROM items""", ITEMS)
+def m9_fields_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, n = frames.items(spark, sf_dir).withColumn("confidence", scores.first_confidence(F.col("tier"))), F.col("item")
+    changes = items.where("item % 3 = 0").select("item", F.lit("fact").alias("kind"), F.when(n % 6 == 0, 0.9).alias("confidence"), F.when(n % 9 == 0, F.array(F.lit("set"))).alias("tags"))
+    return k.set_fields(items, changes).select("item", "kind", "confidence", "tags")
+
+
+@query(f"""
+    WITH s AS (SELECT {_ONE_SCOPE} FROM items WHERE item % 2 = 0), b AS (SELECT {_ONE_SCOPE}, CASE WHEN item % 9 = 0 THEN item + 2 END AS corrects FROM items WHERE item % 3 = 0),
+    pairs AS (
+      SELECT DISTINCT b.item, s.item AS other FROM b JOIN s ON s.owner = b.owner AND s.codebase = b.codebase AND s.kind = b.kind AND s.item <> b.item AND s.invalid_at IS NULL AND s.superseded_by IS NULL
+      WHERE len(list_intersect(list_transform(b.evidence, lambda e: e.file), list_concat(list_transform(s.evidence, lambda e: e.file), s.blast_radius))) > 0),
+    links AS (SELECT item, list_slice(list_sort(list(other)), 1, 20) AS related FROM pairs GROUP BY item),
+    told AS (SELECT corrects AS item, min(item) AS by FROM b WHERE corrects IS NOT NULL GROUP BY corrects),
+    every_item AS (SELECT item FROM s UNION SELECT item FROM b)
+    SELECT e.item, coalesce(related, []) AS related, CASE WHEN s.corrected_by IS NOT NULL THEN s.corrected_by ELSE CAST(told.by AS VARCHAR) END AS corrected_by
+    FROM every_item e LEFT JOIN links USING (item) LEFT JOIN s USING (item) LEFT JOIN told USING (item)""", ITEMS)
+def m5_batch_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _one_scope(spark, sf_dir).withColumns({"access_count": F.col("access_count").cast("int")})
+    batch = items.where("item % 3 = 0").withColumns({"at": F.col("created_at"), "corrects": F.when(F.col("item") % 9 == 0, F.col("item") + 2)})
+    return k.memorize(items.where("item % 2 = 0"), batch).select("item", "related", F.col("corrected_by").cast("string").alias("corrected_by"))
+
+
+@query("SELECT repo, count(item) AS n FROM (SELECT unnest(['en', 'de', 'none']) AS repo) LEFT JOIN items USING (repo) GROUP BY repo", ITEMS)
+def s14_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("en",), ("de",), ("none",)], "repo string")
+    return asked.join(frames.items(spark, sf_dir).groupBy("repo").agg(F.count("*").alias("n")), "repo", "left").select("repo", F.coalesce("n", F.lit(0)).alias("n"))

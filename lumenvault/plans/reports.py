@@ -119,7 +119,7 @@ def v7_packaging_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.commits(spark, sf_dir).groupBy(r.packaging_only(F.col("files")).alias("packaging")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS commit FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 997 NOT IN (SELECT o_orderkey % 997 FROM orders WHERE o_orderkey % 6 = 0)")
+@query("SELECT o_orderkey AS commit FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 9973 NOT IN (SELECT o_orderkey % 9973 FROM orders WHERE o_orderkey % 6 = 0)")
 def u8_j16_retained_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = frames.commits(spark, sf_dir)
     return c.where("branch = 'fork'").join(c.where("branch = 'upstream' and commit % 2 = 0").select("patch"), "patch", "left_anti").select("commit")
@@ -135,6 +135,121 @@ def j18_cited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.cited_files(cites, frames.findings(spark, sf_dir).select(F.explode("files").alias("file")))
 
 
+_CHANGED = """changed AS (
+  SELECT DISTINCT unnest(files) AS file FROM findings),
+hunked AS (SELECT 'b/g' || o_orderkey % 30 || '.c' AS file, o_orderkey % 200 + 1 AS first, o_orderkey % 200 + 4 AS last FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT 'h' || o_orderkey % 5 || '.c', 10, 20 FROM orders),
+cites AS (
+  SELECT doc_id AS citation, CASE doc_id % 6 WHEN 0 THEN 'x/b/g' || doc_id % 40 || '.c' WHEN 1 THEN 'g' || doc_id % 45 || '.c' WHEN 2 THEN '.c' WHEN 3 THEN NULL WHEN 4 THEN 'h' || doc_id % 9 || '.c' ELSE 'zz/h1.c' END AS file,
+    CASE WHEN doc_id % 7 <> 0 THEN doc_id % 230 END AS line FROM documents),
+hits AS (
+  SELECT DISTINCT c.file, h.file AS hunk_file FROM cites c JOIN (SELECT DISTINCT file FROM hunked) h
+    ON h.file = c.file OR string_split(h.file, '/')[-1] = string_split(c.file, '/')[-1] OR ends_with(h.file, c.file) OR ends_with(c.file, h.file)),
+chosen AS (SELECT file, min_by(hunk_file, (file <> hunk_file, hunk_file)) AS hunk_file FROM hits GROUP BY file),
+verdicts AS (
+  SELECT citation, CASE WHEN c.file IS NULL THEN 'unnamed'
+    WHEN NOT EXISTS (SELECT 1 FROM changed f WHERE f.file = c.file OR string_split(f.file, '/')[-1] = string_split(c.file, '/')[-1] OR ends_with(f.file, c.file) OR ends_with(c.file, f.file)) THEN 'bad'
+    WHEN line IS NULL OR hunk_file IS NULL THEN 'file' WHEN EXISTS (SELECT 1 FROM hunked h WHERE h.file = hunk_file AND line BETWEEN h.first AND h.last) THEN 'anchored' ELSE 'unanchored' END AS verdict
+  FROM cites c LEFT JOIN chosen USING (file))"""
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("doc_id"), F.col("o_orderkey")
+    name = lambda head, m: F.concat(F.lit(head), m, F.lit(".c"))
+    file = F.when(n % 6 == 0, name("x/b/g", n % 40)).when(n % 6 == 1, name("g", n % 45)).when(n % 6 == 2, ".c").when(n % 6 == 4, name("h", n % 9)).when(n % 6 == 5, "zz/h1.c")
+    cites = frames.table(spark, sf_dir, "documents").select(n.alias("citation"), file.alias("file"), F.when(n % 7 != 0, n % 230).alias("line"))
+    orders = frames.table(spark, sf_dir, "orders")
+    hunked = orders.where("o_orderkey % 3 = 0").select(name("b/g", k % 30).alias("file"), (k % 200 + 1).alias("first"), (k % 200 + 4).alias("last"))
+    hunked = hunked.union(orders.select(name("h", k % 5), F.lit(10).cast("long"), F.lit(20).cast("long")).distinct())
+    return r.verify_citations(cites, frames.findings(spark, sf_dir).select(F.explode("files").alias("file")), hunked)
+
+
+@query("SELECT citation, verdict FROM verdicts", FINDINGS, _CHANGED)
+def v6_verified_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir)
+
+
+@query("""
+    SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'bad') AS n_bad, round(count(*) FILTER (WHERE verdict <> 'bad') / count(*), 6) AS file_rate,
+      round(count(*) FILTER (WHERE verdict = 'anchored') / nullif(count(*) FILTER (WHERE verdict IN ('anchored', 'unanchored')), 0), 6) AS anchor_rate FROM verdicts""", FINDINGS, _CHANGED)
+def a13_citation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.citation_summary(_verdicts(spark, sf_dir)).select("total", "n_bad", F.round("file_rate", 6).alias("file_rate"), F.round("anchor_rate", 6).alias("anchor_rate"))
+
+
+@query("""
+    SELECT count(*) AS total, count(*) FILTER (WHERE tier = 'high') AS n_high, count(*) FILTER (WHERE risk >= 0.5) AS n_risky,
+      (SELECT string_agg(t || ':' || n, ',' ORDER BY t) FROM (SELECT coalesce(theme, 'function') AS t, count(*) AS n FROM tiered GROUP BY 1)) AS themes,
+      (SELECT string_agg(t || ':' || n, ',' ORDER BY t) FROM (SELECT tier AS t, count(*) AS n FROM tiered GROUP BY 1)) AS tiers,
+      (SELECT string_agg(m || ':' || n, ',' ORDER BY n DESC, m) FROM (SELECT m, count(*) AS n FROM (SELECT unnest(list_distinct(modules)) AS m FROM findings) GROUP BY m ORDER BY n DESC, m LIMIT 10)) AS hot,
+      (SELECT count(DISTINCT subject) FROM g15) AS n_unique,
+      (SELECT count(*) FROM (SELECT subject FROM g15 GROUP BY subject HAVING count(*) > 1)) AS n_groups FROM tiered""", FINDINGS, _TIERED, _GROUPS)
+def a6_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    hot = F.array_join(F.transform("hot_modules", lambda e: F.concat(e["module"], F.lit(":"), e["n"])), ",")
+    found = r.aggregate_findings(_tiered(spark, sf_dir))
+    return found.select("total", "n_high", "n_risky", pairs("by_theme").alias("themes"), pairs("by_tier").alias("tiers"), hot.alias("hot"), "n_unique", F.size("duplicate_groups").cast("long").alias("n_groups"))
+
+
+_PATCHES = """patched AS (
+  SELECT o_orderkey AS commit, CASE WHEN o_orderkey % 9 = 0 THEN 'fetch failed' END AS error, CASE WHEN o_orderkey % 4 = 0 THEN 'security' ELSE 'memory' END AS theme,
+    'src/f' || o_orderkey % 50 || '.c' AS file, o_orderkey % 380 + 1 AS first, o_orderkey % 380 + 1 + 3 AS last FROM orders),
+touched AS (SELECT DISTINCT commit, symbol FROM patched p JOIN spans s ON s.file = p.file AND s.first <= p.last AND s.last >= p.first WHERE error IS NULL),
+per AS (SELECT commit, array_to_string(list_sort(list_distinct(list(symbol % 17))), ',') AS modules, max(symbol % 100 / 100.0) AS risk, bool_or(contains(symbol::VARCHAR, '77')) AS hit FROM touched GROUP BY commit),
+found AS (
+  SELECT commit, CASE WHEN error IS NULL THEN theme END AS theme, CASE WHEN error IS NULL THEN coalesce(risk, 0) END AS risk, error,
+    CASE WHEN error IS NOT NULL THEN NULL WHEN theme = 'security' AND (coalesce(risk, 0) >= 0.5 OR coalesce(hit, false)) THEN 'high' WHEN theme = 'security' THEN 'relevant'
+      WHEN coalesce(hit, false) AND coalesce(risk, 0) >= 0.5 THEN 'high' WHEN coalesce(hit, false) OR coalesce(risk, 0) >= 0.5 THEN 'relevant' ELSE 'none' END AS tier,
+    CASE WHEN error IS NULL THEN coalesce(modules, '') END AS modules, CASE WHEN error IS NULL THEN file END AS files
+  FROM patched LEFT JOIN per USING (commit))"""
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("symbol")
+    file = F.concat(F.lit("src/f"), k % 50, F.lit(".c"))
+    diff = F.concat(F.lit("--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -1 +"), k % 380 + 1, F.lit(",3 @@\n+a\n+b\n c"))
+    patches = frames.table(spark, sf_dir, "orders").select(k.alias("commit"), diff.alias("diff"), F.when(k % 4 == 0, "security").otherwise("memory").alias("theme"), F.lit(True).alias("applies"), F.when(k % 9 == 0, "fetch failed").alias("error"))
+    spans = frames.spans(spark, sf_dir)
+    symbols = spans.select("symbol").distinct()
+    return r.analyse_patches(patches, spans, symbols.select("symbol", (s % 17).alias("module")), symbols.select("symbol", (s % 100 / 100).alias("risk")), ("77",))
+
+
+@query("SELECT commit, theme, CAST(round(risk, 6) AS DOUBLE) AS risk, tier, modules, files, error FROM found", SPANS, _PATCHES)
+def v5_analysed_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysed(spark, sf_dir).select("commit", "theme", F.round("risk", 6).alias("risk"), "tier", F.array_join(F.transform("modules", lambda m: m.cast("string")), ",").alias("modules"), F.array_join("files", ",").alias("files"), "error")
+
+
+@query("SELECT coalesce(tier, 'failed') AS tier, count(*) AS n, CAST(round(avg(risk), 6) AS DOUBLE) AS risk FROM found GROUP BY 1", SPANS, _PATCHES)
+def x1_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysed(spark, sf_dir).groupBy(F.coalesce("tier", F.lit("failed")).alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("risk"), 6).alias("risk"))
+
+
+@query("SELECT branch, count(*) FILTER (WHERE patch NOT IN (SELECT patch FROM commits WHERE branch = 'upstream' AND commit % 2 = 0)) AS n_new, count(*) FILTER (WHERE patch IN (SELECT patch FROM commits WHERE branch = 'upstream' AND commit % 2 = 0)) AS n_there FROM commits GROUP BY branch", COMMITS)
+def a15_cherry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = frames.commits(spark, sf_dir)
+    return r.cherry_counts(c, c.where("branch = 'upstream' and commit % 2 = 0"))
+
+
+@query("""
+    WITH a AS (SELECT CAST(doc_id % 300 AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE ' name' || doc_id || ' ' END AS name, CASE WHEN doc_id % 11 <> 0 THEN 'focus' || doc_id END AS focus, doc_id AS place FROM documents),
+    l AS (SELECT id, max_by(name, place) AS name, arg_max_null(focus, place) AS focus FROM a GROUP BY id)
+    SELECT s_suppkey AS id, CASE WHEN trim(l.name) <> '' AND trim(l.focus) <> '' THEN trim(l.name) ELSE s_name END AS name, CASE WHEN trim(l.name) <> '' AND trim(l.focus) <> '' THEN l.focus ELSE s_name END AS focus,
+      coalesce(trim(l.name) <> '' AND trim(l.focus) <> '', false) AS named FROM supplier LEFT JOIN l ON l.id = CAST(s_suppkey AS VARCHAR)""")
+def j11_named_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    answers = frames.table(spark, sf_dir, "documents").select((n % 300).cast("string").alias("id"), F.when(n % 7 == 0, "  ").otherwise(F.concat(F.lit(" name"), n, F.lit(" "))).alias("name"), F.when(n % 11 != 0, F.concat(F.lit("focus"), n)).alias("focus"), n.alias("place"))
+    return r.named_plans(frames.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("raw_name")), answers)
+
+
+@query("""
+    WITH h AS (SELECT CASE WHEN p_partkey % 6 <> 0 THEN p_partkey % 40 END AS community, p_partkey AS symbol, row_number() OVER (PARTITION BY CASE WHEN p_partkey % 6 <> 0 THEN p_partkey % 40 END ORDER BY p_size, p_partkey) AS r FROM part)
+    SELECT s_suppkey AS community, coalesce(string_agg(symbol::VARCHAR, ',' ORDER BY r), '') AS key_symbols FROM supplier LEFT JOIN (SELECT * FROM h WHERE r <= 15 AND community IS NOT NULL) h ON h.community = s_suppkey GROUP BY s_suppkey""")
+def j12_key_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    hubs = frames.table(spark, sf_dir, "part").select(F.when(k % 6 != 0, k % 40).alias("community"), k.alias("symbol"), F.col("p_size").alias("place"))
+    found = r.with_key_symbols(frames.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("community")), hubs)
+    return found.select("community", F.array_join(F.transform("key_symbols", lambda x: x.cast("string")), ",").alias("key_symbols"))
+
+
 _RECORDS = """records AS (
   SELECT 'repo-' || s_suppkey % 40 || '_v' || s_suppkey % 9 AS name, 'https://git.example.org/team/proj.' || s_suppkey % 15 AS url,
     CASE s_suppkey % 4 WHEN 0 THEN 'baseline' WHEN 1 THEN 'unmanaged' ELSE 'working' END AS role,

@@ -8,7 +8,8 @@ from lumenvault.functions import text
 from lumenvault.operators import sequences as s
 from lumenvault.plans import frames
 from lumenvault.plans.frames import CALLS_MADE, SPANS
-from lumenvault.plans.registry import query
+from lumenvault.plans.registry import ORACLE_SQL, query
+from lumenvault.streaming import guards
 
 
 @query("""
@@ -54,20 +55,38 @@ def w6_loop_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.loop_guard(_hashed(spark, sf_dir))
 
 
+@query(ORACLE_SQL["w6_loop_guard"])
+def st1_loop_guard_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's operator on a table."""
+    return guards.loop_guard(_hashed(spark, sf_dir))
+
+
 @query("SELECT thread, seq, turn, CASE WHEN turn >= 12 THEN 'stop' WHEN turn = 11 THEN 'warn' ELSE 'go' END AS action FROM (SELECT thread, seq, row_number() OVER (PARTITION BY thread ORDER BY seq) AS turn FROM calls_made)", CALLS_MADE)
 def w7_turn_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.turn_guard(frames.calls_made(spark, sf_dir), 12)
 
 
+@query(ORACLE_SQL["w7_turn_guard"])
+def st2_turn_guard_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guards.turn_guard(frames.calls_made(spark, sf_dir), 12)
+
+
 @query("""
     WITH u AS (SELECT thread AS run, arg % 4 AS message, seq, CAST(floor(value) AS BIGINT) AS tokens FROM calls_made),
     h AS (SELECT *, max(tokens) OVER (PARTITION BY run, message ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM u),
     t AS (SELECT run, seq, sum(greatest(0, tokens - coalesce(high, 0))) OVER (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS total FROM h)
     SELECT run, seq, CAST(total AS BIGINT) AS total, CASE WHEN total >= 500 THEN 'stop' WHEN total / 500.0 >= 0.7 THEN 'warn' ELSE 'go' END AS action FROM t""", CALLS_MADE)
 def w8_token_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = frames.calls_made(spark, sf_dir)
-    usage = c.select(F.col("thread").alias("run"), (F.col("arg") % 4).alias("message"), "seq", F.floor("value").cast("long").alias("tokens"))
-    return s.token_guard(usage, 500).select("run", "seq", "total", "action")
+    return s.token_guard(_usage(spark, sf_dir), 500).select("run", "seq", "total", "action")
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.calls_made(spark, sf_dir).select(F.col("thread").alias("run"), (F.col("arg") % 4).alias("message"), "seq", F.floor("value").cast("long").alias("tokens"))
+
+
+@query(ORACLE_SQL["w8_token_guard"])
+def st3_token_guard_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guards.token_guard(_usage(spark, sf_dir).withColumn("message", F.col("message").cast("string")), 500)
 
 
 _ENTRIES = "entries AS (SELECT thread AS run, arg % 60 AS id, seq, CASE WHEN name = 'purchase' THEN 'done' WHEN name = 'error' THEN 'failed' ELSE 'running' END AS status, seq * 10 AS at FROM calls_made)"
@@ -78,9 +97,28 @@ _ENTRIES = "entries AS (SELECT thread AS run, arg % 60 AS id, seq, CASE WHEN nam
     l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seen DESC) AS back FROM r WHERE n = 1)
     SELECT run, id, status, seen * 10 AS created_at, row_number() OVER (PARTITION BY run ORDER BY seen) AS place FROM l WHERE back <= 50""", CALLS_MADE, _ENTRIES)
 def w10_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.ledger(_entries(spark, sf_dir))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = frames.calls_made(spark, sf_dir)
-    entries = c.select(F.col("thread").alias("run"), (F.col("arg") % 60).alias("id"), "seq", F.when(F.col("name") == "purchase", "done").when(F.col("name") == "error", "failed").otherwise("running").alias("status"), (F.col("seq") * 10).alias("at"))
-    return s.ledger(entries)
+    return c.select(F.col("thread").alias("run"), (F.col("arg") % 60).alias("id"), "seq", F.when(F.col("name") == "purchase", "done").when(F.col("name") == "error", "failed").otherwise("running").alias("status"), (F.col("seq") * 10).alias("at"))
+
+
+@query(ORACLE_SQL["w10_ledger"])
+def st5_ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = guards.ledger(_entries(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
+    return found.select("run", F.col("id").cast("long").alias("id"), "status", "created_at", "place")
+
+
+@query("""
+    WITH first AS (SELECT thread % 5 AS space, arg % 120 AS key, min(seq) AS first, max_by(value, seq) AS value FROM calls_made GROUP BY 1, 2),
+    r AS (SELECT space, key, value, row_number() OVER (PARTITION BY space ORDER BY first) AS place FROM first)
+    SELECT space, key, value, place FROM r""", CALLS_MADE)
+def st4_bounded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Room for all keys, so that nothing is put in twice; the tests cover what goes when there is none."""
+    c = frames.calls_made(spark, sf_dir).select((F.col("thread") % 5).alias("space"), "seq", (F.col("arg") % 120).cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return guards.bounded_latest(c, 120).select("space", F.col("key").cast("long").alias("key"), F.col("value").cast("double").alias("value"), "place")
 
 
 @query("""

@@ -1,15 +1,16 @@
 """Guards of running agents as keyed state of a stream.
 
-Each guard is a Structured Streaming operator: rows come with a key and an order
-within it, and an answer goes out for each row. State is bounded for each key and
-dropped after ``ttl`` without rows. Within one batch rows are taken in the order of
-``seq``; across batches in the order of arrival.
+Each guard is an operator of Structured Streaming: rows come with a key and an order
+within it, and an answer goes out for each row. State is bounded for each key, at the newest REMEMBER names
+of each sort, and dropped after ``ttl`` without rows. Within one batch rows are taken in the order of
+``seq``; across batches in the order of arrival. On a table the same operators run over each key's rows in
+order, holding one key's state at a time.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -18,96 +19,147 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lumenvault.operators.sequences import LOOP_STOP, LOOP_WARN, LOOP_WINDOW
 
 TTL = "1 hour"
+#: Names (hashes warned of, messages, ids) that a key's state holds at most; the oldest are forgotten first.
+REMEMBER = 10_000
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values("seq", kind="stable")
+#: Takes a key's rows in their order and its state (None at first); gives answers and the new state.
+Step = Callable[[pd.DataFrame, tuple | None], tuple[list[tuple], tuple]]
 
 
 def _milliseconds(ttl: str) -> int:
     return int(pd.Timedelta(ttl).total_seconds() * 1000)
 
 
-def loop_guard(calls: DataFrame, window: int = LOOP_WINDOW, warn: int = LOOP_WARN, stop: int = LOOP_STOP, ttl: str = TTL) -> DataFrame:
-    """ST1: (thread, seq, times, action) of a stream (thread, seq, hash): warn once for a hash, stop each time."""
+def _kept(rows: DataFrame, key: str, step: Step, answer: str, state: str, mode: str, ttl: str) -> DataFrame:
+    """The answers of step for each key, behind it. In append mode they are of single rows, in update mode of the key as it stands then."""
+    names = [f.split()[0] for f in answer.split(", ")]
+
+    def framed(value: object, answers: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(value, *a) for a in answers], columns=names)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def batch(value: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
             return
-        last, warned = (deque(x) if k == 0 else set(x) for k, x in enumerate(state.get)) if state.exists else (deque(), set())
+        answers, new = step(pd.concat(list(frames)).sort_values("seq", kind="stable"), held.get if held.exists else None)
+        held.update(new)
+        held.setTimeoutDuration(_milliseconds(ttl))
+        yield framed(value[0], answers)
+
+    if rows.isStreaming:
+        return rows.groupBy(key).applyInPandasWithState(batch, answer, state, mode, GroupStateTimeout.ProcessingTimeTimeout)
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come key by key in their order, so the state of one key is all that is held.
+        current, held, last = None, None, []
+        for frame in frames:
+            for value, part in frame.groupby(key, sort=False, dropna=False):
+                if value != current and (value == value or current == current):
+                    if last and mode == "update":
+                        yield framed(current, last)
+                    current, held = value, None
+                last, held = step(part, held)
+                if mode == "append":
+                    yield framed(value, last)
+        if last and mode == "update":
+            yield framed(current, last)
+
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(replay, answer)
+
+
+def loop_guard(calls: DataFrame, window: int = LOOP_WINDOW, warn: int = LOOP_WARN, stop: int = LOOP_STOP, ttl: str = TTL) -> DataFrame:
+    """ST1: (thread, seq, times, action) of rows (thread, seq, hash): warn once for a hash, stop each time."""
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        last, warned = (deque(state[0]), dict.fromkeys(state[1])) if state else (deque(), {})
         out = []
-        for row in _ordered(frames).itertuples(index=False):
+        for row in rows.itertuples(index=False):
             last.append(row.hash)
             if len(last) > window:
                 last.popleft()
             times = sum(h == row.hash for h in last)
-            action = "stop" if times >= stop else "warn" if times >= warn and row.hash not in warned else "go"
+            out.append((row.seq, times, "stop" if times >= stop else "warn" if times >= warn and row.hash not in warned else "go"))
             if times >= warn:
-                warned.add(row.hash)
-            out.append((key[0], row.seq, times, action))
-        state.update((list(last), sorted(warned)))
-        state.setTimeoutDuration(_milliseconds(ttl))
-        yield pd.DataFrame(out, columns=["thread", "seq", "times", "action"])
+                warned[row.hash] = None
+        return out, (list(last), list(warned)[-REMEMBER:])
 
-    return calls.groupBy("thread").applyInPandasWithState(step, "thread long, seq long, times int, action string", "last array<string>, warned array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _kept(calls, "thread", step, "thread long, seq long, times int, action string", "last array<string>, warned array<string>", "append", ttl)
 
 
 def turn_guard(turns: DataFrame, most: int = 50, ttl: str = TTL) -> DataFrame:
-    """ST2: (thread, seq, turn, action): warn on the last turn but one, stop from the last on."""
+    """ST2: (thread, seq, turn, action) of rows (thread, seq): warn on the last turn but one, stop from the last on."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turn, out = (state.get[0] if state.exists else 0), []
-        for row in _ordered(frames).itertuples(index=False):
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        turn, out = (state[0] if state else 0), []
+        for row in rows.itertuples(index=False):
             turn += 1
-            out.append((key[0], row.seq, turn, "stop" if turn >= most else "warn" if turn == most - 1 else "go"))
-        state.update((turn,))
-        state.setTimeoutDuration(_milliseconds(ttl))
-        yield pd.DataFrame(out, columns=["thread", "seq", "turn", "action"])
+            out.append((row.seq, turn, "stop" if turn >= most else "warn" if turn == most - 1 else "go"))
+        return out, (turn,)
 
-    return turns.groupBy("thread").applyInPandasWithState(step, "thread long, seq long, turn long, action string", "turn long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _kept(turns, "thread", step, "thread long, seq long, turn long, action string", "turn long", "append", ttl)
 
 
 def token_guard(usage: DataFrame, limit: int = 1_000_000, warn: float = 0.7, ttl: str = TTL) -> DataFrame:
-    """ST3: (run, seq, total, action): a message told again counts only above its own highest count."""
+    """ST3: (run, seq, total, action) of rows (run, seq, message, tokens): a message told again counts only above its own highest count."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        names, highs, total = state.get if state.exists else ([], [], 0)
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        names, highs, total = state or ([], [], 0)
         high, out = dict(zip(names, highs)), []
-        for row in _ordered(frames).itertuples(index=False):
+        for row in rows.itertuples(index=False):
             total += max(0, int(row.tokens) - high.get(row.message, 0))
-            high[row.message] = max(int(row.tokens), high.get(row.message, 0))
-            out.append((key[0], row.seq, total, "stop" if total >= limit else "warn" if total >= warn * limit else "go"))
-        state.update((list(high), list(high.values()), total))
-        state.setTimeoutDuration(_milliseconds(ttl))
-        yield pd.DataFrame(out, columns=["run", "seq", "total", "action"])
+            # The message told last is the last to be forgotten.
+            high[row.message] = max(int(row.tokens), high.pop(row.message, 0))
+            out.append((row.seq, total, "stop" if total >= limit else "warn" if total >= warn * limit else "go"))
+        high = dict(list(high.items())[-REMEMBER:])
+        return out, (list(high), list(high.values()), total)
 
-    return usage.groupBy("run").applyInPandasWithState(step, "run long, seq long, total long, action string", "names array<string>, highs array<long>, total long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _kept(usage, "run", step, "run long, seq long, total long, action string", "names array<string>, highs array<long>, total long", "append", ttl)
 
 
 def ledger(entries: DataFrame, terminal: tuple[str, ...] = ("done", "failed", "cancelled"), most: int = 50, ttl: str = TTL) -> DataFrame:
-    """ST5: (run, id, status, place) after each batch: a terminal status stays, the ids first seen last are kept."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = dict(zip(*state.get)) if state.exists else {}
-        for row in _ordered(frames).itertuples(index=False):
-            if row.id not in known or row.status in terminal or known[row.id] not in terminal:
-                known[row.id] = row.status
-        known = dict(list(known.items())[-most:])
-        state.update((list(known), list(known.values())))
-        state.setTimeoutDuration(_milliseconds(ttl))
-        yield pd.DataFrame([(key[0], i, s, k + 1) for k, (i, s) in enumerate(known.items())], columns=["run", "id", "status", "place"])
-
-    return entries.groupBy("run").applyInPandasWithState(step, "run long, id string, status string, place int", "ids array<string>, statuses array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """ST5, P20: (run, id, status, created_at, place) of rows (run, seq, id, status, at) after each batch: a terminal status
+    stays, created_at is the first one's, and the ``most`` ids first seen last are kept.
+
+    An id that was trimmed does not come back as a new one: trimmed ids are remembered, REMEMBER of them.
+    """
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        ids, statuses, created, gone = state or ([], [], [], [])
+        known, gone = {i: [s, c] for i, s, c in zip(ids, statuses, created)}, dict.fromkeys(gone)
+        for row in rows.itertuples(index=False):
+            if row.id in gone:
+                continue
+            if row.id not in known:
+                known[row.id] = [row.status, int(row.at)]
+            elif row.status in terminal or known[row.id][0] not in terminal:
+                known[row.id][0] = row.status
+            if len(known) > most:
+                first = next(iter(known))
+                del known[first]
+                gone[first] = None
+        out = [(i, s, c, k + 1) for k, (i, (s, c)) in enumerate(known.items())]
+        return out, (list(known), [x[0] for x in known.values()], [x[1] for x in known.values()], list(gone)[-REMEMBER:])
+
+    form = "ids array<string>, statuses array<string>, created array<long>, gone array<string>"
+    return _kept(entries, "run", step, "run long, id string, status string, created_at long, place int", form, "update", ttl)
+
+
+def bounded_latest(rows: DataFrame, most: int = 100, ttl: str = TTL) -> DataFrame:
+    """ST4: (space, key, value, place) of rows (space, seq, key, value) after each batch: at most ``most`` keys of a space with their last values.
+
+    The key that was put in first goes first; a new value for a key that is there does not make it newer.
+    """
+
+    def step(part: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        held = dict(zip(*state)) if state else {}
+        for row in part.itertuples(index=False):
+            held[row.key] = row.value
+            if len(held) > most:
+                del held[next(iter(held))]
+        return [(k, v, n + 1) for n, (k, v) in enumerate(held.items())], (list(held), list(held.values()))
+
+    return _kept(rows, "space", step, "space long, key string, value string, place int", "keys array<string>, held array<string>", "update", ttl)
 
 
 def decode_events(lines: DataFrame) -> DataFrame:

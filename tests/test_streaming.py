@@ -47,10 +47,41 @@ def test_token_guard(spark, tmp_path):
     assert same(streamed(spark, tmp_path, usage, lambda s: guards.token_guard(s, 300), "append"), sequences.token_guard(usage, 300).select("run", "seq", "total", "action"))
 
 
+def ledger_rows(spark, rows):
+    return spark.createDataFrame(rows, "run long, seq long, id string, status string, at long")
+
+
 def test_ledger_keeps_terminal_statuses(spark, tmp_path):
-    entries = spark.createDataFrame([(1, 1, "a", "running"), (1, 2, "a", "done"), (1, 3, "a", "running"), (1, 4, "b", "running")], "run long, seq long, id string, status string")
-    found = {(r.id, r.status) for r in streamed(spark, tmp_path, entries, guards.ledger, "update").collect()}
-    assert found == {("a", "done"), ("b", "running")}
+    entries = ledger_rows(spark, [(1, 1, "a", "running", 10), (1, 2, "a", "done", 20), (1, 3, "a", "running", 30), (1, 4, "b", "running", 40)])
+    found = {(r.id, r.status, r.created_at) for r in streamed(spark, tmp_path, entries, guards.ledger, "update").collect()}
+    assert found == {("a", "done", 10), ("b", "running", 40)}
+
+
+def test_trimmed_ids_stay_trimmed(spark):
+    entries = ledger_rows(spark, [(1, 1, "a", "done", 1), (1, 2, "b", "running", 2), (1, 3, "c", "running", 3), (1, 4, "a", "running", 4), (1, 5, "b", "done", 5)])
+    assert [(r.id, r.status, r.place) for r in guards.ledger(entries, most=2).orderBy("place").collect()] == [("b", "done", 1), ("c", "running", 2)]
+    assert same(guards.ledger(entries, most=2), sequences.ledger(entries, most=2))
+
+
+def test_bounded_state_drops_what_came_first(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "x"), (1, 2, "b", "x"), (1, 3, "a", "y"), (1, 4, "c", "x"), (1, 5, "a", "z")], "space long, seq long, key string, value string")
+    assert [(r.key, r.value) for r in guards.bounded_latest(rows, 2).orderBy("place").collect()] == [("c", "x"), ("a", "z")]
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    """A query that is stopped and started again on its checkpoint goes on with its state."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    schema = "thread long, seq long, hash string"
+    totals = []
+    for batch in (((1, 1, "h"), (1, 2, "h")), ((1, 3, "h"), (1, 4, "h"), (1, 5, "h"))):
+        spark.createDataFrame(list(batch), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = guards.loop_guard(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        totals.append(sorted((r.seq, r.times, r.action) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert totals[0] == [(1, 1, "go"), (2, 2, "go")]
+    assert totals[1] == [(1, 1, "go"), (2, 2, "go"), (3, 3, "warn"), (4, 4, "go"), (5, 5, "stop")]
 
 
 def test_events_and_windows(spark, tmp_path):
