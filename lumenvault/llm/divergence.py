@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histogram of character classes and its histogram of its language's
-common words are compared with those of all documents of that language, by the
-Jensen-Shannon distance (base 2, so 0 to 1). Both limits fall with the number of
+common words are compared with those of all documents of that language that pass the base
+rules, by the Jensen-Shannon distance (base 2, so 0 to 1). Both limits fall with the number of
 words, since short histograms are far from any reference by chance, and below
 ``min_words`` nothing is judged. Counts come from array and string functions on
 the document's own row; only a row of counts for each language is broadcast.
@@ -14,6 +14,7 @@ by one; extra columns are left out. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,13 +58,12 @@ def repeat_words(words: Column) -> Column:
     Windows are hashed, by their words' hashes, and sorted with their places; equal neighbours are repeats.
     """
     n = F.size(words)
-    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  binds a value to a lambda's variable, so it is computed once
     each = F.transform(words, lambda w: F.xxhash64(w))
-    hashed = let(each, lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda h, i: F.xxhash64(h, F.get(w, i + 1), F.get(w, i + 2))))
+    hashed = _let(each, lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda h, i: F.xxhash64(h, F.get(w, i + 1), F.get(w, i + 2))))
 
     def spread(places: Column) -> Column:
         # A window adds the words up to the next repeated window, three at most.
-        return let(F.sort_array(places), lambda p: F.aggregate(F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3))), F.lit(0), lambda a, b: a + b))
+        return _let(F.sort_array(places), lambda p: F.aggregate(F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3))), F.lit(0), lambda a, b: a + b))
 
     def covered(hashes: Column) -> Column:
         # Sorted as numbers, with the place in the low bits; neighbours whose high bits are equal are compared in full.
@@ -71,14 +71,14 @@ def repeat_words(words: Column) -> Column:
         packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
         place = lambda e: e.bitwiseAND(F.lit(low)).cast("int")
         same = lambda e, f: F.coalesce((e.bitwiseXOR(f).bitwiseAND(F.lit(~low)) == 0) & (F.get(hashes, place(e)) == F.get(hashes, place(f))), F.lit(False))
-        return let(packed, lambda z: spread(F.transform(F.filter(z, lambda e, k: same(e, F.get(z, k - 1)) | same(e, F.get(z, k + 1))), place)))
+        return _let(packed, lambda z: spread(F.transform(F.filter(z, lambda e, k: same(e, F.get(z, k - 1)) | same(e, F.get(z, k + 1))), place)))
 
     def covered_long(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         again = lambda z: F.filter(z, lambda e, k: F.coalesce(F.get(z, k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(z, k + 1)["h"] == e["h"], F.lit(False)))
-        return let(placed, lambda z: spread(F.transform(again(z), lambda e: e["i"])))
+        return _let(placed, lambda z: spread(F.transform(again(z), lambda e: e["i"])))
 
-    counted = let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) < 1 << _PLACE_BITS, covered(h)).otherwise(covered_long(h)))
+    counted = _let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) < 1 << _PLACE_BITS, covered(h)).otherwise(covered_long(h)))
     return F.when(n < 3, F.lit(0)).otherwise(counted)
 
 
@@ -109,37 +109,41 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     )
 
 
-def distance(counts: list[Column], reference: list[Column]) -> Column:
-    """The Jensen-Shannon distance of two histograms with as many bins."""
-    total, of_reference = sum(counts, F.lit(0)), sum(reference, F.lit(0))
-    terms = []
-    for c, r in zip(counts, reference):
-        p, q = c / total, r / of_reference
-        m = (p + q) / 2
-        terms += [F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) for x in (p, q)]
-    return F.sqrt(F.greatest(sum(terms, F.lit(0.0)) / 2, F.lit(0.0)))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once: a lambda's variable is bound to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def distance(counts: Column, reference: Column) -> Column:
+    """The Jensen-Shannon distance of two histograms, arrays of as many bins."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    shares = lambda x: _let(total(x), lambda n: F.transform(x, lambda c: c / n))
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    terms = F.zip_with(shares(counts), shares(reference), lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
+    return F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0)))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", limits: DivergenceLimits | None = None) -> DataFrame:
-    """key, the base counts, base_failed and kept of every row, with both distances (null where not judged)."""
+    """key, the base counts, base_failed and kept of every row."""
     limits = limits or DivergenceLimits()
-    made = cut(features(docs, text, lang, key))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    made = cut(features(docs, text, lang, key).withColumn("base_failed", base))
     n_classes, n_common = len(CLASSES) + 2, len(COMMON["en"])
-    sums = [F.sum(F.col("classes")[k]).alias(f"class{k}") for k in range(n_classes)] + [F.sum(F.col("common")[k]).alias(f"common{k}") for k in range(n_common)]
-    # One row for each language with a word list, as many as COMMON has.
-    reference = made.where(F.col("lang").isin(*COMMON)).groupBy("lang").agg(*sums, F.sum("n_words").alias("all_words"))
+    added = lambda name, n: F.array(*(F.sum(F.col(name)[k]).cast("double") for k in range(n)))
+    # One row for each language with a word list, as many as COMMON has, from the documents that pass the base rules.
+    of_language = made.where(F.col("lang").isin(*COMMON) & ~F.col("base_failed")).groupBy("lang")
+    reference = of_language.agg(added("classes", n_classes).alias("their_classes"), added("common", n_common).alias("their_common"), F.sum("n_words").cast("double").alias("all_words"))
+    with_rest = lambda parts, n: F.concat(parts, F.array(n - F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)))
+    reference = reference.select("lang", "their_classes", with_rest(F.col("their_common"), F.col("all_words")).alias("their_words"))
     both = made.join(F.broadcast(reference), "lang", "left")
-    classes = distance([F.col("classes")[k] for k in range(n_classes)], [F.col(f"class{k}") for k in range(n_classes)])
-    own = [F.col("common")[k] for k in range(n_common)]
-    ours = [F.col(f"common{k}") for k in range(n_common)]
-    other = lambda total, parts: total - sum(parts, F.lit(0))
-    words = distance([*own, other(F.col("n_words"), own)], [*ours, other(F.col("all_words"), ours)])
-    judged = (F.col("n_words") >= limits.min_words) & F.col("all_words").isNotNull()
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = both.select("*", base.alias("base_failed"), F.when(judged, classes).alias("class_distance"), F.when(judged, words).alias("word_distance"))
+    doubles = lambda name: F.transform(name, lambda x: x.cast("double"))
     limit = lambda at, slope: F.lit(at) + F.lit(slope) / F.sqrt(F.col("n_words").cast("double"))
-    far = (F.col("class_distance") > limit(limits.class_base, limits.class_slope)) | (F.col("word_distance") > limit(limits.word_base, limits.word_slope))
-    return found.select(
+    far = (distance(doubles("classes"), F.col("their_classes")) > limit(limits.class_base, limits.class_slope)) | (
+        distance(with_rest(doubles("common"), F.col("n_words").cast("double")), F.col("their_words")) > limit(limits.word_base, limits.word_slope)
+    )
+    # A row without a reference, or too short, or failed already is not compared.
+    judged = (F.col("n_words") >= limits.min_words) & F.col("their_words").isNotNull() & ~F.col("base_failed")
+    return both.select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & ~F.when(judged, far).otherwise(F.lit(False))).alias("kept"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenvault.llm import divergence, url_filter
+from lumenvault.llm import divergence, recompression, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,6 +35,21 @@ SELECT page_id, host, path, {rule} AS rule,
 FROM counted"""
 
 
+def recompression_sql() -> str:
+    size = recompression.SIZE
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT rid, i, sha256(array_to_string(words[i : i + {size - 1}], ' ')) AS w FROM (SELECT rid, words, unnest(range(1, len(words) - {size - 2})) AS i FROM d)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1),
+placed AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d),
+marked AS (
+  SELECT p.rid, word, place, max(i) OVER (PARTITION BY p.rid ORDER BY place ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM placed p LEFT JOIN again a ON a.rid = p.rid AND a.i = p.place),
+left_over AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (rid)"""
+
+
 def _distance_sql(counts: list[str], reference: list[str]) -> str:
     total, of_reference = " + ".join(counts), " + ".join(reference)
     terms = []
@@ -73,7 +88,7 @@ counted AS (
   FROM d),
 f AS (SELECT *, n_chars - {" - ".join(k[:-1])} AS {k[-1]}, coalesce(n_repeat_words, 0) AS nr, coalesce(n_dup_lines, 0) AS nd
   FROM counted LEFT JOIN repeated USING (rid) LEFT JOIN dup USING (rid)),
-r AS (SELECT lang, sum(n_words) AS n_words, {", ".join(f"sum({x}) AS {x}" for x in [*k, *w])} FROM f WHERE lang IN {_listed(names)} GROUP BY lang),
+r AS (SELECT lang, sum(n_words) AS n_words, {", ".join(f"sum({x}) AS {x}" for x in [*k, *w])} FROM f WHERE lang IN {_listed(names)} AND n_words >= 50 AND 100 * nr <= 50 * n_words GROUP BY lang),
 far AS (
   SELECT f.rid, {classes_distance} > {limits.class_base} + {limits.class_slope} / sqrt(f.n_words)
     OR {words_distance} > {limits.word_base} + {limits.word_slope} / sqrt(f.n_words) AS far

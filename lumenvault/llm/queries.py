@@ -51,4 +51,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op6_html_blocks, op7_packing, op8_license_scan, op9_recompression, op10_url_filter)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op2_divergence": oracles.divergence_sql(), "op10_url_filter": oracles.url_filter_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_divergence": oracles.divergence_sql(), "op9_recompression": oracles.recompression_sql(), "op10_url_filter": oracles.url_filter_sql()}
