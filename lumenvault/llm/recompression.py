@@ -181,6 +181,21 @@ def _runs(w: Windows, hit: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.
     return at[first], at[np.append(first[1:], len(at)) - 1] + 1
 
 
+def _spans(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, first, end) of the runs of places that follow each other."""
+    if not len(place):
+        return owner, place, place
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]))
+    return owner[first], place[first], place[np.append(first[1:], len(place)) - 1] + 1
+
+
+def _span_lists(owner: np.ndarray, first: np.ndarray, end: np.ndarray, kind: type) -> tuple[np.ndarray, pa.ListArray]:
+    """The owners in order, each once, and for each the list first, end, first, end ..."""
+    owners, begin = np.unique(owner, return_index=True)
+    flat = np.stack([first, end], axis=1).ravel().astype(kind)
+    return owners, pa.ListArray.from_arrays(pa.array((2 * np.append(begin, len(owner))).astype(np.int32)), pa.array(flat))
+
+
 def _windows_sent(docs: DataFrame, flags: DataFrame, size: int) -> DataFrame:
     """(deal, _id, _tag, first, hashes, hot): runs of candidate windows, dealt by symbol; hot windows by hash and a part of the id."""
 
@@ -198,7 +213,7 @@ def _windows_sent(docs: DataFrame, flags: DataFrame, size: int) -> DataFrame:
             at = np.minimum(np.searchsorted(flagged, mine), len(flagged) - 1)
             hit = flagged[at] == mine
             hot = hots[at] & hit
-            # Windows that a document has twice are repeats already: their places go as one row, and the first of each stands for them elsewhere.
+            # Windows that a document has twice are repeats already: the spans of their places go as one row, and the first of each stands for them elsewhere.
             at_hit = np.flatnonzero(hit)
             _, once, back, counts = np.unique(mix(w.hash[at_hit] ^ mix(w.doc[at_hit].astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
             known = at_hit[counts[back] > 1]
@@ -207,11 +222,10 @@ def _windows_sent(docs: DataFrame, flags: DataFrame, size: int) -> DataFrame:
                 lone[counts[back] > 1] = False
                 lone[once] = True
                 hit[at_hit[~lone]] = False
-                owners, begin = np.unique(w.doc[known], return_index=True)
+                owners, spans = _span_lists(*_spans(w.doc[known], w.starts[known] - w.offsets[w.doc[known]]), np.int64)
                 rows = pa.array(owners)
-                places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(known)).astype(np.int32)), pa.array((w.starts[known] - w.offsets[w.doc[known]]).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix(np.asarray(part.column("_id").take(rows)).astype(np.uint64)).astype(np.int64)), part.column("_id").take(rows), part.column("_tag").take(rows), pa.array(np.full(len(owners), KNOWN, np.int32)), places, pa.array(np.zeros(len(owners), bool))],
+                    [pa.array(mix(np.asarray(part.column("_id").take(rows)).astype(np.uint64)).astype(np.int64)), part.column("_id").take(rows), part.column("_tag").take(rows), pa.array(np.full(len(owners), KNOWN, np.int32)), spans, pa.array(np.zeros(len(owners), bool))],
                     ["deal", "_id", "_tag", "first", "hashes", "hot"],
                 )
             first, end = _runs(w, hit, hot)
@@ -232,12 +246,12 @@ def _windows_sent(docs: DataFrame, flags: DataFrame, size: int) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``deal`` to (_id, _tag, places, window, n): places of repeats; with a window, what is known of a hot one.
+    """Rows sorted by ``deal`` to (_id, _tag, spans, window, n): spans of places of repeats; with a window, what is known of a hot one.
 
     A cold group is bounded by how often its symbol occurs. Of a hot group, whose
     windows are all equal, one row is kept while it goes on.
     """
-    names = ["_id", "_tag", "places", "window", "n"]
+    names = ["_id", "_tag", "spans", "window", "n"]
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         told = np.asarray(rows.column("first")) == KNOWN
@@ -253,19 +267,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.repeat(np.asarray(rows.column("first")), lengths) + np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         again = counts[at] > 1
-        per_row = np.bincount(owner[again], minlength=len(lists))
-        has = np.flatnonzero(per_row)
+        has, spans = _span_lists(*_spans(owner[again], place[again]), np.int32)
         ids, tags = (rows.column(c).combine_chunks() for c in ("_id", "_tag"))
         if len(has):
-            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row[has])]).astype(np.int32)), pa.array(place[again].astype(np.int32)))
             nothing = pa.nulls(len(has), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(has)), tags.take(pa.array(has)), places, nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(has)), tags.take(pa.array(has)), spans, nothing, nothing], names)
         hot = np.flatnonzero(np.asarray(rows.column("hot").combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)[owner])
         if len(hot):
             _, first = np.unique(hashes[hot], return_index=True)
             hot = hot[first]
             at_row = pa.array(owner[hot])
-            lone = pa.ListArray.from_arrays(pa.array(np.arange(len(hot) + 1).astype(np.int32)), pa.array(place[hot].astype(np.int32)))
+            _, lone = _span_lists(np.arange(len(hot)), place[hot], place[hot] + 1, np.int32)
             yield pa.RecordBatch.from_arrays([ids.take(at_row), tags.take(at_row), lone, pa.array(hashes[hot]), pa.array(np.where(again[hot], 2, 1).astype(np.int64))], names)
 
     rest: pa.Table | None = None
@@ -287,7 +299,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_places(docs: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
-    """(_id, _tag, places): the starts of windows whose words start anywhere else, for documents (_key, _id, _tag, text)."""
+    """(_id, _tag, spans): first, end, first, end ... of the runs of places where windows start whose words start anywhere else, for documents (_key, _id, _tag, text)."""
     spark = docs.sparkSession
 
     def send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,21 +316,20 @@ def repeated_places(docs: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFr
     flags = cut(flags)
     drop_path(spark, path)
     dealt = _windows_sent(docs, flags, size).repartition("deal").sortWithinPartitions("deal")
-    compared = arrow_map(dealt, _compare, "_id long, _tag long, places array<int>, window long, n long")
-    repeats = compared.where("window is null").select("_id", "_tag", "places")
+    compared = arrow_map(dealt, _compare, "_id long, _tag long, spans array<int>, window long, n long")
+    repeats = compared.where("window is null").select("_id", "_tag", "spans")
     if any_hot:
         # A hot window's parts, at most SALTS rows, are put together: one that was alone in its part may not be alone.
         parts = compared.where("window is not null").withColumn("times", F.sum("n").over(Window.partitionBy("window")))
-        repeats = repeats.unionAll(parts.where("n = 1 and times > 1").select("_id", "_tag", "places"))
-    return repeats.groupBy("_id", "_tag").agg(F.flatten(F.collect_list("places")).alias("places"))
+        repeats = repeats.unionAll(parts.where("n = 1 and times > 1").select("_id", "_tag", "spans"))
+    return repeats.groupBy("_id", "_tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _covered(n: int, places: list[int] | None, size: int) -> np.ndarray:
+def _covered(n: int, spans: np.ndarray, size: int) -> np.ndarray:
+    """Which of n words lie in a window that starts in one of the spans (first, end, first, end ...)."""
     change = np.zeros(n + 1, np.int64)
-    if places is not None and len(places):
-        at = np.unique(places)
-        change[at] += 1
-        change[at + size] -= 1
+    np.add.at(change, spans[::2], 1)
+    np.add.at(change, spans[1::2] - 1 + size, -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -341,17 +352,17 @@ def _cut_out(body: bytes, covered: np.ndarray) -> bytes:
 
 
 def _places(docs: DataFrame, text: str, key: str, size: int, keep: list[str]) -> DataFrame:
-    """_key, text, the columns ``keep`` as _keep0, _keep1 ..., and places (null: none) of every row."""
+    """_key, text, the columns ``keep`` as _keep0, _keep1 ..., and spans (null: none) of every row."""
     rows = _keyed(docs, text, key, keep)
     kept = [f"_keep{k}" for k in range(len(keep))]
-    return rows.join(repeated_places(rows, size), ["_id", "_tag"], "left").select("_key", "text", "places", *kept)
+    return rows.join(repeated_places(rows, size), ["_id", "_tag"], "left").select("_key", "text", "spans", *kept)
 
 
 def _remove(part: pa.RecordBatch, size: int) -> Iterator[tuple[bytes | None, list[bytes], list[bytes], np.ndarray | None]]:
     """(text, words, kept words, covered words or None) of each row."""
-    for body, places in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("places")):
+    for body, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans")):
         words = (body or b"").split()
-        gone = _covered(len(words), places.values.to_numpy(), size) if places.is_valid else None
+        gone = _covered(len(words), spans.values.to_numpy(), size) if spans.is_valid else None
         yield body, words, words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g], gone
 
 
@@ -374,7 +385,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     names = docs.columns
     keep = [c for c in names if c not in (text, key)]
     both = _places(docs, text, key, size, keep)
-    schema = T.StructType([f for f in both.schema.fields if f.name != "places"])
+    schema = T.StructType([f for f in both.schema.fields if f.name != "spans"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
