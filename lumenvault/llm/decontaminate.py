@@ -14,8 +14,11 @@ Shorter items are sought as a whole run, by masks that leave out the
 words that may differ; those below ``min_item`` words are no evidence and are not sought. Test items are handled in blocks of bounded size
 that are sent to all tasks; documents are never shuffled.
 
-Nulls have no words. Repeated rows are judged one by one; of repeated item ids
-each text is sought. An empty table on either side gives no rows.
+Words that repeat give hits at very many alignments; then all alignments of the two texts are
+tried at once instead of one for each hit. Of a document's alignments with an item the one with the most equal
+words in its stretch is told; of several, the one with the most equal words elsewhere too, then the first. Nulls have no words. Repeated rows are judged
+one by one; of repeated item ids each text is sought. Ids may be of any type. An empty table on either
+side gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +31,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenvault.llm.common import arrow_map, chunks, mix, word_hashes
 
 # Masks, 1 for a word that counts, and the least words of an item for them.
 MASKS = ("1111011", "110100010011", "1110001011", "111111")
 PROVEN = 13
-#: Items in a block.
-BLOCK = 10_000
+#: Items, and bytes of their texts, in a block.
+BLOCK, BLOCK_BYTES = 10_000, 32 << 20
+#: Words of documents and items that are compared at once.
+CELLS = 1 << 21
 _DROP = string.punctuation.encode()
 _PREFILTER = 22
 
@@ -87,8 +93,8 @@ class SeedIndex:
         self.ids = [i for i, w in items if len(w) >= overlap.min_item]
         self.hashes, offsets = word_hashes([w for _, w in items if len(w) >= overlap.min_item])
         self.starts = offsets
-        #: For each mask in use: sorted seeds, their items and places.
-        self.tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: For each mask in use: seeds and items, sorted, each pair once; where its places begin, how many, and the places.
+        self.tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[str, list] = {}
         for item, (a, b) in enumerate(zip(offsets, offsets[1:])):
             for mask in MASKS if b - a >= PROVEN else run_masks(int(b - a), overlap.similarity):
@@ -96,17 +102,19 @@ class SeedIndex:
                 found.setdefault(mask, []).append((s, np.full(len(s), item), np.arange(len(s))))
         for mask, parts in found.items():
             s, item, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(s, kind="stable")
-            self.tables[mask] = (s[order], item[order], at[order])
+            order = np.lexsort((at, item, s))
+            s, item, at = s[order], item[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (item[1:] != item[:-1])])[: len(s)])
+            self.tables[mask] = (s[first], item[first], first, np.diff(np.append(first, len(s))), at)
         self.filter = np.zeros(1 << _PREFILTER, bool)
-        for s, _, _ in self.tables.values():
+        for s, *_ in self.tables.values():
             self.filter[(s >> np.uint64(64 - _PREFILTER)).astype(np.int64)] = True
 
     def overlaps(self, hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int, int, int, int]]:
         """(document, item id, first word in the document, first word in the item, words, equal words), the best for each pair."""
         doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        lines = []
-        for mask, (table, item, at) in self.tables.items():
+        met: list[np.ndarray] = []  # rows of (document, item, place, mask, begin, how many)
+        for k, (mask, (table, items, begin, many, _)) in enumerate(self.tables.items()):
             s = seeds(hashes, mask, self.factors)
             maybe = np.flatnonzero(self.filter[(s >> np.uint64(64 - _PREFILTER)).astype(np.int64)])
             maybe = maybe[doc_of[maybe] == doc_of[maybe + len(mask) - 1]] if len(maybe) else maybe
@@ -115,23 +123,58 @@ class SeedIndex:
             if not times.any():
                 continue
             place = np.repeat(maybe, times)
-            within = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
-            entry = np.repeat(low, times) + within
-            lines.append(np.stack([doc_of[place], item[entry], place - at[entry]]))
-        if not lines:
+            entry = np.repeat(low, times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+            met.append(np.stack([doc_of[place], items[entry], place, np.full(len(place), k), begin[entry], many[entry]]))
+        if not met:
             return []
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for doc, j, shift in np.unique(np.concatenate(lines, axis=1), axis=1).T.tolist():
-            a, b = int(self.starts[j]), int(self.starts[j + 1])
-            first, last = max(shift, int(offsets[doc])), min(shift + b - a, int(offsets[doc + 1]))
-            equal = hashes[first:last] == self.hashes[a + first - shift : a + last - shift]
-            found = self._stretch(equal)
-            if found and found[1] - found[0] >= min(self.overlap.words, b - a):
-                start, end, same = found
-                known = best.get((doc, j))
-                if known is None or same > known[3]:
-                    best[doc, j] = (first + start - int(offsets[doc]), first + start - shift, end - start, same)
-        return [(doc, self.ids[j], *x) for (doc, j), x in sorted(best.items())]
+        rows = np.concatenate(met, axis=1)
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        first = np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]))
+        out, places = [], [t[4] for t in self.tables.values()]
+        for a, b in zip(first, np.append(first[1:], rows.shape[1])):
+            doc, j = int(rows[0, a]), int(rows[1, a])
+            own, item = hashes[offsets[doc] : offsets[doc + 1]], self.hashes[self.starts[j] : self.starts[j + 1]]
+            if int(rows[5, a:b].sum()) > 64 + (len(own) + len(item)) // 16:
+                shifts = np.arange(1 - len(item), len(own))
+            else:
+                shifts = np.unique(np.concatenate([p - offsets[doc] - places[k][x : x + n] for p, k, x, n in rows[2:, a:b].T.tolist()]))
+            best = self._best(own, item, shifts)
+            if best:
+                out.append((doc, self.ids[j], *best))
+        return out
+
+    def _best(self, own: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int, int] | None:
+        """(first word in the document, first word in the item, words, equal words) of the best alignment; ``shifts`` ascend."""
+        least = min(self.overlap.words, len(item))
+        best, step = None, max(1, CELLS // len(item))
+        for a in range(0, len(shifts), step):
+            some = shifts[a : a + step]
+            place = some[:, None] + np.arange(len(item))
+            equal = (own[np.clip(place, 0, len(own) - 1)] == item) & (place >= 0) & (place < len(own))
+            total = equal.sum(axis=1)
+            open_ = total >= self.overlap.similarity * least - 1e-9
+            if len(some) > 64:
+                open_ &= self._may_reach(equal, least)
+            while True:
+                worth = open_ & ((total > best[3]) if best else True)
+                if not worth.any():
+                    break
+                # The most equal words first; none with as many can be better than one that reaches them all.
+                k = int(np.argmax(np.where(worth, total, -1)))
+                open_[k] = False
+                found = self._stretch(equal[k])
+                if found and found[1] - found[0] >= least and (best is None or (found[2], total[k]) > best[3:]):
+                    start, end, same = found
+                    best = (int(some[k]) + start, start, end - start, same, int(total[k]))
+        return best and best[:4]
+
+    def _may_reach(self, equal: np.ndarray, least: int) -> np.ndarray:
+        """Rows with a part of ``least`` to twice as many words of which enough are equal; every longer stretch has such a part."""
+        sums = np.concatenate([np.zeros((len(equal), 1), np.int64), np.cumsum(equal, axis=1)], axis=1)
+        out = np.zeros(len(equal), bool)
+        for n in range(least, min(2 * least, equal.shape[1]) + 1):
+            out |= ((sums[:, n:] - sums[:, :-n]) >= self.overlap.similarity * n - 1e-9).any(axis=1)
+        return out
 
     def _stretch(self, equal: np.ndarray) -> tuple[int, int, int] | None:
         """(first, end, equal words) of the longest stretch of enough equal words that begins and ends with one."""
@@ -152,7 +195,8 @@ class SeedIndex:
 
 def _blocks(benchmark: DataFrame, text: str, key: str, overlap: Overlap, block: int) -> Iterator[SeedIndex]:
     items = benchmark.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
-    n = -(-items.count() // block)
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-rows // block), -(-size // BLOCK_BYTES)) if rows else 0
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("_key", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
         yield SeedIndex(list(zip([r[0] for r in rows], plain_words(pa.array([r[1] for r in rows], pa.string())))), overlap)
@@ -172,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
                 rows = index.overlaps(*word_hashes(plain_words(part.column("text"))))
                 if rows:
                     doc, item, *numbers = zip(*rows)
-                    items = pa.array(item, pa.string() if isinstance(item_type, T.StringType) else pa.int64() if isinstance(item_type, T.LongType) else pa.int32())
+                    items = pa.array(item, to_arrow_type(item_type))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), items, *(pa.array(x, pa.int64()) for x in numbers)], schema.names)
 
         part = arrow_map(source, search, schema)
