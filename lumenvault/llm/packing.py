@@ -3,10 +3,10 @@
 Documents are cut into full windows and a rest. The histogram of the rests'
 lengths, at most window - 1 bins whatever the number of documents, is all that the
 driver sees. It groups lengths into classes, enumerates combinations of up to
-``depth`` classes that fill a window, solves for how often each is repeated
+``depth`` terms (one, two, four ... pieces of a class) that fill a window, solves for how often each is repeated
 against the histogram (non-negative least squares), rounds down, and gives exact
-lengths to the repeats, each time the longest that fit. What is left is packed
-greedily, best fit first. The plan says, for each length, which ranks of its pieces go to
+lengths to the repeats, near their classes' means. What is left is packed
+greedily, the longest that fits first. The plan says, for each length, which ranks of its pieces go to
 which run of sequences. Pieces get their rank within their length from counts by
 (length, part by a hash), so no task sees all pieces of a common length.
 
@@ -30,7 +30,7 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces of one length are counted in parts by a hash, of this many pieces or more; all lengths together have about PARTS parts at most.
 PART_PIECES, PARTS = 256, 131_072
-#: Length classes of the enumeration, and pieces in a combination at most.
+#: Length classes of the enumeration, and terms in a combination at most; a term is 1, 2, 4 ... pieces of a class.
 CLASSES, DEPTH = 32, 4
 
 
@@ -95,33 +95,66 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "t
     return arrow_map(source, make, f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 with small |a x - b|, by accelerated projected gradients."""
-    # The largest eigenvalue of a.T a is at most its largest row sum.
-    step = 1 / max(float((np.abs(a).T @ np.abs(a).sum(axis=1)).max()), 1e-12)
-    x = y = np.zeros(a.shape[1])
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(y - step * (a.T @ (a @ y - b)), 0)
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = new + (t - 1) / after * (new - x), new, after
+def nnls(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
+    """x >= 0 that minimises |a x - b|, by active sets: at most as many entries as a has rows are above zero."""
+    n = a.shape[1]
+    x, used = np.zeros(n), np.zeros(n, bool)
+    small = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0.0)))
+    for _ in range(most or 10 * (len(b) + 10)):
+        rise = np.where(used, -np.inf, a.T @ (b - a @ x))
+        best = int(np.argmax(rise)) if n else 0
+        if not n or rise[best] <= small:
+            break
+        used[best] = True
+        while True:
+            at = np.flatnonzero(used)
+            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            if len(at) == 0 or z.min() > 0:
+                break
+            # Back to where the first entry becomes zero; it leaves the set.
+            down = z <= 0
+            step = np.min(x[at][down] / np.maximum(x[at][down] - z[down], 1e-300))
+            x[at] = np.maximum(x[at] + step * (z - x[at]), 0)
+            gone = at[down & (x[at] <= 1e-12)]
+            if not len(gone):
+                gone = at[[int(np.argmin(np.where(down, x[at], np.inf)))]]
+            x[gone], used[gone] = 0, False
+        x[:] = 0
+        x[np.flatnonzero(used)] = z
     return x
 
 
-def combinations(sizes: np.ndarray, window: int, depth: int, slack: int) -> list[tuple[int, ...]]:
-    """Multisets of up to depth classes whose sizes sum to the window, or to at most slack less."""
+def terms_of(means: np.ndarray, window: int) -> list[tuple[int, int, float]]:
+    """(class, how many, total length): one, two, four ... pieces of a class, as many as fit a window."""
+    found = []
+    for c, mean in enumerate(means):
+        many = 1
+        while many * mean <= window:
+            found.append((c, many, many * float(mean)))
+            many *= 2
+    return sorted(found, key=lambda t: (t[2], t[0]))
+
+
+def combinations(terms: list[tuple[int, int, float]], window: int, depth: int, slack: float) -> list[tuple[int, ...]]:
+    """Sets of up to depth terms, by place, whose lengths sum to the window, or to at most slack less."""
+    sizes = [t[2] for t in terms]
     found: list[tuple[int, ...]] = []
 
-    def extend(chosen: tuple[int, ...], total: int) -> None:
+    def extend(chosen: tuple[int, ...], total: float) -> None:
         if window - slack <= total <= window:
             found.append(chosen)
-        if len(chosen) < depth:
-            for c in range(chosen[-1] if chosen else 0, len(sizes)):
-                if total + sizes[c] <= window:
-                    extend((*chosen, c), total + int(sizes[c]))
+        if len(chosen) == depth:
+            return
+        left = depth - len(chosen)
+        for k in range(chosen[-1] if chosen else 0, len(terms)):
+            if total + sizes[k] > window:
+                break
+            # Too short even with the longest terms that may follow.
+            if total + sizes[k] + (left - 1) * min(sizes[-1], window - total - sizes[k]) >= window - slack:
+                extend((*chosen, k), total + sizes[k])
 
-    extend((), 0)
-    return [c for c in found if c]
+    extend((), 0.0)
+    return found
 
 
 @dataclass
@@ -129,6 +162,8 @@ class Plan:
     """Runs: (lengths of a sequence, how many sequences), and the rows for pieces."""
 
     runs: list[tuple[tuple[int, ...], int]]
+    #: Sequences from least squares; the others are full windows and residuals.
+    solved: int = 0
 
     def rows(self) -> list[tuple[int, int, int, int, int]]:
         """(length, first rank, how many, first sequence, offset): consecutive ranks in consecutive sequences."""
@@ -145,15 +180,37 @@ class Plan:
 
 
 class _Left:
-    """Pieces left of each length, and the longest left that fits."""
+    """Pieces left of each length."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts.copy()
 
     def longest(self, most: int) -> int:
+        """The longest left that fits, 0 if none does."""
         found = np.flatnonzero(self.counts[1 : most + 1])
         return int(found[-1]) + 1 if len(found) else 0
 
+    def nearest(self, low: int, high: int, wanted: float, room: int, before_last: bool) -> int:
+        """The length from low to high, and at most room, that is left and nearest to the wanted one, 0 if none is.
+
+        Before the last piece, one with which some length left fills the room is taken, if there is any.
+        """
+        found = np.flatnonzero(self.counts[low : min(high, room) + 1]) + low
+        if before_last and len(found):
+            rest = room - found
+            exact = found[(rest > 0) & (self.counts[rest] > (rest == found))]
+            found = exact if len(exact) else found
+        return int(found[np.argmin(np.abs(found - wanted))]) if len(found) else 0
+
+    def take(self, lengths: list[int], most: int) -> int:
+        """How many times, at most ``most``, all of the lengths are left; they are taken. ``lengths`` were taken once already."""
+        need = np.bincount(lengths)
+        self.counts[: len(need)] += need
+        some = np.flatnonzero(need)
+        times = min(most, int((self.counts[some] // need[some]).min()))
+        self.counts[: len(need)] -= need * times
+        return times
+
 
 def plan(histogram: dict[int, int], window: int = WINDOW, classes: int = CLASSES, depth: int = DEPTH) -> Plan:
     """Which lengths share sequences, for a histogram of lengths up to window."""
@@ -167,57 +224,60 @@ def plan(histogram: dict[int, int], window: int = WINDOW, classes: int = CLASSES
     if not counts.any():
         return Plan(runs)
     width = -(-window // classes)
-    of_class = (np.arange(window + 1) + width - 1) // width  # class c holds the lengths of (c - 1) * width + 1 to c * width
+    lengths = np.arange(window + 1)
+    of_class = (lengths + width - 1) // width  # class c holds the lengths of (c - 1) * width + 1 to c * width
     demand = np.bincount(of_class, counts, minlength=of_class[-1] + 1)
     used = np.flatnonzero(demand)
-    # A combination of middle lengths fills the window when its exact lengths are chosen below.
-    middle = used * width - width // 2
-    chosen = combinations(middle, window, depth, width)
+    means = np.bincount(of_class, counts * lengths, minlength=len(demand))[used] / demand[used]
+    terms = terms_of(means, window)
+    chosen = combinations(terms, window, depth, width)
     left = _Left(counts)
-    if chosen:
-        a = np.zeros((len(used), len(chosen)))
-        for column, c in enumerate(chosen):
-            np.add.at(a[:, column], list(c), 1)
-        scale = demand[used].max()
-        repeats = np.floor(nnls(a, demand[used] / scale) * scale).astype(np.int64)
-        for column in np.argsort(-repeats, kind="stable"):
-            todo = int(repeats[column])
-            tops = sorted((int(used[c]) * width for c in chosen[column]), reverse=True)
-            while todo > 0:
-                lengths, room = [], window
-                for k, top in enumerate(tops):
-                    last = k == len(tops) - 1
-                    n = left.longest(min(room, top if not last else room))
-                    if not n or n <= top - width and not last:
-                        break
-                    lengths.append(n)
-                    room -= n
-                    left.counts[n] -= 1
-                for n in lengths:
-                    left.counts[n] += 1
-                if len(lengths) < len(tops) or room > width:
+    a = np.zeros((len(used), len(chosen)))
+    for column, c in enumerate(chosen):
+        for k in c:
+            a[terms[k][0], column] += terms[k][1]
+    solved = 0
+    repeats = np.floor(nnls(a, demand[used].astype(float)) + 1e-6).astype(np.int64)
+    for column in np.argsort(-repeats, kind="stable"):
+        todo = int(repeats[column])
+        # The longest pieces first, so that short ones make up for what they leave.
+        pieces = sorted((terms[k][0] for k in chosen[column] for _ in range(terms[k][1])), reverse=True)
+        planned = np.cumsum(means[pieces][::-1])[::-1]
+        while todo > 0:
+            taken, room = [], window
+            for k, c in enumerate(pieces):
+                if k + 1 < len(pieces):
+                    wanted = means[c] + (room - planned[k]) / (len(pieces) - k)
+                    n = left.nearest((int(used[c]) - 1) * width + 1, int(used[c]) * width, wanted, room, k + 2 == len(pieces))
+                else:  # the last fills the window, whatever its class
+                    n = left.longest(room)
+                if not n:
                     break
-                need = {n: lengths.count(n) for n in lengths}
-                times = min(todo, *(int(left.counts[n]) // m for n, m in need.items()))
-                for n, m in need.items():
-                    left.counts[n] -= m * times
-                runs.append((tuple(lengths), times))
-                todo -= times
+                taken.append(n)
+                left.counts[n] -= 1
+                room -= n
+            whole = len(taken) == len(pieces)
+            while whole and room and (n := left.longest(room)):  # a piece that fits the rest
+                taken.append(n)
+                left.counts[n] -= 1
+                room -= n
+            if not whole or room > width:
+                for n in taken:
+                    left.counts[n] += 1
+                break
+            times = left.take(taken, todo)
+            runs.append((tuple(taken), times))
+            solved += times
+            todo -= times
     while n := left.longest(window):  # the residuals
-        lengths, room = [], window
+        taken, room = [], window
         while n:
-            lengths.append(n)
+            taken.append(n)
             left.counts[n] -= 1
             room -= n
             n = left.longest(room) if room else 0
-        for m in lengths:
-            left.counts[m] += 1
-        need = {m: lengths.count(m) for m in lengths}
-        times = min(int(left.counts[m]) // k for m, k in need.items())
-        for m, k in need.items():
-            left.counts[m] -= k * times
-        runs.append((tuple(lengths), times))
-    return Plan(runs)
+        runs.append((tuple(taken), left.take(taken, 1 << 62)))
+    return Plan(runs, solved)
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
@@ -227,7 +287,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "tex
     counts = {int(n): int(c) for n, c in made.groupBy("length").count().collect()}  # at most ``window`` rows
     total = max(sum(counts.values()), 1)
     parts = [max(1, min(-(-c // PART_PIECES), -(-PARTS * c // total))) for c in (counts.get(n, 0) for n in range(1, window + 1))]
-    part = F.pmod(F.xxhash64("_key", "start", "ids_crc32"), F.element_at(F.lit(parts), F.col("length").cast("int")))
+    # Numbers of the checkpoint's rows stay as they are when a task is run again, and part equal rows too.
+    made = made.withColumn("number", F.monotonically_increasing_id())
+    part = F.pmod(F.xxhash64("number"), F.element_at(F.lit(parts), F.col("length").cast("int")))
     made = made.select("*", part.alias("part"))
     sizes = made.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most PARTS + window rows
     by_part = sizes.toPandas().sort_values(["length", "part"])
@@ -249,7 +311,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "tex
                 spans.append((int(n), int(p), int(low - base), int(high - base), int(sequence + low - first), int(offset)))
             k += 1
     spans = spark.createDataFrame(spans or [], "length long, part long, low long, high long, sequence long, offset long")
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("_key", "start", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("number")) - 1
     ranked = made.select("*", rank.alias("rank"))
     # Bounded by PARTS + window rows and one for each run of the plan.
     joined = ranked.join(F.broadcast(spans), ["length", "part"]).where("rank >= low and rank < high")
