@@ -9,9 +9,11 @@ largest corrected count decides.
 n-grams are ``n`` consecutive UTF-8 bytes of the lower-case text in which every
 run of characters other than letters is one space, a space at each end.
 
-Nulls and texts without a letter are ``und`` with score 0. Without any labelled
-row nothing is learned and all rows are ``und``. Repeated rows are judged one by
-one; extra columns are left out.
+Nulls and texts without a letter are ``und`` with score 0. A text with letters but without
+an n-gram of any language (the shortest have none at all) gets the language with the most labelled n-grams, and
+score 0; of several languages with equal counts the one with more labelled n-grams is
+taken, then the first by name. Without any labelled row nothing is learned and all rows are ``und``.
+Repeated rows are judged one by one; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lumenvault.llm.common import arrow_map, chunks, crc_remainder, mix
+from lumenvault.llm.common import arrow_map, chunks, crc_remainder, cut, mix
 
 UNDETERMINED = "und"
-#: Labelled documents to learn from, at most: those with the smallest hashes of their ids.
-TRAIN_DOCS = 12_000
+#: Labelled documents to learn from, at most, of each language: those with the smallest hashes of their ids.
+TRAIN_DOCS = 3_000
 #: Most frequent n-grams kept for each language.
 GRAMS = 20_000
-#: Languages, at most: the bits of a mask. The most frequent ones are learned.
-LANGUAGES = 32
+#: Languages in a word of a slot; a slot has as many words as the languages need.
+WORD = 64
 #: An n-gram belongs to a language if its share there is at least this part of its largest share.
 RELATIVE = 0.25
 SLOT_BITS, PROBES, N = 19, 2, 5
@@ -40,13 +42,15 @@ SLOT_BITS, PROBES, N = 19, 2, 5
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """names: of the bits. slots: uint32 masks. false_rate: of each language."""
+    """names: of the bits. slots: uint64 masks, (words, slots). false_rate: of each language."""
 
     names: tuple[str, ...]
     slots: np.ndarray
     false_rate: np.ndarray
     n: int = N
     probes: int = PROBES
+    #: Places of names from the most common on.
+    order: tuple[int, ...] = ()
 
 
 def normalized(texts: pa.Array) -> pa.Array:
@@ -86,23 +90,30 @@ def slots_of(codes: np.ndarray, size: int, probes: int) -> list[np.ndarray]:
     return [((mixed >> np.uint64(24 * k)) & np.uint64(size - 1)).astype(np.int64) for k in range(probes)]
 
 
-def build_filters(names: list[str], grams: dict[str, np.ndarray], n: int = N, slot_bits: int = SLOT_BITS, probes: int = PROBES) -> LanguageFilters:
-    """Filters over the given n-gram codes of each language."""
-    slots = np.zeros(1 << slot_bits, np.uint32)
+def build_filters(names: list[str], grams: dict[str, np.ndarray], n: int = N, slot_bits: int = SLOT_BITS, probes: int = PROBES, common: list[str] | None = None) -> LanguageFilters:
+    """Filters over the given n-gram codes of each language; ``common`` are the names from the most common on."""
+    slots = np.zeros((max(1, -(-len(names) // WORD)), 1 << slot_bits), np.uint64)
     for bit, name in enumerate(names):
-        for at in slots_of(grams[name], len(slots), probes):
-            np.bitwise_or.at(slots, at, np.uint32(1 << bit))
-    share = np.array([np.mean((slots >> np.uint32(bit)) & np.uint32(1)) for bit in range(len(names))] or [0.0])
-    return LanguageFilters(tuple(names), slots, share**probes, n, probes)
+        for at in slots_of(grams[name], slots.shape[1], probes):
+            np.bitwise_or.at(slots[bit // WORD], at, np.uint64(1 << bit % WORD))
+    share = np.array([np.mean((slots[bit // WORD] >> np.uint64(bit % WORD)) & np.uint64(1)) for bit in range(len(names))] or [0.0])
+    return LanguageFilters(tuple(names), slots, share**probes, n, probes, tuple(names.index(c) for c in (common or names)))
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, grams: int = GRAMS) -> LanguageFilters:
     """Filters learned from a bounded sample of the rows of ``docs`` with a text and a language."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key)).alias("_order"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    # The order's bounds come from the keys alone, so texts are never sorted.
-    orders = known.select("_order").orderBy("_order").limit(train_docs).agg(F.max("_order")).first()[0]
-    if orders is None:
+    # The order's bounds come from the keys alone, so texts are never sorted. Hashes are even, so few more rows than are taken
+    # lie below each language's share of their range; only those are put in order. Where ids repeat so much that none lies there, the least hash is the bound.
+    sizes = cut(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("_order").alias("_least")))
+    below = F.col("_order") / 2.0**64 + 0.5 <= 1.5 * train_docs / F.col("n") + 1e-6
+    placed = known.select("lang", "_order").join(F.broadcast(sizes.drop("_least")), "lang").where(below).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("_order")))
+    taken = placed.where(F.col("place") <= train_docs).groupBy("lang").agg(F.max("_order").alias("_last"))
+    bounds = cut(sizes.join(taken, "lang", "left").select("lang", F.coalesce("_last", "_least").alias("_last")))
+    if not bounds.head(1):
         return build_filters([], {})
+    # A row for each language.
+    sample = known.join(F.broadcast(bounds), "lang").where(F.col("_order") <= F.col("_last")).select("lang", "text")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +124,17 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 codes, times = np.unique(gram_codes(texts.filter(pa.array(names == name)))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(times, pa.int64())], ["lang", "gram", "n"])
 
-    counted = arrow_map(known.where(F.col("_order") <= orders).select("lang", "text"), count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.where("n >= 2").toPandas()  # bounded by train_docs
-    totals = found.groupby("lang")["n"].sum().sort_values(ascending=False)
-    names = sorted(totals.index[:LANGUAGES])
-    found = found[found["lang"].isin(names)].copy()
-    found["share"] = found["n"] / found["lang"].map(totals)
-    found = found[found["share"] >= RELATIVE * found.groupby("gram")["share"].transform("max")]
-    found = found.sort_values(["lang", "share", "gram"], ascending=[True, False, True]).groupby("lang").head(grams)
-    return build_filters(names, {name: found.loc[found["lang"] == name, "gram"].to_numpy().astype(np.uint64) for name in names})
+    counted = arrow_map(sample, count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 2")
+    counted = cut(counted)  # bounded by train_docs for each language
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
+    largest = F.max("share").over(Window.partitionBy("gram"))
+    own = shares.withColumn("largest", largest).where(F.col("share") >= RELATIVE * F.col("largest"))
+    ranked = own.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).where(F.col("place") <= grams)
+    found = ranked.select("lang", "gram").toPandas()  # at most ``grams`` rows for each language
+    common = [r.lang for r in totals.orderBy(F.desc("total"), "lang").collect()]
+    names = sorted(common)
+    return build_filters(names, {name: found.loc[found["lang"] == name, "gram"].to_numpy().astype(np.uint64) for name in names}, common=common)
 
 
 def predict_batch(texts: pa.Array, model: LanguageFilters) -> tuple[list[str], np.ndarray]:
@@ -131,16 +144,18 @@ def predict_batch(texts: pa.Array, model: LanguageFilters) -> tuple[list[str], n
     if not model.names:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     codes, starts = gram_codes(texts, model.n)
-    masks = np.full(len(codes), np.uint32(0xFFFFFFFF))
-    for at in slots_of(codes, len(model.slots), model.probes):
-        masks &= model.slots[at]
+    at = slots_of(codes, model.slots.shape[1], model.probes)
     total = np.diff(starts).astype(float)
     corrected = np.empty((len(model.names), len(texts)))
-    for bit in range(len(model.names)):
-        sums = np.concatenate([[0], np.cumsum((masks >> np.uint32(bit)) & np.uint32(1), dtype=np.int64)])
-        hits = (sums[starts[1:]] - sums[starts[:-1]]).astype(float)
-        corrected[bit] = np.maximum((hits - total * model.false_rate[bit]) / (1 - model.false_rate[bit]), 0)
-    best, sums = corrected.argmax(axis=0), corrected.sum(axis=0)
+    for word, slots in enumerate(model.slots):
+        masks = np.bitwise_and.reduce([slots[a] for a in at])
+        for bit in range(word * WORD, min((word + 1) * WORD, len(model.names))):
+            sums = np.concatenate([[0], np.cumsum((masks >> np.uint64(bit % WORD)) & np.uint64(1), dtype=np.int64)])
+            hits = (sums[starts[1:]] - sums[starts[:-1]]).astype(float)
+            corrected[bit] = np.maximum((hits - total * model.false_rate[bit]) / (1 - model.false_rate[bit]), 0)
+    # The first of several best ones, the most common first.
+    order = np.array(model.order)
+    best, sums = order[corrected[order].argmax(axis=0)], corrected.sum(axis=0)
     score = np.divide(corrected.max(axis=0), sums, out=np.zeros(len(texts)), where=sums > 0)
     has = lengths > 0
     return [model.names[b] if h else UNDETERMINED for b, h in zip(best, has)], np.where(has, score, 0.0)
