@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenvault.llm import decontaminate, language_id, packing, recompression, simhash
-from lumenvault.llm.common import checkpoint_dir, crc_remainder, table
+from lumenvault.llm.common import checkpoint_dir, crc_remainder, drop_path, table, written
 
 #: No SQL expresses language identification, SimHash groups or packing.
 ORACLE_SQL = None
@@ -57,10 +57,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read by the next; what the last one reads no more is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+        if before:
+            drop_path(spark, before)
+        before = f"{folder}/{k}-{name}"
     return docs

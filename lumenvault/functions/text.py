@@ -32,10 +32,17 @@ def short_id(owner: Column, codebase: Column, kind: Column, summary: Column) ->
 
 
 def call_key(name: Column, args: Column) -> Column:
-    """name:key of one call: its salient arguments as sorted JSON, else all of args as given."""
-    fields = [F.when(F.get_json_object(args, f"$.{f}").isNotNull(), F.concat(F.lit(f'"{f}": "'), F.get_json_object(args, f"$.{f}"), F.lit('"'))) for f in sorted(SALIENT)]
+    """name:key of one call: its salient arguments as JSON in the order of their names, numbers and strings told apart.
+
+    Without any: an object or other JSON in compact form with sorted names, text that is no JSON as it is, nothing as {}.
+    """
+    said = F.try_parse_json(args)
+    at = lambda f: F.variant_get(said, f"$.{f}", "string")  # noqa: E731  null for JSON's null
+    is_object = F.coalesce(F.schema_of_variant(said).startswith("OBJECT"), F.lit(False))
+    fields = [F.when(is_object & at(f).isNotNull(), F.concat(F.lit(f'"{f}": '), F.to_json(F.variant_get(said, f"$.{f}", "variant")))) for f in sorted(SALIENT)]
     salient = F.array_compact(F.array(*fields))
-    return F.concat(name, F.lit(":"), F.when(F.size(salient) > 0, F.concat(F.lit("{"), F.array_join(salient, ", "), F.lit("}"))).otherwise(F.coalesce(args, F.lit("{}"))))
+    whole = F.when(args.isNull(), F.lit("{}")).when(said.isNull(), args).otherwise(F.to_json(said))
+    return F.concat(name, F.lit(":"), F.when(F.size(salient) > 0, F.concat(F.lit("{"), F.array_join(salient, ", "), F.lit("}"))).otherwise(whole))
 
 
 def calls_hash(keys: Column) -> Column:

@@ -36,6 +36,16 @@ def enclosing(points: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame
     return points.select("point").join(best, "point", "left").select("point", F.col("b.symbol").alias("symbol"))
 
 
+def active_scopes(ranges: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
+    """H5: (range, symbol): the first span that begins in a range (range, file, first, last), else the shortest around its first line, else null."""
+    cut = lambda x: F.floor(x / block)
+    starts = spans.select("file", "symbol", F.col("first").alias("_a"), F.col("last").alias("_b"), cut(F.col("first")).alias("block"))
+    dealt = ranges.withColumn("block", F.explode(F.sequence(cut(F.col("first")), cut(F.col("last")))))
+    inside = dealt.join(starts, ["file", "block"]).where("_a between first and last").groupBy("range").agg(F.min(F.struct("_a", -F.col("_b"), "symbol"))["symbol"].alias("_in"))
+    around = enclosing(ranges.select(F.col("range").alias("point"), "file", F.col("first").alias("line")), spans, block).select(F.col("point").alias("range"), F.col("symbol").alias("_out"))
+    return ranges.select("range").join(inside, "range", "left").join(around, "range", "left").select("range", F.coalesce("_in", "_out").alias("symbol"))
+
+
 def loop_guard(calls: DataFrame, window: int = LOOP_WINDOW, warn: int = LOOP_WARN, stop: int = LOOP_STOP) -> DataFrame:
     """W6, ST1: (thread, seq, times, action) of calls (thread, seq, hash).
 

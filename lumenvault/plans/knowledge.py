@@ -145,18 +145,6 @@ def m11_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("item", "kind", "confidence", "promoted", "merged_upstream", "stale")
 
 
-@query(f"""
-    SELECT count(*) FILTER (WHERE {_ACTIVE} AND access_count >= 3 AND kind NOT IN ('mental_model', 'domain_knowledge')) AS promoted,
-      (SELECT count(*) FROM conflicts) AS contradictions,
-      count(*) FILTER (WHERE {_ACTIVE} AND item % 12 = 0 AND kind = 'bug_lesson') AS merged_upstream,
-      count(*) FILTER (WHERE {_ACTIVE} AND date_diff('microsecond', coalesce(last_recalled, created_at), TIMESTAMP '{NOW}') > 200 * 86400000000) AS stale
-    FROM items""", ITEMS, _SURE, _conflicts_sql(0.5))
-def a18_consolidation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _one_scope(spark, sf_dir)
-    after = k.consolidate(items, items.where("item % 12 = 0").select("item"), frames.ntz(NOW), stale_days=200.0)
-    return after.agg(*(F.count_if(F.col(a)).alias(b) for a, b in (("promoted", "promoted"), ("contradicts", "contradictions"), ("merged_upstream", "merged_upstream"), ("stale", "stale"))))
-
-
 @query("SELECT item FROM items WHERE coalesce(valid_at, created_at) <= TIMESTAMP '2024-01-20' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-20')", ITEMS)
 def x_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.as_of(frames.items(spark, sf_dir), frames.ntz("2024-01-20 00:00:00")).select("item")
@@ -227,6 +215,20 @@ def j5_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.duplicate_clusters(_vectors(spark, sf_dir))
 
 
+@query(f"""
+    SELECT count(*) FILTER (WHERE {_ACTIVE} AND access_count >= 3 AND kind NOT IN ('mental_model', 'domain_knowledge')) AS promoted,
+      (SELECT count(*) FROM conflicts) AS contradictions,
+      (SELECT count(DISTINCT (kind, cluster)) FROM grouped JOIN unit ON id = node WHERE round = (SELECT max(round) FROM grouped)) AS duplicate_clusters,
+      count(*) FILTER (WHERE {_ACTIVE} AND item % 12 = 0 AND kind = 'bug_lesson') AS merged_upstream,
+      count(*) FILTER (WHERE {_ACTIVE} AND date_diff('microsecond', coalesce(last_recalled, created_at), TIMESTAMP '{NOW}') > 200 * 86400000000) AS stale
+    FROM items""", ITEMS, _SURE, _conflicts_sql(0.5), _VECTORS)
+def a18_consolidation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _one_scope(spark, sf_dir)
+    after = k.consolidate(items, items.where("item % 12 = 0").select("item"), frames.ntz(NOW), stale_days=200.0)
+    clusters = k.duplicate_clusters(_vectors(spark, sf_dir)).agg(F.count("*").alias("duplicate_clusters"))  # one row
+    return after.agg(*(F.count_if(F.col(a)).alias(b) for a, b in (("promoted", "promoted"), ("contradicts", "contradictions"), ("merged_upstream", "merged_upstream"), ("stale", "stale")))).crossJoin(F.broadcast(clusters))
+
+
 @query("""
     SELECT id, len(vector) AS n FROM vectors WHERE id % 3 <> 0
     UNION ALL SELECT id, len(vector) FROM vectors WHERE id % 3 = 0 AND len(vector) = 64""", _VECTORS)

@@ -172,9 +172,21 @@ def u1_u2_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT thread, seq, substring(md5(array_to_string(list_sort([name || ':{"query": "' || arg || '"}', 'list:{}']), chr(10))), 1, 12) AS hash FROM calls_made""", CALLS_MADE)
+    SELECT thread, seq, substring(md5(array_to_string(list_sort([name || ':' || CASE seq % 5 WHEN 0 THEN '{"query": "a\\"' || arg || '"}' WHEN 1 THEN '{"cmd": ' || arg || ', "path": "p"}' WHEN 2 THEN 'no json ' || arg WHEN 3 THEN '{"a":"x","b":' || arg || '}' ELSE '[1,' || arg || ']' END, 'list:{}']), chr(10))), 1, 12) AS hash FROM calls_made""", CALLS_MADE)
 def f4_call_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = frames.calls_made(spark, sf_dir)
-    args = F.concat(F.lit('{"id": 9, "query": "'), F.col("arg"), F.lit('"}'))
-    keys = F.array(text.call_key(F.lit("list"), F.lit("{}")), text.call_key(F.col("name"), args))
+    c, n, arg = frames.calls_made(spark, sf_dir), F.col("seq") % 5, F.col("arg").cast("string")
+    said = lambda head, tail: F.concat(F.lit(head), arg, F.lit(tail))
+    args = F.when(n == 0, said('{"id": 9, "query": "a\\"', '", "url": null}')).when(n == 1, said('{"path": "p", "cmd": ', "}")).when(n == 2, said("no json ", "")).when(n == 3, said('{"b": ', ', "a": "x"}')).otherwise(said("[1, ", "]"))
+    keys = F.array(text.call_key(F.lit("list"), F.lit(None).cast("string")), text.call_key(F.col("name"), args))
     return c.select("thread", "seq", text.calls_hash(keys).alias("hash"))
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey AS range, 'src/f' || o_orderkey % 50 || '.c' AS file, o_orderkey % 450 AS first, o_orderkey % 450 + o_orderkey % 7 AS last FROM orders),
+    i AS (SELECT range, min_by(symbol, (s.first, -s.last, symbol)) AS symbol FROM r JOIN spans s ON s.file = r.file AND s.first BETWEEN r.first AND r.last GROUP BY range),
+    o AS (SELECT range, min_by(symbol, (s.last - s.first, s.first, symbol)) AS symbol FROM r JOIN spans s ON s.file = r.file AND r.first BETWEEN s.first AND s.last GROUP BY range)
+    SELECT r.range, coalesce(i.symbol, o.symbol) AS symbol FROM r LEFT JOIN i ON i.range = r.range LEFT JOIN o ON o.range = r.range""", SPANS)
+def h5_active_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    ranges = frames.table(spark, sf_dir, "orders").select(k.alias("range"), F.concat(F.lit("src/f"), k % 50, F.lit(".c")).alias("file"), (k % 450).alias("first"), (k % 450 + k % 7).alias("last"))
+    return s.active_scopes(ranges, frames.spans(spark, sf_dir))
