@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenvault.operators.graph import checkpoint_dir, cut  # noqa: F401  cut is used through this module
+from lumenvault.operators.graph import checkpoint_dir, cut, release  # noqa: F401  used through this module
 
 #: The words of the contracts: runs of anything but space and U+0009 to U+000D.
 #: ``bytes.split()`` without an argument splits UTF-8 at exactly these.
@@ -42,7 +42,10 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 
 
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """df.mapInArrow with small batches."""
+    """df.mapInArrow with small batches.
+
+    The settings stay in the session, since Spark reads them when the plan runs, not when it is made.
+    """
     for name, value in ARROW.items():
         df.sparkSession.conf.set(name, value)
     return df.mapInArrow(function, schema)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lumenvault.llm.common import arrow_map, chunks, cut, mix, word_lists
+from lumenvault.llm.common import arrow_map, chunks, cut, mix, release, word_lists
 from lumenvault.operators.graph import smallest_reachable
 
 #: Fixed values: (first bit, bits) of the blocks that deal out fingerprints.
@@ -32,6 +32,8 @@ DISTANCE = 3
 WORDS = 3
 #: For near-copies: words of a shingle, least Jaccard index, and bands of minima, in each of which all must be equal.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 50, 8
+#: A group of candidates up to these sizes is compared within one task; a larger one with blocks of its members, so many of a group and so many bytes of all at once.
+GROUP_ROWS, GROUP_BYTES, PIVOTS, PIVOT_BYTES = 500, 1 << 24, 1024, 1 << 24
 #: Children of a node.
 FAN = 8
 #: Query and node pairs that a search holds at once.
@@ -337,28 +339,120 @@ def exact_groups(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
     return root
 
 
-def _similar_nodes(texts: DataFrame, size: int, least: float) -> DataFrame:
+class PivotIndex:
+    """Shingle sets of a block of texts, to be compared with the sets of others."""
+
+    def __init__(self, groups: list[int], nodes: list[int], sets: list[np.ndarray]):
+        self.nodes, sizes = np.array(nodes, np.int64), np.array([len(x) for x in sets], np.int64)
+        self.sizes, self.group = sizes, np.array(groups, np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def near(self, group: int, own: np.ndarray, least: float) -> np.ndarray:
+        """The places of the group's pivots whose Jaccard index with the set is ``least`` or more."""
+        low, high = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
+        times = high - low
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        common = np.bincount(self.owner[at], minlength=len(self.nodes))
+        return np.flatnonzero((self.group == group) & (common >= least * (len(own) + self.sizes - common) - 1e-9))
+
+    def links(self, groups: list[int], nodes: list[int], sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(node, node): one link for each text that is near a pivot, and those that join the pivots that it is near, each once."""
+        src, dst, ends = [], [], []
+        for group, node, own in zip(groups, nodes, sets):
+            near = self.near(group, own, least)
+            if len(near):
+                src.append(node)
+                dst.append(self.nodes[near[0]])
+                ends.append((near[1:], np.full(len(near) - 1, near[0])))
+        root = roots_of(len(self.nodes), iter(ends))
+        other = np.flatnonzero(root != np.arange(len(root)))
+        return np.concatenate([np.array(src, np.int64), self.nodes[other]]), np.concatenate([np.array(dst, np.int64), self.nodes[root[other]]])
+
+
+def _large_groups(members: DataFrame, least: float, pivots: int, block: int) -> DataFrame:
+    """node and root of the classes in large groups, from members (root, node, shingles), by blocks of pivots.
+
+    No task holds a group. In each round a block of members of bounded size, the pivots, is sent to all
+    tasks and compared with every member of its group. Pivots are those that do not belong to
+    the class that most of their group is in, so members of one class are not compared with each other;
+    rounds end when every member outside that class has been a pivot, that is, has met all others.
+    """
+    members = cut(members)
+    sizes = members.select("root", "node", (F.size("shingles") * 8).alias("bytes"))
+    done, pointed, labels = None, None, sizes.select("root", "node", F.col("node").alias("label"))
+    while True:
+        count = labels.groupBy("root", "label").agg(F.count("*").alias("n"))
+        most = count.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("major"))
+        open_ = labels.join(most, "root").where("label <> major").select("root", "node")
+        if done is not None:
+            open_ = open_.join(done.select("node"), "node", "left_anti")
+        # Some of each group first, and no more of all groups than a block holds.
+        chosen = open_.join(sizes.select("node", "bytes"), "node").withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("place") <= pivots)
+        chosen = chosen.orderBy("place", "node").limit(block // 8).withColumn("used", F.sum("bytes").over(Window.orderBy("place", "node").rowsBetween(Window.unboundedPreceding, -1)))
+        rows = cut(chosen.where(F.coalesce("used", F.lit(0)) < block).select("node"))
+        taken = members.join(F.broadcast(rows), "node", "left_semi").select("root", "node", "shingles").collect()
+        if not taken:
+            found = cut(labels.select("node", F.col("label").alias("root")))
+            release(members, labels)
+            return found
+        index = PivotIndex([r.root for r in taken], [r.node for r in taken], [np.array(r.shingles, np.int64).view(np.uint64) for r in taken])
+
+        def compare(batches: Iterator[pa.RecordBatch], index: PivotIndex = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [x.values.to_numpy().view(np.uint64) for x in batch.column(2)]
+                both = index.links(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, least)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["src", "dst"])
+
+        found = arrow_map(members.select("root", "node", "shingles"), compare, "src long, dst long").where("src <> dst")
+        done = rows if done is None else done.union(rows)
+        # What is known of classes so far goes on as one link for each node.
+        if pointed is not None:
+            found = found.union(pointed)
+        links = cut(found.distinct())
+        old, pointed = (pointed, labels), smallest_reachable(links)
+        labels = cut(sizes.join(pointed.withColumnRenamed("root", "label"), "node", "left").select("root", "node", F.coalesce("label", "node").alias("label")))
+        release(links, *(x for x in old if x is not None))
+
+
+def _similar_nodes(texts: DataFrame, size: int, least: float, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, pivots: int = PIVOTS) -> DataFrame:
     """node and root, the least node of its class, of all nodes in classes of several, from texts (node, text), equal for equal nodes."""
     factors = np.random.default_rng(5).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            keys = [band_keys(shingle_set(w, size), factors) for w in word_lists(part.column("text"), lower_ascii=True)]
+            keys, prints = [], []
+            for w in word_lists(part.column("text"), lower_ascii=True):
+                hashes = shingle_hashes(w, size) if w else np.zeros(1, np.uint64)
+                prints.append(fingerprint(hashes))
+                keys.append(band_keys(np.unique(hashes), factors))
             flat = pa.array(np.concatenate(keys).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, flat)], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(prints, np.uint64).astype(np.int64)), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, flat)], ["node", "fp", "keys"])
 
     # Rows of equal texts are one node before they are dealt out.
-    made = arrow_map(texts.select("node", "text"), make, "node long, keys array<long>").dropDuplicates(["node"])
-    dealt = made.select("node", F.explode("keys").alias("bucket"))
-    lowest = dealt.withColumn("low", F.min("node").over(Window.partitionBy("bucket").orderBy("node"))).where("node != low")
+    made = cut(arrow_map(texts.select("node", "text"), make, "node long, fp long, keys array<long>").dropDuplicates(["node"]))
+    # Texts whose fingerprints the Gray-order index joins are candidates, and so are those that agree in a band.
+    joined = smallest_reachable(fingerprint_links(made.select(F.col("fp").alias("node"), "fp").distinct()))
+    classes = made.select("node", "fp").join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"))
+    dealt = made.select("node", F.explode("keys").alias("bucket")).union(classes)
+    # Counted before they are shuffled, so that a bucket with very many rows is no large task; most have one row and go.
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("bucket", "low")
+    lowest = dealt.join(shared, "bucket").where("node <> low")
     # A node points at the least of its buckets, and that at the others, so that a large group has few links besides one for each node.
     seen = lowest.groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows"))
     first = F.col("lows")[0]
-    links = seen.select(F.explode(F.concat(F.array(F.struct(F.col("node").alias("src"), first.alias("dst"))), F.transform(F.slice("lows", 2, BANDS), lambda x: F.struct(x.alias("src"), first.alias("dst"))))).alias("l")).select("l.src", "l.dst").distinct()
+    links = seen.select(F.explode(F.concat(F.array(F.struct(F.col("node").alias("src"), first.alias("dst"))), F.transform(F.slice("lows", 2, BANDS + 1), lambda x: F.struct(x.alias("src"), first.alias("dst"))))).alias("l")).select("l.src", "l.dst").distinct()
     pointed = smallest_reachable(links)
     may = cut(pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct()))
+    release(made, joined, pointed)
     # Equal texts are combined before the shuffle, so that one with very many rows is no large task.
-    asked = texts.dropDuplicates(["node"]).join(may, "node").repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text")
+    asked = cut(texts.dropDuplicates(["node"]).join(may, "node").select("root", "node", "text"))
+    release(may)
+    large = cut(asked.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).where((F.col("n") > group_rows) | (F.col("bytes") > group_bytes)).select("root"))
+    n_large = large.count()
+    hint = F.broadcast if n_large <= _NAMES else (lambda df: df)
+    small = asked.join(hint(large), "root", "left_anti").repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, nodes, sets = None, [], []
@@ -379,19 +473,36 @@ def _similar_nodes(texts: DataFrame, size: int, least: float) -> DataFrame:
         if sets:
             yield found()
 
-    return cut(arrow_map(asked, verify, "node long, root long"))
+    found = cut(arrow_map(small, verify, "node long, root long"))
+    if not n_large:
+        release(asked)
+        return found
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            sets = [shingle_set(w, size) for w in word_lists(part.column("text"), lower_ascii=True)]
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(starts, pa.array(np.concatenate(sets).view(np.int64)))], ["root", "node", "shingles"])
+
+    members = arrow_map(asked.join(hint(large), "root", "left_semi").select("root", "node", "text"), sets_of, "root long, node long, shingles array<long>")
+    classes = _large_groups(members, least, pivots, PIVOT_BYTES)
+    release(asked)
+    several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    return cut(found.union(classes.join(several, "root", "left_semi").select("node", "root")))
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, least: float = SIMILAR, group_rows: int = GROUP_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """key and component_id (the smallest key of its class) of every row, for near-copies further apart than three bits of 64.
 
     Texts link if the Jaccard index of their shingles is ``least`` or more. Candidates are
-    texts that agree in one of BANDS bands of ROWS minima: at 0.8 that misses
-    one pair in 10,000. They form wide classes, in each of which all links are
-    found again from the shingles themselves; the rest are dropped.
+    texts whose fingerprints the Gray-order index joins, and, as three bits of 64 reach few texts
+    at 0.8, texts that agree in one of BANDS bands of ROWS minima: at 0.8 that misses
+    one pair in 10,000. They form wide groups, in each of which all links are
+    found again from the shingles themselves; the rest are dropped. A large group is
+    never in one task: blocks of its members are sent to all.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
-    pointed = _similar_nodes(rows.select("node", "text"), size, least)
+    pointed = _similar_nodes(rows.select("node", "text"), size, least, group_rows, pivots=pivots)
     low = rows.groupBy("node").agg(F.min("_key").alias("low"))
     placed = low.join(pointed, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
     named = cut(placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id"))

@@ -209,3 +209,11 @@ def test_simhash_ids_of_any_size(spark, ids_of):
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
     low = min(ids_of[:2])
     assert found == {ids_of[0]: low, ids_of[1]: low, None: low, ids_of[2]: ids_of[2]}
+
+
+def test_languages_of_rows_without_ids(spark):
+    """Equal ids are one place in the order of the sample; their language is learned all the same."""
+    rows = [(None, f"der hund und die katze {k}", "de") for k in range(40)] + [(7, f"the dog and the cat {k}", "en") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (1, 2, 3000):
+        assert language_id.learn(df, train_docs=most).names == ("de", "en")
