@@ -43,13 +43,43 @@ def test_mentions_raise_confidence_and_keep_corrections(spark):
     assert strict[1].corrected_by is None and strict[1].kind == "fact"
 
 
+ITEM = "item long, owner string, codebase string, kind string, kind_detail string, symptom string, root_cause string, summary string, evidence array<struct<file:string,line:long>>, confidence double"
+
+
 def test_contradictions_by_symptom_and_by_line(spark):
     rows = [
-        (1, "o", "c", "bug_lesson", "hang", "x", "f", 1, "s1", 0.9), (2, "o", "c", "bug_lesson", " Hang ", "y", "g", 9, "s2", 0.9), (3, "o", "c", "bug_lesson", "hang", "x", "h", 1, "s3", 0.4),
-        (4, "o", "c", "fact", "", "", "f", 10, "same", 0.9), (5, "o", "c", "fact", "", "", "f", 14, "other", 0.9), (6, "o", "c", "fact", "", "", "f", 40, "far", 0.9), (7, "o", "c", "fact", "", "", None, 10, "none", 0.9),
+        (1, "o", "c", "bug_lesson", "", "hang", "x", "s1", [("f", 1)], 0.9), (2, "o", "c", "bug_lesson", "", " Hang ", "y", "s2", [("g", 9)], 0.9), (3, "o", "c", "bug_lesson", "", "hang", "x", "s3", [("h", 1)], 0.4),
+        (4, "o", "c", "fact", "", "", "", "same", [("f", 10)], 0.9), (5, "o", "c", "fact", "", "", "", "other", [("f", 14)], 0.9), (6, "o", "c", "fact", "", "", "", "far", [("f", 40)], 0.9),
+        (7, "o", "c", "fact", "", "", "", "none", [], 0.9), (8, "o", "c", "fact", "d", "", "", "of another detail", [("f", 12)], 0.9),
     ]
-    items = spark.createDataFrame(rows, "item long, owner string, codebase string, kind string, symptom string, root_cause string, file string, line long, summary string, confidence double")
-    assert {r.item for r in knowledge.contradictions(items).collect()} == {1, 2, 4, 5}
+    assert {r.item for r in knowledge.contradictions(spark.createDataFrame(rows, ITEM)).collect()} == {1, 2, 4, 5}
+
+
+def test_contradictions_equal_all_pairs(spark):
+    import random
+    from itertools import combinations
+
+    draw = random.Random(7)
+    rows = []
+    for k in range(300):
+        evidence = [] if draw.random() < 0.1 else [(draw.choice("fgh"), None if draw.random() < 0.1 else draw.randrange(60))]
+        rows.append((k, draw.choice("op"), "c", draw.choice(["bug_lesson", "fact", "mental_model"]), draw.choice(["", "d", None]), draw.choice(["", None, "hang", " Hang", "crash", "slow"]), draw.choice(["", None, "x", "X ", "y"]), draw.choice(["a", "b", "A  "]), evidence, draw.choice([0.4, 0.9])))
+
+    def key(x):
+        return " ".join((x or "").lower().split())
+
+    def clash(a, b):
+        if a[1:4] != b[1:4] or a[3] == "mental_model":
+            return False
+        near = bool(a[8] and b[8]) and a[8][0][0] == b[8][0][0] and abs((a[8][0][1] or 0) - (b[8][0][1] or 0)) <= 5
+        if a[3] == "fact":
+            return (a[4] or "") == (b[4] or "") and near and key(a[7]) != key(b[7])
+        subject = key(a[5]) == key(b[5]) if key(a[5]) and key(b[5]) else near
+        return subject and not (key(a[6]) and key(a[6]) == key(b[6]))
+
+    wanted = {x[0] for a, b in combinations([r for r in rows if r[9] >= 0.5], 2) if clash(a, b) for x in (a, b)}
+    assert len(wanted) > 50
+    assert {r.item for r in knowledge.contradictions(spark.createDataFrame(rows, ITEM)).collect()} == wanted
 
 
 def test_prefixes(spark):
