@@ -100,3 +100,22 @@ def crc_remainder(doc_id: Column) -> Column:
 
 def crc_of(value: object) -> int:
     return zlib.crc32(str(value).encode())
+
+
+#: A key that holds more than one row in this many is hot: there are at most so many of them.
+HOT_SHARE = 1000
+
+
+def keyed_join(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns of values (keys, n, ...) by equal keys, nulls together; n, the number of rows with the key, goes.
+
+    Hot keys, HOT_SHARE at most, are sent to all tasks, so that their rows stay where they are; the others are
+    shuffled, and none of them has more than one row in HOT_SHARE.
+    """
+    other = [c for c in values.columns if c not in (*keys, "n")]
+    named = values.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "n", *other)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    hot = F.col("n") * HOT_SHARE > total
+    few = F.broadcast(named.where(hot).drop("n"))
+    columns = [*rows.columns, *other]
+    return rows.join(few, same).select(*columns).unionByName(rows.join(few, same, "left_anti").join(named.where(~hot).drop("n"), same).select(*columns))

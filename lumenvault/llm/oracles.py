@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenvault.llm import divergence, recompression, url_filter
+from lumenvault.llm import divergence, recompression, url_filter, vector_codes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -98,3 +98,33 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - k1 AS BIGINT)
   n_words < 50 OR 100 * nr > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * nr > 50 * n_words) AND NOT coalesce(far, false) AS kept
 FROM f LEFT JOIN far USING (rid)"""
+
+
+def vector_codes_sql() -> str:
+    v = vector_codes
+    square = "list_sum(list_transform(list_zip({0}, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = lambda k: f"near{k} AS MATERIALIZED (SELECT p, part, n, min({square.format('part')} * {v.ENTRIES} + k) AS best FROM each_part JOIN book{k} USING (p) GROUP BY p, part, n)"
+    rounds = ",\n".join(
+        f"""{nearest(k)},
+means{k} AS (
+  SELECT p, k, list(mean ORDER BY i) AS mean FROM (
+    SELECT p, best % {v.ENTRIES} AS k, i, CAST(floor(sum(part[i] * n) / sum(n)) AS BIGINT) AS mean FROM near{k}, range(1, (SELECT w FROM width) + 1) AS r(i) GROUP BY p, k, i) GROUP BY p, k),
+book{k + 1} AS MATERIALIZED (SELECT p, k, coalesce(mean, entry) AS entry FROM book{k} LEFT JOIN means{k} USING (p, k))"""
+        for k in range(v.ROUNDS)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {v.SCALE}) AS BIGINT)) AS ints
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(ints)) // {v.PARTS} AS w FROM kept),
+parts AS MATERIALIZED (SELECT rid, p, ints[p * w + 1 : (p + 1) * w] AS part FROM kept, width, range({v.PARTS}) AS r(p)),
+each_part AS MATERIALIZED (SELECT p, part, count(*) AS n FROM parts GROUP BY p, part),
+book0 AS MATERIALIZED (SELECT p, k, part AS entry FROM (SELECT rid, row_number() OVER (ORDER BY vec_id, ints) - 1 AS k FROM kept) JOIN parts USING (rid) WHERE k < {v.ENTRIES}),
+{rounds},
+{nearest(v.ROUNDS)},
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best % {v.ENTRIES}), '' ORDER BY p) AS code, CAST(sum(best // {v.ENTRIES}) AS BIGINT) AS error
+  FROM parts JOIN near{v.ROUNDS} USING (p, part) GROUP BY rid),
+whole AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book{v.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid) CROSS JOIN whole"""
