@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvault.llm import decontaminate, divergence, html_blocks, language_id, license_scan, oracles, packing, recompression, simhash, source_mix, token_counts, url_filter, vector_codes
+from lumenvault.llm import decontaminate, divergence, html_blocks, language_id, license_scan, oracles, packing, recompression, simhash, source_mix, spelling, token_counts, url_filter, vector_codes
 from lumenvault.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,6 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op6_html_blocks, op7_packing, op8_license_scan, op9_recompression, op10_url_filter, op12_vector_codes, op13_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_divergence, op3_language_id, op4_token_counts, op5_simhash, op6_html_blocks, op7_packing, op8_license_scan, op9_recompression, op10_url_filter, op11_spelling, op12_vector_codes, op13_source_mix)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op2_divergence": oracles.divergence_sql(), "op9_recompression": oracles.recompression_sql(), "op10_url_filter": oracles.url_filter_sql(), "op12_vector_codes": oracles.vector_codes_sql()}
