@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r5_recall"](spark, sf_dir)
 
 
-from lumenvault.plans import graphs, knowledge, retrieval, reports, sequences, texts  # noqa: E402, F401  they register their queries
+from lumenvault.plans import graphs, indexes, knowledge, retrieval, reports, sequences, texts  # noqa: E402, F401  they register their queries
