@@ -32,7 +32,7 @@ DISTANCE = 3
 WORDS = 3
 #: For near-copies: words of a shingle, least Jaccard index, and bands of minima, in each of which all must be equal.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 50, 8
-#: A group of candidates up to these sizes is compared within one task; a larger one with blocks of its members, so many of a group and so many bytes of all at once.
+#: A bucket of several classes up to these sizes is compared within one task; a larger one with blocks of its members, so many of a bucket and so many bytes of all at once.
 GROUP_ROWS, GROUP_BYTES, PIVOTS, PIVOT_BYTES = 500, 1 << 24, 1024, 1 << 24
 #: Children of a node.
 FAN = 8
@@ -371,31 +371,33 @@ class PivotIndex:
         return np.concatenate([np.array(src, np.int64), self.nodes[other]]), np.concatenate([np.array(dst, np.int64), self.nodes[root[other]]])
 
 
-def _large_groups(members: DataFrame, least: float, pivots: int, block: int) -> DataFrame:
-    """node and root of the classes in large groups, from members (root, node, shingles), by blocks of pivots.
+def _large_groups(members: DataFrame, known: DataFrame, least: float, pivots: int, block: int) -> DataFrame:
+    """node and root of the classes of large buckets, from members (root, node, shingles), root being the bucket, and known links (src, dst), by blocks of pivots.
 
-    No task holds a group. In each round a block of members of bounded size, the pivots, is sent to all
-    tasks and compared with every member of its group. Pivots are those that do not belong to
-    the class that most of their group is in, so members of one class are not compared with each other;
+    No task holds a bucket. In each round a block of members of bounded size, the pivots, is sent to all
+    tasks and compared with every member of its bucket. Pivots are those that do not belong to
+    the class that most of their bucket is in, so members of one class are not compared with each other;
     rounds end when every member outside that class has been a pivot, that is, has met all others.
     """
-    members = cut(members)
+    members, key = cut(members), ["root", "node"]
     sizes = members.select("root", "node", (F.size("shingles") * 8).alias("bytes"))
-    done, pointed, labels = None, None, sizes.select("root", "node", F.col("node").alias("label"))
+    done, pointed = None, smallest_reachable(known)
+    label = lambda: cut(sizes.join(pointed.withColumnRenamed("root", "label"), "node", "left").select("root", "node", F.coalesce("label", "node").alias("label")))
+    labels = label()
     while True:
         count = labels.groupBy("root", "label").agg(F.count("*").alias("n"))
         most = count.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("major"))
         open_ = labels.join(most, "root").where("label <> major").select("root", "node")
         if done is not None:
-            open_ = open_.join(done.select("node"), "node", "left_anti")
-        # Some of each group first, and no more of all groups than a block holds.
-        chosen = open_.join(sizes.select("node", "bytes"), "node").withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("place") <= pivots)
-        chosen = chosen.orderBy("place", "node").limit(block // 8).withColumn("used", F.sum("bytes").over(Window.orderBy("place", "node").rowsBetween(Window.unboundedPreceding, -1)))
-        rows = cut(chosen.where(F.coalesce("used", F.lit(0)) < block).select("node"))
-        taken = members.join(F.broadcast(rows), "node", "left_semi").select("root", "node", "shingles").collect()
+            open_ = open_.join(done, key, "left_anti")
+        # Some of each bucket first, and no more of all buckets than a block holds.
+        chosen = open_.join(sizes, key).withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("place") <= pivots)
+        chosen = chosen.orderBy("place", "node").limit(block // 8).withColumn("used", F.sum("bytes").over(Window.orderBy("place", "node", "root").rowsBetween(Window.unboundedPreceding, -1)))
+        rows = cut(chosen.where(F.coalesce("used", F.lit(0)) < block).select("root", "node"))
+        taken = members.join(F.broadcast(rows), key, "left_semi").select("root", "node", "shingles").collect()
         if not taken:
-            found = cut(labels.select("node", F.col("label").alias("root")))
-            release(members, labels)
+            found = cut(pointed.select("node", "root"))
+            release(members, labels, pointed)
             return found
         index = PivotIndex([r.root for r in taken], [r.node for r in taken], [np.array(r.shingles, np.int64).view(np.uint64) for r in taken])
 
@@ -408,16 +410,50 @@ def _large_groups(members: DataFrame, least: float, pivots: int, block: int) ->
         found = arrow_map(members.select("root", "node", "shingles"), compare, "src long, dst long").where("src <> dst")
         done = rows if done is None else done.union(rows)
         # What is known of classes so far goes on as one link for each node.
-        if pointed is not None:
-            found = found.union(pointed)
-        links = cut(found.distinct())
+        links = cut(found.union(pointed).distinct())
         old, pointed = (pointed, labels), smallest_reachable(links)
-        labels = cut(sizes.join(pointed.withColumnRenamed("root", "label"), "node", "left").select("root", "node", F.coalesce("label", "node").alias("label")))
-        release(links, *(x for x in old if x is not None))
+        labels = label()
+        release(links, *old)
+
+
+#: Pairs with the same second text that one task compares, about.
+PAIRS_OF_ONE = 2000
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, text) have a Jaccard index of ``least`` or more.
+
+    A text that very many pairs have second is dealt to several tasks, each with some of its pairs.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_OF_ONE).cast("int").alias("parts"))
+    first = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts").cast("bigint")).alias("part")).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text")), "a")
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("other")).join(many, "b").select("b", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part"))
+    both = first.join(second.hint("merge"), ["b", "part"]).select("a", "b", "text", "other")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, None
+        for part in chunks(batches):
+            keep = np.zeros(part.num_rows, bool)
+            nodes, others = part.column("b").to_pylist(), part.column("other").cast(pa.binary())
+            for k, words in enumerate(word_lists(part.column("text"), lower_ascii=True)):
+                if nodes[k] != held:
+                    text = others[k].as_py()
+                    held, own = nodes[k], shingle_set((text or b"").lower().split(), size)
+                found = shingle_set(words, size)
+                common = len(np.intersect1d(found, own, assume_unique=True))
+                keep[k] = common >= least * (len(found) + len(own) - common) - 1e-9
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return arrow_map(both, compare, "a long, b long")
 
 
 def _similar_nodes(texts: DataFrame, size: int, least: float, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, pivots: int = PIVOTS) -> DataFrame:
-    """node and root, the least node of its class, of all nodes in classes of several, from texts (node, text), equal for equal nodes."""
+    """node and root, the least node of its class, of all nodes in classes of several, from texts (node, text), equal for equal nodes.
+
+    Links are verified inside their buckets, and only verified links are united: candidates never form groups of their own.
+    First each node is compared with the least node that it shares a bucket with, then with those of its buckets that still hold several
+    classes, and what is left in buckets of several classes is compared whole.
+    """
     factors = np.random.default_rng(5).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,35 +468,54 @@ def _similar_nodes(texts: DataFrame, size: int, least: float, group_rows: int =
 
     # Rows of equal texts are one node before they are dealt out.
     made = cut(arrow_map(texts.select("node", "text"), make, "node long, fp long, keys array<long>").dropDuplicates(["node"]))
-    # Texts whose fingerprints the Gray-order index joins are candidates, and so are those that agree in a band.
-    joined = smallest_reachable(fingerprint_links(made.select(F.col("fp").alias("node"), "fp").distinct()))
-    classes = made.select("node", "fp").join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"))
-    dealt = made.select("node", F.explode("keys").alias("bucket")).union(classes)
-    # Counted before they are shuffled, so that a bucket with very many rows is no large task; most have one row and go.
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("bucket", "low")
-    lowest = dealt.join(shared, "bucket").where("node <> low")
-    # A node points at the least of its buckets, and that at the others, so that a large group has few links besides one for each node.
-    seen = lowest.groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows"))
-    first = F.col("lows")[0]
-    links = seen.select(F.explode(F.concat(F.array(F.struct(F.col("node").alias("src"), first.alias("dst"))), F.transform(F.slice("lows", 2, BANDS + 1), lambda x: F.struct(x.alias("src"), first.alias("dst"))))).alias("l")).select("l.src", "l.dst").distinct()
-    pointed = smallest_reachable(links)
-    may = cut(pointed.union(pointed.select(F.col("root").alias("node"), "root").distinct()))
-    release(made, joined, pointed)
+    # Buckets are bands, and equal fingerprints; fingerprints that the Gray-order index links are pairs of their least nodes.
+    prints = made.groupBy("fp").agg(F.min("node").alias("low"))
+    linked = fingerprint_links(prints.select(F.col("fp").alias("node"), "fp"))
+    src, dst = prints.select(F.col("fp").alias("src"), F.col("low").alias("a")), prints.select(F.col("fp").alias("dst"), F.col("low").alias("b"))
+    near = linked.join(src, "src").join(dst, "dst").select("a", "b")
+    dealt = made.select("node", F.explode("keys").alias("bucket")).union(made.select("node", F.xxhash64(F.lit("fp"), "fp").alias("bucket")))
+    # Counted before they are shuffled, so that a bucket with very many rows is no large task; most have one row and go, and of those with the same nodes one stays.
+    signed = F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n"), signed).where("n > 1").groupBy("low", "n", "sum").agg(F.min("bucket").alias("bucket"))
+    placed = cut(dealt.join(shared.select("bucket", "low", "n"), "bucket"))
+    tested = placed.where("node <> low").groupBy("node").agg(F.min("low").alias("b")).select(F.col("node").alias("a"), "b")
+    tested = cut(tested.union(near).distinct())
+    release(made)
     # Equal texts are combined before the shuffle, so that one with very many rows is no large task.
-    asked = cut(texts.dropDuplicates(["node"]).join(may, "node").select("root", "node", "text"))
-    release(may)
-    large = cut(asked.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).where((F.col("n") > group_rows) | (F.col("bytes") > group_bytes)).select("root"))
+    named = placed.select("node").union(tested.select("a")).union(tested.select("b")).distinct()
+    asked = cut(texts.dropDuplicates(["node"]).join(named, "node").select("node", "text"))
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """(bucket, node, n, label, low, low_label) of the buckets that hold several classes."""
+        pointed = smallest_reachable(links)
+        each = placed.join(pointed, "node", "left").select("bucket", "node", "low", "n", F.coalesce("root", "node").alias("label"))
+        several = each.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max(F.when(F.col("node") == F.col("low"), F.col("label"))).alias("low_label")).where("l <> h").select("bucket", "low_label")
+        out = cut(each.join(several, "bucket"))
+        release(pointed)
+        return out
+
+    links = cut(_verified(tested, asked, size, least).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    open_ = mixed(links)
+    again = cut(open_.where("label <> low_label").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    more = cut(links.union(_verified(again, asked, size, least).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    release(links, open_, again)
+    # Two nodes have met, and so have all in a bucket of one class.
+    left = mixed(more)
+    open_ = left.where("n > 2").select("bucket", "node", "label")
+    rest = cut(open_.select(F.col("bucket").alias("root"), "node").join(asked, "node").select("root", "node", "text"))
+    release(left, placed, tested)
+    large = cut(rest.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).where((F.col("n") > group_rows) | (F.col("bytes") > group_bytes)).select("root"))
     n_large = large.count()
     hint = F.broadcast if n_large <= _NAMES else (lambda df: df)
-    small = asked.join(hint(large), "root", "left_anti").repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text")
+    small = rest.join(hint(large), "root", "left_anti").repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, nodes, sets = None, [], []
 
         def found() -> pa.RecordBatch:
             at, root = np.array(nodes, np.int64), exact_groups(sets, least)
-            several = np.bincount(root, minlength=len(root))[root] > 1
-            return pa.RecordBatch.from_arrays([pa.array(at[several]), pa.array(at[root[several]])], ["node", "root"])
+            other = root != np.arange(len(root))
+            return pa.RecordBatch.from_arrays([pa.array(at[other]), pa.array(at[root[other]])], ["src", "dst"])
 
         for part in chunks(batches):
             for group, node, words in zip(part.column("root").to_pylist(), part.column("node").to_pylist(), word_lists(part.column("text"), lower_ascii=True)):
@@ -473,22 +528,22 @@ def _similar_nodes(texts: DataFrame, size: int, least: float, group_rows: int =
         if sets:
             yield found()
 
-    found = cut(arrow_map(small, verify, "node long, root long"))
-    if not n_large:
-        release(asked)
-        return found
+    found = cut(more.union(arrow_map(small, verify, "src long, dst long")))
+    release(more)
+    if n_large:
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            sets = [shingle_set(w, size) for w in word_lists(part.column("text"), lower_ascii=True)]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(starts, pa.array(np.concatenate(sets).view(np.int64)))], ["root", "node", "shingles"])
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in chunks(batches):
+                sets = [shingle_set(w, size) for w in word_lists(part.column("text"), lower_ascii=True)]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(starts, pa.array(np.concatenate(sets).view(np.int64)))], ["root", "node", "shingles"])
 
-    members = arrow_map(asked.join(hint(large), "root", "left_semi").select("root", "node", "text"), sets_of, "root long, node long, shingles array<long>")
-    classes = _large_groups(members, least, pivots, PIVOT_BYTES)
-    release(asked)
-    several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    return cut(found.union(classes.join(several, "root", "left_semi").select("node", "root")))
+        members = arrow_map(rest.join(hint(large), "root", "left_semi").select("root", "node", "text"), sets_of, "root long, node long, shingles array<long>")
+        out = _large_groups(members, found, least, pivots, PIVOT_BYTES)
+    else:
+        out = smallest_reachable(found)
+    release(found, rest, asked, large)
+    return out
 
 
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, least: float = SIMILAR, group_rows: int = GROUP_ROWS, pivots: int = PIVOTS) -> DataFrame:
@@ -497,8 +552,8 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     Texts link if the Jaccard index of their shingles is ``least`` or more. Candidates are
     texts whose fingerprints the Gray-order index joins, and, as three bits of 64 reach few texts
     at 0.8, texts that agree in one of BANDS bands of ROWS minima: at 0.8 that misses
-    one pair in 10,000. They form wide groups, in each of which all links are
-    found again from the shingles themselves; the rest are dropped. A large group is
+    one pair in 10,000. Candidates are compared by the shingles themselves within their buckets, and only
+    links that are found so are united. A large bucket of several classes is
     never in one task: blocks of its members are sent to all.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
