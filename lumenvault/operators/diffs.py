@@ -14,6 +14,11 @@ def _sections(diff: Column) -> Column:
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
+def _own_sections(diff: Column) -> Column:
+    """The sections without the --- line of the next file, which else reads as a removed line."""
+    return F.transform(_sections(diff), lambda s, i: F.when(i + 1 < F.size(_sections(diff)), F.regexp_replace(s, r"--- [^\n]*\n$", "")).otherwise(s))
+
+
 def _path(section: Column) -> Column:
     return F.regexp_extract(section, r"^([^\t\n]*)", 1)
 
@@ -42,15 +47,20 @@ def ranges(diffs: DataFrame, key: str = "commit", diff: str = "diff") -> DataFra
     return heads.where("file <> '/dev/null'").select(key, "file", first.alias("first"), (first + length - 1).alias("last")).where("last >= first")
 
 
-def hunks(diffs: DataFrame, key: str = "commit", diff: str = "diff") -> DataFrame:
-    """(key, file, place, start, body, end): end is the start and the context and added lines, one at least."""
-    sections = diffs.select(key, F.explode(_sections(F.col(diff))).alias("_s"))
+def hunks(diffs: DataFrame, key: str = "commit", diff: str = "diff", old: bool = False) -> DataFrame:
+    """(key, file, place, start, body, end): end is the start and the context and added lines, one at least.
+
+    With ``old`` also old_start, n_old and n_new, a length not given being 1, and bodies hold no line of the next file's head.
+    """
+    sections = diffs.select(key, F.explode((_own_sections if old else _sections)(F.col(diff))).alias("_s"))
     parts = F.split("_s", r"(?m)^@@ ")
     each = sections.select(key, _path(F.col("_s")).alias("file"), F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("place", "_h")).where("file <> '/dev/null'")
     start = F.regexp_extract("_h", r"^-\d+(?:,\d+)? \+(\d+)", 1).cast("long")
     body = F.regexp_replace("_h", r"^[^\n]*\n?", "")
     spanned = F.size(F.filter(F.split("body", "\n"), lambda x: x.startswith(" ") | x.startswith("+")))
-    found = each.select(key, "file", "place", start.alias("start"), body.alias("body"))
+    length = lambda sign: F.coalesce(F.nullif(F.regexp_extract("_h", rf"(?:^| ){sign}\d+,(\d+)", 1), F.lit("")).cast("long"), F.lit(1))
+    more = [F.regexp_extract("_h", r"^-(\d+)", 1).cast("long").alias("old_start"), length("-").alias("n_old"), length(r"\+").alias("n_new")] if old else []
+    found = each.select(key, "file", "place", start.alias("start"), body.alias("body"), *more)
     return found.withColumn("end", F.col("start") + F.greatest(spanned, F.lit(1)))
 
 
