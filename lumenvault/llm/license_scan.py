@@ -24,7 +24,7 @@ are left out.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -117,6 +117,29 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
     return sorted(found)
 
 
+def densest_run(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """The most pairs in a row whose places in the text lie within reach."""
+    low, best = 0, (0, 0, 0)
+    for high in range(len(pairs)):
+        while pairs[high][0] - pairs[low][0] >= reach:
+            low += 1
+        best = max(best, (high - low + 1, low, high))
+    return pairs[best[1] : best[2] + 1]
+
+
+def dense_part(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs without those at either end that are fewer than the words of the text that part them from the rest beyond what the template has there."""
+    total, start, best = 0, 0, (0, 0, 0)
+    for k, (i, j) in enumerate(pairs):
+        if k:
+            total -= max(0, (i - pairs[k - 1][0]) - (j - pairs[k - 1][1]))
+        if total <= 0:
+            total, start = 0, k
+        total += 1
+        best = max(best, (total, -start, k + 1))
+    return pairs[-best[1] : best[2]]
+
+
 class Scanner:
     """Templates, and for each the words without which it can't be covered."""
 
@@ -140,8 +163,31 @@ class Scanner:
     def _needed(self, template: list[str]) -> int:
         return max(1, -int(-self.limits.coverage * len(template) // 1))
 
+    def region(self, plain: Sequence[str], first: int, last: int, template: Sequence[str], reach: int) -> list[tuple[int, int]]:
+        """(place in text, place in template) of the aligned words of a region of at most ``reach`` words within first to last, [] if there is none that covers the template.
+
+        A word of a neighbour may be taken for the template's own and stretch the alignment. Then the densest run of aligned words within
+        reach says where the template must lie, and that part is aligned again by itself.
+        """
+        needed, found = self._needed(template), []
+        while True:
+            pairs = [(first + i, j) for i, j in align(plain[first:last], template)]
+            if len(pairs) < needed:
+                return found
+            fits = pairs[-1][0] - pairs[0][0] < reach
+            if fits:
+                found = pairs
+            kept = dense_part(pairs if fits else densest_run(pairs, reach))
+            if fits and len(kept) < needed:
+                return found
+            # Where the template would begin and end if all of it stood there, but no further than before.
+            a, b = max(first, kept[0][0] - kept[0][1]), min(last, kept[-1][0] + len(template) - kept[-1][1])
+            if (a, b) == (first, last) or kept == pairs:
+                return found
+            first, last = a, b
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, template words, first character, end) of each region that has one; of regions that overlap, the one with the most aligned words and coverage."""
+        """(license, coverage, template words, first character, end) of each region that has one; of regions that overlap, those that together have the most aligned words and coverage."""
         low = (text or "").lower()
         if not any(k in low for k in self.all_keys):
             return []
@@ -160,18 +206,50 @@ class Scanner:
                     continue
                 # A region that covers the template has a key; the first of them lies within reach of both its ends.
                 first, last = max(0, i - reach, done), min(len(plain), i + reach)
-                pairs = align(plain[first:last], template)
-                if len(pairs) < self._needed(template):
+                pairs = self.region(plain, first, last, template, reach)
+                if not pairs:
+                    continue
+                both = [pairs]
+                if len(pairs) < len(template):
+                    # The neighbour of a like license may have lent it a part: on each side of the widest gap the template may stand whole.
+                    k = max(range(1, len(pairs)), key=lambda k: pairs[k][0] - pairs[k - 1][0] - (pairs[k][1] - pairs[k - 1][1]), default=0)
+                    both += [r for r in (self.region(plain, first, pairs[k - 1][0] + 1, template, reach), self.region(plain, pairs[k][0], last, template, reach)) if r] if k else []
+                for p in both:
+                    start, end = p[0][0], p[-1][0] + 1
+                    found.append((name, len(p) / len(template), len(template), words[start][1], words[end - 1][2]))
+                    done = max(done, end) if p is pairs else done
+        # A license that begins where another ends may have been aligned with words of both: it is sought again beside each region.
+        edges = {(i, 1) for _, _, _, _, i in found} | {(i, 0) for _, _, _, i, _ in found}
+        word_ends, word_starts = [w[2] for w in words], [w[1] for w in words]
+        for at_char, after in sorted(edges):
+            edge = bisect_right(word_ends, at_char) if after else bisect_left(word_starts, at_char)
+            for (name, template), keys in zip(self.templates, self.keys):
+                reach = int(self.limits.stretch * len(template)) + 1
+                first, last = (edge, min(len(plain), edge + reach)) if after else (max(0, edge - reach), edge)
+                if last - first < self._needed(template) or not any(first <= i < last for k in keys for i in at.get(k, ())):
                     continue
-                start, end = first + pairs[0][0], first + pairs[-1][0] + 1
-                if end - start <= reach:
-                    found.append((name, len(pairs) / len(template), len(template), words[start][1], words[end - 1][2]))
-                    done = end
-        kept: list[tuple[str, float, int, int, int]] = []
-        for region in sorted(found, key=lambda x: (-x[1] * x[1] * x[2], x[3], x[0])):
-            if all(region[4] <= k[3] or region[3] >= k[4] for k in kept):
-                kept.append(region)
-        return sorted(kept, key=lambda x: x[3])
+                p = self.region(plain, first, last, template, reach)
+                if p:
+                    found.append((name, len(p) / len(template), len(template), words[p[0][0]][1], words[p[-1][0]][2]))
+        return heaviest(found)
+
+
+def heaviest(regions: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """Of regions (license, coverage, template words, start, end) those that don't overlap and weigh most together, in order; the weight is that of the aligned words times the coverage."""
+    ordered = sorted(set(regions), key=lambda r: (r[4], r[3], r[0]))
+    ends = [r[4] for r in ordered]
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for k, (_, coverage, n, start, _) in enumerate(ordered):
+        own = best[bisect_right(ends, start, 0, k)][0] + coverage * coverage * n
+        best.append((own, 1) if own > best[-1][0] + 1e-9 else (best[-1][0], 0))
+    kept, k = [], len(ordered)
+    while k:
+        if best[k][1]:
+            kept.append(ordered[k - 1])
+            k = bisect_right(ends, ordered[k - 1][3], 0, k - 1)
+        else:
+            k -= 1
+    return kept[::-1]
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: Sequence[tuple[str, str]] = TEMPLATES, limits: ScanLimits | None = None) -> DataFrame:

@@ -466,6 +466,15 @@ def test_licenses_that_share_their_words_are_told_apart():
         assert [f[0] for f in found] == [name]
 
 
+@pytest.mark.parametrize("between", [0, 3, 30, 150])
+def test_licenses_beside_others(between):
+    """Two unlike licenses in one text, with so many other words between: both are told, and nothing else."""
+    scanner, whole = license_scan.Scanner(), dict(license_scan.TEMPLATES)
+    for a, b in itertools.permutations(whole, 2):
+        text = f"{whole[a]} {' '.join(f'filler{k % 7}' for k in range(between))} {whole[b]}"
+        assert [r[0] for r in scanner.scan(text)] == [a, b]
+
+
 def test_licenses(of, docs):
     lines = {"GPL-3.0": "licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
     found = of("op8_license_scan").set_index("doc_id")
