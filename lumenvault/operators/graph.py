@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
@@ -46,6 +47,12 @@ def release(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df on disk, dealt by key, so that the rounds of a loop join to it without a shuffle of it; to be unpersisted. A lost part is made again."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).persist(StorageLevel.DISK_ONLY)
+
+
 def calls(edges: DataFrame) -> DataFrame:
     """G1: distinct (src, dst) of call edges."""
     return edges.where(F.col("kind") == "CALLS").select("src", "dst").distinct()
@@ -60,7 +67,7 @@ def pagerank(edges: DataFrame, most: int = 200, tolerance: float = 1e-6, damping
 
     What nodes without edges hold is spread evenly. A graph without edges has no ranks.
     """
-    edges = cut(edges.select("src", "dst"))
+    edges = dealt(edges.select("src", "dst"), "src")
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     nodes = cut(vertices(edges).join(degree, F.col("node") == F.col("src"), "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree")))
     n = nodes.count()
@@ -77,7 +84,12 @@ def pagerank(edges: DataFrame, most: int = 200, tolerance: float = 1e-6, damping
         last, ranks = ranks, cut(ranks.join(received, "node", "left").select("node", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
         release(last)
         k += 1
-    return ranks.select("node", "rank")
+    edges.unpersist()
+    if ranks is not nodes and k:
+        release(nodes)
+    found = ranks.select("node", "rank")
+    found._checkpoint = ranks.__dict__.get("_checkpoint")  # for ``release``
+    return found
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int, most: int = 5) -> DataFrame:
@@ -150,16 +162,19 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     nodes don't change places for ever. Rounds end early when no label changes.
     """
     ways = edges.where("src <> dst").select("src", "dst")
-    ways = cut(ways.union(ways.select("dst", "src")).distinct())
+    ways = dealt(ways.union(ways.select("dst", "src")).distinct(), "dst")
     labels = cut(vertices(edges).select("node", F.col("node").alias("community")))
     for _ in range(rounds):
         heard = ways.join(labels, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "community").union(labels.select("node", "community"))
         votes = heard.groupBy("node", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("new"))
-        both = cut(labels.join(best, "node"))
+        last, both = labels, cut(labels.join(best, "node"))
         labels = both.select("node", F.col("new").alias("community"))
+        labels._checkpoint = both._checkpoint  # for ``release``
+        release(last)
         if not both.where("community <> new").head(1):
             break
+    ways.unpersist()
     return labels
 
 
@@ -221,17 +236,40 @@ def repo_map(symbols: DataFrame, budget: int, surcharge: int = 4) -> DataFrame:
     return first.withColumn("cost", cost).withColumn("used", total).where(F.col("used") <= budget)
 
 
-def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, score): shares of the shortest paths from a stated set of sources to all nodes (Brandes' accumulation)."""
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+#: Sources that are followed at once: a round's state has at most so many rows for each node.
+SOURCES = 256
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, block: int = SOURCES) -> DataFrame:
+    """(node, score): shares of the shortest paths from a stated set of sources to all nodes (Brandes' accumulation).
+
+    Sources are followed in blocks, whose sums are added; a level is deleted when it has been used.
+    """
+    edges = dealt(edges.select("src", "dst").where("src <> dst").distinct(), "src")
+    asked = cut(sources.select("node"))
+    blocks = max(1, -(-asked.count() // block))
+    total = None
+    for k in range(blocks):
+        part = _betweenness_of(edges, asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k) if blocks > 1 else asked)
+        last, total = total, part if total is None else cut(total.unionByName(part).groupBy("node").agg(F.sum("score").alias("score")))
+        if last is not None:
+            release(last, part)
+    edges.unpersist()
+    release(asked)
+    return total
+
+
+def _betweenness_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
     levels = [cut(sources.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("hop")))]
-    seen = levels[0].select("seed", "node")
+    seen = cut(levels[0].select("seed", "node"))
     while levels[-1].head(1):
         step = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("seed", F.col("dst").alias("to")).agg(F.sum("paths").alias("paths"))
         level = cut(step.select("seed", F.col("to").alias("node"), "paths", F.lit(len(levels)).alias("hop")).join(seen, ["seed", "node"], "left_anti"))
         levels.append(level)
-        seen = cut(seen.union(level.select("seed", "node")))
-    shares, below = [], None
+        last, seen = seen, cut(seen.union(level.select("seed", "node")))
+        release(last)
+    release(seen)
+    total, below = None, None
     for level in reversed(levels):
         if below is None:
             held = level.withColumn("share", F.lit(0.0))
@@ -240,12 +278,12 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
             b = below.select("seed", F.col("node").alias("to"), F.col("paths").alias("p"), F.col("share").alias("s"))
             got = down.join(b, ["seed", "to"]).groupBy("seed", "node").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("s"))).alias("share"))
             held = level.join(got, ["seed", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        below = cut(held)
-        shares.append(below.where("hop > 0").select("node", "share"))
-    total = shares[0]
-    for s in shares[1:]:
-        total = total.union(s)
-    return total.groupBy("node").agg(F.sum("share").alias("score"))
+        last, below = below, cut(held)
+        own = below.where("hop > 0").groupBy("node").agg(F.sum("share").alias("score"))
+        old, total = total, cut(own if total is None else total.unionByName(own).groupBy("node").agg(F.sum("score").alias("score")))
+        release(level, *(x for x in (last, old) if x is not None))
+    release(below)
+    return total
 
 
 def bridges(scores: DataFrame, most: int = 15) -> DataFrame:

@@ -150,16 +150,74 @@ def memorize(stored: DataFrame, batch: DataFrame, step: float = 0.3) -> DataFram
     New items see the store as it was before the batch, and not each other; corrections (corrects: an item, or null) count at once,
     for items of the batch too. Columns: those of ``mention`` and related.
     """
+    links = shared_files(stored, batch).withColumnRenamed("links", "related")
+    after = mention(stored.select("item", "kind", "tier", "confidence", "created_at", "tags", "evidence", "corrected_by", "invalid_at", "superseded_by", "access_count"), batch.select("item", "kind", "tier", "tags", "evidence", "at"), step)
+    told = batch.where("corrects is not null and corrects <> item").select(F.col("corrects").alias("item"), F.col("item").cast("string").alias("by"))
+    return mark_corrected(after, told).join(links, "item", "left").withColumn("related", F.coalesce("related", F.array()))
+
+
+#: Columns that a write by id leaves as they are.
+KEPT = ("created_at", "owner", "codebase")
+
+
+def upsert(stored: DataFrame, new: DataFrame, kept: tuple[str, ...] = KEPT) -> DataFrame:
+    """M1: the snapshot after new rows were written by item: all columns are the new row's but those of ``kept``; rows of both have the same columns, whichever these are."""
+    there = F.struct(F.lit(True).alias("_there"))
+    s, n = stored.withColumn("_row", there).alias("s"), new.select(*stored.columns).withColumn("_row", there).alias("n")
+    both = s.join(n, F.col("s.item") == F.col("n.item"), "full_outer")
+    old, come = F.col("s._row").isNotNull(), F.col("n._row").isNotNull()
+    pick = lambda c: F.when(old & F.lit(c in kept), F.col(f"s.{c}")).when(come, F.col(f"n.{c}")).otherwise(F.col(f"s.{c}"))
+    return both.select(*(pick(c).alias(c) for c in stored.columns))
+
+
+def shared_files(stored: DataFrame, batch: DataFrame, cap: int = 20) -> DataFrame:
+    """U4: (item, links): for items of a batch the active stored items of their scope and kind, in whose evidence or blast radius one of their evidence files is, the first ``cap``."""
     keys = ["owner", "codebase", "kind", "file"]
     own = batch.select("item", *keys[:-1], F.explode(F.array_distinct(F.transform("evidence", lambda e: e["file"]))).alias("file"))
     there = stored.where(active()).select(F.col("item").alias("other"), *keys[:-1], F.explode(F.array_union(F.transform("evidence", lambda e: e["file"]), "blast_radius")).alias("file"))
-    firsts = there.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("other"))).where("r <= 21")
+    firsts = there.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("other"))).where(F.col("r") <= cap + 1)
     met = own.join(firsts, keys).where("item <> other").select("item", "other").distinct()
-    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("other"))).where("r <= 20")
-    links = ranked.groupBy("item").agg(F.array_sort(F.collect_list("other")).alias("related"))
-    after = mention(stored.select("item", "kind", "tier", "confidence", "created_at", "tags", "evidence", "corrected_by", "invalid_at", "superseded_by", "access_count"), batch.select("item", "kind", "tier", "tags", "evidence", "at"), step)
+    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("other"))).where(F.col("r") <= cap)
+    return ranked.groupBy("item").agg(F.array_sort(F.collect_list("other")).alias("links"))
+
+
+def remember(stored: DataFrame, batch: DataFrame, step: float = 0.3, cap: int = 20, safe: bool = False) -> DataFrame:
+    """The snapshot of all columns after a batch was linked, merged, written and its corrections marked.
+
+    batch has the columns of stored, and corrects (an item, or null). A confidence of 0 is taken from the tier. Links are those that the
+    batch brings and those of ``shared_files``, the first ``cap``. An id that is there and active is a re-mention: its
+    confidence rises, its access count, valid_at, links and evidence stay and are united with the new ones (links without a cap), the earlier created_at counts. Then rows
+    are written by id (``upsert``), so of a row that is there and not active only created_at, owner and codebase stay.
+    A stored row outside the batch is marked by the least item that corrects it, once. Rows of the batch
+    carry what the batch says, null if it says nothing; in safe mode a stored correction and the kind mental_model stay.
+    """
+    links = shared_files(stored, batch, cap)
+    columns = stored.columns
+    united = lambda: F.array_sort(F.array_union("_related", "related"))
+    old = stored.select(F.col("item").alias("_item"), active().alias("_live"), *(F.col(c).alias(f"_{c}") for c in ("confidence", "access_count", "created_at", "valid_at", "related", "evidence", "corrected_by", "kind")))
+    met = batch.join(links, "item", "left").join(old, F.col("item") == F.col("_item"), "left")
+    live = F.coalesce("_live", F.lit(False))
+    fresh = met.withColumns({
+        "related": F.slice(F.array_sort(F.array_union("related", F.coalesce("links", F.array().cast(batch.schema["related"].dataType)))), 1, cap),
+        "confidence": F.when(F.col("confidence") == 0.0, first_confidence(F.col("tier"))).otherwise(F.col("confidence")),
+    })
+    both = F.concat("_evidence", "evidence")
+    keys = F.transform(both, lambda e: F.struct(e["file"], e["line"]))
+    merged = fresh.withColumns({
+        "confidence": F.when(live, raised_confidence(F.col("_confidence"), F.col("tier"), step)).otherwise(F.col("confidence")),
+        "access_count": F.when(live, F.col("_access_count")).otherwise(F.col("access_count")),
+        "created_at": F.when(live, F.least("_created_at", "created_at")).otherwise(F.col("created_at")),
+        "valid_at": F.when(live, F.col("_valid_at")).otherwise(F.col("valid_at")),
+        "related": F.when(live, united()).otherwise(F.col("related")),
+        "evidence": F.when(live, F.filter(both, lambda e, i: F.array_position(keys, F.struct(e["file"], e["line"])) == i + 1)).otherwise(F.col("evidence")),
+        "corrected_by": F.coalesce("corrected_by", F.when(F.lit(safe), F.col("_corrected_by"))),
+        "kind": F.when(F.lit(safe) & (F.col("_kind") == "mental_model"), F.col("_kind")).otherwise(F.col("kind")),
+    })
+    after = upsert(stored, merged.select(*columns))
     told = batch.where("corrects is not null and corrects <> item").select(F.col("corrects").alias("item"), F.col("item").cast("string").alias("by"))
-    return mark_corrected(after, told).join(links, "item", "left").withColumn("related", F.coalesce("related", F.array()))
+    if not safe:
+        told = told.join(batch.select("item"), "item", "left_anti")
+    return mark_corrected(after, told).select(*columns)
 
 
 def mention(stored: DataFrame, new: DataFrame, step: float = 0.3, safe: bool = True) -> DataFrame:
@@ -249,6 +307,17 @@ def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "path", "full_outer").select("path", state.alias("state"))
 
 
+def files_to_embed(changes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The fresh chunks (file, ...) of added and changed files, which are all that has to be made anew."""
+    return fresh.join(changes.where(F.col("state").isin("changed", "added")).select(F.col("path").alias("file")), "file", "left_semi")
+
+
+def replaced_counts(chunks: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: chunks before an update (n_before), and those of changed and removed files that it deletes (n_deleted)."""
+    gone = changes.where(F.col("state").isin("changed", "removed")).select(F.col("path").alias("file"), F.lit(1).alias("_gone")).distinct()
+    return chunks.join(gone, "file", "left").agg(F.count("*").alias("n_before"), F.count("_gone").alias("n_deleted"))
+
+
 def replace_chunks(chunks: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:
     """Chunks (file, ...) without changed and removed files, and the fresh ones of changed and added files."""
     gone = changes.where(F.col("state").isin("changed", "removed")).select(F.col("path").alias("file"))
@@ -259,3 +328,11 @@ def replace_chunks(chunks: DataFrame, changes: DataFrame, fresh: DataFrame) -> D
 def index_mode(forced: Column, has_manifest: Column, same_model: Column, same_schema: Column, n_changed: Column) -> Column:
     """How an index is brought up to date."""
     return F.when(forced | ~has_manifest | ~same_model | ~same_schema, "full_rebuild").when(n_changed == 0, "noop").otherwise("incremental")
+
+
+def index_reason(forced: Column, has_manifest: Column, same_model: Column, same_schema: Column, n_changed: Column) -> Column:
+    """Why ``index_mode`` says what it says: the first of what asks for it."""
+    return (
+        F.when(~has_manifest, "no index yet").when(~same_model, "another model").when(~same_schema, "another schema").when(forced, "forced")
+        .when(n_changed == 0, "nothing changed").otherwise(F.concat(n_changed.cast("string"), F.lit(" changed")))
+    )

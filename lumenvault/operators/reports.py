@@ -28,7 +28,8 @@ def similar_findings(findings: DataFrame, least: float = 0.5) -> DataFrame:
     """(src, dst): findings of one theme whose file sets have a Jaccard index of at least ``least``.
 
     Equal sets are one row first; sets meet on a shared file among the first few in a
-    global order of rare files first: two sets with that index share one of them.
+    global order of rare files first: two sets with that index share one of them. What stands behind the shared file bounds
+    how large the other set may be, so a set meets only sets of the sizes that are left, and those that share a common file alone don't meet.
     """
     f = findings.where(F.size("files") > 0).select("finding", F.coalesce("theme", F.lit("function")).alias("theme"), F.array_sort(F.array_distinct("files")).alias("files"))
     sets = f.groupBy("theme", "files").agg(F.min("finding").alias("finding"))
@@ -36,13 +37,18 @@ def similar_findings(findings: DataFrame, least: float = 0.5) -> DataFrame:
     each = sets.select("theme", "finding", F.size("files").alias("n"), F.explode("files").alias("file"))
     spread = each.groupBy("theme", "file").agg(F.count("*").alias("spread"))
     order = Window.partitionBy("finding").orderBy("spread", "file")
-    prefix = each.join(spread, ["theme", "file"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a = prefix.select("theme", "file", F.col("finding").alias("src"), F.col("n").alias("na"))
-    b = prefix.select("theme", "file", F.col("finding").alias("dst"), F.col("n").alias("nb"))
-    met = a.join(b, ["theme", "file"]).where((F.col("src") < F.col("dst")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("src", "dst").distinct()
+    placed = each.join(spread, ["theme", "file"]).withColumn("place", F.row_number().over(order))
+    # Of n files at ``place`` the shared one and those behind it can be common; other sets have this many files at most.
+    most = F.floor((1 + least) / least * (F.col("n") - F.col("place") + 1) + 1e-9) - F.col("n")
+    prefix = placed.withColumn("most", most).where(F.col("most") >= F.ceil(F.col("n") * least - 1e-9))
+    # The larger set looks for the smaller one, of equal ones both for each other.
+    sizes = F.sequence(F.ceil(F.col("n") * least - 1e-9).cast("int"), F.least("n", F.col("most")).cast("int"))
+    a = prefix.select("theme", "file", F.col("finding").alias("src"), F.col("n").alias("na"), F.explode(sizes).alias("n"))
+    b = prefix.select("theme", "file", F.col("finding").alias("dst"), "n", "most")
+    met = a.join(b, ["theme", "file", "n"]).where((F.col("na") <= F.col("most")) & ((F.col("n") < F.col("na")) | (F.col("src") < F.col("dst")))).select("src", "dst").distinct()
     left, right = sets.select(F.col("finding").alias("src"), F.col("files").alias("fa")), sets.select(F.col("finding").alias("dst"), F.col("files").alias("fb"))
     pairs = met.join(left, "src").join(right, "dst").where(F.size(F.array_intersect("fa", "fb")) / F.size(F.array_union("fa", "fb")) >= least)
-    return pairs.select("src", "dst").union(same)
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).union(same)
 
 
 def subject_groups(findings: DataFrame, least: float = 0.5) -> DataFrame:
@@ -55,18 +61,19 @@ def grade_citations(citations: DataFrame, files: DataFrame, spans: DataFrame, to
     """(citation, grade): strict in a span, near within a few lines, file if only the file is there, else bad.
 
     citations (citation, file, line); files (file, n_lines); spans (file, first, last).
-    Spans are cut into blocks of lines, so that a line meets only spans near it.
+    Spans are cut into blocks of lines, so that a line meets only spans near it. Lines are graded once, however often they are cited.
     """
     block = 64
     cut = lambda x: F.floor(x / block)
     dealt = spans.select("file", "first", "last", F.explode(F.sequence(cut(F.col("first") - tolerance), cut(F.col("last") + tolerance))).alias("block"))
-    met = citations.withColumn("block", cut(F.col("line"))).join(dealt, ["file", "block"])
+    lines = citations.where("file is not null and line is not null").select("file", "line").distinct()
+    met = lines.withColumn("block", cut(F.col("line"))).join(dealt, ["file", "block"])
     strict = F.col("line").between(F.col("first"), F.col("last"))
     near = F.col("line").between(F.col("first") - tolerance, F.col("last") + tolerance)
-    best = met.groupBy("citation", "file", "line").agg(F.max(F.when(strict, 2).when(near, 1).otherwise(0)).alias("best"))
+    best = met.groupBy("file", "line").agg(F.max(F.when(strict, 2).when(near, 1).otherwise(0)).alias("best"))
     known = files.select("file", "n_lines")
     grade = F.when(F.col("n_lines").isNull(), "bad").when(F.col("best") == 2, "strict").when(F.col("best") == 1, "near").when(F.col("line").isNull() | F.col("line").between(1, F.col("n_lines")), "file").otherwise("bad")
-    return citations.join(known, "file", "left").join(best, ["citation", "file", "line"], "left").select("citation", grade.alias("grade"))
+    return citations.join(known, "file", "left").join(best, ["file", "line"], "left").select("citation", grade.alias("grade"))
 
 
 def spans_of_ranges(ranges: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
@@ -98,25 +105,40 @@ def packaging_only(files: Column, prefix: str = "debian/") -> Column:
     return (F.size(files) > 0) & F.forall(files, lambda f: f.startswith(prefix))
 
 
+def _base(c: Column | str) -> Column:
+    return F.element_at(F.split(c, "/"), -1)
+
+
+def _ends(c: Column) -> Column:
+    """All ends of a text, itself included."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, F.length(c))))
+
+
 def fitting_paths(asked: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, file): each path with all files that it fits: equal, of the same last part, or one the end of the other.
+    """(path, file): for each path that fits a file the equal one, else the first by name of those that it fits: of the same last part, or one the end of the other.
 
     Paths with a slash that end alike share their last part; one without may be the end of a
-    last part, so it meets the ends of last parts. No path is compared with all files.
+    last part, so it meets the ends of last parts. Of the files of a last part, and of an end, only the first is kept before paths
+    meet them, so no path meets more than a few rows.
     """
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    ends = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, F.length(c)))
     p = asked.select("path").distinct().where("path is not null")
     f = files.select("file").distinct().where("file is not null")
-    same = p.withColumn("_b", base(F.col("path"))).join(f.withColumn("_b", base(F.col("file"))), "_b").select("path", "file")
-    bare_path = p.where(~F.col("path").contains("/")).join(f.select("file", F.explode(F.array_distinct(ends(base(F.col("file"))))).alias("path")), "path").select("path", "file")
-    bare_file = f.where(~F.col("file").contains("/")).join(p.select("path", F.explode(F.array_distinct(ends(base(F.col("path"))))).alias("file")), "file").select("path", "file")
-    return same.union(bare_path).union(bare_file).distinct()
+    first = f.groupBy(_base("file").alias("_b")).agg(F.min("file").alias("file"))
+    equal = p.join(f, F.col("path") == F.col("file")).select("path", F.lit(False).alias("unlike"), "file")
+    same = p.withColumn("_b", _base("path")).join(first, "_b").select("path", F.lit(True).alias("unlike"), "file")
+    of_end = first.select("file", F.explode(_ends(F.col("_b"))).alias("path")).groupBy("path").agg(F.min("file").alias("file"))
+    bare_path = p.where(~F.col("path").contains("/")).join(of_end, "path").select("path", F.lit(True).alias("unlike"), "file")
+    bare = f.where(~F.col("file").contains("/"))
+    bases = p.select(_base("path").alias("_b")).distinct()
+    of_base = bases.select("_b", F.explode(_ends(F.col("_b"))).alias("file")).join(bare, "file").groupBy("_b").agg(F.min("file").alias("file"))
+    bare_file = p.withColumn("_b", _base("path")).join(of_base, "_b").select("path", F.lit(True).alias("unlike"), "file")
+    found = equal.union(same).union(bare_path).union(bare_file)
+    return found.groupBy("path").agg(F.min(F.struct("unlike", "file"))["file"].alias("file"))
 
 
 def cited_files(citations: DataFrame, files: DataFrame) -> DataFrame:
     """Citations (citation, file) whose path fits a path of files (file)."""
-    fits = fitting_paths(citations.select(F.col("file").alias("path")), files).select(F.col("path").alias("file")).distinct()
+    fits = fitting_paths(citations.select(F.col("file").alias("path")), files).select(F.col("path").alias("file"))
     return citations.join(fits, "file", "left_semi").select("citation", "file")
 
 
@@ -136,8 +158,8 @@ def verify_citations(citations: DataFrame, files: DataFrame, ranges: DataFrame)
     that a path fits, the equal one counts, else the first by name.
     """
     asked = citations.select(F.col("file").alias("path")).distinct()
-    known = fitting_paths(asked, files).select(F.col("path").alias("file")).distinct().withColumn("_known", F.lit(True))
-    chosen = fitting_paths(asked, ranges.select("file")).groupBy("path").agg(F.min(F.struct(F.col("path") != F.col("file"), F.col("file"))).alias("b")).select(F.col("path").alias("file"), F.col("b.file").alias("_with"))
+    known = fitting_paths(asked, files).select(F.col("path").alias("file"), F.lit(True).alias("_known"))
+    chosen = fitting_paths(asked, ranges.select("file")).select(F.col("path").alias("file"), F.col("file").alias("_with"))
     placed = citations.join(known, "file", "left").join(chosen, "file", "left")
     inside = in_ranges(placed.where("_with is not null and line is not null").select(F.col("_with").alias("file"), "line"), ranges).select(F.col("file").alias("_with"), "line", F.lit(True).alias("_in"))
     verdict = F.when(F.col("file").isNull() | (F.col("file") == ""), "unnamed").when(F.col("_known").isNull(), "bad").when(F.col("line").isNull() | F.col("_with").isNull(), "file").when(F.col("_in").isNotNull(), "anchored").otherwise("unanchored")
@@ -153,14 +175,14 @@ def citation_summary(verdicts: DataFrame) -> DataFrame:
 
 def aggregate_findings(findings: DataFrame, risky: float = 0.5, most: int = 10, least: float = 0.5) -> DataFrame:
     """One row over findings (finding, theme, tier, risk, modules, files): total, n_high, n_risky, by_theme and by_tier (maps),
-    hot_modules (module and count, the largest first), n_unique (subjects) and duplicate_groups (lists of findings of one subject).
+    hot_modules (module and count, the largest first), n_unique (subjects) and n_groups (subjects of several findings; ``duplicate_groups`` has them as rows).
     """
     theme, tier = F.coalesce("theme", F.lit("function")), F.coalesce("tier", F.lit("none"))
     counts = lambda key, name: findings.groupBy(key.alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
     totals = findings.agg(F.count("*").alias("total"), F.count_if(tier == "high").alias("n_high"), F.count_if(F.col("risk") >= risky).alias("n_risky"))
     hot = module_counts(findings, most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), "module", "n"))).alias("h")).select(F.transform("h", lambda x: F.struct(x["module"].alias("module"), x["n"].alias("n"))).alias("hot_modules"))
-    grouped = subject_groups(findings, least).groupBy("subject").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("finding")).alias("members"))
-    subjects = grouped.agg(F.count("*").alias("n_unique"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("members")))).alias("duplicate_groups"))
+    sizes = subject_groups(findings, least).groupBy("subject").agg(F.count("*").alias("n"))
+    subjects = sizes.agg(F.count("*").alias("n_unique"), F.count_if(F.col("n") > 1).alias("n_groups"))
     # Each side is one row.
     out = totals
     for side in (counts(theme, "by_theme"), counts(tier, "by_tier"), hot, subjects):
@@ -168,6 +190,13 @@ def aggregate_findings(findings: DataFrame, risky: float = 0.5, most: int = 10,
     return out
 
 
+def duplicate_groups(findings: DataFrame, least: float = 0.5) -> DataFrame:
+    """(subject, finding): a row for each finding of a subject that has several."""
+    grouped = subject_groups(findings, least)
+    several = grouped.where("finding <> subject").select("subject").distinct()
+    return grouped.join(several, "subject", "left_semi").select("subject", "finding")
+
+
 def analyse_patches(patches: DataFrame, spans: DataFrame, modules: DataFrame, risk: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     """(commit, theme, applies, risk, tier, modules, files, error): what is known of each patch without a model.
 

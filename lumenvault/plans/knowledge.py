@@ -132,17 +132,16 @@ def m6_m8_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH c AS (SELECT *, {_WEIGHT} * 0.5 AS confidence FROM items)
-    SELECT c.item, CASE WHEN {_ACTIVE} AND access_count >= 3 AND kind NOT IN ('mental_model', 'domain_knowledge') THEN 'mental_model' ELSE kind END AS kind,
-      CASE WHEN {_ACTIVE} AND c.item % 12 = 0 AND kind = 'bug_lesson' THEN confidence * 0.5 ELSE confidence END AS confidence,
-      {_ACTIVE} AND access_count >= 3 AND kind NOT IN ('mental_model', 'domain_knowledge') AS promoted,
-      {_ACTIVE} AND c.item % 12 = 0 AND kind = 'bug_lesson' AS merged_upstream,
-      {_ACTIVE} AND date_diff('microsecond', coalesce(last_recalled, created_at), TIMESTAMP '{NOW}') > 200 * 86400000000 AS stale
-    FROM c""", ITEMS)
+    WITH c AS (SELECT *, {_WEIGHT} * 0.5 AS confidence, {_ACTIVE} AS live, item IN (SELECT item FROM conflicts) AS odd FROM items),
+    t AS (SELECT *, live AND item % 12 = 0 AND kind = 'bug_lesson' AS up, live AND date_diff('microsecond', coalesce(last_recalled, created_at), TIMESTAMP '{NOW}') > 200 * 86400000000 AS old,
+      live AND access_count >= 3 AND kind NOT IN ('mental_model', 'domain_knowledge') AS promoted FROM c)
+    SELECT item, CASE WHEN promoted THEN 'mental_model' ELSE kind END AS kind, CASE WHEN up THEN confidence * 0.5 ELSE confidence END AS confidence, promoted, odd AS contradicts, up AS merged_upstream, old AS stale,
+      list_concat(list_concat(list_concat(tags, CASE WHEN odd THEN ['needs_review'] ELSE [] END), CASE WHEN up THEN ['merged_upstream'] ELSE [] END), CASE WHEN old THEN ['stale'] ELSE [] END) AS tags
+    FROM t""", ITEMS, _SURE, _conflicts_sql(0.5))
 def m11_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = frames.items(spark, sf_dir).withColumn("confidence", scores.first_confidence(F.col("tier")))
+    items = _one_scope(spark, sf_dir)
     after = k.consolidate(items, items.where("item % 12 = 0").select("item"), frames.ntz(NOW), stale_days=200.0)
-    return after.select("item", "kind", "confidence", "promoted", "merged_upstream", "stale")
+    return after.select("item", "kind", "confidence", "promoted", "contradicts", "merged_upstream", "stale", "tags")
 
 
 @query("SELECT item FROM items WHERE coalesce(valid_at, created_at) <= TIMESTAMP '2024-01-20' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-20')", ITEMS)
@@ -273,6 +272,81 @@ def m5_batch_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.memorize(items.where("item % 2 = 0"), batch).select("item", "related", F.col("corrected_by").cast("string").alias("corrected_by"))
 
 
+_BOTH = f"""old AS (SELECT {_ONE_SCOPE}, [item + 2, item + 100000] AS related, {_WEIGHT} * 0.5 AS confidence FROM items WHERE item % 2 = 0),
+batch AS (
+  SELECT * REPLACE ('all' AS owner, 'all' AS codebase, 'fact' AS kind, symptom || '!' AS symptom, ['new'] AS tags, CAST(0 AS BIGINT) AS access_count, created_at + to_days(CAST(item % 5 - 2 AS INTEGER)) AS created_at, updated_at AS valid_at,
+      list_concat(evidence[1:1], [{{'file': 'new/f.c', 'line': item % 9}}]) AS evidence, CAST(NULL AS TIMESTAMP) AS invalid_at, CAST(NULL AS VARCHAR) AS superseded_by, CAST(NULL AS VARCHAR) AS corrected_by, CAST(NULL AS TIMESTAMP) AS last_recalled),
+    [item - 1] AS related, CASE WHEN item % 4 = 0 THEN {_WEIGHT} * 0.5 ELSE 0.77 END AS confidence, {_WEIGHT} AS weight, CASE WHEN item % 9 = 0 THEN item + 2 WHEN item % 9 = 3 THEN item + 1 END AS corrects FROM items WHERE item % 3 = 0),
+pairs AS (
+  SELECT DISTINCT b.item, s.item AS other FROM batch b JOIN old s ON s.kind = b.kind AND s.item <> b.item AND s.invalid_at IS NULL AND s.superseded_by IS NULL
+  WHERE len(list_intersect(list_transform(b.evidence, lambda e: e.file), list_concat(list_transform(s.evidence, lambda e: e.file), s.blast_radius))) > 0),
+links AS (SELECT item, list_slice(list_sort(list(other)), 1, 20) AS links FROM pairs GROUP BY item),
+told AS (SELECT corrects AS item, min(CAST(item AS VARCHAR)) AS teller FROM batch WHERE corrects IS NOT NULL AND corrects NOT IN (SELECT item FROM batch) GROUP BY corrects),
+both_rows AS (
+  SELECT b.*, s.item IS NOT NULL AS there, s.item IS NOT NULL AND s.invalid_at IS NULL AND s.superseded_by IS NULL AS live, s.confidence AS c0, s.access_count AS a0, s.created_at AS t0, s.valid_at AS v0, s.related AS r0, s.evidence AS e0,
+    list_slice(list_sort(list_distinct(list_concat(b.related, coalesce(links, [])))), 1, 20) AS r1
+  FROM batch b LEFT JOIN old s USING (item) LEFT JOIN links USING (item)),
+written AS (
+  SELECT item, kind, symptom, root_cause, tags, tier, CASE WHEN live THEN least(1.0, c0 + (1 - c0) * weight * 0.3) ELSE confidence END AS confidence, CASE WHEN live THEN a0 ELSE access_count END AS access_count,
+    CASE WHEN there THEN t0 ELSE created_at END AS created_at, CASE WHEN live THEN v0 ELSE valid_at END AS valid_at, CASE WHEN live THEN list_sort(list_distinct(list_concat(r0, r1))) ELSE r1 END AS related,
+    CASE WHEN live THEN list_concat(e0, list_filter(evidence, lambda e: NOT list_contains(e0, e))) ELSE evidence END AS evidence, invalid_at, superseded_by, corrected_by, last_recalled, updated_at, owner, codebase, repo, blast_radius FROM both_rows
+  UNION ALL
+  SELECT item, kind, symptom, root_cause, tags, tier, confidence, access_count, created_at, valid_at, related, evidence, invalid_at, superseded_by, coalesce(corrected_by, teller) AS corrected_by, last_recalled, updated_at, owner, codebase, repo, blast_radius
+  FROM old LEFT JOIN told USING (item) WHERE item NOT IN (SELECT item FROM batch))"""
+
+
+def _remembered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored items and a batch with all their columns."""
+    items, n = _one_scope(spark, sf_dir), F.col("item")
+    old = items.where("item % 2 = 0").withColumn("related", F.array(n + 2, n + 100000))
+    first = F.slice("evidence", 1, 1)
+    batch = items.where("item % 3 = 0").withColumns({
+        "related": F.array(n - 1), "kind": F.lit("fact"), "symptom": F.concat("symptom", F.lit("!")), "tags": F.array(F.lit("new")), "access_count": F.lit(0).cast("long"),
+        "created_at": F.col("created_at") + F.make_dt_interval((n % 5 - 2).cast("int")), "valid_at": F.col("updated_at"), "evidence": F.concat(first, F.array(F.struct(F.lit("new/f.c").alias("file"), (n % 9).alias("line")))),
+        "invalid_at": F.lit(None).cast("timestamp_ntz"), "superseded_by": F.lit(None).cast("string"), "corrected_by": F.lit(None).cast("string"), "last_recalled": F.lit(None).cast("timestamp_ntz"),
+        "confidence": F.when(n % 4 == 0, 0.0).otherwise(0.77), "corrects": F.when(n % 9 == 0, n + 2).when(n % 9 == 3, n + 1),
+    })
+    return old, batch
+
+
+_EVERY = ("item", "kind", "symptom", "root_cause", "tags", "tier", "confidence", "access_count", "created_at", "valid_at", "related", "invalid_at", "superseded_by", "corrected_by", "last_recalled", "updated_at", "owner", "codebase", "repo", "blast_radius")
+
+
+@query(f"SELECT {', '.join(c if c != 'confidence' else 'round(confidence, 9) AS confidence' for c in _EVERY)}, list_transform(evidence, lambda e: e.file || ':' || coalesce(CAST(e.line AS VARCHAR), '')) AS evidence FROM written", ITEMS, _BOTH)
+def m5_remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch linked, merged and written, with all columns."""
+    old, batch = _remembered(spark, sf_dir)
+    after = k.remember(old, batch)
+    evidence = F.transform("evidence", lambda e: F.concat(e["file"], F.lit(":"), F.coalesce(e["line"].cast("string"), F.lit(""))))
+    return after.select(*(F.round(c, 9).alias(c) if c == "confidence" else F.col(c) for c in _EVERY), evidence.alias("evidence"))
+
+
+@query(f"""
+    SELECT coalesce(b.item, s.item) AS item, coalesce(s.created_at, b.created_at) AS created_at, {', '.join(f'CASE WHEN b.item IS NOT NULL THEN b.{c} ELSE s.{c} END AS {c}' for c in _EVERY if c not in ('item', 'created_at', 'owner', 'codebase', 'confidence'))}
+    FROM old s FULL OUTER JOIN batch b ON s.item = b.item""", ITEMS, _BOTH)
+def m1_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written by id as they are."""
+    old, batch = _remembered(spark, sf_dir)
+    return k.upsert(old, batch).select(*(c for c in _EVERY if c not in ("owner", "codebase", "confidence")))
+
+
+@query("""
+    SELECT (SELECT count(*) FROM pages WHERE page_id % 5 <> 0) AS n_before, (SELECT count(*) FROM pages JOIN changes ON path = 'p' || page_id WHERE page_id % 5 <> 0 AND state IN ('changed', 'removed')) AS n_deleted""", _MANIFESTS)
+def m14_deleted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = frames.table(spark, sf_dir, "pages").where("page_id % 5 <> 0").select(F.concat(F.lit("p"), "page_id").alias("file"))
+    return k.replaced_counts(chunks, _changes(spark, sf_dir))
+
+
+@query("""
+    SELECT branch, patch, CASE WHEN patch % 5 = 1 THEN 'no index yet' WHEN patch % 7 = 2 THEN 'another model' WHEN patch % 11 = 3 THEN 'another schema' WHEN min(commit) % 2 = 0 THEN 'forced' WHEN count(*) FILTER (WHERE commit % 3 = 1) = 0 THEN 'nothing changed' ELSE count(*) FILTER (WHERE commit % 3 = 1) || ' changed' END AS reason,
+      CASE WHEN patch % 5 = 1 OR patch % 7 = 2 OR patch % 11 = 3 OR min(commit) % 2 = 0 THEN 'full_rebuild' WHEN count(*) FILTER (WHERE commit % 3 = 1) = 0 THEN 'noop' ELSE 'incremental' END AS mode
+    FROM commits GROUP BY branch, patch""", COMMITS)
+def m18_index_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("patch")
+    state = (F.min("commit") % 2 == 0, n % 5 != 1, n % 7 != 2, n % 11 != 3, F.count_if(F.col("commit") % 3 == 1))
+    return frames.commits(spark, sf_dir).groupBy("branch", "patch").agg(k.index_mode(*state).alias("mode"), k.index_reason(*state).alias("reason"))
+
+
 @query("SELECT repo, count(item) AS n FROM (SELECT unnest(['en', 'de', 'none']) AS repo) LEFT JOIN items USING (repo) GROUP BY repo", ITEMS)
 def s14_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([("en",), ("de",), ("none",)], "repo string")

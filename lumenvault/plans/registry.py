@@ -19,11 +19,11 @@ def query(sql: str | None = None, *ctes: str) -> Callable:
         if sql is not None:
             body = dedent(sql).strip()
             head = ",\n".join(ctes)
-            if body.upper().startswith("WITH ") and head:
-                body = body[5:]
-                ORACLE_SQL[function.__name__] = f"WITH RECURSIVE {head},\n{body}"
-            else:
-                ORACLE_SQL[function.__name__] = f"WITH RECURSIVE {head}\n{body}" if head else body
+            if body.upper().startswith("WITH ") and not body.upper().startswith("WITH RECURSIVE "):
+                body = f"WITH RECURSIVE {head},\n{body[5:]}" if head else f"WITH RECURSIVE {body[5:]}"
+            elif head:
+                body = f"WITH RECURSIVE {head}\n{body}"
+            ORACLE_SQL[function.__name__] = body
         return function
 
     return register
@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r5_recall"](spark, sf_dir)
 
 
-from lumenvault.plans import graphs, history, indexes, knowledge, retrieval, reports, sequences, texts  # noqa: E402, F401  they register their queries
+from lumenvault.plans import graphs, history, indexes, knowledge, retrieval, reports, segmentation, sequences, synopses, texts  # noqa: E402, F401  they register their queries

@@ -187,7 +187,12 @@ def a6_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
     hot = F.array_join(F.transform("hot_modules", lambda e: F.concat(e["module"], F.lit(":"), e["n"])), ",")
     found = r.aggregate_findings(_tiered(spark, sf_dir))
-    return found.select("total", "n_high", "n_risky", pairs("by_theme").alias("themes"), pairs("by_tier").alias("tiers"), hot.alias("hot"), "n_unique", F.size("duplicate_groups").cast("long").alias("n_groups"))
+    return found.select("total", "n_high", "n_risky", pairs("by_theme").alias("themes"), pairs("by_tier").alias("tiers"), hot.alias("hot"), "n_unique", "n_groups")
+
+
+@query("SELECT subject, finding FROM g15 WHERE subject IN (SELECT subject FROM g15 GROUP BY subject HAVING count(*) > 1)", FINDINGS, _GROUPS)
+def a6_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.duplicate_groups(frames.findings(spark, sf_dir))
 
 
 _PATCHES = """patched AS (

@@ -95,3 +95,36 @@ def test_events_and_windows(spark, tmp_path):
     query = guards.tumbling_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("windows").groupBy().sum("n").first()[0] == events.count()
+
+
+def test_more_messages_than_a_batch_holds(spark, tmp_path):
+    """12,000 messages of a run, each told again after a restart: none counts twice."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    schema = "run long, seq long, message string, tokens long"
+    for batch in range(2):
+        spark.range(12_000).selectExpr("1L as run", f"id + {batch * 12_000} as seq", "cast(id as string) as message", f"10L + {batch} * (id % 2) as tokens").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = guards.token_guard(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        assert query.exception() is None
+    totals = {r.seq: r.total for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(totals) == 24_000 and totals[11_999] == 120_000 and totals[23_999] == 126_000
+
+
+def test_ledger_and_bounded_state_over_batches(spark, tmp_path):
+    """What goes when there is no room, and trimmed ids that come back, in a stream that is stopped between its batches."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    rows = [(1, k, str(k % 7), ["running", "done", "failed"][k % 3], k * 10) for k in range(30)]
+    for cut, (name, make, schema, pick) in enumerate((
+        ("ledger", lambda s: guards.ledger(s, most=3), "run long, seq long, id string, status string, at long", lambda r: r),
+        ("bounded", lambda s: guards.bounded_latest(s, 3), "space long, seq long, key string, value string", lambda r: r[:3] + (r[3] + str(r[1]),)),
+    )):
+        data = [pick(r) for r in rows]
+        for part in (data[: 11 + cut], data[11 + cut :]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            stream = make(spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}/in"))
+            found: list = []
+            query = stream.writeStream.foreachBatch(lambda df, n, found=found: found.append(sorted(map(tuple, df.collect())))).option("checkpointLocation", f"{tmp_path}/{name}/c").outputMode("update").trigger(availableNow=True).start()
+            query.awaitTermination(120)
+            assert query.exception() is None
+        assert [f for f in found if f][-1] == sorted(map(tuple, make(spark.createDataFrame(data, schema)).collect()))
