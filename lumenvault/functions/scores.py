@@ -101,3 +101,8 @@ def ndcg_at(retrieved: Column, gold: Column, k: int) -> Column:
 
 def all_found_at(retrieved: Column, gold: Column, k: int) -> Column:
     return F.when((F.size(gold) > 0) & (F.size(F.array_except(gold, F.slice(retrieved, 1, k))) == 0), 1.0).otherwise(0.0)
+
+
+def eval_status(gold: Column, error: Column) -> Column:
+    """What becomes of a query of an evaluation: without gold it is not asked, one that failed is counted apart, the rest is measured."""
+    return F.when(F.coalesce(F.size(gold), F.lit(0)) <= 0, "empty_gold").when(error.isNotNull(), "error").otherwise("ok")

@@ -104,6 +104,33 @@ def json_synopsis(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     )
 
 
+#: Headers that a summary lists, their length, and that of its excerpts.
+HEADERS, HEADER_CHARS, EXCERPT_CHARS = 16, 160, 420
+
+
+def one_line(x: Column, most: int) -> Column:
+    """The text with single spaces for white space, clipped."""
+    return clipped(F.trim(F.regexp_replace(x, r"\s+", " ")), most)
+
+
+def headers(x: Column) -> Column:
+    """The first HEADERS different lines that look like headers: behind marks, or of capitals and digits alone."""
+    lines = F.transform(F.split(x, r"\r?\n"), lambda line: F.trim(line))
+    found = F.filter(lines, lambda line: line.rlike(r"^#{1,6}\s+") | line.rlike(r"^[A-Z0-9][A-Z0-9\s:_-]{6,}$"))
+    return F.slice(F.array_distinct(F.transform(found, lambda line: one_line(line, HEADER_CHARS))), 1, HEADERS)
+
+
+def opening(x: Column) -> Column:
+    """The first EXCERPT_CHARS characters in one line."""
+    return one_line(F.substring(x, 1, EXCERPT_CHARS), EXCERPT_CHARS)
+
+
+def closing(x: Column) -> Column:
+    """The last EXCERPT_CHARS characters behind the opening in one line; empty if the opening is all."""
+    start = F.greatest(F.lit(EXCERPT_CHARS), F.length(x) - EXCERPT_CHARS)
+    return F.when(F.length(x) <= EXCERPT_CHARS, "").otherwise(one_line(F.substring(x, start + 1, F.lit(EXCERPT_CHARS)), EXCERPT_CHARS))
+
+
 def head_end(text: Column, at: Column) -> Column:
     """a place to end a head: behind the last line end in the second half before ``at``, else ``at``; places count from 0."""
     half = F.floor(at / 2).cast("int")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 # The fields of a call's arguments that say what the call is.
@@ -21,9 +24,25 @@ def _text(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """Characters whose folding is not their lower case, by Unicode's own tables; capital sigma among them, as its lower case depends on its place."""
+    every = (chr(k) for k in range(0x20000) if not 0xD800 <= k < 0xE000)
+    return {c: c.casefold() for c in every if c.casefold() != c.lower()} | {"\u03a3": "\u03c3"}
+
+
+def casefold(x: Column | str) -> Column:
+    """the text without differences of case: lower case, and ß as ss, final sigma as sigma and the like."""
+    folds = _folds()
+    odd = "[" + "".join(re.escape(c) for c in folds) + "]"
+    table = F.create_map(*(F.lit(part) for pair in folds.items() for part in pair))
+    each = F.transform(F.split(_text(x), ""), lambda c: F.coalesce(F.element_at(table, c), F.lower(c)))
+    return F.when(_text(x).rlike(odd), F.array_join(each, "")).otherwise(F.lower(_text(x)))
+
+
 def content_key(x: Column | str) -> Column:
-    """Trimmed, white space collapsed to single spaces, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(_text(x), r"(?U)\s+", " "), r"^ | $", ""))
+    """trimmed, white space collapsed to single spaces, without differences of case."""
+    return casefold(F.regexp_replace(F.regexp_replace(_text(x), r"(?U)\s+", " "), r"^ | $", ""))
 
 
 def short_id(owner: Column, codebase: Column, kind: Column, summary: Column) -> Column:

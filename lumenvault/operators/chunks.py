@@ -21,8 +21,33 @@ CHUNK = "id string, symbol string, kind string, file string, language string, st
 _C_FUNCTION = re.compile(r"^[A-Za-z_][\w\s*]*?\b([A-Za-z_]\w*)\s*\([^;{}()]*\)\s*\{", re.M)
 
 
+# Strings and comments, whose brackets don't count, or a bracket.
+_TOKEN = re.compile(
+    r"""(?P<quote>\"{3}|\x27{3})(?:\\.|(?!(?P=quote)).)*(?P=quote)|\"(?:\\.|[^\"\\\n])*\"|\x27(?:\\.|[^\x27\\\n])*\x27|\#[^\n]*|(?P<open>[(\[{])|(?P<close>[)\]}])""", re.S
+)
+_DEF = re.compile(r"\s*(?:async\s+)?def\s+\w+\s*")
+
+
+def parameters(source: str) -> str:
+    """The parameters of a function that source begins with, from ( to its ), over as many lines as they have; () if there are none."""
+    head, depth, opened = _DEF.match(source), 0, None
+    for m in _TOKEN.finditer(source, head.end()) if head else ():
+        if m["open"]:
+            if not depth and m["open"] == "(":
+                opened = m.start()
+            depth += 1
+        elif m["close"]:
+            depth -= 1
+            if not depth and opened is not None:
+                return source[opened : m.end()]
+    return "()"
+
+
 def python_symbols(source: str, file: str) -> list[dict]:
-    """Functions, methods and classes in order; a function in a class is a method. Source that doesn't parse has none."""
+    """Functions, methods and classes in order; a function in a class is a method. Source that doesn't parse has none.
+
+    The signature of a function is its parameters as they stand, a class has none.
+    """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
@@ -35,7 +60,7 @@ def python_symbols(source: str, file: str) -> list[dict]:
                 is_class = isinstance(child, ast.ClassDef)
                 kind = "class" if is_class else "method" if scope and scope[-1][1] == "class" else "function"
                 first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
-                found.append({"name": child.name, "qualified_name": ".".join([*(s for s, _ in scope), child.name]), "kind": kind, "language": "python", "file": file, "start_line": first, "end_line": child.end_lineno, "signature": lines[child.lineno - 1].strip(), "docstring": ast.get_docstring(child, clean=False)})
+                found.append({"name": child.name, "qualified_name": ".".join([*(s for s, _ in scope), child.name]), "kind": kind, "language": "python", "file": file, "start_line": first, "end_line": child.end_lineno, "signature": None if is_class else parameters("\n".join(lines[child.lineno - 1 : child.end_lineno])), "docstring": ast.get_docstring(child, clean=False)})
                 walk(child, [*scope, (child.name, kind)])
             else:
                 walk(child, scope)
@@ -145,10 +170,12 @@ def _rows(df: DataFrame, make, schema: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = to_arrow_schema(target)
         for batch in batches:
+            columns: dict[str, list] = {f.name: [] for f in form}
             for file, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = make(source or "", file or "")
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=form)
+                for row in make(source or "", file or ""):
+                    for name, values in columns.items():
+                        values.append(row[name])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in form], schema=form)
 
     return df.mapInArrow(each, target)
 

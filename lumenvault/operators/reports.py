@@ -119,10 +119,10 @@ def fitting_paths(asked: DataFrame, files: DataFrame) -> DataFrame:
 
     Paths with a slash that end alike share their last part; one without may be the end of a
     last part, so it meets the ends of last parts. Of the files of a last part, and of an end, only the first is kept before paths
-    meet them, so no path meets more than a few rows.
+    meet them, so no path meets more than a few rows. Null and empty names fit nothing.
     """
-    p = asked.select("path").distinct().where("path is not null")
-    f = files.select("file").distinct().where("file is not null")
+    p = asked.select("path").distinct().where("path <> ''")
+    f = files.select("file").distinct().where("file <> ''")
     first = f.groupBy(_base("file").alias("_b")).agg(F.min("file").alias("file"))
     equal = p.join(f, F.col("path") == F.col("file")).select("path", F.lit(False).alias("unlike"), "file")
     same = p.withColumn("_b", _base("path")).join(first, "_b").select("path", F.lit(True).alias("unlike"), "file")
@@ -224,6 +224,27 @@ def analyse_patches(patches: DataFrame, spans: DataFrame, modules: DataFrame, ri
     )
 
 
+def batch_report(analysed: DataFrame) -> DataFrame:
+    """One row over ``analyse_patches``: total, n_failed, n_high, n_relevant, risk (the mean of those that did not fail), and report, a text of one line for each tier."""
+    fine = F.col("error").isNull()
+    tiers = analysed.groupBy(F.when(fine, F.col("tier")).otherwise("failed").alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("risk"), 3).alias("risk"))
+    line = F.concat("tier", F.lit(": "), "n", F.when(F.col("risk").isNotNull(), F.concat(F.lit(", risk "), F.format_string("%.3f", "risk"))).otherwise(""))
+    told = tiers.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"))  # a row for each tier
+    totals = analysed.agg(F.count("*").alias("total"), F.count_if(~fine).alias("n_failed"), F.count_if(F.col("tier") == "high").alias("n_high"), F.count_if(F.col("tier") == "relevant").alias("n_relevant"), F.avg("risk").alias("risk"))
+    return totals.crossJoin(F.broadcast(told))
+
+
+def learned_from(patches: DataFrame, analysed: DataFrame, stored: DataFrame, owner: str, codebase: str) -> DataFrame:
+    """The store of lessons (item, summary, commit) after the lessons of all patches of a batch that did not fail and whose tier is not none were written by id."""
+    from lumenvault.operators.knowledge import upsert
+
+    worth = analysed.where("error is null and tier <> 'none'").select("commit")
+    new = lesson_rows(patches.join(worth, "commit", "left_semi"), owner, codebase).select(F.col("id").alias("item"), "summary", "commit")
+    # Equal patches are one lesson, that of the first commit.
+    first = new.groupBy("item").agg(F.min_by("summary", "commit").alias("summary"), F.min("commit").alias("commit"))
+    return upsert(stored, first, kept=())
+
+
 def lesson_rows(patches: DataFrame, owner: str, codebase: str, summary: Column | None = None) -> DataFrame:
     """One lesson for each patch (commit, diff): id by the diff, its files, and the start of each hunk as evidence.
 

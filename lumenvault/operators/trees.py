@@ -82,6 +82,6 @@ def outlines(sources: DataFrame, bodies: DataFrame, target: int = TARGET_LINES,
     start = F.struct(seen.alias("seen"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("kept"))
     folded = met.withColumn("elided", F.array_sort(F.aggregate("bodies", start, step)["kept"]))
     of = lambda n: F.get(F.filter("elided", lambda r: (r["first"] <= n) & (n <= r["last"])), F.lit(0))
-    numbers = F.filter(F.sequence(F.lit(1).cast("long"), F.size("lines").cast("long")), lambda n: F.coalesce(of(n)["first"] == n, F.lit(True)))
+    numbers = F.filter(F.slice(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.size("lines")).cast("long")), F.lit(1), F.size("lines")), lambda n: F.coalesce(of(n)["first"] == n, F.lit(True)))
     told = F.transform(numbers, lambda n: F.when(of(n).isNull(), _number(F.col("lines"), n)).otherwise(F.concat(n.cast("string"), F.lit("| ... "), of(n)["first"].cast("string"), F.lit("-"), of(n)["last"].cast("string"), F.lit(", "), (of(n)["last"] - of(n)["first"] + 1).cast("string"), F.lit(" lines"))))
     return folded.select("file", F.array_join(told, "\n").alias("outline"), F.aggregate("elided", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1).alias("n_elided"), "elided")

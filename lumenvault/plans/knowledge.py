@@ -12,7 +12,8 @@ from lumenvault.plans.registry import query
 
 _ACTIVE = "invalid_at IS NULL AND superseded_by IS NULL"
 _WEIGHT = "CASE tier " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in scores.TIER_WEIGHT.items()) + f" ELSE {scores.OTHER_WEIGHT} END"
-_KEY = "lower(regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '^ | $', '', 'g'))"
+# Folding of case as far as the tables' texts need it.
+_KEY = "replace(replace(replace(lower(regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '^ | $', '', 'g')), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's')"
 
 
 @query("SELECT item, kind, summary, updated_at FROM items WHERE owner = 'src3' AND codebase = 'en' AND " + _ACTIVE, ITEMS)

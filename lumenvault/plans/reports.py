@@ -208,11 +208,15 @@ found AS (
   FROM patched LEFT JOIN per USING (commit))"""
 
 
-def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, s = F.col("o_orderkey"), F.col("symbol")
+def _analysed_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
     file = F.concat(F.lit("src/f"), k % 50, F.lit(".c"))
     diff = F.concat(F.lit("--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -1 +"), k % 380 + 1, F.lit(",3 @@\n+a\n+b\n c"))
-    patches = frames.table(spark, sf_dir, "orders").select(k.alias("commit"), diff.alias("diff"), F.when(k % 4 == 0, "security").otherwise("memory").alias("theme"), F.lit(True).alias("applies"), F.when(k % 9 == 0, "fetch failed").alias("error"))
+    return frames.table(spark, sf_dir, "orders").select(k.alias("commit"), diff.alias("diff"), F.when(k % 4 == 0, "security").otherwise("memory").alias("theme"), F.lit(True).alias("applies"), F.when(k % 9 == 0, "fetch failed").alias("error"))
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, patches = F.col("symbol"), _analysed_patches(spark, sf_dir)
     spans = frames.spans(spark, sf_dir)
     symbols = spans.select("symbol").distinct()
     return r.analyse_patches(patches, spans, symbols.select("symbol", (s % 17).alias("module")), symbols.select("symbol", (s % 100 / 100).alias("risk")), ("77",))
@@ -228,6 +232,27 @@ def x1_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysed(spark, sf_dir).groupBy(F.coalesce("tier", F.lit("failed")).alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("risk"), 6).alias("risk"))
 
 
+@query("""
+    WITH t AS (SELECT coalesce(tier, 'failed') AS tier, count(*) AS n, round(avg(risk), 3) AS risk FROM found GROUP BY 1)
+    SELECT count(*) AS total, count(*) FILTER (WHERE error IS NOT NULL) AS n_failed, count(*) FILTER (WHERE tier = 'high') AS n_high, count(*) FILTER (WHERE tier = 'relevant') AS n_relevant, round(avg(risk), 6) AS risk,
+      (SELECT string_agg(tier || ': ' || n || coalesce(', risk ' || printf('%.3f', risk), ''), chr(10) ORDER BY tier) FROM t) AS report FROM found""", SPANS, _PATCHES)
+def x1_report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.batch_report(_analysed(spark, sf_dir)).withColumn("risk", F.round("risk", 6))
+
+
+@query("""
+    WITH told AS (SELECT commit, '--- a/' || file || chr(10) || '+++ b/' || file || chr(10) || '@@ -1 +' || first || ',3 @@' || chr(10) || '+a' || chr(10) || '+b' || chr(10) || ' c' AS diff, file, first FROM patched),
+    ids AS (SELECT commit, file, substring(sha256('o/c:bug_lesson:' || lower(regexp_replace(diff, '\\s+', ' ', 'g'))), 1, 16) AS item FROM told),
+    old AS (SELECT DISTINCT item FROM ids WHERE commit % 3 = 0),
+    new AS (SELECT item, min(commit) AS commit, min(file) AS file FROM ids JOIN found f USING (commit) WHERE f.error IS NULL AND f.tier <> 'none' GROUP BY item)
+    SELECT coalesce(old.item, new.item) AS item, CASE WHEN new.item IS NULL THEN 'old' ELSE '1 hunks in ' || file END AS summary, coalesce(commit, -1) AS commit FROM old FULL OUTER JOIN new ON old.item = new.item""", SPANS, _PATCHES)
+def x1_lessons_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lessons of a batch in a store that has some of them already."""
+    patches = _analysed_patches(spark, sf_dir)
+    old = r.lesson_rows(patches.where("commit % 3 = 0"), "o", "c").select(F.col("id").alias("item"), F.lit("old").alias("summary"), F.lit(-1).cast("long").alias("commit")).distinct()
+    return r.learned_from(patches, _analysed(spark, sf_dir), old, "o", "c")
+
+
 @query("SELECT branch, count(*) FILTER (WHERE patch NOT IN (SELECT patch FROM commits WHERE branch = 'upstream' AND commit % 2 = 0)) AS n_new, count(*) FILTER (WHERE patch IN (SELECT patch FROM commits WHERE branch = 'upstream' AND commit % 2 = 0)) AS n_there FROM commits GROUP BY branch", COMMITS)
 def a15_cherry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = frames.commits(spark, sf_dir)

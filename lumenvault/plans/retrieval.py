@@ -305,6 +305,21 @@ def a9_a11_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir).rollup("tier").agg(F.count_if(~used).alias("n_skipped"), *means).withColumn("tier", F.coalesce("tier", F.lit("all")))
 
 
+@query(f"""
+    WITH told AS (SELECT *, CASE WHEN g = 0 THEN 'empty_gold' WHEN query % 13 = 5 THEN 'error' ELSE 'ok' END AS status FROM scored)
+    SELECT coalesce(tier, 'all') AS tier, count(*) AS n_total, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'error') AS n_errors, count(*) FILTER (WHERE status = 'empty_gold') AS n_empty,
+      {', '.join(f"round(coalesce(avg({n}) FILTER (WHERE status = 'ok'), 0), 9) AS {n}" for n in _NAMES)} FROM told GROUP BY ROLLUP (tier)""", _LISTS)
+def a11_report_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some queries failed; they and those without gold are counted and not measured."""
+    error = F.when(F.col("query") % 13 == 5, "no answer")
+    gold = F.when(F.col("g") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    told = _metrics(spark, sf_dir).withColumn("status", scores.eval_status(gold, error))
+    ok = F.col("status") == "ok"
+    counts = [F.count("*").alias("n_total"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "n_ok"), ("error", "n_errors"), ("empty_gold", "n_empty")))]
+    means = [F.round(F.coalesce(F.avg(F.when(ok, F.col(n))), F.lit(0.0)), 9).alias(n) for n in _NAMES]
+    return told.rollup("tier").agg(*counts, *means).withColumn("tier", F.coalesce("tier", F.lit("all")))
+
+
 @query("SELECT item_id, list_slice(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: length(w) >= 3), 1, 5) AS identifiers FROM benchmark")
 def f13_query_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.table(spark, sf_dir, "benchmark").select("item_id", text.query_identifiers("text").alias("identifiers"))

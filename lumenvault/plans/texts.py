@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenvault.functions import scores, text
-from lumenvault.operators import chunks, diffs, locating, reports, sequences
+from lumenvault.functions import scores, synopsis, text
+from lumenvault.operators import chunks, diffs, extraction, locating, reports, sequences
 from lumenvault.plans import frames, retrieval
 from lumenvault.plans.frames import ITEMS, NOW
 from lumenvault.plans.registry import query
@@ -159,6 +159,25 @@ def h29_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).alias("words"), F.size(lines).alias("n_lines"), F.size(F.array_distinct(lines)).alias("distinct_lines"))
 
 
+_ONE_LINE = "CASE WHEN length({0}) <= {1} THEN {0} ELSE substring({0}, 1, {1} - 3) || '...' END"
+_FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '# Part ' || doc_id % 7 || chr(10) || text || chr(10) || 'SECTION NINE: ' || doc_id || chr(10) || ' # Part ' || doc_id % 7 || chr(10) || '## Two' ELSE text END AS text FROM documents),
+    l AS (SELECT doc_id, i, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+    h AS (SELECT doc_id, {_ONE_LINE.format(_FLAT.format("line"), 160)} AS header, min(i) AS i FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s+') OR regexp_full_match(line, '[A-Z0-9][A-Z0-9\\s:_-]{{6,}}') GROUP BY 1, 2),
+    g AS (SELECT doc_id, list(header ORDER BY i)[1:16] AS headers FROM h GROUP BY doc_id)
+    SELECT doc_id, coalesce(headers, []) AS headers, {_ONE_LINE.format(_FLAT.format("substring(text, 1, 420)"), 420)} AS opening,
+      CASE WHEN length(text) <= 420 THEN '' ELSE {_ONE_LINE.format(_FLAT.format("substring(text, greatest(420, length(text) - 420) + 1, 420)"), 420)} END AS closing FROM d LEFT JOIN g USING (doc_id)""")
+def h29_headers_and_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    part = F.concat(F.lit("# Part "), n % 7)
+    body = F.when(n % 3 == 0, F.concat(part, F.lit("\n"), "text", F.lit("\nSECTION NINE: "), n, F.lit("\n "), part, F.lit("\n## Two"))).otherwise(F.col("text"))
+    d = frames.table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return d.select("doc_id", synopsis.headers(F.col("body")).alias("headers"), synopsis.opening(F.col("body")).alias("opening"), synopsis.closing(F.col("body")).alias("closing"))
+
+
 @query("""
     WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || chr(7) WHEN 1 THEN repeat(chr(1) || 'abc', 20) || text WHEN 2 THEN repeat(chr(2), 2) || text ELSE text END AS text FROM documents)
     SELECT doc_id, length(regexp_replace(substring(text, 1, 1000), '[^\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) > 0.05 * length(substring(text, 1, 1000)) AS is_binary FROM t""")
@@ -168,6 +187,26 @@ def h27_binary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.table(spark, sf_dir, "documents").select("doc_id", text.binary_text(odd).alias("is_binary"))
 
 
+@query("""
+    WITH d AS (SELECT doc_id, doc_id % 5 AS way, text FROM documents WHERE length(trim(text)) >= 40 AND doc_id % 7 <> 0)
+    SELECT doc_id AS report, 0 AS place, 'bug_lesson' AS kind, 'S' || doc_id AS summary, 'module' AS kind_detail, (doc_id % 10) / 10.0 AS confidence, 'f' || doc_id % 9 || '.c:3:x,g.c::' AS evidence, '' AS radius FROM d
+    UNION ALL SELECT doc_id, 1, 'codebase_fact', 'T', 'symbol', 0.6, '', 'a.c,b.c' FROM d WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 2, 'bug_lesson', 'U', 'module', 1.0, '', '' FROM d WHERE way = 4""")
+def d12_valid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of three items, of which the second and third break the schema in one way or another, in fences; some are no JSON."""
+    n = F.col("doc_id")
+    one = F.concat(F.lit('{"kind": "bug_lesson", "summary": " S'), n, F.lit(' ", "confidence": 0.'), n % 10, F.lit(', "evidence": [{"file": "f'), n % 9, F.lit('.c", "line": 3, "snippet": "x"}, {"file": "g.c", "line": null}]}'))
+    two = F.concat(F.lit('{"kind": "'), F.when(n % 3 == 0, "codebase_fact").otherwise("rumour"), F.lit('", "summary": "T", "kind_detail": "symbol", "blast_radius_files": ["a.c", "b.c"]}'))
+    ways = ('"summary": " "', '"summary": "U", "confidence": 1.5', '"summary": "U", "evidence": [{"file": "f.c", "line": "x"}]', '"summary": "U", "kind_detail": "bug_lesson"', '"summary": "U", "confidence": 1, "detail": "d"')
+    third = F.lit(None).cast("string")
+    for k, w in enumerate(ways):
+        third = F.when(n % 5 == k, F.lit('{"kind": "bug_lesson", ' + w + "}")).otherwise(third)
+    answer = F.when(n % 7 == 0, "I found nothing.").otherwise(F.concat(F.lit('Here it is:\n```json\n{"items": ['), one, F.lit(", "), two, F.lit(", "), third, F.lit(', "no object"]}\n```')))
+    found = extraction.candidates(frames.table(spark, sf_dir, "documents").select(n.alias("report"), "text", answer.alias("answer")))
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["file"], F.coalesce(e["line"].cast("string"), F.lit("")), e["snippet"])), ",")
+    return found.select("report", "place", "kind", "summary", "kind_detail", "confidence", evidence.alias("evidence"), F.array_join("blast_radius", ",").alias("radius"))
+
+
 # Three sources: nested symbols, one that does not parse, and a function that is longer than a chunk.
 _SOURCE = "import os\n\n\nclass C{0}:\n    def run(self):\n        return {0}\n\n    def stop(self):\n        def inner():\n            return 1\n        return inner\n\n\ndef main():\n    return C{0}()\n"
 _BROKEN = "def f{0}(:\n    return\n"
@@ -187,9 +226,9 @@ python_symbols AS (
   UNION ALL SELECT 'm' || k || '.py', 'long' || k, 'long' || k, 'function', 1, 303 FROM parts WHERE form = 'long')"""
 
 
-@query("SELECT file, qualified_name, kind, start_line, end_line FROM python_symbols", _PARTS)
+@query("SELECT file, qualified_name, kind, start_line, end_line, CASE kind WHEN 'method' THEN '(self)' WHEN 'function' THEN CASE WHEN starts_with(name, 'long') THEN '(a, b=2)' ELSE '()' END END AS signature FROM python_symbols", _PARTS)
 def s6_python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.parse_symbols(_sources(spark, sf_dir)).select("file", "qualified_name", "kind", "start_line", "end_line")
+    return chunks.parse_symbols(_sources(spark, sf_dir)).select("file", "qualified_name", "kind", "start_line", "end_line", "signature")
 
 
 # The long function's lines have 98 characters: 161 of them fill a chunk behind its first two lines.
@@ -227,7 +266,7 @@ def r17_symbol_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locating.symbol_bodies(asked, chunks.parse_symbols(sources), sources)
 
 
-@query("SELECT CASE kind WHEN 'function' THEN 'func' WHEN 'method' THEN 'meth' ELSE kind END || ' ' || qualified_name || CASE kind WHEN 'class' THEN '' WHEN 'method' THEN '(self):' ELSE CASE WHEN starts_with(name, 'long') THEN '(a, b=2):' ELSE '():' END END || '  @ ' || file || ':' || start_line || '-' || end_line AS line FROM python_symbols", _PARTS)
+@query("SELECT CASE kind WHEN 'function' THEN 'func' WHEN 'method' THEN 'meth' ELSE kind END || ' ' || qualified_name || CASE kind WHEN 'class' THEN '' WHEN 'method' THEN '(self)' ELSE CASE WHEN starts_with(name, 'long') THEN '(a, b=2)' ELSE '()' END END || '  @ ' || file || ':' || start_line || '-' || end_line AS line FROM python_symbols", _PARTS)
 def f43_skeleton_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("kind", "qualified_name", "signature", "file", "start_line", "end_line")
     return chunks.parse_symbols(_sources(spark, sf_dir)).select(locating.skeleton_line(*map(F.col, names)).alias("line"))

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenvault.functions.text import binary_bytes, ignored_name
+from lumenvault.functions.text import binary_bytes, binary_text, ignored_name
 
 MOST_BYTES = 1_000_000
 MOST_LINE = 2_000
@@ -58,11 +58,11 @@ def grep(texts: DataFrame, pattern: str, most: int | None = 100, literal: bool =
 
 
 def line_range(source: Column, first: int | None = None, last: int | None = None, most: int = 50_000) -> Column:
-    """Lines first to last, from 1, both included, cut at ``most`` characters."""
+    """Lines first to last, from 1, both included, cut at ``most`` characters; null for what is no text."""
     lines = F.split(source, "\n")
     start = max(1, first or 1)
     length = F.size(lines) if last is None else F.lit(max(0, last - start + 1))
-    return F.substring(F.array_join(F.slice(lines, F.lit(start), length), "\n"), 1, most)
+    return F.when(~binary_text(source), F.substring(F.array_join(F.slice(lines, F.lit(start), length), "\n"), 1, most))
 
 
 def eval_set(spark: SparkSession, path: str) -> DataFrame:
