@@ -11,8 +11,8 @@ Words are lower-case, without ASCII punctuation. Some mask fits every stretch of
 ``PROVEN`` words or more of which a fifth differ (all ways to place them in up to
 25 words were tried; a longer stretch has a part of 13 to 25 with no larger share).
 Shorter items are sought as a whole run, by masks that leave out the
-words that may differ; those below ``min_item`` words are no evidence and are not sought. Test items are handled in blocks of bounded size
-that are sent to all tasks; documents are never shuffled.
+words that may differ; below five words none may. Test items are indexed in blocks of bounded size, several of
+which are sent to all tasks at once, so documents are read once for STACK blocks; they are never shuffled.
 
 Words that repeat give hits at very many alignments; then all alignments of the two texts are
 tried at once instead of one for each hit. Of a document's alignments with an item the one with the most equal
@@ -26,7 +26,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,9 @@ from lumenvault.llm.common import arrow_map, chunks, mix, word_hashes
 MASKS = ("1111011", "110100010011", "1110001011", "111111")
 PROVEN = 13
 #: Items, and bytes of their texts, in a block.
-BLOCK, BLOCK_BYTES = 10_000, 32 << 20
+BLOCK, BLOCK_BYTES = 10_000, 4 << 20
+#: Blocks that one pass over the documents searches.
+STACK = 8
 #: Words of documents and items that are compared at once.
 CELLS = 1 << 21
 _DROP = string.punctuation.encode()
@@ -48,11 +50,14 @@ _PREFILTER = 22
 
 @dataclass(frozen=True)
 class Overlap:
-    """similarity: least share of equal words. words: least length of an overlap, or the whole item if it is shorter."""
+    """similarity: least share of equal words. words: least length of an overlap, or the whole item if it is shorter.
+
+    min_item: least words of an item that is sought. A word or two stand in clean texts by chance, so a filter may ask for more.
+    """
 
     similarity: float = 0.8
     words: int = 13
-    min_item: int = 5
+    min_item: int = 1
 
 
 def plain_words(texts: pa.Array) -> list[list[bytes]]:
@@ -208,12 +213,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
     item_type = benchmark.schema[item_key].dataType
     schema = T.StructType([T.StructField("_key", source.schema["_key"].dataType), T.StructField("_item", item_type), *(T.StructField(c, T.LongType()) for c in ("doc_start", "item_start", "n_words", "n_equal"))])
-    found = None
-    for index in _blocks(benchmark, item_text, item_key, overlap, block):
+    found, indexes = None, iter(_blocks(benchmark, item_text, item_key, overlap, block))
+    while stack := list(islice(indexes, STACK)):
 
-        def search(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], stack: list[SeedIndex] = stack) -> Iterator[pa.RecordBatch]:
             for part in chunks(batches):
-                rows = index.overlaps(*word_hashes(plain_words(part.column("text"))))
+                words = word_hashes(plain_words(part.column("text")))
+                rows = [r for index in stack for r in index.overlaps(*words)]
                 if rows:
                     doc, item, *numbers = zip(*rows)
                     items = pa.array(item, to_arrow_type(item_type))
@@ -229,12 +235,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", overlap: Overlap | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of docs without an overlap with any test item."""
-    for index in _blocks(benchmark, item_text, item_key, overlap or Overlap(), block):
+    indexes = iter(_blocks(benchmark, item_text, item_key, overlap or Overlap(), block))
+    while stack := list(islice(indexes, STACK)):
 
-        def keep(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], stack: list[SeedIndex] = stack) -> Iterator[pa.RecordBatch]:
             for part in chunks(batches, text):
                 mask = np.ones(part.num_rows, bool)
-                mask[[r[0] for r in index.overlaps(*word_hashes(plain_words(part.column(text))))]] = False
+                words = word_hashes(plain_words(part.column(text)))
+                mask[[r[0] for index in stack for r in index.overlaps(*words)]] = False
                 yield part.filter(pa.array(mask))
 
         docs = arrow_map(docs, keep, docs.schema)

@@ -1,13 +1,13 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histogram of character classes and its histogram of its language's
-common words are compared with those of all documents of that language that pass the base
+common words, the words that most documents of the language have, are compared with those of all documents of that language that pass the base
 rules, by the Jensen-Shannon distance (base 2, so 0 to 1). Both limits fall with the number of
 words, since short histograms are far from any reference by chance, and below
 ``min_words`` nothing is judged. Counts come from array and string functions on
-the document's own row; only a row of counts for each language is broadcast.
+the document's own row; only a row of words or counts for each language is broadcast.
 
-A null text has no words. A null language, or one without a word list, has no
+A null text has no words. A null language, or one without a document that passes the base rules, has no
 reference: only the base rules judge its documents. Repeated rows are judged one
 by one; extra columns are left out. An empty table gives no rows.
 """
@@ -17,17 +17,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenvault.llm.common import WORD_SPLIT, cut
 
-# Common words of each language, as many for each.
-COMMON = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"),
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on"),
-    "es": ("de", "la", "que", "el", "en", "a", "los", "se", "del", "las", "por", "un", "para", "con", "no", "su"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"),
-}
+#: Common words of a language: those that most of its documents have.
+N_COMMON = 16
+#: Languages whose word lists are sent to all tasks; with more of them documents are joined by a shuffle.
+LANGUAGES = 10_000
+#: Parts in which a language's words are ranked first, so that no task ranks them all.
+PARTS = 64
 #: Places of windows that are sorted together with their hashes' other bits; longer texts are sorted as pairs.
 _PLACE_BITS = 20
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,6 +81,17 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0)).otherwise(counted)
 
 
+def common_words(rows: DataFrame, n: int = N_COMMON) -> DataFrame:
+    """(lang, listed): for each language of rows (lang, words) the n words that most of its rows have, ties by the word; a language of fewer words has empty ones instead."""
+    spread = rows.where("lang is not null").select("lang", F.explode(F.array_distinct("words")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n_docs"))
+    best = spread.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy(F.desc("n_docs"), "word")
+        best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])
+    return best.groupBy("lang").agg(F.slice(F.concat(listed, F.array_repeat(F.lit(""), n)), 1, n).alias("listed"))
+
+
 def features(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """The counts of the base rules and both histograms, one row for each document."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -94,8 +104,9 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     words = F.array_remove(F.split("text", WORD_SPLIT), "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select("_key", "lang", F.col("text"), words.alias("words"), lines.alias("lines"))
-    nth = lambda k: F.coalesce(*(F.when(F.col("lang") == name, F.lit(listed[k])) for name, listed in COMMON.items()), F.lit(""))
-    common = [F.size("words") - F.size(F.array_remove("words", nth(k))) for k in range(len(COMMON["en"]))]
+    listed = cut(common_words(rows.select("lang", "words")))
+    small = F.broadcast(listed) if listed.count() <= LANGUAGES else listed
+    rows = rows.join(small, "lang", "left").withColumn("listed", F.coalesce("listed", F.array_repeat(F.lit(""), N_COMMON)))
     return rows.select(
         "_key",
         "lang",
@@ -105,7 +116,7 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.array(*(t.cast("long") for t in taken), sizes[-1].cast("long")).alias("classes"),
-        F.array(*(c.cast("long") for c in common)).alias("common"),
+        F.transform("listed", lambda w: (F.size("words") - F.size(F.array_remove("words", w))).cast("long")).alias("common"),
     )
 
 
@@ -128,14 +139,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     limits = limits or DivergenceLimits()
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     made = cut(features(docs, text, lang, key).withColumn("base_failed", base))
-    n_classes, n_common = len(CLASSES) + 2, len(COMMON["en"])
+    n_classes, n_common = len(CLASSES) + 2, N_COMMON
     added = lambda name, n: F.array(*(F.sum(F.col(name)[k]).cast("double") for k in range(n)))
-    # One row for each language with a word list, as many as COMMON has, from the documents that pass the base rules.
-    of_language = made.where(F.col("lang").isin(*COMMON) & ~F.col("base_failed")).groupBy("lang")
+    # One row for each language, from the documents that pass the base rules.
+    of_language = made.where(F.col("lang").isNotNull() & ~F.col("base_failed")).groupBy("lang")
     reference = of_language.agg(added("classes", n_classes).alias("their_classes"), added("common", n_common).alias("their_common"), F.sum("n_words").cast("double").alias("all_words"))
     with_rest = lambda parts, n: F.concat(parts, F.array(n - F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)))
     reference = reference.select("lang", "their_classes", with_rest(F.col("their_common"), F.col("all_words")).alias("their_words"))
-    both = made.join(F.broadcast(reference), "lang", "left")
+    reference = cut(reference)
+    both = made.join(F.broadcast(reference) if reference.count() <= LANGUAGES else reference, "lang", "left")
     doubles = lambda name: F.transform(name, lambda x: x.cast("double"))
     limit = lambda at, slope: F.lit(at) + F.lit(slope) / F.sqrt(F.col("n_words").cast("double"))
     far = (distance(doubles("classes"), F.col("their_classes")) > limit(limits.class_base, limits.class_slope)) | (

@@ -60,13 +60,12 @@ def _distance_sql(counts: list[str], reference: list[str]) -> str:
 
 
 def divergence_sql() -> str:
-    limits, names = divergence.DivergenceLimits(), list(divergence.COMMON)
+    limits = divergence.DivergenceLimits()
     quoted = lambda chars: "'" + chars.replace("'", "''").translate({ord(c): f"' || chr({ord(c)}) || '" for c in "\t\n\x0b\x0c\r"}) + "'"
     classes = [divergence.LOWER, *divergence.CLASSES]
     taken = ",\n    ".join(f"length(text) - length(translate(text, {quoted(c)}, '')) AS k{i}" for i, c in enumerate(classes))
-    n_classes, n_common = len(classes) + 1, len(divergence.COMMON["en"])
-    nth = lambda i: "CASE lang " + " ".join(f"WHEN '{name}' THEN '{divergence.COMMON[name][i]}'" for name in names) + " ELSE '' END"
-    common = ",\n    ".join(f"len(list_filter(words, lambda x: x = {nth(i)})) AS w{i}" for i in range(n_common))
+    n_classes, n_common = len(classes) + 1, divergence.N_COMMON
+    common = ",\n    ".join(f"len(list_filter(words, lambda x: x = listed[{i + 1}])) AS w{i}" for i in range(n_common))
     k, w = [f"k{i}" for i in range(n_classes)], [f"w{i}" for i in range(n_common)]
     classes_distance = _distance_sql([f"f.{x}" for x in k], [f"r.{x}" for x in k])
     words_distance = _distance_sql([*(f"f.{x}" for x in w), "f.n_words - " + " - ".join(f"f.{x}" for x in w)], [*(f"r.{x}" for x in w), "r.n_words - " + " - ".join(f"r.{x}" for x in w)])
@@ -81,14 +80,16 @@ places AS (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM again WHERE n > 1
 repeated AS (SELECT rid, count(DISTINCT place) AS n_repeat_words FROM places GROUP BY rid),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+spread AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(words)) AS word FROM d WHERE lang IS NOT NULL) GROUP BY lang, word),
+common_words AS (SELECT lang, list(word ORDER BY place) AS listed FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM spread) WHERE place <= {n_common} GROUP BY lang),
 counted AS (
   SELECT rid, doc_id, lang, len(words) AS n_words, length(text) AS n_chars,
     {taken},
     {common}
-  FROM d),
+  FROM d LEFT JOIN common_words USING (lang)),
 f AS (SELECT *, n_chars - {" - ".join(k[:-1])} AS {k[-1]}, coalesce(n_repeat_words, 0) AS nr, coalesce(n_dup_lines, 0) AS nd
   FROM counted LEFT JOIN repeated USING (rid) LEFT JOIN dup USING (rid)),
-r AS (SELECT lang, sum(n_words) AS n_words, {", ".join(f"sum({x}) AS {x}" for x in [*k, *w])} FROM f WHERE lang IN {_listed(names)} AND n_words >= 50 AND 100 * nr <= 50 * n_words GROUP BY lang),
+r AS (SELECT lang, sum(n_words) AS n_words, {", ".join(f"sum({x}) AS {x}" for x in [*k, *w])} FROM f WHERE lang IS NOT NULL AND n_words >= 50 AND 100 * nr <= 50 * n_words GROUP BY lang),
 far AS (
   SELECT f.rid, {classes_distance} > {limits.class_base} + {limits.class_slope} / sqrt(f.n_words)
     OR {words_distance} > {limits.word_base} + {limits.word_slope} / sqrt(f.n_words) AS far

@@ -57,6 +57,42 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean(leak, bench(spark)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of one to four words are sought as they stand, by one pass over all blocks; a filter may ask for longer ones."""
+    items = bench(spark, [(1, "alpha"), (2, "Beta gamma"), (3, "one two, three"), (4, "w x y z"), (5, "..."), (6, "not there at all"), (7, "w x y z")])
+    docs = spark.createDataFrame([(1, "an ALPHA here"), (2, "beta, gamma"), (3, "beta and gamma"), (4, "zero one two three four"), (5, "w x y z"), (6, "one two three"), (7, "w x z y")], "doc_id long, text string")
+    wanted = [(1, 1), (2, 2), (4, 3), (5, 4), (5, 7), (6, 3)]
+    for block in (10_000, 1):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, block=block).collect()) == wanted
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items, block=2).collect()) == [3, 7]
+    assert decontaminate.clean(docs, items, overlap=decontaminate.Overlap(min_item=5)).count() == 7
+
+
+def test_decontamination_with_repeated_ids_and_clashing_columns(spark):
+    """Each text of a repeated item id is sought; columns of the benchmark and the documents may have any names."""
+    words = [f"{c}{k}" for c in "abc" for k in range(15)]
+    items = bench(spark, [(1, " ".join(words[:15])), (1, " ".join(words[15:30])), (1, " ".join(words[15:30]))]).withColumns({"doc_id": F.lit(5), "_key": F.lit("k"), "_item": F.lit(1), "doc_start": F.lit("x")})
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[:15])), (2, " ".join(words[15:31])), (3, " ".join(words[30:]))], "doc_id long, text string").withColumns({"item_id": F.lit(3), "n_words": F.lit("n"), "_item": F.lit(2)})
+    found = decontaminate.leaks(docs, items)
+    assert found.columns == ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"]
+    assert {(r.doc_id, r.item_id, r.doc_start) for r in found.collect()} == {(1, 1, 1), (2, 1, 0)}
+    assert decontaminate.clean(docs, items).select("doc_id", "item_id").collect() == [(3, 3)]
+
+
+def test_common_words_of_any_language(spark):
+    """The words that most documents of a language have, for languages that no list knows."""
+    from collections import Counter
+
+    rows = [(k, " ".join(["ka", "lo", "mi"][: k % 3 + 1] * (1 + k % 2) + [f"w{k % 7}"] * (k % 5)), "xx" if k % 4 else "yy", None, 0) for k in range(60)] + [(90, "spam " * 500, "xx", None, 0), (91, None, "zz", None, 0), (92, "lone", None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r.lang: r.listed for r in divergence.common_words(docs.select("lang", F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), "").alias("words")), 3).collect()}
+    for lang in ("xx", "yy"):
+        n = Counter(w for _, t, x, _, _ in rows if x == lang for w in set(t.split()))
+        assert found[lang] == sorted(n, key=lambda w: (-n[w], w))[:3]
+    assert set(found) == {"xx", "yy"}
+    assert {r.doc_id: r.kept for r in divergence.judge(docs).where("doc_id >= 90").collect()} == {90: False, 91: False, 92: False}
+
+
 def test_divergence(docs, none):
     found = {r.doc_id: r for r in divergence.judge(docs.where("doc_id is not null")).collect()}
     assert found[2].n_words == 0 and found[2].base_failed and not found[2].kept
