@@ -37,7 +37,7 @@ from lumenvault.llm.common import arrow_map, chunks, word_hashes
 #: Pages of the table to learn from, at most: those with the smallest hashes of their keys; and blocks of each, from its start.
 TRAIN_PAGES, TRAIN_BLOCKS = 200, 200
 #: Made-up pages.
-MADE_PAGES = 500
+MADE_PAGES = 800
 PATH_DIM, WORD_DIM, PLAIN_DIM, HIDDEN = 160, 32, 6, 16
 #: Blocks of pages that are run through the network together, padding included.
 RUN_BLOCKS = 16_384
@@ -55,6 +55,10 @@ CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "
 # Names of page furniture.
 FURNITURE = frozenset("nav aside footer header form menu navbar navigation breadcrumb breadcrumbs topbar sidebar side related widget trending cookie cookies notice consent alert popup modal newsletter subscribe signup ad ads advert adverts advertisement banner sponsored sponsor promo share social comments comment reply respond disqus copyright legal masthead pager pagination login search tags".split())
 
+# What the furniture of pages says, and classes that say nothing.
+SAID = ("Home", "About us", "Contact", "News", "Sign in", "Log in", "Register", "Accept all", "Accept all to continue", "Manage cookies", "Privacy policy", "Terms of use", "All rights reserved", "© 2021", "Imprint", "Subscribe now", "Share this", "Read more", "Related stories", "Most read", "Follow us", "Search", "Menu", "Skip to content", "Advertisement", "Next page", "Back to top", "Leave a reply", "Print")
+NEUTRAL = ("a", "b", "box", "block", "inner", "outer", "row", "col", "left", "right", "middle", "bottom", "top", "wrap", "cell", "section", "grid", "item", "x", "unit")
+
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -310,6 +314,16 @@ def made_pages(n: int, words: list[str], seed: int = 3) -> list[tuple[list[Block
         text = " ".join(pick(words) for _ in range(int(rng.integers(low, high + 1))))
         return f"{'\ue001' if label else '\ue000'}{text}{pick(['.', '.', '!', '', ''])}"
 
+    def said() -> str:
+        return "\ue000" + " ".join(pick(SAID) for _ in range(int(rng.integers(1, 4)))) + pick(["", ".", f" {line(1, 4, 0)[1:]}"])
+
+    def code() -> str:
+        return f"\ue001{pick(words)}({pick(words)}) = {int(rng.integers(99))};\n  {pick(words)} {pick(words)}\n{pick(words)}.{pick(words)}()"
+
+    def plain() -> str:
+        """A class that says nothing, or none."""
+        return f' class="{pick(NEUTRAL)}{pick(["", "", int(rng.integers(30))])}"' if maybe(0.7) else ""
+
     def links(count: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/x">{line(1, 3, 0)}</a></li>' for _ in range(count)) + "</ul>"
 
@@ -337,13 +351,23 @@ def made_pages(n: int, words: list[str], seed: int = 3) -> list[tuple[list[Block
                 lambda: f'<div class="{pick(["footer", "copyright", "legal", "site-footer"])}">{line(3, 20, 0)}</div>',
             ],
         }
-        return pick(kinds[place])()
+        # Some of it is told by its words alone.
+        bare = [lambda: f"<div{plain()}>{said()}</div>", lambda: f"<div{plain()}>" + " ".join(f'<a href="/x">{said()}</a>' for _ in range(int(rng.integers(1, 5)))) + "</div>", lambda: f"<div{plain()}><p>{said()}</p></div>"]
+        return pick(bare if maybe(0.16) else kinds[place])()
 
     def content() -> str:
         out = [f"<{h}>{line(2, 12, 1)}</{h}>" for h in (["h1"] if maybe(0.7) else [])]
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
-            if kind < 0.62:
+            if kind < 0.05:
+                out.append(f"<pre>{code() if maybe(0.6) else line(6, 40, 1)}</pre>")
+            elif kind < 0.08:
+                out.append("<dl>" + "".join(f"<dt>{line(1, 4, 1)}</dt><dd>{line(3, 25, 1)}</dd>" for _ in range(2)) + "</dl>")
+            elif kind < 0.12:
+                out.append(f"<div{plain()}>{pick(['<p>', ''])}{line(4, 60, 1)}</div>")
+            elif kind < 0.14:
+                out.append(f"<div{plain()}>" + "".join(f"<div{plain()}>{line(4, 60, 1)}</div>" for _ in range(2)) + "</div>")
+            elif kind < 0.62:
                 out.append(f"<p>{line(2, 90, 1)}{pick(['</p>', '</p>', ''])}")
             elif kind < 0.72:
                 out.append(f"<p><b>{line(2, 60, 1)}<br>")
@@ -354,16 +378,33 @@ def made_pages(n: int, words: list[str], seed: int = 3) -> list[tuple[list[Block
             elif kind < 0.88:
                 out.append(f"<blockquote><p>{line(4, 50, 1)}</p></blockquote>")
             elif kind < 0.92:
-                out.append(f"<table><tr><td>{line(1, 6, 1)}</td><td>{line(1, 6, 1)}</td></tr></table>")
+                row = lambda cell: f"<tr><{cell}>{line(1, 4, 1)}</{cell}><{cell}>{line(1, 4, 1)}</{cell}></tr>"
+                out.append(f"<table>{row('th') if maybe(0.6) else ''}{''.join(row('td') for _ in range(int(rng.integers(1, 4))))}</table>")
             else:
                 out.append(furniture("any"))
         return "".join(out)
 
+    def in_table() -> str:
+        """The layout of old pages: cells beside and below the one that holds the text."""
+        side = lambda: f"<td{plain()}>" + pick([lambda: links(int(rng.integers(2, 6))), said, lambda: f'<a href="/">{said()}</a>', lambda: f"<p>{said()}</p>"])() + "</td>"
+        cells = [side() if maybe(0.8) else "", f"<td{plain()}>{content()}</td>", side() if maybe(0.4) else ""]
+        top, end = (f"<tr><td>{said()}</td></tr>" if maybe(p) else "" for p in (0.5, 0.5))
+        return f"<table{plain()}>{top}<tr>{''.join(cells)}</tr>{end}</table>"
+
     pages = []
     for _ in range(n):
-        opening, closing = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="content">', "</div>"), ('<div class="post-content">', "</div>"), ('<div class="entry">', "</div>"), ('<div class="article-body">', "</div>"), ('<section class="story">', "</section>"), ('<div id="main">', "</div>"), ('<article class="post">', "</article>")])
+        opening, closing = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="content">', "</div>"), ('<div class="post-content">', "</div>"), ('<div class="entry">', "</div>"), ('<div class="article-body">', "</div>"), ('<section class="story">', "</section>"), ('<div id="main">', "</div>"), ('<article class="post">', "</article>"), (f"<div{plain()}>", "</div>"), (f"<div{plain()}>", "</div>")])
         inner = content() + (furniture("end") if maybe(0.2) else "")
+        if maybe(0.12):
+            opening, inner, closing = "", in_table(), ""
+        elif maybe(0.35):
+            depth = int(rng.integers(1, 4))
+            opening, closing = "".join(f"<div{plain()}>" for _ in range(depth)) + opening, closing + "</div>" * depth
+        elif maybe(0.15):
+            opening = opening if "id=" in opening else opening.replace(">", f' id="{pick(NEUTRAL)}">', 1)
         body = "".join(furniture(pick(["top", "top", "any"])) for _ in range(int(rng.integers(0, 4)))) + opening + inner + closing
+        if maybe(0.1):
+            body = f'<a href="#x">{said()}</a>' + body
         body += "".join(furniture(pick(["end", "end", "any"])) for _ in range(int(rng.integers(0, 4))))
         if maybe(0.3):
             body = f'<div class="{pick(["wrapper", "container", "page", "layout", "site"])}">{body}</div>'
