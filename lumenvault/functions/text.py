@@ -167,9 +167,9 @@ def binary_text(x: Column | str) -> Column:
 
 
 def binary_bytes(content: Column | str, sniff: int = 8192) -> Column:
-    """A NUL or invalid UTF-8 in the first bytes."""
+    """A NUL or invalid UTF-8 in the first bytes, or nothing to read. A character that the limit cuts counts as invalid."""
     head = F.substring(_text(content), 1, sniff)
-    return F.expr("false") | F.coalesce((F.instr(F.decode(head, "ISO-8859-1"), "\0") > 0) | ~F.is_valid_utf8(head.cast("string")), F.lit(True))
+    return F.coalesce((F.instr(F.decode(head, "ISO-8859-1"), "\0") > 0) | ~F.is_valid_utf8(head.cast("string")), F.lit(True))
 
 
 def language_of_path(x: Column | str) -> Column:

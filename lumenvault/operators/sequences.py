@@ -117,6 +117,12 @@ def merge_evidence(old: Column, new: Column) -> Column:
     return F.filter(both, lambda e, i: F.array_position(keys, F.struct(e["file"], e["line"])) == i + 1)
 
 
+def changed_files(named: DataFrame, untracked: DataFrame, by: str) -> DataFrame:
+    """(by, files): the files that a diff names (by, file) and those that are not tracked (by, file), each once, sorted."""
+    both = named.select(by, "file").unionByName(untracked.select(by, "file")).where("file is not null").distinct()
+    return both.groupBy(by).agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
 def event_texts(lines: DataFrame) -> DataFrame:
     """(run, message, text, place, tokens): the text parts of each message joined in order, messages by their first part, and the run's last told tokens.
 

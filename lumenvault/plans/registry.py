@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r5_recall"](spark, sf_dir)
 
 
-from lumenvault.plans import graphs, history, indexes, knowledge, retrieval, reports, segmentation, sequences, synopses, texts  # noqa: E402, F401  they register their queries
+from lumenvault.plans import files, graphs, history, indexes, knowledge, retrieval, reports, segmentation, sequences, synopses, texts  # noqa: E402, F401  they register their queries

@@ -125,3 +125,34 @@ def test_remember_like_a_plain_merge(spark):
     assert after[2].corrected_by == "3" and after[4].corrected_by == "12" and after[15].corrected_by is None
     safe = {r.item: r for r in knowledge.remember(spark.createDataFrame(stored, form), spark.createDataFrame(batch, form + ", corrects long"), safe=True).collect()}
     assert safe[6].corrected_by == "old" and safe[15].corrected_by == "9"
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_vector_duplicates_equal_all_pairs(spark, monkeypatch, block):
+    """Chains and bundles of near vectors, equal ones, other kinds and sizes, a null kind, with large buckets by blocks of pivots."""
+    import numpy as np
+
+    from lumenvault.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PIVOTS", 2)
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((6, 12))
+    rows = [(k, ["a", "b", None][k % 3], (centres[k % 6] + (0.02 + 0.05 * (k % 9)) * draw.standard_normal(12)).tolist()) for k in range(240)]
+    angle = np.linspace(0, 3, 30)
+    rows += [(500 + k, "a", [float(np.cos(x)), float(np.sin(x)), 0.0]) for k, x in enumerate(angle)] + [(700 + k, "b", [1.0, 1.0, 1.0]) for k in range(4)] + [(800, "a", [0.0] * 12)]
+    root = {i: i for i, _, _ in rows}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, ka, va in rows:
+        for b, kb, vb in rows:
+            if a < b and ka == kb and len(va) == len(vb) and any(va) and any(vb) and np.dot(va, vb) / (np.linalg.norm(va) * np.linalg.norm(vb)) >= 0.92:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    links = retrieval.vector_duplicates(spark.createDataFrame(rows, "id long, kind string, vector array<double>"), block=block)
+    found = {r.node: r.component for r in graph.components(links).collect()}
+    several = {top(k) for k in root if top(k) != k}
+    assert found == {k: top(k) for k in root if top(k) in several}
+    assert len(several) == 8
