@@ -34,18 +34,19 @@ def of(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(of, name):
     connection = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         connection.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found, wanted = of(name), connection.execute(queries.ORACLE_SQL[name]).df()
     order = sorted(found.columns)
     assert order == sorted(wanted.columns)
-    a, b = (x[order].sort_values(order[-1 if "path" in order else 0] and ["page_id"] if "page_id" in order else ["doc_id"]).reset_index(drop=True).astype(object) for x in (found, wanted))
+    key = next(k for k in ("page_id", "vec_id", "doc_id") if k in order)
+    a, b = (x[order].sort_values(key).reset_index(drop=True).astype(object) for x in (found, wanted))
     assert a.where(a.notna(), None).values.tolist() == b.where(b.notna(), None).values.tolist()
     assert oracles.url_filter_sql() in queries.ORACLE_SQL.values()
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert queries.QUERIES["pipeline"] is corpus_pipeline.run
 
 
