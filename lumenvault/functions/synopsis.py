@@ -42,12 +42,12 @@ def _node(order: Column, path: Column, place: Column, text: Column, value: Colum
 def _children(node: Column) -> Column:
     """The first KEYS values of an object, the first two of an array, in the order of the text; a scalar has none."""
     names = F.slice(F.json_object_keys(node["text"]), 1, KEYS)
-    texts, values = F.from_json(node["text"], "map<string,string>"), F.from_json(node["text"], "map<string,variant>")
     plain = lambda k: k.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
     step = lambda k: F.when(plain(k), F.concat(F.lit("."), k)).otherwise(F.concat(F.lit("["), _quoted(k), F.lit("]")))
-    of_object = F.transform(names, lambda k, i: _node(F.concat(node["order"], F.array(i)), F.concat(node["path"], step(k)), F.concat(node["place"], F.lit("."), k), texts[k], values[k], F.lit(True), node["main"]))
-    items, kinds = F.from_json(node["text"], "array<string>"), F.from_json(node["text"], "array<variant>")
-    of_array = F.transform(F.slice(items, 1, 2), lambda t, i: _node(F.concat(node["order"], F.array(i)), F.concat(node["path"], F.lit("[]")), F.concat(node["place"], F.lit("["), i.cast("string"), F.lit("]")), t, F.get(kinds, i), F.lit(False), node["main"] & (i == 0)))
+    # A text is read once for all its values: a lambda's variable holds what was read.
+    read = lambda kind: F.array(F.struct(F.from_json(node["text"], kind.format("string")).alias("text"), F.from_json(node["text"], kind.format("variant")).alias("value")))
+    of_object = F.flatten(F.transform(read("map<string,{}>"), lambda m: F.transform(names, lambda k, i: _node(F.concat(node["order"], F.array(i)), F.concat(node["path"], step(k)), F.concat(node["place"], F.lit("."), k), m["text"][k], m["value"][k], F.lit(True), node["main"]))))
+    of_array = F.flatten(F.transform(read("array<{}>"), lambda m: F.transform(F.slice(m["text"], 1, 2), lambda t, i: _node(F.concat(node["order"], F.array(i)), F.concat(node["path"], F.lit("[]")), F.concat(node["place"], F.lit("["), i.cast("string"), F.lit("]")), t, F.get(m["value"], i), F.lit(False), node["main"] & (i == 0)))))
     none = F.array().cast("array<struct<order:array<int>,path:string,place:string,text:string,type:string,short:string,listed:boolean,main:boolean>>")
     return F.coalesce(F.when(node["type"] == "object", of_object).when(node["type"] == "array", of_array), none)
 
