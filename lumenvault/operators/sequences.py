@@ -12,7 +12,11 @@ LOOP_WINDOW, LOOP_WARN, LOOP_STOP = 20, 3, 5
 
 
 def coalesce_intervals(spans: DataFrame, key: str = "file", first: str = "first", last: str = "last") -> DataFrame:
-    """(key, first, last): closed intervals merged where they meet or touch."""
+    """(key, first, last): closed intervals merged where they meet or touch.
+
+    Equal intervals are one row first: among them an order by first and last would not say which one opens an island.
+    """
+    spans = spans.select(key, first, last).distinct()
     order = Window.partitionBy(key).orderBy(first, last)
     before = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.select(key, first, last, F.when(before.isNull() | (F.col(first) > before + 1), 1).otherwise(0).alias("_new"))
@@ -28,22 +32,34 @@ def outermost(spans: DataFrame, key: str = "file", first: str = "first", last: s
 
 
 def enclosing(points: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
-    """H5: (point, symbol): the shortest span around each point (point, file, line), ties by start and symbol; null if none."""
+    """H5: (point, symbol): the shortest span around each point (point, file, line), ties by start and symbol; null if none.
+
+    A line is looked up once, however many points lie on it. Spans are cut at the ends of blocks of lines, and of those that are
+    alike within a block the best one is kept, so a line meets a number of spans that the block bounds.
+    """
     cut = lambda x: F.floor(x / block)
     dealt = spans.select("file", "symbol", "first", "last", F.explode(F.sequence(cut(F.col("first")), cut(F.col("last")))).alias("block"))
-    met = points.withColumn("block", cut(F.col("line"))).join(dealt, ["file", "block"]).where("line between first and last")
-    best = met.groupBy("point").agg(F.min(F.struct(F.col("last") - F.col("first"), F.col("first"), F.col("symbol"))).alias("b"))
-    return points.select("point").join(best, "point", "left").select("point", F.col("b.symbol").alias("symbol"))
+    begin, end = F.greatest("first", F.col("block") * block), F.least("last", F.col("block") * block + (block - 1))
+    alike = dealt.groupBy("file", "block", begin.alias("_a"), end.alias("_b")).agg(F.min(F.struct(F.col("last") - F.col("first"), F.col("first"), F.col("symbol"))).alias("b"))
+    lines = points.select("file", "line").distinct().withColumn("block", cut(F.col("line")))
+    best = lines.join(alike, ["file", "block"]).where("line between _a and _b").groupBy("file", "line").agg(F.min("b").alias("b"))
+    return points.select("point", "file", "line").join(best, ["file", "line"], "left").select("point", F.col("b.symbol").alias("symbol"))
 
 
 def active_scopes(ranges: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
-    """H5: (range, symbol): the first span that begins in a range (range, file, first, last), else the shortest around its first line, else null."""
+    """H5: (range, symbol): the first span that begins in a range (range, file, first, last), else the shortest around its first line, else null.
+
+    Equal ranges are looked up once, and of the spans that begin on a line only the one that would be told meets them.
+    """
     cut = lambda x: F.floor(x / block)
-    starts = spans.select("file", "symbol", F.col("first").alias("_a"), F.col("last").alias("_b"), cut(F.col("first")).alias("block"))
-    dealt = ranges.withColumn("block", F.explode(F.sequence(cut(F.col("first")), cut(F.col("last")))))
-    inside = dealt.join(starts, ["file", "block"]).where("_a between first and last").groupBy("range").agg(F.min(F.struct("_a", -F.col("_b"), "symbol"))["symbol"].alias("_in"))
-    around = enclosing(ranges.select(F.col("range").alias("point"), "file", F.col("first").alias("line")), spans, block).select(F.col("point").alias("range"), F.col("symbol").alias("_out"))
-    return ranges.select("range").join(inside, "range", "left").join(around, "range", "left").select("range", F.coalesce("_in", "_out").alias("symbol"))
+    starts = spans.groupBy("file", F.col("first").alias("_a")).agg(F.min(F.struct("first", -F.col("last"), "symbol")).alias("s")).withColumn("block", cut(F.col("_a")))
+    key = ["file", "first", "last"]
+    asked = ranges.select(*key).distinct()
+    dealt = asked.withColumn("block", F.explode(F.sequence(cut(F.col("first")), cut(F.col("last")))))
+    inside = dealt.join(starts, ["file", "block"]).where("_a between first and last").groupBy(*key).agg(F.min("s")["symbol"].alias("_in"))
+    around = enclosing(asked.select(F.struct(*key).alias("point"), "file", F.col("first").alias("line")), spans, block).select("point.*", F.col("symbol").alias("_out"))
+    found = asked.join(inside, key, "left").join(around, key, "left").select(*key, F.coalesce("_in", "_out").alias("symbol"))
+    return ranges.select("range", *key).join(found, key, "left").select("range", "symbol")
 
 
 def loop_guard(calls: DataFrame, window: int = LOOP_WINDOW, warn: int = LOOP_WARN, stop: int = LOOP_STOP) -> DataFrame:
