@@ -21,13 +21,15 @@ def symbol_bodies(asked: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     """(file, symbol, body): the lines of the first symbol of the file with that qualified or bare name; null if there is none.
 
     asked (file, symbol); symbols (file, name, qualified_name, start_line, end_line); files (file, source).
+    Symbols and sources are shuffled: what Spark takes them for by their table's size may be far less than they are, and would go to all tasks.
     """
+    wanted = asked.distinct()
     named = symbols.select("file", "start_line", "end_line", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("symbol"))
-    first = asked.distinct().join(named, ["file", "symbol"]).groupBy("file", "symbol").agg(F.min(F.struct("start_line", "end_line")).alias("at"))
+    first = wanted.join(named.hint("merge"), ["file", "symbol"]).groupBy("file", "symbol").agg(F.min(F.struct("start_line", "end_line")).alias("at"))
     lines = F.split("source", "\n")
     body = F.array_join(F.slice(lines, F.col("at.start_line"), F.greatest(F.lit(0), F.least(F.col("at.end_line"), F.size(lines)) - F.col("at.start_line") + 1)), "\n")
-    read = first.join(files.select("file", "source"), "file").select("file", "symbol", body.alias("body"))
-    return asked.distinct().join(read, ["file", "symbol"], "left").select("file", "symbol", "body")
+    read = first.join(files.select("file", "source").hint("merge"), "file").select("file", "symbol", body.alias("body"))
+    return wanted.join(read.hint("merge"), ["file", "symbol"], "left").select("file", "symbol", "body")
 
 
 def skeleton_line(kind: Column, name: Column, signature: Column, file: Column, start: Column, end: Column, most: int = 120) -> Column:
@@ -46,7 +48,8 @@ def anchor_ranges(anchors: DataFrame, symbols: DataFrame, window: int = 10) -> D
     anchors (case, file, place, anchor) with anchors "line: 42", "class: A" and "function: f"; symbols (file, name,
     qualified_name, kind, start_line, end_line). A class names all classes of that name, and is the context of the functions behind
     it. A function is the qualified name, else that of the class before it, else the bare name if
-    just one function or method has it; of equal qualified names the last one counts. Others give no row.
+    just one function or method has it; of equal qualified names the last one counts. Others give no row. Symbols are shuffled, as
+    Spark may take them for far fewer bytes than they are.
     """
     said = anchors.withColumn("why", F.trim("anchor")).withColumn("_kind", F.lower(F.regexp_extract("why", r"^([A-Za-z]+):", 1))).withColumn("name", F.trim(F.regexp_replace("why", r"^[A-Za-z]+:", "")))
     order = Window.partitionBy("case", "file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -55,14 +58,14 @@ def anchor_ranges(anchors: DataFrame, symbols: DataFrame, window: int = 10) -> D
     number = F.col("name").try_cast("int")
     lines = said.where((F.col("_kind") == "line") & number.isNotNull()).select(*keys, number.alias("first"), number.alias("last"))
     classes = symbols.where("kind = 'class'").select("file", "name", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
-    of_class = said.where("_kind = 'class'").join(classes, ["file", "name"]).select(*keys, "first", "last")
+    of_class = said.where("_kind = 'class'").join(classes.hint("merge"), ["file", "name"]).select(*keys, "first", "last")
     asked = said.where("_kind = 'function'").select(*keys, "name", F.concat_ws(".", "_class", "name").alias("_inner"))
     span = F.struct(F.col("start_line").alias("first"), F.col("end_line").alias("last"))
     whole = symbols.groupBy("file", "qualified_name").agg(F.max(span).alias("span"))
     bare = symbols.where("kind in ('function', 'method')").groupBy("file", "name").agg(F.count("*").alias("n"), F.min(span).alias("_bare")).where("n = 1").drop("n")
     by_name = whole.select("file", F.col("qualified_name").alias("name"), F.col("span").alias("_own"))
     by_class = whole.select("file", F.col("qualified_name").alias("_inner"), F.col("span").alias("_in_class"))
-    found = asked.join(by_name, ["file", "name"], "left").join(by_class, ["file", "_inner"], "left").join(bare, ["file", "name"], "left")
+    found = asked.join(by_name.hint("merge"), ["file", "name"], "left").join(by_class.hint("merge"), ["file", "_inner"], "left").join(bare.hint("merge"), ["file", "name"], "left")
     of_function = found.select(*keys, F.coalesce("_own", "_in_class", "_bare").alias("s")).where("s is not null").select(*keys, "s.first", "s.last")
     every = lines.unionByName(of_class).unionByName(of_function)
     return every.select("case", "file", "place", "why", F.greatest(F.lit(1), F.col("first") - window).alias("first"), (F.col("last") + window).alias("last"))
@@ -77,4 +80,4 @@ def evidence_snippets(evidence: DataFrame, files: DataFrame, window: int = 10) -
     merged = coalesce_intervals(around, key="at").select("at.case", "at.file", "first", "last")
     lines = F.split("source", "\n")
     text = F.array_join(F.slice(lines, F.col("first").cast("int"), F.greatest(F.lit(0), (F.least(F.col("last"), F.size(lines).cast("long")) - F.col("first") + 1).cast("int"))), "\n")
-    return merged.join(files.select("file", "source"), "file", "left").select("case", "file", "first", "last", text.alias("snippet"))
+    return merged.join(files.select("file", "source").hint("merge"), "file", "left").select("case", "file", "first", "last", text.alias("snippet"))

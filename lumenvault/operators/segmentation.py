@@ -21,6 +21,8 @@ COMMON = "的 了 是 在 和 与 也 有 就 不 为 这 那 对 被 把 让 
 LONGEST = 4
 #: A word's least number, and how much more often than by chance its parts meet.
 LEAST, COHESION = 5, 10.0
+#: Cuts whose scores differ by less are equal: sums of logarithms of the same product differ in their last digits.
+EQUAL = 1e-9
 #: Words of a model: those with the highest numbers, which is its size.
 MODEL_WORDS = 200_000
 
@@ -70,7 +72,8 @@ class Segmenter:
                     found.append((score + best[j][0], j))
                 if run[i:j] not in self.prefixes:
                     break
-            best[i] = max(found)
+            least = max(s for s, _ in found) - EQUAL
+            best[i] = max((x for x in found if x[0] >= least), key=lambda x: x[1])
         out, i = [], 0
         while i < len(run):
             out.append(run[i : best[i][1]])

@@ -156,3 +156,53 @@ def test_vector_duplicates_equal_all_pairs(spark, monkeypatch, block):
     several = {top(k) for k in root if top(k) != k}
     assert found == {k: top(k) for k in root if top(k) in several}
     assert len(several) == 8
+
+
+def test_points_and_ranges_of_one_file_meet_few_spans(spark):
+    """Many points, ranges and spans on the same lines: a line meets each different part of a block once, not every span."""
+    import time
+
+    from lumenvault.operators import sequences
+
+    n = 60_000
+    k = F.col("id")
+    spans = spark.range(n).select(F.lit("f").alias("file"), k.alias("symbol"), (k % 8 + 1).alias("first"), (k % 8 + 1 + k % 100).alias("last"))
+    points = spark.range(n).select(k.alias("point"), F.lit("f").alias("file"), (k % 20).alias("line"))
+    start = time.monotonic()
+    around = {r.line: (r.n, r.symbol) for r in sequences.enclosing(points, spans).join(points, "point").groupBy("line").agg(F.count_distinct(F.coalesce("symbol", F.lit(-1))).alias("n"), F.max("symbol").alias("symbol")).collect()}
+    ranges = spark.range(n).select(k.alias("range"), F.lit("f").alias("file"), (k % 20).alias("first"), (k % 20 + 3).alias("last"))
+    began = {r.first: r.symbol for r in sequences.active_scopes(ranges, spans).join(ranges, "range").groupBy("first").agg(F.max("symbol").alias("symbol")).collect()}
+    assert time.monotonic() - start < 60  # all pairs are 3.6 billion
+    best = {}
+    for s in range(200):  # the spans repeat after 200
+        first, last = s % 8 + 1, s % 8 + 1 + s % 100
+        for line in range(first, min(last, 19) + 1):
+            best[line] = min(best.get(line, (999,)), (last - first, first, s))
+    assert around == {line: (1, best[line][2] if line in best else None) for line in range(20)}
+    opened = {a: min((s % 8 + 1, -(s % 8 + 1 + s % 100), s) for s in range(200) if a <= s % 8 + 1 <= a + 3)[2] for a in range(9)}
+    assert began == {a: opened[a] if a in opened else best[a][2] if a in best else None for a in range(20)}
+
+
+def test_pairs_of_ranges_and_spans_are_not_shuffled(spark):
+    ranges = spark.createDataFrame([(1, "f", 1, 100), (2, "f", 90, 91), (3, "g", 1, 1)], "range int, file string, first long, last long")
+    spans = spark.createDataFrame([("f", 7, 10, 95), ("f", 8, 91, 200), ("g", 9, 2, 3)], "file string, symbol int, first long, last long")
+    found = reports.spans_of_ranges(ranges, spans)
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (1, 8), (2, 7), (2, 8)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" in plan
+
+
+def test_patches_of_equal_ranges_meet_their_spans_once(spark):
+    """10,000 patches of one range and 20,000 spans around it: 200 million pairs, of which a patch says only a set and a maximum."""
+    import time
+
+    k = F.col("id")
+    diff = "--- a/f\n+++ b/f\n@@ -1 +5,3 @@\n+a\n+b\n c"
+    patches = spark.range(10_000).select(k.alias("commit"), F.lit(diff).alias("diff"), F.lit("memory").alias("theme"), F.lit(True).alias("applies"), F.lit(None).cast("string").alias("error"))
+    spans = spark.range(20_000).select(F.lit("f").alias("file"), k.alias("symbol"), F.lit(1).cast("long").alias("first"), (F.lit(7) + k % 2).alias("last"))
+    s = F.col("symbol")
+    modules, risk = spans.select("symbol", (s % 3).alias("module")), spans.select("symbol", (s % 10 / 10).alias("risk"))
+    start = time.monotonic()
+    analysed = reports.analyse_patches(patches, spans, modules.where("module < 2"), risk, ("1999",))
+    assert [tuple(r) for r in analysed.groupBy("modules", "risk", "tier").count().collect()] == [([0, 1], 0.9, "high", 10_000)]
+    assert time.monotonic() - start < 60
