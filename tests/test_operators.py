@@ -211,3 +211,27 @@ def test_retrieval_without_hits(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "id long, vector array<double>")
     near = retrieval.vector_scores(vectors, vectors.where("id < 3").withColumnRenamed("id", "query"), block=16)
     assert {(r.query, r.id): round(r.score, 6) for r in near.collect()} == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): 0.0, (2, 2): 1.0}
+
+
+def test_best_vectors_equal_all_scores(spark):
+    """Ties, copies, other sizes, null and odd components, zero vectors, a query without vectors, blocks of queries; ids that are numbers, texts or structs."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, [draw.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3 if i % 5 else 2)]) for i in range(400)]
+    rows += [(500, [1.0, None, 2.0]), (501, [float("nan"), 1.0, 1.0]), (502, None), (503, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([*((i, v) for i, v in rows if i is not None and i % 50 == 0), (9, [1.0]), (10, [None, 1.0, 2.0]), (11, None)], "query long, vector array<double>")
+    for ids in (F.col("id"), F.col("id").cast("string"), F.struct("id")):
+        some = vectors.select(ids.alias("id"), "vector")
+        show = lambda df: sorted(map(str, df.select("query", "id", "rank", F.round("score", 9).alias("score")).collect()))
+        wanted = show(retrieval.top(retrieval.vector_scores(some, asked), 7))
+        assert show(retrieval.top_vectors(some, asked, 7)) == wanted
+        assert show(retrieval.top_vectors(some, asked, 7, block=64)) == wanted
+
+
+def test_best_vectors_shuffle_no_pairs(spark):
+    vectors = spark.range(20_000).select("id", F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    best = retrieval.top_vectors(vectors, vectors.where("id % 50 = 0").withColumnRenamed("id", "query"), 3)
+    assert "MapInArrow" in best._jdf.queryExecution().executedPlan().toString()
+    assert best.where("rank = 1 and abs(score - 1) < 1e-6").count() == 400
