@@ -206,3 +206,33 @@ def test_patches_of_equal_ranges_meet_their_spans_once(spark):
     analysed = reports.analyse_patches(patches, spans, modules.where("module < 2"), risk, ("1999",))
     assert [tuple(r) for r in analysed.groupBy("modules", "risk", "tier").count().collect()] == [([0, 1], 0.9, "high", 10_000)]
     assert time.monotonic() - start < 60
+
+
+def test_hunks_that_ask_the_same_are_one_search(spark, monkeypatch):
+    from lumenvault.operators import retrieval
+
+    asked = []
+    real = retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda docs, queries, **more: asked.append(queries.count()) or real(docs, queries, **more))
+    diff = F.concat(F.lit("--- a/f1.c\n+++ b/f1.c\n@@ -1 +1 @@\n+new "), "id", F.when(F.col("id") == 7, "\n+zzz").otherwise(""))
+    patches = spark.range(1000, 1050).union(spark.range(7, 8)).select(F.col("id").alias("commit"), diff.alias("diff"))
+    chunks = spark.createDataFrame([(1, "new f1"), (2, "old"), (3, "f1 and more"), (4, "zzz")], "id long, text string")
+    found = {r.commit: r.context for r in reports.hunk_context(patches, chunks, k=2).collect()}
+    assert asked == [2]
+    assert found == {**dict.fromkeys(range(1000, 1050), "new f1\n\nf1 and more"), 7: "new f1\n\nzzz"}
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_symbols_and_sources_do_not_go_to_all_tasks(spark, few):
+    from lumenvault.operators import locating
+
+    symbols = spark.createDataFrame([("m.py", "run", "C.run", "method", 1, 2), ("m.py", "C", "C", "class", 1, 2)], "file string, name string, qualified_name string, kind string, start_line int, end_line int")
+    if few:
+        asked = spark.createDataFrame([("m.py", "run"), ("m.py", "no")], "file string, symbol string")
+        found = locating.symbol_bodies(asked, symbols, spark.createDataFrame([("m.py", "a\nb\nc")], "file string, source string"))
+        assert sorted(map(tuple, found.collect()), key=str) == [("m.py", "no", None), ("m.py", "run", "a\nb")]
+    else:
+        anchors = spark.createDataFrame([(1, "m.py", 0, "class: C"), (1, "m.py", 1, "function: run")], "case int, file string, place int, anchor string")
+        found = locating.anchor_ranges(anchors, symbols)
+        assert sorted(map(tuple, found.collect())) == [(1, "m.py", 0, "class: C", 1, 12), (1, "m.py", 1, "function: run", 1, 12)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
