@@ -327,3 +327,8 @@ def test_candidates_are_judged_one_by_one(spark):
     by = {r.place: r for r in found if r.report == 1}
     assert by[0].summary == "s" and by[0].confidence == 0.6 and by[0].kind_detail == "module" and by[0].evidence == [] and by[0].detail == ""
     assert [(e.file, e.line, e.snippet) for e in by[14].evidence] == [("f", 3, ""), ("g", None, "")] and by[12].confidence == 0.5 and by[19].blast_radius == ["a"]
+
+
+def test_cuts_of_equal_products_are_told_by_their_first_words():
+    """The sums of the logarithms of 50, 2 and 2 differ in their last digits with their order."""
+    assert segmentation.Segmenter({"天": 2, "地": 1000, "天天天": 50}).words("天" * 5) == ["天天天", "天", "天"]
