@@ -332,3 +332,9 @@ def test_candidates_are_judged_one_by_one(spark):
 def test_cuts_of_equal_products_are_told_by_their_first_words():
     """The sums of the logarithms of 50, 2 and 2 differ in their last digits with their order."""
     assert segmentation.Segmenter({"天": 2, "地": 1000, "天天天": 50}).words("天" * 5) == ["天天天", "天", "天"]
+
+
+def test_sources_are_parsed_by_several_tasks(spark):
+    from lumenvault.plans import texts
+
+    assert texts._sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
