@@ -335,6 +335,7 @@ def test_cuts_of_equal_products_are_told_by_their_first_words():
 
 
 def test_sources_are_parsed_by_several_tasks(spark):
+    from lumenvault.plans import registry  # noqa: F401  it imports the plans in their order
     from lumenvault.plans import texts
 
     assert texts._sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
