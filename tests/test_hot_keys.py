@@ -97,6 +97,21 @@ def test_betweenness_in_blocks(spark):
     assert one == some
 
 
+def test_betweenness_holds_no_pairs_of_sources_and_nodes(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, (a + b) % 60) for a in range(60) for b in (1, 2, 3)], "src long, dst long")
+    sizes, whole = [], graph.cut
+
+    def counted(df):
+        found = whole(df)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(graph, "cut", counted)
+    assert graph.betweenness(edges, graph.vertices(edges)).count() == 60
+    # States of nodes and one sum for each edge, not 60 * 60 pairs.
+    assert max(sizes) <= 60 + 180
+
+
 def test_remember_like_a_plain_merge(spark):
     """Re-mentions, retired rows, new rows, corrections and links by a plain program."""
     draw = random.Random(2)
