@@ -43,12 +43,16 @@ def list_items(items: DataFrame, owner: str, codebase: str, kind: str | None = N
 def resolve_prefix(ids: DataFrame, wanted: DataFrame, least: int = 4) -> DataFrame:
     """S3: (wanted, id): the exact id, else the only id that begins so, else null.
 
-    ids (id) and wanted (wanted) meet on their first ``least`` characters, then by prefix.
+    ids (id), no id twice, and wanted (wanted), no prefix twice. An id is cut to each of the lengths that prefixes have, ``least`` or more, and
+    cuts are counted before they meet prefixes, so no two rows of one head are compared; shorter prefixes are exact ids only.
     """
-    head = lambda c: F.substring(c, 1, least)
-    pairs = wanted.join(ids, head(wanted.wanted) == head(ids.id), "left").where(F.col("id").isNull() | F.col("id").startswith(F.col("wanted")))
-    grouped = pairs.groupBy("wanted").agg(F.max(F.when(F.col("id") == F.col("wanted"), F.col("id"))).alias("same"), F.count("id").alias("n"), F.min("id").alias("only"))
-    known = grouped.select("wanted", F.coalesce("same", F.when(F.col("n") == 1, F.col("only"))).alias("id"))
+    # At most as many lengths as an id has characters.
+    lengths = [r[0] for r in wanted.select(F.length("wanted")).where(F.length("wanted") >= least).distinct().collect()]
+    cuts = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("id"))
+    heads = ids.select("id", F.explode(cuts).alias("n")).groupBy(F.substring("id", F.lit(1), F.col("n")).alias("wanted"))
+    by_head = heads.agg(F.count("id").alias("n"), F.min("id").alias("only"), F.bool_or(F.length("id") == F.col("n")).alias("same"))
+    exact = ids.where(F.length("id") < least).groupBy(F.col("id").alias("wanted")).agg(F.count("id").alias("n"), F.min("id").alias("only"), F.lit(True).alias("same"))
+    known = by_head.unionByName(exact).select("wanted", F.when(F.col("same"), F.col("wanted")).when(F.col("n") == 1, F.col("only")).alias("id"))
     return wanted.join(known, "wanted", "left")
 
 

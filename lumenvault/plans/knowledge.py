@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenvault.functions import scores, text
 from lumenvault.operators import knowledge as k
+from lumenvault.operators.graph import cut
 from lumenvault.plans import frames
 from lumenvault.plans.frames import COMMITS, ITEMS, NOW
 from lumenvault.plans.registry import query
@@ -35,7 +36,8 @@ _IDS = f"ids AS (SELECT item, substring(sha256(owner || '/' || codebase || ':' |
     FROM w LEFT JOIN d ON starts_with(id, wanted) GROUP BY wanted""", ITEMS, _IDS)
 def s3_resolve_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = frames.items(spark, sf_dir)
-    ids = items.select("item", text.short_id(F.col("owner"), F.col("codebase"), F.col("kind"), F.col("summary")).alias("id"))
+    # Ids are made once: conditions on them would otherwise hash the texts again.
+    ids = cut(items.select("item", text.short_id(F.col("owner"), F.col("codebase"), F.col("kind"), F.col("summary")).alias("id")))
     wanted = ids.select(F.substring("id", F.lit(1), F.when(F.col("item") % 2 == 0, 5).otherwise(16)).alias("wanted")).distinct()
     return k.resolve_prefix(ids.select("id").distinct(), wanted)
 

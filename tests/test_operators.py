@@ -159,6 +159,16 @@ def test_text_functions(spark):
     assert tuple(row) == ("a b c", "y", '{"k": [1]}', None, True, "y-x")
 
 
+def test_prefixes_meet_no_pairs_of_one_head(spark):
+    ids = spark.range(400).selectExpr("concat('abcd', lpad(id, 4, '0')) as id")
+    wanted = ids.selectExpr("id as wanted").union(spark.createDataFrame([("abcd000",), ("abcd0399x",), ("abc",)], "wanted string"))
+    found = knowledge.resolve_prefix(ids, wanted)
+    assert {r.wanted: r.id for r in found.collect()} == {r.id: r.id for r in ids.collect()} | {"abcd000": None, "abcd0399x": None, "abc": None}
+    # Joins meet on whole prefixes: a condition beside equality would compare all ids of one head.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" not in plan and plan.count("Join") == 1
+
+
 def test_betweenness_equals_brute_force(spark):
     import itertools
     import random
