@@ -198,8 +198,13 @@ def line_history(changes: DataFrame, anchors: DataFrame, most: int = 20) -> Data
 
     changes: (seq, commit, file, old, n_old, new, n_new), the edits of a straight history, seq rising with time; anchors: a stated set
     (anchor, file, first, last) in lines of the newest state. A file's edits stream by, newest first, past at most ANCHORS
-    of its anchors; more of them are dealt to several tasks. A range ends where all its lines were added.
+    of its ranges; more of them are dealt to several tasks. Anchors of equal ranges are followed as one, and so are ranges that have become
+    equal. A range ends where all its lines were added.
     """
+    asked_for = anchors.select("anchor", "file", "first", "last").distinct()
+    same = Window.partitionBy("file", "first", "last")
+    members = asked_for.select("anchor", F.min("anchor").over(same).cast("long").alias("_for"))
+    anchors = asked_for.groupBy("file", "first", "last").agg(F.min("anchor").alias("anchor"))
     dealt = anchors.select("anchor", "file", "first", "last", F.floor(F.row_number().over(Window.partitionBy("file").orderBy("anchor")) / ANCHORS).cast("int").alias("part"))
     parts = dealt.select("file", "part").distinct()
     none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
@@ -208,39 +213,46 @@ def line_history(changes: DataFrame, anchors: DataFrame, most: int = 20) -> Data
     rows = told.unionByName(asked).repartition("file", "part").sortWithinPartitions("file", "part", "kind", F.desc("seq"), "new")
 
     def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, spans, times, commit, runs = None, {}, {}, None, []
+        place, spans, times, commit, runs = None, {}, {}, None, []  # spans: the anchors that are at each set of ranges
         out: list[tuple] = []
 
         def applied() -> None:
-            for anchor in [a for a, s in spans.items() if s]:
-                spans[anchor], added, removed = carried_back(spans[anchor], runs)
+            before = dict(spans)
+            spans.clear()
+            for at, who in before.items():
+                moved, added, removed = carried_back(list(at), runs)
                 if added or removed:
-                    times[anchor] = times.get(anchor, 0) + 1
-                    out.append((anchor, commit[1], added, removed, times[anchor]))
-                    if times[anchor] >= most:
-                        spans[anchor] = []
+                    for anchor in who:
+                        times[anchor] = times.get(anchor, 0) + 1
+                        out.append((anchor, commit[1], added, removed, times[anchor]))
+                    who = [anchor for anchor in who if times[anchor] < most]
+                if moved and who:
+                    spans.setdefault(tuple(moved), []).extend(who)
 
         for frame in frames:
+            if not spans and not runs and len(frame) and (frame["file"].iat[-1], frame["part"].iat[-1]) == place:
+                continue  # the rest of a file whose ranges have all ended
             for row in frame.itertuples(index=False):
                 if (row.file, row.part) != place:
                     if runs:
                         applied()
                     place, spans, commit, runs = (row.file, row.part), {}, None, []
                 if row.kind == 0:
-                    spans[int(row.anchor)] = [(int(row.old), int(row.n_old) + 1)]
+                    spans.setdefault(((int(row.old), int(row.n_old) + 1),), []).append(int(row.anchor))
                     continue
                 if commit != (row.seq, row.commit):
                     if runs:
                         applied()
                     commit, runs = (row.seq, row.commit), []
-                if any(spans.values()):
+                if spans:
                     runs.append((int(row.old), int(row.n_old), int(row.new), int(row.n_new)))
             if out:
-                yield pd.DataFrame(out, columns=["anchor", "commit", "added", "removed", "place"]).astype(np.int64)
+                yield pd.DataFrame(out, columns=["_for", "commit", "added", "removed", "place"]).astype(np.int64)
                 out = []
         if runs:
             applied()
         if out:
-            yield pd.DataFrame(out, columns=["anchor", "commit", "added", "removed", "place"]).astype(np.int64)
+            yield pd.DataFrame(out, columns=["_for", "commit", "added", "removed", "place"]).astype(np.int64)
 
-    return rows.mapInPandas(follow, "anchor long, commit long, added long, removed long, place long")
+    found = rows.mapInPandas(follow, "_for long, commit long, added long, removed long, place long")
+    return members.join(found, "_for").select(F.col("anchor").cast("long").alias("anchor"), "commit", "added", "removed", "place")
