@@ -244,3 +244,23 @@ def test_seed_from_a_sibling(spark, tmp_path):
     a.drop()
     assert b.read(b.current()["folders"]["chunks"]).count() == 4 and b.read(b.current()["folders"]["more"][0]).count() == 2
     assert c.version() == 0
+
+
+def test_writing_shuffles_texts_and_postings_once(spark, tmp_path, small_ranges):
+    """Neither words nor texts go round again: what is dealt by range is counted there, and postings are dealt by folder and gathered there."""
+    draw = random.Random(8)
+    docs = spark.createDataFrame([(k, words(draw, 20)) for k in range(100)], "id long, text string")
+    index = TextIndex(spark, f"{tmp_path}/once")
+    plans, write = [], index.versions.write
+
+    def seen(df, by=()):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return write(df, by)
+
+    index.versions.write = seen
+    index.write(docs.unionAll(docs.where("id < 5").withColumn("text", F.lit(""))))
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1]
+    assert not any("rangepartitioning" in p for p in plans)
+    found = {(r.id, r.term): r.tf for r in index.postings().collect()}
+    wanted = {(r.id, w): [r.text.split().count(w)] for r in docs.collect() for w in r.text.split()}
+    assert found == wanted
