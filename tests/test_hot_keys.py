@@ -251,3 +251,19 @@ def test_symbols_and_sources_do_not_go_to_all_tasks(spark, few):
         found = locating.anchor_ranges(anchors, symbols)
         assert sorted(map(tuple, found.collect())) == [(1, "m.py", 0, "class: C", 1, 12), (1, "m.py", 1, "function: run", 1, 12)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_links_are_handed_on_by_few_tasks(spark):
+    """Each task of a shuffle leaves files, so tasks of the rounds follow the links, not the setting."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + F.when(F.col("id") % 10 == 9, 0).otherwise(1)).alias("dst"))
+        found = graph.smallest_reachable(links)
+        assert found.rdd.getNumPartitions() <= graph.LEAST_TASKS
+        assert {r.node: r.root for r in found.collect()} == {k: k // 10 * 10 for k in range(300) if k % 10}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
