@@ -9,11 +9,13 @@ KEYS, SAMPLES, PATHS, EXAMPLES, DEPTH, SHORT = 12, 3, 24, 6, 4, 80
 
 
 def _name(kind: Column) -> Column:
-    """The type of a value by the type of its variant."""
-    return (
-        F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
-    )
+    """The type of a value by the type of its variant; kind is told once, so that it is worked out once."""
+    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.substring_index(kind, "<", 1)), F.lit("number"))
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
 def clipped(x: Column, most: int = SHORT) -> Column:
@@ -27,28 +29,39 @@ def _quoted(x: Column) -> Column:
 
 
 def _short(kind: Column, value: Column) -> Column:
+    """A value that is no container, by its type and text."""
     return (
-        F.when(kind == "STRING", _quoted(clipped(value.cast("string")))).when(kind == "BOOLEAN", F.initcap(value.cast("string")))
-        .when(kind == "VOID", "None").otherwise(clipped(value.cast("string")))
+        F.when(kind == "string", _quoted(clipped(value))).when(kind == "boolean", F.when(value == "true", "True").otherwise("False"))
+        .when(kind == "null", "None").otherwise(clipped(value))
     )
 
 
+def _told(nodes: Column) -> Column:
+    """Values (order, path, place, text, value, listed, main) of the tree: their order in the document, two paths, JSON text, type and, without children, a short text.
+
+    What is used several times is told by a step of its own, as a lambda works out each of its expressions anew.
+    """
+    rest = ("listed", "main")
+    place = ("order", "path", "place", "text")
+    typed = F.transform(nodes, lambda n: F.struct(*(n[c].alias(c) for c in place), _name(_kind(n["value"])).alias("type"), n["value"].alias("value"), *(n[c].alias(c) for c in rest)))
+    plain = F.transform(typed, lambda n: F.struct(*(n[c].alias(c) for c in (*place, "type")), F.when(~n["type"].isin("object", "array"), n["value"].cast("string")).alias("value"), *(n[c].alias(c) for c in rest)))
+    return F.transform(plain, lambda n: F.struct(*(n[c].alias(c) for c in (*place, "type")), F.coalesce(_short(n["type"], n["value"]), F.lit("None")).alias("short"), *(n[c].alias(c) for c in rest)))
+
+
 def _node(order: Column, path: Column, place: Column, text: Column, value: Column, listed: Column, main: Column) -> Column:
-    """A value of the tree: its order in the document, its two paths, its JSON text and its type."""
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    return F.struct(order.alias("order"), path.alias("path"), place.alias("place"), text.alias("text"), _name(kind).alias("type"), F.coalesce(_short(kind, value), F.lit("None")).alias("short"), listed.alias("listed"), main.alias("main"))
+    return F.struct(order.alias("order"), path.alias("path"), place.alias("place"), text.alias("text"), value.alias("value"), listed.alias("listed"), main.alias("main"))
 
 
 def _children(node: Column) -> Column:
     """The first KEYS values of an object, the first two of an array, in the order of the text; a scalar has none."""
-    names = F.slice(F.json_object_keys(node["text"]), 1, KEYS)
     plain = lambda k: k.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
     step = lambda k: F.when(plain(k), F.concat(F.lit("."), k)).otherwise(F.concat(F.lit("["), _quoted(k), F.lit("]")))
     # A text is read once for all its values: a lambda's variable holds what was read.
-    read = lambda kind: F.array(F.struct(F.from_json(node["text"], kind.format("string")).alias("text"), F.from_json(node["text"], kind.format("variant")).alias("value")))
-    of_object = F.flatten(F.transform(read("map<string,{}>"), lambda m: F.transform(names, lambda k, i: _node(F.concat(node["order"], F.array(i)), F.concat(node["path"], step(k)), F.concat(node["place"], F.lit("."), k), m["text"][k], m["value"][k], F.lit(True), node["main"]))))
+    read = lambda kind, *more: F.array(F.struct(F.from_json(node["text"], kind.format("string")).alias("text"), F.from_json(node["text"], kind.format("variant")).alias("value"), *more))
+    names = F.slice(F.json_object_keys(node["text"]), 1, KEYS).alias("names")
+    of_object = F.flatten(F.transform(read("map<string,{}>", names), lambda m: F.transform(m["names"], lambda k, i: _node(F.concat(node["order"], F.array(i)), F.concat(node["path"], step(k)), F.concat(node["place"], F.lit("."), k), m["text"][k], m["value"][k], F.lit(True), node["main"]))))
     of_array = F.flatten(F.transform(read("array<{}>"), lambda m: F.transform(F.slice(m["text"], 1, 2), lambda t, i: _node(F.concat(node["order"], F.array(i)), F.concat(node["path"], F.lit("[]")), F.concat(node["place"], F.lit("["), i.cast("string"), F.lit("]")), t, F.get(m["value"], i), F.lit(False), node["main"] & (i == 0)))))
-    none = F.array().cast("array<struct<order:array<int>,path:string,place:string,text:string,type:string,short:string,listed:boolean,main:boolean>>")
+    none = F.array().cast("array<struct<order:array<int>,path:string,place:string,text:string,value:variant,listed:boolean,main:boolean>>")
     return F.coalesce(F.when(node["type"] == "object", of_object).when(node["type"] == "array", of_array), none)
 
 
@@ -60,8 +73,10 @@ def _shape(kind: Column, text: Column, inner: Column | None) -> Column:
     """What a value is, with the names of an object and the shapes of an array's first values."""
     names = F.slice(F.json_object_keys(text), 1, KEYS)
     of_object = F.concat(F.lit("object(keys="), F.size(F.json_object_keys(text)).cast("string"), F.when(F.size(names) > 0, F.concat(F.lit(": "), F.array_join(names, ", "))).otherwise(""), F.lit(")"))
-    items, kinds = F.slice(F.from_json(text, "array<string>"), 1, SAMPLES), F.from_json(text, "array<variant>")
-    told = F.transform(items, lambda t, i: F.lit("...")) if inner is None else F.transform(items, lambda t, i: _shape(_name(F.coalesce(F.schema_of_variant(F.get(kinds, i)), F.lit("VOID"))), t, None))
+    items, kinds = F.slice(F.from_json(text, "array<string>"), 1, SAMPLES), F.slice(F.from_json(text, "array<variant>"), 1, SAMPLES)
+    # Types first: a lambda works out each of its expressions anew.
+    typed = F.zip_with(items, kinds, lambda t, v: F.struct(t.alias("text"), _name(_kind(v)).alias("type")))
+    told = F.transform(items, lambda t: F.lit("...")) if inner is None else F.transform(typed, lambda x: _shape(x["type"], x["text"], None))
     of_array = F.concat(F.lit("array(len="), F.json_array_length(text).cast("string"), F.when(F.size(items) > 0, F.concat(F.lit(", first=["), F.array_join(told, ", "), F.lit("]"))).otherwise(""), F.lit(")"))
     return F.when(kind == "object", of_object).when(kind == "array", of_array).otherwise(kind)
 
@@ -71,7 +86,7 @@ def _described(node: Column) -> Column:
     names = F.slice(F.json_object_keys(node["text"]), 1, KEYS)
     of_object = F.concat(F.lit("object keys "), _size(node["type"], node["text"]).cast("string"), F.when(F.size(names) > 0, F.concat(F.lit("; keys "), F.array_join(names, ", "))).otherwise(""))
     first = F.get(F.from_json(node["text"], "array<variant>"), F.lit(0))
-    of_array = F.concat(F.lit("array length "), _size(node["type"], node["text"]).cast("string"), F.when(F.json_array_length(node["text"]) > 0, F.concat(F.lit("; first item "), _name(F.coalesce(F.schema_of_variant(first), F.lit("VOID"))))).otherwise(""))
+    of_array = F.concat(F.lit("array length "), _size(node["type"], node["text"]).cast("string"), F.when(F.json_array_length(node["text"]) > 0, F.concat(F.lit("; first item "), _name(_kind(first)))).otherwise(""))
     return F.concat(node["path"], F.lit(": "), F.when(node["type"] == "object", of_object).otherwise(of_array))
 
 
@@ -83,16 +98,17 @@ def json_synopsis(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     names, and names and order from the text itself. One level of values is one array, so nothing is shuffled.
     """
     whole = F.when(F.trim(text).rlike(r"^[\[{]"), F.try_parse_json(text))
-    root = F.when(whole.isNotNull(), _node(F.array().cast("array<int>"), F.lit("$"), F.lit("$"), F.trim(text), whole, F.lit(False), F.lit(True)))
-    found = rows.select(*keep, F.array_compact(F.array(root)).alias("_0"))
+    read = rows.select(*keep, F.trim(text).alias("_text"), whole.alias("_whole"))
+    root = F.when(F.col("_whole").isNotNull(), _node(F.array().cast("array<int>"), F.lit("$"), F.lit("$"), F.col("_text"), F.col("_whole"), F.lit(False), F.lit(True)))
+    found = read.select(*keep, _told(F.array_compact(F.array(root))).alias("_0"))
     for depth in range(1, DEPTH + 1):
-        found = found.withColumn(f"_{depth}", F.flatten(F.transform(f"_{depth - 1}", _children)))
+        found = found.withColumn(f"_{depth}", _told(F.flatten(F.transform(f"_{depth - 1}", _children))))
     top = F.get("_0", F.lit(0))
-    sorted_ = lambda a: F.array_sort(a)  # noqa: E731  structs are compared by their order first
     inner = F.flatten(F.array(*(F.col(f"_{d}") for d in range(1, DEPTH + 1))))
     shallow = F.flatten(F.array(*(F.col(f"_{d}") for d in range(DEPTH))))
-    containers = F.filter(sorted_(inner), lambda n: n["listed"] & n["main"] & n["type"].isin("object", "array"))
-    scalars = F.filter(sorted_(shallow), lambda n: ~n["type"].isin("object", "array"))
+    # Structs are compared by their order first.
+    containers = F.array_sort(F.filter(inner, lambda n: n["listed"] & n["main"] & n["type"].isin("object", "array")))
+    scalars = F.array_sort(F.filter(shallow, lambda n: ~n["type"].isin("object", "array")))
     there = top.isNotNull()
     return found.select(
         *keep,

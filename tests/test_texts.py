@@ -159,6 +159,12 @@ def test_no_python_in_json_shapes(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_json_types_are_worked_out_once(spark):
+    """Each level of values, the shape and the description of arrays tell the type of a variant once (a plan names it twice); no word is capitalised by rules of languages."""
+    plan = synopsis.json_synopsis(spark.createDataFrame([("{}",)], "text string"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert 1 <= plan.count("schemaofvariant") <= 2 * (synopsis.DEPTH + 3) and "initcap" not in plan
+
+
 # Cut texts
 
 
