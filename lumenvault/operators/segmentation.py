@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,36 +24,40 @@ LONGEST = 4
 LEAST, COHESION = 5, 10.0
 #: Cuts whose scores differ by less are equal: sums of logarithms of the same product differ in their last digits.
 EQUAL = 1e-9
-#: Words of a model: those with the highest numbers, which is its size.
+#: Words of a model that goes to all tasks; of a larger one texts meet only their own words.
 MODEL_WORDS = 200_000
 
 
-def learn(texts: DataFrame, text: str = "text", least: int = LEAST, cohesion: float = COHESION, most: int = MODEL_WORDS) -> DataFrame:
+def _grams(text: Column | str, longest: int) -> Column:
+    """All runs of up to ``longest`` characters in the runs of a text, repeats included."""
+    of = lambda run: F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(run) - i + 1)), lambda k: F.substring(run, i, k)))
+    return F.flatten(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({RUN})"), 1), of)))
+
+
+def learn(texts: DataFrame, text: str = "text", least: int = LEAST, cohesion: float = COHESION) -> DataFrame:
     """(word, n): the characters of all runs, and the runs of two to LONGEST characters that are words.
 
     A run w of n(w) counts as a word if for each cut into a and b n(w) * N is ``cohesion`` times n(a) * n(b) at least, N being the number
     of characters.
     """
     runs = texts.select(F.explode(F.regexp_extract_all(text, F.lit(f"({RUN})"), 1)).alias("run"))
-    places = F.sequence(F.lit(1), F.length("run"))
-    grams = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - i + 1)), lambda k: F.substring("run", i, k))))
-    counts = cut(runs.select(F.explode(grams).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.length("word") == 1) | (F.col("n") >= least)))
+    counts = cut(runs.select(F.explode(_grams("run", LONGEST)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.length("word") == 1) | (F.col("n") >= least)))
     total = counts.where(F.length("word") == 1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     longer = counts.where(F.length("word") > 1)
     parts = longer.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k")).select("word", "n", F.substring("word", F.lit(1), F.col("k")).alias("a"), F.substring("word", F.col("k") + 1, F.lit(LONGEST)).alias("b"))
     of = lambda name: counts.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
     held = parts.join(of("a"), "a").join(of("b"), "b").groupBy("word", "n").agg(F.min(F.col("n") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b"))).alias("ties")).where(F.col("ties") >= cohesion)
     words = counts.where(F.length("word") == 1).unionByName(held.select("word", "n"))
-    found = cut(words.orderBy(F.desc("n"), "word").limit(most))
+    found = cut(words)
     release(counts)
     return found
 
 
 class Segmenter:
-    """Cuts runs of characters by a model of words and their numbers."""
+    """Cuts runs of characters by a model of words and their numbers; ``characters`` is their number in the whole model, where these are some of its words."""
 
-    def __init__(self, words: dict[str, int]):
-        total = math.log(max(sum(n for w, n in words.items() if len(w) == 1), 1))
+    def __init__(self, words: dict[str, int], characters: int | None = None):
+        total = math.log(max(sum(n for w, n in words.items() if len(w) == 1) if characters is None else characters, 1))
         self.scores = {w: math.log(n) - total for w, n in words.items()}
         # A character that the model does not know is rarer than any that it does.
         self.unknown = -total - math.log(2)
@@ -95,16 +100,47 @@ class Segmenter:
         return re.sub(RUN, lambda m: f" {' '.join(self.for_search(m[0]))} ", text)
 
 
+def cut_texts(rows: DataFrame, text: str, words: DataFrame, how: Callable[[Segmenter, str], str], most: int = MODEL_WORDS) -> DataFrame:
+    """rows with column ``words``: ``how`` of a segmenter and each text, by a model of words (word, n) of any size. Null stays null.
+
+    A model of up to ``most`` words goes to all tasks. Of a larger one each distinct text meets only the words that it holds, which cut it as the whole model does.
+    """
+    known = {r.word: r.n for r in words.limit(most + 1).collect()}
+    if len(known) <= most:
+
+        @F.pandas_udf("string")
+        def by_all(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            segmenter = Segmenter(known)
+            for texts in parts:
+                yield texts.map(lambda t: how(segmenter, t), na_action="ignore")
+
+        return rows.withColumn("words", by_all(text))
+    longest, characters = words.agg(F.max(F.length("word")), F.coalesce(F.sum(F.when(F.length("word") == 1, F.col("n"))), F.lit(0))).first()
+    each = cut(rows.select(F.col(text).alias("_text")).where("_text is not null").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    held = each.select("_id", F.explode(F.array_distinct(_grams("_text", longest))).alias("word")).join(words.select("word", "n").hint("merge"), "word")
+    own = each.join(held.groupBy("_id").agg(F.collect_list(F.struct("word", "n")).alias("m")), "_id", "left").select("_text", F.col("m.word").alias("_words"), F.col("m.n").alias("_numbers"))
+
+    def by_own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            models = (dict(zip(w, n)) if w is not None else {} for w, n in zip(frame["_words"], frame["_numbers"]))
+            yield pd.DataFrame({"_text": frame["_text"], "words": [how(Segmenter(m, characters), t) for m, t in zip(models, frame["_text"])]})
+
+    done = own.mapInPandas(by_own, "_text string, words string")
+    return rows.join(done.hint("merge"), F.col(text) == F.col("_text"), "left").drop("_text")
+
+
 def segmented(words: DataFrame) -> "callable":
-    """A function of a text column: the text as it is searched, by a model of words (word, n), of at most MODEL_WORDS.
+    """A function of a text column: the text as it is searched, by a model of words (word, n), of at most MODEL_WORDS (of more: ``cut_texts`` with ``Segmenter.text``).
 
     Null stays null. Use it on documents and queries alike before ``retrieval.bm25`` or ``text_index.TextIndex``.
     """
-    known = {r.word: r.n for r in words.limit(MODEL_WORDS).collect()}
+    known = {r.word: r.n for r in words.limit(MODEL_WORDS + 1).collect()}
+    if len(known) > MODEL_WORDS:
+        raise ValueError(f"a model of more than {MODEL_WORDS} words: use cut_texts")
     held: list[Segmenter] = []
 
     @F.pandas_udf("string")
-    def cut_texts(texts: pd.Series) -> pd.Series:
+    def cut_column(texts: pd.Series) -> pd.Series:
         if not held:
             held.append(Segmenter(known))
         return texts.map(held[0].text, na_action="ignore")
@@ -112,6 +148,6 @@ def segmented(words: DataFrame) -> "callable":
     def of(text: Column | str) -> Column:
         column = F.col(text) if isinstance(text, str) else text
         # Texts without such characters don't go to Python's cutting.
-        return F.when(column.rlike(RUN), cut_texts(F.when(column.rlike(RUN), column))).otherwise(column)
+        return F.when(column.rlike(RUN), cut_column(F.when(column.rlike(RUN), column))).otherwise(column)
 
     return of

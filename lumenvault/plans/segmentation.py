@@ -30,35 +30,33 @@ def f11_learned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH each AS (SELECT DISTINCT run FROM runs WHERE length(run) <= 12),
-    score AS (SELECT word, ln(n) - ln(t) AS s FROM model CROSS JOIN total),
-    ways(run, done, cut, s) AS (
-      SELECT run, 0, CAST([] AS VARCHAR[]), 0.0::DOUBLE FROM each
+    WITH each AS (SELECT DISTINCT run FROM runs),
+    score AS MATERIALIZED (SELECT word, ln(n) - ln(t) AS s FROM model CROSS JOIN total),
+    ways(run, place, s, cut) AS (
+      SELECT run, length(run), CAST([0.0] AS DOUBLE[]), CAST([''] AS VARCHAR[]) FROM each
       UNION ALL
-      SELECT w.run, done + length(word), list_append(cut, word), w.s + score.s FROM ways w JOIN score ON substring(w.run, done + 1, length(word)) = word WHERE done < length(w.run)),
-    best AS (SELECT run, cut, row_number() OVER (PARTITION BY run ORDER BY round(s, 9) DESC, list_transform(cut, lambda c: -length(c))) AS r FROM ways WHERE done = length(run))
-    SELECT run, array_to_string(cut, ' ') AS words FROM best WHERE r = 1""", _SPELLED, _MODEL)
+      SELECT run, place - 1, list_prepend(CASE k WHEN 4 THEN s4 WHEN 3 THEN s3 WHEN 2 THEN s2 ELSE s1 END, s[1:3]), list_prepend(k || cut[k], cut[1:3]) FROM (
+        SELECT *, CASE WHEN s4 >= most - 1e-9 THEN 4 WHEN s3 >= most - 1e-9 THEN 3 WHEN s2 >= most - 1e-9 THEN 2 ELSE 1 END AS k FROM (
+          SELECT *, greatest(s1, s2, s3, s4) AS most FROM (
+            SELECT run, place, w.s, cut, a.s + w.s[1] AS s1, b.s + w.s[2] AS s2, c.s + w.s[3] AS s3, d.s + w.s[4] AS s4 FROM ways w JOIN score a ON a.word = substring(run, place, 1)
+            LEFT JOIN score b ON b.word = substring(run, place, 2) LEFT JOIN score c ON c.word = substring(run, place, 3) LEFT JOIN score d ON d.word = substring(run, place, 4) WHERE place > 0)))),
+    lengths AS (SELECT run, i, CAST(substring(cut[1], i, 1) AS INTEGER) AS k FROM (SELECT run, cut, unnest(range(1, length(cut[1]) + 1)) AS i FROM ways WHERE place = 0)),
+    ends AS (SELECT run, i, k, sum(k) OVER (PARTITION BY run ORDER BY i) AS last FROM lengths)
+    SELECT run, string_agg(substring(run, CAST(last - k + 1 AS BIGINT), k), ' ' ORDER BY i) AS words FROM ends GROUP BY run""", _SPELLED, _MODEL)
 def f11_cut_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short runs, whose cut SQL finds among all of them."""
+    """All runs. SQL keeps for each place of a run the best cut of what is behind it, as a text of the lengths of its words."""
     spelled = _spelled(spark, sf_dir)
-    known = {r.word: r.n for r in segmentation.learn(spelled).collect()}
-    runs = spelled.select(F.explode(F.regexp_extract_all("text", F.lit(f"([{_SIGNS}]+)"), 1)).alias("run")).where("length(run) <= 12").distinct()
-
-    def cut(frames_):
-        segmenter = segmentation.Segmenter(known)
-        for frame in frames_:
-            yield frame.assign(words=[" ".join(segmenter.words(r)) for r in frame.run])
-
-    return runs.mapInPandas(cut, "run string, words string")
+    runs = spelled.select(F.explode(F.regexp_extract_all("text", F.lit(f"([{_SIGNS}]+)"), 1)).alias("run")).distinct()
+    return segmentation.cut_texts(runs, "run", segmentation.learn(spelled), lambda s, run: " ".join(s.words(run)))
 
 
 @query("SELECT DISTINCT conv_id, turn FROM spelled WHERE conv_id % 50 = 0 AND regexp_matches(text, '[\\p{L}\\p{N}]')", _SPELLED)
 def f11_found_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that their own first word finds: all with a word, as texts and queries are cut alike."""
     spelled = _spelled(spark, sf_dir)
-    of = segmentation.segmented(segmentation.learn(spelled))
     key = F.concat_ws("-", "conv_id", "turn", F.xxhash64("text"))
-    docs = spelled.select("conv_id", "turn", key.alias("id"), of("text").alias("text"))
+    done = segmentation.cut_texts(spelled.withColumn("id", key), "text", segmentation.learn(spelled), segmentation.Segmenter.text)
+    docs = done.select("conv_id", "turn", "id", F.col("words").alias("text"))
     asked = docs.where("conv_id % 50 = 0").withColumn("word", F.get(retrieval.terms(F.col("text")), F.lit(0))).where("word is not null")
     hits = retrieval.bm25(docs.select("id", "text"), asked.select(F.col("id").alias("query"), F.col("word").alias("text"))).where("query = id").select("id")
     return asked.join(hits, "id", "left_semi").select("conv_id", "turn").distinct()
