@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumenvault.operators.graph import cut
 from lumenvault.operators.sequences import coalesce_intervals
 
 
@@ -48,9 +49,10 @@ def anchor_ranges(anchors: DataFrame, symbols: DataFrame, window: int = 10) -> D
     anchors (case, file, place, anchor) with anchors "line: 42", "class: A" and "function: f"; symbols (file, name,
     qualified_name, kind, start_line, end_line). A class names all classes of that name, and is the context of the functions behind
     it. A function is the qualified name, else that of the class before it, else the bare name if
-    just one function or method has it; of equal qualified names the last one counts. Others give no row. Symbols are shuffled, as
-    Spark may take them for far fewer bytes than they are.
+    just one function or method has it; of equal qualified names the last one counts. Others give no row. Symbols are made once,
+    and shuffled, as Spark may take them for far fewer bytes than they are.
     """
+    symbols = cut(symbols.select("file", "name", "qualified_name", "kind", "start_line", "end_line"))
     said = anchors.withColumn("why", F.trim("anchor")).withColumn("_kind", F.lower(F.regexp_extract("why", r"^([A-Za-z]+):", 1))).withColumn("name", F.trim(F.regexp_replace("why", r"^[A-Za-z]+:", "")))
     order = Window.partitionBy("case", "file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     said = said.withColumn("_class", F.last(F.when(F.col("_kind") == "class", F.col("name")), ignorenulls=True).over(order))
